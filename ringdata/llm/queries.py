@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, pii, url_filter
+from . import bpe, pii, sketch, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_url_filters": url_filter.op2_url_filters,
     "op6_bpe": bpe.op6_bpe,
+    "op10_fingerprints": sketch.op10_fingerprints,
 }
 ORACLE_SQL = {
     "op2_url_filters": url_filter.OP2_SQL,
