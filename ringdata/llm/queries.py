@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, pii, sketch, url_filter
+from . import bpe, pii, simhash, sketch, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_url_filters": url_filter.op2_url_filters,
+    "op3_simhash": simhash.op3_simhash,
     "op6_bpe": bpe.op6_bpe,
     "op10_fingerprints": sketch.op10_fingerprints,
 }
