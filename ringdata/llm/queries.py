@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, pii, simhash, sketch, url_filter
+from . import bpe, mixing, pii, quality_net, simhash, sketch, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_url_filters": url_filter.op2_url_filters,
     "op3_simhash": simhash.op3_simhash,
+    "op4_quality": quality_net.op4_quality,
     "op5_mixing": mixing.op5_mixing,
     "op6_bpe": bpe.op6_bpe,
     "op10_fingerprints": sketch.op10_fingerprints,
