@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, pii, quality_net, simhash, sketch, url_filter
+from . import bpe, html_text, mixing, pii, quality_net, quality_rules, simhash, sketch, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_quality": quality_net.op4_quality,
     "op5_mixing": mixing.op5_mixing,
     "op6_bpe": bpe.op6_bpe,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_html_text": html_text.op9_html_text,
     "op10_fingerprints": sketch.op10_fingerprints,
 }
 ORACLE_SQL = {
