@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, mixing, pii, quality_net, quality_rules, simhash, sketch, url_filter
+from . import bpe, html_text, mixing, pii, pitman_yor, quality_net, quality_rules, simhash, sketch, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_pitman_yor": pitman_yor.op8_pitman_yor,
     "op9_html_text": html_text.op9_html_text,
     "op10_fingerprints": sketch.op10_fingerprints,
 }
