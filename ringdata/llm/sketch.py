@@ -4,7 +4,7 @@ A text's set of paragraph digests (non-empty lines, xxhash64) goes into a sketch
 three sub-tables; a cell holds a count, the XOR of its digests and the XOR of their
 check sums. Two versions' sketches are subtracted cell by cell; cells that then hold
 one digest are peeled, sub-table by sub-table, until nothing is left. Pairs that do
-not peel are tried again with a sketch four times as large, until all have. What is
+not peel are tried again with sketches four times as large, until all have. What is
 peeled are the digests on one side only, so likeness = shared / union.
 Every step is a DataFrame operation; a document's cells are rows, so long texts cost
 in proportion to their lines.
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .shared import stored, texts
 
 SUBTABLES = 3
-#: Cells of a sub-table: of the fingerprint that is returned, and of the first attempt.
+#: Cells of a sub-table: of the fingerprint that is returned, and of the first attempt (at least, and for each digest thought to differ).
 SIZE = 4
-FIRST_SIZE = 8
+FIRST_SIZE, CELLS_EACH = 6, 0.6
 GROWTH = 4
 SUBROUNDS = 9
 #: Ranges of doc_id: so many documents each, and at most so many ranges (their bounds pass through the driver).
@@ -101,47 +101,54 @@ def with_next(docs: DataFrame) -> DataFrame:
 def differences(pairs: DataFrame) -> DataFrame:
     """part, pos, pair and the numbers of digests only in plus (n_plus) and only in minus (n_minus).
 
-    pairs: part, pos, pair (together a key), plus and minus (arrays of digests).
+    pairs: part, pos, pair (together a key), plus and minus (arrays of digests) and
+    guess, about how many digests differ. A sub-table starts with CELLS_EACH cells for
+    each of these; a guess too low only costs further attempts.
     """
     key = ["part", "pos", "pair"]
     cell = ["table", "idx"]
-    out, todo, size = None, pairs, FIRST_SIZE
+    zero = F.lit(0)
 
-    def summed(rows: DataFrame) -> DataFrame:
-        got = rows.groupBy(*key, *cell).agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk"))
-        return got.where("n <> 0 OR key <> 0 OR chk <> 0")
+    def place(k: Column, table: int) -> Column:
+        return F.pmod(F.xxhash64(k, F.lit(table)), F.col("size"))
 
     def entry(table, idx, n, k, chk) -> Column:
         return F.struct(F.lit(table).alias("table"), idx.cast("long").alias("idx"), n.cast("long").alias("n"), k.cast("long").alias("key"), chk.cast("long").alias("chk"))
 
-    zero = F.lit(0)
+    def summed(rows: DataFrame) -> DataFrame:
+        got = rows.groupBy(*key, "size", *cell).agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk"))
+        return got.where("n <> 0 OR key <> 0 OR chk <> 0")
+
+    todo = pairs.withColumn("size", F.greatest(F.lit(FIRST_SIZE), F.ceil(F.col("guess") * CELLS_EACH)).cast("long")).drop("guess")
+    out = None
     while True:
+        todo = todo.repartition("part", "pos")  # the one shuffle of an attempt: all that follows stays in these partitions
         signed = F.concat(*[F.transform(side, lambda k: F.struct(k.alias("k"), F.lit(sign).alias("n"))) for side, sign in (("plus", 1), ("minus", -1))])  # noqa: B023
-        inserted = F.flatten(F.transform(signed, lambda e: F.array(*[entry(t, _place(e["k"], t, size), e["n"], e["k"], _check(e["k"])) for t in range(SUBTABLES)])))  # noqa: B023
+        inserted = F.flatten(F.transform(signed, lambda e: F.array(*[entry(t, place(e["k"], t), e["n"], e["k"], _check(e["k"])) for t in range(SUBTABLES)])))
         marker = F.array(entry(-2, zero, F.lit(1), zero, zero))  # keeps pairs whose cells all cancel
-        cells = summed(todo.repartition("part", "pos").select(*key, F.inline(F.concat(inserted, marker))))
+        cells = summed(todo.select(*key, "size", F.inline(F.concat(inserted, marker))))
         for r in range(SUBROUNDS):
             t = r % SUBTABLES
             pure = (F.col("table") == t) & (F.abs("n") == 1) & (F.col("chk") == _check(F.col("key")))
             peeled = F.array(
                 entry(-1, F.col("key"), F.col("n"), zero, zero),
-                *[entry(o, _place(F.col("key"), o, size), -F.col("n"), F.col("key"), F.col("chk")) for o in range(SUBTABLES) if o != t],
+                *[entry(o, place(F.col("key"), o), -F.col("n"), F.col("key"), F.col("chk")) for o in range(SUBTABLES) if o != t],
             )
             same = F.array(F.struct("table", "idx", "n", "key", "chk"))
-            cells = summed(cells.select(*key, F.inline(F.when(pure, peeled).otherwise(same))))
+            cells = summed(cells.select(*key, "size", F.inline(F.when(pure, peeled).otherwise(same))))
         found = cells.groupBy(*key).agg(
             F.count_if(F.col("table") >= 0).alias("left"),
             F.count_if((F.col("table") == -1) & (F.col("n") > 0)).alias("n_plus"),
             F.count_if((F.col("table") == -1) & (F.col("n") < 0)).alias("n_minus"),
         )
-        found = stored(found, "sketch-found")
-        done = found.where("left = 0").drop("left")
+        again = F.col("left") > 0
+        tried = todo.join(found, key).select(*key, "left", "n_plus", "n_minus", (F.col("size") * GROWTH).alias("size"), *[F.when(again, F.col(c)).alias(c) for c in ("plus", "minus")])
+        tried = stored(tried, "sketch-found")
+        done = tried.where("left = 0").select(*key, "n_plus", "n_minus")
         out = done if out is None else out.unionByName(done)
-        failed = found.where("left > 0").select(*key)
-        if failed.isEmpty():
+        todo = tried.where("left > 0").select(*key, "plus", "minus", "size")
+        if todo.isEmpty():
             return out
-        todo = todo.join(failed, key, "left_semi")
-        size *= GROWTH
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -153,8 +160,9 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         rows.select("part", "pos", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("edited"), digests(F.col("next_text")).alias("next")),
         "sketch-rows",
     )
-    pair = lambda i, name: F.struct(F.lit(i).alias("pair"), F.col("own").alias("plus"), F.col(name).alias("minus"))
-    pairs = rows.select("part", "pos", F.inline(F.array(pair(0, "edited"), pair(1, "next"))))
+    both = lambda name: F.size("own") + F.size(name)
+    pair = lambda i, name, guess: F.struct(F.lit(i).alias("pair"), F.col("own").alias("plus"), F.col(name).alias("minus"), guess.alias("guess"))
+    pairs = rows.select("part", "pos", F.inline(F.array(pair(0, "edited", both("edited") / 2), pair(1, "next", both("next").cast("double")))))
     found = differences(pairs).groupBy("part", "pos").agg(*[F.max(F.when(F.col("pair") == i, F.struct("n_plus", "n_minus"))).alias(f"d{i}") for i in (0, 1)])
 
     def near(d: str) -> Column:
