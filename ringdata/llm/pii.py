@@ -98,17 +98,17 @@ def _spans(kind: str, text: Column) -> Column:
     return F.when(possible, found).otherwise(F.array().cast(SPAN))
 
 
-def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `pii`: an array of (kind, start, end, score) by kind as listed, then start."""
+def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
+    """docs with the column `into`: an array of (kind, start, end, score) by kind as listed, then start."""
     empty = F.array().cast(SPAN)
     known = F.coalesce(F.col(text), F.lit(""))
     # most texts hold neither a digit nor an at sign, and so nothing to propose
-    return docs.withColumn("pii", F.when(known.rlike("[0-9@]|[a-fA-F]{32}"), F.concat(*[_spans(k, known) for k in KINDS])).otherwise(empty))
+    return docs.withColumn(into, F.when(known.rlike("[0-9@]|[a-fA-F]{32}"), F.concat(*[_spans(k, known) for k in KINDS])).otherwise(empty))
 
 
-def mask_pii(found: DataFrame, text: str = "text") -> DataFrame:
+def mask_pii(found: DataFrame, text: str = "text", spans_in: str = "pii") -> DataFrame:
     """The output of find_pii with every span replaced by its kind in brackets; spans that overlap become one."""
-    spans = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = F.array_sort(F.transform(spans_in, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -117,7 +117,7 @@ def mask_pii(found: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], add)).otherwise(acc["out"]).alias("out"))
 
     masked = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1)))
-    return found.withColumn(text, F.when(F.size("pii") > 0, masked).otherwise(F.col(text))).drop("pii")
+    return found.withColumn(text, F.when(F.size(spans_in) > 0, masked).otherwise(F.col(text))).drop(spans_in)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,12 +37,14 @@ BANDS = 6
 FANOUT = 8
 #: A bucket is hot above HOT_ROWS fingerprints and above a share of 1 / HOT_SHARE, so at most HOT_SHARE * C(bands, bits) buckets are.
 HOT_ROWS, HOT_SHARE = 4_000, 20_000
+#: Least shingle hashes kept of a text, and how alike a document must be to the one that stays to go.
+SKETCH, ALIKE = 64, 0.5
 #: Node pairs held at once while walking an index.
 WALK = 1 << 18
 
 
-def fingerprints(data: bytes, shingle: int) -> int:
-    """The fingerprint of one text in UTF-8."""
+def fingerprints(data: bytes, shingle: int, sketch: list | None = None) -> int:
+    """The fingerprint of one text in UTF-8; sketch, if given, gets its SKETCH least shingle hashes."""
     from xxhash import xxh64_intdigest
 
     words = data.lower().split()
@@ -57,22 +59,36 @@ def fingerprints(data: bytes, shingle: int) -> int:
         starts, ends = starts[:1], ends[-1:]
     n = len(starts)
     ones = np.zeros(64, dtype=np.int64)
+    least = np.zeros(0, dtype=np.uint64)
     for k in range(0, n, 65_536):
         part = np.fromiter([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[k : k + 65_536].tolist(), ends[k : k + 65_536].tolist(), strict=True)], dtype=np.uint64)
+        if sketch is not None:
+            least = np.unique(np.concatenate([least, part]))[:SKETCH]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    if sketch is not None:
+        sketch.append(least)
     return int(sum(1 << b for b in range(64) if 2 * ones[b] > n))
 
 
-def add_fingerprint(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """docs (with text) with `fp`, the fingerprint as a signed long, instead of the text."""
+def add_fingerprint(docs: DataFrame, shingle: int = 4, sketch: bool = False) -> DataFrame:
+    """docs (with text) with `fp`, the fingerprint as a signed long, and if asked for `sketch`, instead of the text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            fp = np.array([fingerprints((t or "").encode(), shingle) for t in f["text"]], dtype=np.uint64).view(np.int64)
-            yield f.drop(columns="text").assign(fp=fp)
+            held: list[list] = [[] for _ in range(len(f))]
+            fp = np.array([fingerprints((t or "").encode(), shingle, h if sketch else None) for t, h in zip(f["text"], held, strict=True)], dtype=np.uint64).view(np.int64)
+            out = f.drop(columns="text").assign(fp=fp)
+            yield out.assign(sketch=[b"".join(x.tobytes() for x in h) for h in held]) if sketch else out
 
     kept = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema if x.name != "text")
-    return docs.mapInPandas(run, f"{kept}, fp long")
+    return docs.mapInPandas(run, f"{kept}, fp long" + ", sketch binary" * sketch)
+
+
+def alike(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets, estimated from their least hashes (1 for two empty sets)."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    union = np.union1d(x, y)[:SKETCH]
+    return float(np.isin(union, np.intersect1d(x, y)).mean()) if len(union) else 1.0
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -234,17 +250,33 @@ def group(docs: DataFrame, shingle: int = 4, bits: int = BITS, bands: int = BAND
     return rows.join(_named(rows, bits, bands), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, bits: int = BITS, bands: int = BANDS) -> DataFrame:
-    """One row of docs for each group, that of the smallest doc_id (null last), with all its columns."""
+def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 6, bands: int = 8, least: float = ALIKE) -> DataFrame:
+    """docs without near-copies, all columns kept: of each group the row of the smallest doc_id (null last) stays.
+
+    A member whose shingles are not at least `least` alike to that row's (estimated
+    from SKETCH hashes) met its group by chance or over a long chain, and stays too.
+    Rows that repeat in doc_id and text count once.
+    """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = stored(add_fingerprint(texts(docs).withColumn("key", key), shingle), "simhash")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
-    best = rows.join(_named(rows, bits, bands), "fp").groupBy("class").agg(first.alias("best"))
-    best = best.select(F.col("best.doc_id").alias("best_id"), F.col("best.key").alias("best_key"))
-    times = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
-    best = best.join(times, F.col("best_id").eqNullSafe(F.col("doc_id")) & (F.col("best_key") == F.col("key"))).select("best_id", "best_key", "times")
-    kept = docs.join(best, docs["doc_id"].eqNullSafe(best["best_id"]) & (key == best["best_key"]))
-    once, again = kept.where("times = 1").select(docs["*"]), kept.where("times > 1").select(docs["*"])
+    rows = stored(add_fingerprint(texts(docs).withColumn("key", key), shingle, sketch=True), "simhash")
+    rows = rows.groupBy("doc_id", "key", "fp", "sketch").agg(F.count(F.lit(1)).alias("times"))
+    classes = _named(rows, bits, bands).select("fp", "class")
+    members = rows.join(classes, "fp")
+    best = members.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "sketch")).alias("best"))
+    pairs = members.join(best, "class").select(
+        "doc_id", "key", "times", "sketch", F.col("best.sketch").alias("best_sketch"), (F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.key") == F.col("key"))).alias("first")
+    )
+
+    def unlike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            far = [alike(x, y) < least for x, y in zip(f["sketch"], f["best_sketch"], strict=True)]
+            yield f.loc[far, ["doc_id", "key", "times"]]
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    apart = pairs.where("NOT first").select("doc_id", "key", "times", "sketch", "best_sketch").mapInPandas(unlike, f"doc_id {kind}, key long, times long")
+    stay = pairs.where("first").select("doc_id", "key", "times").unionByName(apart).toDF("_id", "_key", "_times")
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]) & (key == stay["_key"]))
+    once, again = kept.where("_times = 1").select(docs["*"]), kept.where("_times > 1").select(docs["*"])
     return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 

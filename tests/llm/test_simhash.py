@@ -77,6 +77,14 @@ def test_groups(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(simhash, "HOT_ROWS", hot)
         got = sorted((tuple(x) for x in simhash.op3_simhash(spark, str(tmp_path)).collect()), key=str)
         assert got == want
-    kept = simhash.keep_one(df).collect()
+    kept = simhash.keep_one(df, shingle=4, bits=4, bands=6, least=0.0).collect()
     assert sorted(r.doc_id for r in kept) == sorted(ids.values())
-    assert simhash.group(df.limit(0)).count() == 0
+    assert simhash.group(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_sketch():
+    a, b = [], []
+    simhash.fingerprints(" ".join(f"w{i}" for i in range(4_000)).encode(), 5, a)
+    simhash.fingerprints(" ".join(f"w{i}" for i in range(800, 4_800)).encode(), 5, b)
+    assert simhash.alike(a[0].tobytes(), a[0].tobytes()) == 1 and abs(simhash.alike(a[0].tobytes(), b[0].tobytes()) - 3_196 / 4_796) < 0.2
+    assert simhash.alike(b"", b"") == 1 and simhash.alike(b"", a[0].tobytes()) == 0
