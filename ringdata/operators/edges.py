@@ -150,7 +150,9 @@ def sequential_ids(df: DataFrame, order: list, prefix: str, width: int = 7, into
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = counts.select("_part", "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
     number = F.col("_offset") + F.col("_at") - F.col("_first")
-    return rows.join(F.broadcast(offsets), "_part").withColumn(into, F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))).drop("_part", "_at", "_first", "_offset")
+    text = number.cast("string")
+    padded = F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+    return rows.join(F.broadcast(offsets), "_part").withColumn(into, F.concat(F.lit(prefix), padded)).drop("_part", "_at", "_first", "_offset")
 
 
 def first_per_key(df: DataFrame, key: list[str], order: list) -> DataFrame:

@@ -193,6 +193,9 @@ class PairModel:
 
     def score(self, df: DataFrame, all_features: bool = False) -> DataFrame:
         """M3: keys, probability, label text, threshold and evidence columns of every pair."""
+        missing = [c for c in self.columns if c not in df.columns]
+        if missing:
+            raise ValueError(f"missing features {missing}")
         keys = [c for c in df.columns if c not in self.columns]
         kept = self.columns if all_features else [c for c in EVIDENCE_COLUMNS if c in self.columns]
         raw = df.select(*keys, F.struct(*kept).alias("_raw"), *self.columns)

@@ -1 +1,47 @@
+"""Queries: graph measures."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ringdata.operators import graph as G
+from ringdata.plans.q_pairs import q6, r6
+from ringdata.plans.registry import query
+from ringdata.sources import views as V
+
+EDGES = ", g AS (SELECT lo, hi, score AS p FROM inferred WHERE score >= 0.4), b AS (SELECT lo AS node, hi AS other FROM g UNION ALL SELECT hi, lo FROM g), deg AS (SELECT node, count(*) AS degree FROM b GROUP BY 1)"
+
+
+def _graph(spark, d):
+    return G.evidence_graph(V.inferred(spark, d).withColumnRenamed("score", "p"))
+
+
+@query("g1_evidence_graph", EDGES + "SELECT * FROM g")
+def g1(spark, d):
+    return _graph(spark, d)
+
+
+@query("g2_degree_centrality", EDGES + "SELECT node, degree, " + q6("degree / greatest((SELECT count(*) FROM deg) - 1, 1)::DOUBLE", "centrality") + " FROM deg")
+def g2(spark, d):
+    return G.degree_centrality(_graph(spark, d)).select("node", "degree", r6(F.col("centrality"), "centrality"))
+
+
+@query("g3_eigenvector_centrality")
+def g3(spark, d):
+    return G.eigenvector_centrality(_graph(spark, d))
+
+
+@query("g4_communities")
+def g4(spark, d):
+    return G.communities(_graph(spark, d))
+
+
+@query("g5_community_summary")
+def g5(spark, d):
+    e = _graph(spark, d)
+    return G.community_summary(G.communities(e), e, G.degree_centrality(e))
+
+
+@query("w11_top_nodes", EDGES + "SELECT node, round(degree / (SELECT max(degree) FROM deg)::DOUBLE, 9) AS composite FROM deg ORDER BY composite DESC, node LIMIT 8")
+def w11(spark, d):
+    return G.top_nodes(G.degree_centrality(_graph(spark, d)), ["degree", "centrality"])
