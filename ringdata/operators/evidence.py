@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The evidence fingerprint's columns and the modes of each answer.
-ANSWERS = ["same_person", "different_people", "multiple_person_dataset", "not_sure"]
-
 
 def source_summary(df: DataFrame) -> DataFrame:
     """A1. df: subject, subject_reason, contact, contact_reason, ts_status."""

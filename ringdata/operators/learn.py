@@ -16,6 +16,7 @@ from ringdata.operators.edges import uniform
 from ringdata.operators.profiles import FEATURES
 from ringdata.sources.tables import cut
 
+# Features on a log scale, and the columns that explain a prediction.
 LOG_FEATURES = [
     "cdr_events_total", "cdr_direction_min_count", "cdr_direction_max_count", "cdr_total_duration_seconds", "cdr_mean_duration_seconds", "cdr_max_duration_seconds", "cdr_duration_std_seconds",
     "cdr_active_days", "cdr_activity_span_days", "cdr_events_per_active_day", "cdr_degree_min", "cdr_degree_max", "cdr_common_contacts", "ipdr_session_count_min", "ipdr_session_count_max",
@@ -25,6 +26,7 @@ EVIDENCE_COLUMNS = [
     "cdr_has_direct_interaction", "cdr_events_total", "cdr_reciprocity_ratio", "cdr_total_duration_seconds", "cdr_active_days", "cdr_common_contacts", "cdr_contact_jaccard", "ipdr_both_people_present",
     "ipdr_hour_cosine_similarity", "ipdr_destination_jaccard", "ipdr_port_jaccard", "ipdr_time_bucket_jaccard",
 ]
+# Our values: trust in each source of labels.
 LABEL_WEIGHTS = {"confirmed": 1.0, "observed": 1.0, "inferred": 0.4, "sampled_negative": 0.6}
 WARNING = "scores are statistical estimates, not proof of a relationship"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ringdata.functions import scalars as S
 
+# Names of the pair features, in order, and set members that count as missing.
 FEATURES = [
     "cdr_has_direct_interaction", "cdr_events_total", "cdr_direction_min_count", "cdr_direction_max_count", "cdr_reciprocity_ratio", "cdr_direction_balance", "cdr_total_duration_seconds",
     "cdr_mean_duration_seconds", "cdr_max_duration_seconds", "cdr_duration_std_seconds", "cdr_active_days", "cdr_activity_span_days", "cdr_events_per_active_day", "cdr_night_ratio",
