@@ -30,7 +30,7 @@ FIRST_SIZE, CELLS_EACH = 6, 0.6
 GROWTH = 4
 SUBROUNDS = 9
 #: Ranges of doc_id: so many documents each, and at most so many ranges (their bounds pass through the driver).
-RANGE_DOCS, MAX_RANGES = 256, 4096
+RANGE_DOCS, MAX_RANGES = 256, 65_536
 NO_ID = -(2**63)
 
 
@@ -71,9 +71,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = ids.count()
     ranges = max(1, min(MAX_RANGES, math.ceil(n / RANGE_DOCS)))
     bounds: list[int] = []
+    listed = lambda xs, kind: F.split(F.lit(",".join(map(str, xs))), ",").cast(f"array<{kind}>")  # noqa: E731  (one literal)
+    numbers = lambda xs: listed(xs, "bigint")
     if ranges > 1:
-        bounds = sorted(set(ids.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 4 * ranges)).first()[0]))
-    numbers = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+        shares = listed([i / ranges for i in range(1, ranges)], "double")
+        bounds = sorted(set(ids.agg(F.percentile_approx("id", shares, 4 * ranges)).first()[0]))
     steps = F.array(*[F.lit(2**k) for k in reversed(range(max(1, len(bounds).bit_length())))])
 
     def part_of(c: Column) -> Column:
