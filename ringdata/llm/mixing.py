@@ -137,12 +137,14 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / RANKED)).cast("long")
     dealt = rows.join(solved, stratum).withColumn("order", F.xxhash64("doc_id", "hash"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("order", F.lit("block")), blocks))
-    held = dealt.groupBy(*stratum, "block", "n", "quota").agg(F.count(F.lit(1)).alias("in_block"))
+    # dealt out anew by block, so that the documents of a large stratum do not stay in one task
+    dealt = dealt.withColumn("cell", F.concat_ws("/", "block", "size", "skey")).repartition("cell")
+    held = dealt.groupBy("cell", *stratum, "block", "n", "quota").agg(F.count(F.lit(1)).alias("in_block"))
     held = held.withColumn("upto", F.sum("in_block").over(Window.partitionBy(*stratum).orderBy("block")))
     share = lambda x: F.floor(F.col("quota") * x / F.col("n"))
-    held = held.select(*stratum, "block", "in_block", (share(F.col("upto")) - share(F.col("upto") - F.col("in_block"))).alias("block_quota"))
-    dealt = dealt.join(held, [*stratum, "block"])
-    place = F.row_number().over(Window.partitionBy(*stratum, "block").orderBy("order", "doc_id"))
+    held = held.select("cell", "in_block", (share(F.col("upto")) - share(F.col("upto") - F.col("in_block"))).alias("block_quota"))
+    dealt = dealt.join(held, "cell")
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("order", "doc_id"))
     base = F.floor(F.col("block_quota") / F.col("in_block"))
     copies = (base + F.when(place <= F.col("block_quota") - base * F.col("in_block"), 1).otherwise(0)).cast("long")
     return dealt.select("doc_id", "source", "hash", "size", "source_size", "target", "rate", copies.alias("copies"))
