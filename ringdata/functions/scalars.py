@@ -91,33 +91,47 @@ def local_time(text: Column, day_first: bool) -> Column:
 EXPLICIT = r"(?i)(?<=:[0-9]{2}|:[0-9]{2}\.[0-9]{1,6})\s*(Z|[+-][0-9]{2}:?[0-9]{2})$"
 
 
-def parse_event_time(text: Column, zone: Column | None = None, default_zone: str = ZONE, day_first: bool = True) -> tuple[Column, Column]:
-    """the UTC instant and its status.
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once per row."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def parse_event_time(text: Column, zone: Column | None = None, default_zone: str = ZONE, day_first: bool = True) -> Column:
+    """a struct of `instant` (UTC) and `status`.
 
     Status: explicit (the text has an offset), zone (the row's zone), assumed (the
     default zone), invalid_zone, invalid (no such time, or one that the zone skips or
     has twice) or missing.
     """
-    t = clean_text(text)
-    offset = F.regexp_extract(t, EXPLICIT, 1)
-    wall = local_time(F.trim(F.regexp_replace(t, EXPLICIT, "")), day_first)
-    seconds = F.when(F.upper(offset) == "Z", 0).when(offset != "", F.concat(F.substr(offset, F.lit(1), F.lit(1)), F.lit("1")).cast("int") * (F.substr(offset, F.lit(2), F.lit(2)).cast("int") * 3600 + F.substr(offset, F.lit(-2)).cast("int") * 60))
-    name = valid_zone(zone) if zone is not None else F.lit("")
-    used = F.when(name == "", F.lit(default_zone)).otherwise(name)
-    utc = F.to_utc_timestamp(wall, used)
     hour = F.expr("INTERVAL 1 HOUR")
-    back = lambda x: F.from_utc_timestamp(x, used)
-    clear = (back(utc) == wall) & (back(utc + hour) != wall) & (back(utc - hour) != wall)
-    instant = F.when(offset != "", F.timestamp_seconds(F.unix_micros(wall) / 1_000_000 - seconds)).when(name.isNotNull() & clear, utc)
-    status = (
-        F.when(is_missing_text(t), "missing")
-        .when((offset == "") & name.isNull(), "invalid_zone")
-        .when(instant.isNull(), "invalid")
-        .when(offset != "", "explicit")
-        .when(name == "", "assumed")
-        .otherwise("zone")
-    )
-    return instant, status
+
+    def read(a: Column) -> Column:
+        offset = F.regexp_extract(a["t"], EXPLICIT, 1)
+        wall = local_time(F.trim(F.regexp_replace(a["t"], EXPLICIT, "")), day_first)
+        return F.struct(a["t"].alias("t"), a["zone"].alias("zone"), offset.alias("offset"), wall.alias("wall"), F.when(a["zone"] == "", F.lit(default_zone)).otherwise(a["zone"]).alias("used"))
+
+    def place(b: Column) -> Column:
+        return F.struct(*[b[c].alias(c) for c in ("t", "zone", "offset", "wall", "used")], F.to_utc_timestamp(b["wall"], b["used"]).alias("utc"))
+
+    def judge(c: Column) -> Column:
+        offset = c["offset"]
+        sign, hours, minutes = F.substr(offset, F.lit(1), F.lit(1)), F.substr(offset, F.lit(2), F.lit(2)), F.substr(offset, F.lit(-2))
+        seconds = F.when(F.upper(offset) == "Z", 0).otherwise(F.when(sign == "-", -1).otherwise(1) * (hours.try_cast("int") * 3600 + minutes.try_cast("int") * 60))
+        back = lambda x: F.from_utc_timestamp(x, c["used"])
+        clear = (back(c["utc"]) == c["wall"]) & (back(c["utc"] + hour) != c["wall"]) & (back(c["utc"] - hour) != c["wall"])
+        instant = F.when(offset != "", F.timestamp_micros(F.unix_micros(c["wall"]) - seconds.cast("long") * 1_000_000)).when(c["zone"].isNotNull() & clear, c["utc"])
+        status = (
+            F.when(is_missing_text(c["t"]), "missing")
+            .when((offset == "") & c["zone"].isNull(), "invalid_zone")
+            .when(instant.isNull(), "invalid")
+            .when(offset != "", "explicit")
+            .when(c["zone"] == "", "assumed")
+            .otherwise("zone")
+        )
+        return F.struct(instant.alias("instant"), status.alias("status"))
+
+    start = F.struct(clean_text(text).alias("t"), (valid_zone(zone) if zone is not None else F.lit("")).alias("zone"))
+    return let(start, lambda a: let(read(a), lambda b: let(place(b), judge)))
 
 
 def iso_utc(ts: Column) -> Column:

@@ -86,8 +86,8 @@ SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL WHEN 1 THEN strftime(date_tr
 CASE WHEN event_id % 5 = 4 THEN 'invalid' WHEN event_id % 5 = 1 THEN 'explicit' WHEN zone = '' THEN 'assumed' ELSE 'zone' END AS status FROM off""",
 )
 def f5(spark, d):
-    instant, status = S.parse_event_time(F.col("raw"), F.col("zone"))
-    return _times(spark, d).select("event_id", iso(instant).alias("utc"), status.alias("status"))
+    parsed = _times(spark, d).select("event_id", S.parse_event_time(F.col("raw"), F.col("zone")).alias("e"))
+    return parsed.select("event_id", iso("e.instant").alias("utc"), "e.status")
 
 
 @query("f6_parse_timezone", TIMES + "SELECT zone, CASE WHEN zone = '' THEN '' ELSE zone END AS parsed, count(*) AS n FROM tt GROUP BY ALL")

@@ -32,8 +32,8 @@ def test_phone_spellings(spark):
 
 def test_times(spark):
     rows = [("2026-06-01", ""), ("01/06/2026 10:00:00", ""), ("2026-06-01T10:05:00+05:30", ""), ("05/13/2026", ""), ("2026-03-29 02:30:00", "Europe/Berlin"), ("2026-10-25 02:30:00", "Europe/Berlin"), ("2026-06-01 10:00", "Mars/Olympus"), ("2026-06-01 10:00", "gmt+2"), ("01-06-2026", ""), ("x", ""), (None, ""), ("2026/06/01 09:00:00.5", "UTC")]
-    t, s = S.parse_event_time(F.col("t"), F.col("z"))
-    got = [(r[0], r[1]) for r in spark.createDataFrame(rows, "t string, z string").select(S.iso_utc(t), s).collect()]
+    parsed = spark.createDataFrame(rows, "t string, z string").select(S.parse_event_time(F.col("t"), F.col("z")).alias("e"))
+    got = [(r[0], r[1]) for r in parsed.select(S.iso_utc(F.col("e.instant")), "e.status").collect()]
     assert got == [
         ("2026-05-31T18:30:00Z", "assumed"), ("2026-06-01T04:30:00Z", "assumed"), ("2026-06-01T04:35:00Z", "explicit"), ("2026-05-12T18:30:00Z", "assumed"), (None, "invalid"), (None, "invalid"), (None, "invalid_zone"),
         ("2026-06-01T08:00:00Z", "zone"), ("2026-05-31T18:30:00Z", "assumed"), (None, "invalid"), (None, "missing"), ("2026-06-01T09:00:00Z", "zone"),
