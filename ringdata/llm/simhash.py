@@ -39,6 +39,7 @@ FANOUT = 8
 HOT_ROWS, HOT_SHARE = 4_000, 20_000
 #: Least shingle hashes kept of a text, and how alike a document must be to the one that stays to go.
 SKETCH, ALIKE = 64, 0.5
+GROUP_PART = 500
 #: Node pairs held at once while walking an index.
 WALK = 1 << 18
 
@@ -260,10 +261,13 @@ def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 6, bands: int = 8, l
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = stored(add_fingerprint(texts(docs).withColumn("key", key), shingle, sketch=True), "simhash")
     rows = rows.groupBy("doc_id", "key", "fp", "sketch").agg(F.count(F.lit(1)).alias("times"))
-    classes = _named(rows, bits, bands).select("fp", "class")
-    members = rows.join(classes, "fp")
-    best = members.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "sketch")).alias("best"))
-    pairs = members.join(best, "class").select(
+    named = stored(_named(rows, bits, bands).select("fp", "class"), "classes")
+    # a large group is compared with its first row in parts of about GROUP_PART members
+    parts = rows.join(named, "fp").groupBy("class").agg(F.ceil(F.count(F.lit(1)) / GROUP_PART).cast("int").alias("parts"))
+    members = rows.join(named.join(parts, "class"), "fp").withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")).cast("int"))
+    best = members.groupBy("class", "parts").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "sketch")).alias("best"))
+    best = best.select("class", "best", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.xxhash64("class", p))).alias("slot"))
+    pairs = members.withColumn("slot", F.xxhash64("class", "part")).join(best, ["slot", "class"]).select(
         "doc_id", "key", "times", "sketch", F.col("best.sketch").alias("best_sketch"), (F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.key") == F.col("key"))).alias("first")
     )
 
