@@ -41,7 +41,7 @@ HOT_ROWS, HOT_SHARE = 4_000, 20_000
 SKETCH, ALIKE = 64, 0.5
 GROUP_PART = 500
 #: Node pairs held at once while walking an index.
-WALK = 1 << 18
+WALK = 1 << 14
 
 
 def fingerprints(data: bytes, shingle: int, sketch: list | None = None) -> int:
