@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import cut, stored
 
 WEIGHTS = (1, 2, 3)
 MOST = 3.0
@@ -130,6 +130,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     """doc_id, source, hash (of the text), size, source_size, target, rate and copies of every row."""
     stratum = ["skey", "size"]
     rows = docs.select("doc_id", "source", source_key(F.col("source")).alias("skey"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"))
+    rows = stored(rows, "sizes")  # texts are read once
     strata = cut(rows.groupBy(*stratum).agg(F.count(F.lit(1)).alias("n")))
     totals = strata.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     solved = cut(quotas(balance(strata, cut(targets(totals, weights, most)), most), most).withColumnRenamed("copies", "quota"))
