@@ -1,18 +1,24 @@
 """Language-model scoring: a hierarchical Pitman-Yor model of words.
 
-A token's restaurant is that of its context, the last byte of the token before it
-(or the start of the text); all context restaurants share one parent, the unigram
-restaurant, whose base is uniform over the V training words and one unknown word.
-Seating is sampled by Gibbs sweeps: the number of tables that a word has in a
-restaurant is drawn from its full conditional (generalised Stirling numbers); past
-EXACT customers they are seated one after another. Sampled table counts are averaged
-over sweeps, and the averaged predictive probabilities score the texts.
+A token's restaurant is that of its context, the word before it (or the start of the
+text); all context restaurants share one parent, the unigram restaurant, whose base is
+uniform over the V training words and one unknown word. Seating is sampled by Gibbs
+sweeps over the whole corpus: in each, the number of tables of every word in every
+context is drawn from its full conditional (see seating.py) given the last sweep's
+tables of its context and the parent's probability, both summed over all of the
+corpus. Pairs that occur once have one table in every seating and are not drawn again.
+Seatings are averaged over sweeps after BURN, and a token's probability takes the mean
+number of its pair's tables given those averages.
 
 How it runs: documents are dealt into buckets of about BUCKET_BYTES by hash. A bucket
-sends each of its distinct (word, context) pairs, with training counts, to the shard
-of the word's hash; a shard holds all there is about its words, samples their seating
-and answers every bucket; a bucket then scores its texts. Sums per context (257 rows)
-are all that passes through the driver. Words are known by their 64-bit XXH64.
+sends its distinct (context, word) pairs, with training counts, to the pair shard of
+the context (past SPREAD shards, of the context and a part of the word, so that a very
+frequent context is spread); shards sum them, answer every bucket, and send sums by
+word to word shards. A sweep is one exchange: word shards seat the parent and tell the
+pair shards what they need of their words; these draw tables and send back the sums.
+Only six sums in all pass through the driver. Draws depend on the words and the sweep
+alone, so the scores do not depend on how many buckets and shards there are. Words are
+known by their 64-bit XXH64.
 Defined cases: a null text is empty and has one token, the end; a null doc_id counts
 as the empty text for the split; repeated rows each count and score; without training
 documents every token is the unknown word; an empty table gives an empty result;
@@ -22,201 +28,293 @@ other columns are dropped.
 from __future__ import annotations
 
 import math
+import struct
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .seating import mean_tables, sample_tables
 from .shared import remainder, stored, texts
 
 #: Size of a bucket of texts; a small corpus still gets LEAST_BUCKETS, so that its work spreads over many tasks.
 BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 48
-BUCKETS_EACH_SHARD, LEAST_SHARDS = 4, 16
-CONTEXTS = 257
-START = 256
+BUCKETS_EACH_SHARD, LEAST_SHARDS, SPREAD = 2, 16, 32
+START = b""  # no word is empty
 END = b"\n"  # no word holds a line break
 THETA, THETA_ROOT = 5.0, 20.0
-BURN, SWEEPS = 3, 4
-EXACT = 40
+BURN, SWEEPS = 1, 3
+MESSAGE = "kind string, dst int, src int, data binary, sums array<long>"
 
 
-def read_bucket(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """The bucket's tokens: first token of each text (and the end), word hash, context and pair of each, and whether it trains.
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes; those of 4 bytes an item are compressed."""
+    parts = []
+    for a in arrays:
+        raw = zlib.compress(a.tobytes(), 1) if a.dtype.itemsize == 4 else a.tobytes()
+        parts += [struct.pack("<cI", a.dtype.char.encode(), len(raw)), raw]
+    return b"".join(parts)
 
-    Returns starts, pair of each token, training weight of each token, and the pairs'
-    hashes and contexts, sorted by hash, then context.
-    """
-    from xxhash import xxh64_intdigest
-
-    seen: dict[bytes, int] = {}
-    ids, lengths = [], []
-    for text in rows["text"]:
-        words = text.encode().lower().split()
-        words.append(END)
-        ids.append(np.fromiter([seen.setdefault(w, len(seen)) for w in words], dtype=np.int64, count=len(words)))
-        lengths.append(len(words))
-    ids = np.concatenate(ids)
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    hashes = np.fromiter(map(xxh64_intdigest, seen), dtype=np.uint64, count=len(seen))
-    last = np.fromiter([w[-1] for w in seen], dtype=np.int64, count=len(seen))
-    context = np.empty(len(ids), dtype=np.int64)
-    context[1:] = last[ids[:-1]]
-    context[starts[:-1]] = START
-    rank = np.empty(len(seen), dtype=np.int64)
-    rank[np.argsort(hashes)] = np.arange(len(seen))
-    pairs, at = np.unique(rank[ids] * CONTEXTS + context, return_inverse=True)
-    train = np.repeat(rows["train"].to_numpy(dtype=bool), lengths)
-    return starts, at, train, np.sort(hashes)[pairs // CONTEXTS], pairs % CONTEXTS
-
-
-@lru_cache(maxsize=64)
-def log_stirling(d: float) -> np.ndarray:
-    """log S(c, t), generalised Stirling numbers for discount d, for c and t up to EXACT."""
-    out = np.full((EXACT + 1, EXACT + 2), -np.inf)
-    out[0, 0] = 0.0
-    with np.errstate(divide="ignore"):
-        for c in range(EXACT):
-            t = np.arange(EXACT + 2)
-            old = out[c] + np.log(np.maximum(c - d * t, 0))
-            out[c + 1, 1:] = np.logaddexp(out[c, :-1], old[1:])
-    return out[:, : EXACT + 1]
-
-
-def sample_tables(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of words with c customers, where a new table has weight x against k - d * t."""
-    t = np.minimum(c, 1)
-    table = log_stirling(round(d, 4))
-    few = np.minimum(c, EXACT)
-    order = np.argsort(few, kind="stable")
-    bounds = np.searchsorted(few[order], np.arange(EXACT + 2))
-    for n in range(2, EXACT + 1):
-        rows = order[bounds[n] : bounds[n + 1]]
-        if len(rows):
-            w = table[n, 1 : n + 1] + np.log(x[rows])[:, None] * np.arange(1, n + 1)
-            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-            t[rows] = 1 + (w < rng.random((len(rows), 1)) * w[:, -1:]).sum(axis=1)
-    # more customers: jump to the next one that opens a table (the chance that none does before k falls as a power of k)
-    rows = np.flatnonzero(c > EXACT)
-    k = np.full(len(rows), float(EXACT))
-    while len(rows):
-        taken = d * t[rows]
-        k = np.ceil(taken + (k - taken) * np.exp(np.minimum(-np.log(1.0 - rng.random(len(rows))) / x[rows], 30.0)))
-        open_ = k <= c[rows]
-        rows, k = rows[open_], k[open_]
-        t[rows] += 1
-        k = np.maximum(k, d * t[rows] + 1e-3)
-    return t
-
-
-def discount(counts: np.ndarray) -> float:
-    """n1 / (n1 + 2 n2), within reason."""
-    one, two = int((counts == 1).sum()), int((counts == 2).sum())
-    return float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
-
-
-def seat(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, share: int, seed: int) -> dict[str, np.ndarray]:
-    """Gibbs-sample one shard. word, context, count: its pairs; share: number of shards, to guess whole sums from this one's."""
-    rng = np.random.default_rng(seed)
-    d1 = discount(count)
-    tables = np.minimum(count, 1)
-    in_root = np.bincount(word, tables, n_words).astype(np.int64)
-    d0 = discount(in_root)
-    root_tables = np.minimum(in_root, 1)
-    vocabulary = int((np.bincount(word, count, n_words) > 0).sum())
-    mean = {"tables": np.zeros(len(word)), "in_root": np.zeros(n_words), "root_tables": np.zeros(n_words)}
-    base = 1.0 / (vocabulary * share + 1)
-    for sweep in range(BURN + SWEEPS):
-        new_root = THETA_ROOT + d0 * share * root_tables.sum()
-        root = (in_root - d0 * root_tables + new_root * base) / (THETA_ROOT + share * in_root.sum())
-        every = THETA + d1 * share * np.bincount(context, tables, CONTEXTS)
-        tables = sample_tables(count, every[context] * root[word], d1, rng)
-        in_root = np.bincount(word, tables, n_words).astype(np.int64)
-        root_tables = sample_tables(in_root, np.full(n_words, new_root * base), d0, rng)
-        if sweep >= BURN:
-            for name, now in (("tables", tables), ("in_root", in_root), ("root_tables", root_tables)):
-                mean[name] += now / SWEEPS
-    return {
-        "own": count - d1 * mean["tables"], "parent": mean["in_root"] - d0 * mean["root_tables"],
-        "customers": np.bincount(context, count, CONTEXTS), "discounts": d1 * np.bincount(context, mean["tables"], CONTEXTS),
-        "root": np.array([mean["in_root"].sum(), d0 * mean["root_tables"].sum(), vocabulary, count.sum()]),
-    }
-
-
-def score(docs: DataFrame, train: str = "train", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        char, n = struct.unpack_from("<cI", data, at)
+        raw = data[at + 5 : at + 5 + n]
+        kind = np.dtype(char.decode())
+        out.append(np.frombuffer(zlib.decompress(raw) if kind.itemsize == 4 else raw, dtype=kind))
+        at += 5 + n
+    return out
+
+
+def messages(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["kind", "dst", "src", "data", "sums"])
+
+
+def cuts(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n groups begins in sorted keys, and the end."""
+    return np.searchsorted(keys, np.arange(n + 1))
+
+
+def joined(parts: list[np.ndarray], kind: str) -> np.ndarray:
+    return np.concatenate([*parts, np.zeros(0, dtype=kind)])
+
+
+class Bucket:
+    """The tokens of a bucket: words in the order of their shards, pairs likewise, and the pair of each token."""
+
+    def __init__(self, rows: pd.DataFrame, shards: int):
+        from xxhash import xxh64_intdigest
+
+        seen: dict[bytes, int] = {START: 0}
+        ids, lengths = [], []
+        for text in rows["text"]:
+            words = text.encode().lower().split()
+            words.append(END)
+            ids.append(np.fromiter([seen.setdefault(w, len(seen)) for w in words], dtype=np.int64, count=len(words)))
+            lengths.append(len(words))
+        ids = np.concatenate(ids)
+        self.starts = np.concatenate([[0], np.cumsum(lengths)])
+        hashes = np.fromiter(map(xxh64_intdigest, seen), dtype=np.uint64, count=len(seen))
+        context = np.empty(len(ids), dtype=np.int64)
+        context[1:] = ids[:-1]
+        context[self.starts[:-1]] = 0
+        shard = (hashes % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((hashes, shard))
+        rank = np.empty(len(seen), dtype=np.int64)
+        rank[order] = np.arange(len(seen))
+        self.words, self.word_cuts = hashes[order], cuts(shard[order], shards)
+        self.start, self.end = int(rank[0]), int(rank[seen[END]]) if END in seen else 0
+        pairs, at = np.unique(rank[context] * len(seen) + rank[ids], return_inverse=True)
+        u, w = pairs // len(seen), pairs % len(seen)
+        shard = pair_shard(self.words[u], self.words[w], shards)
+        order = np.argsort(shard, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.u, self.w, self.at, self.pair_cuts = u[order], w[order], place[at], cuts(shard[order], shards)
+        train = np.repeat(rows["train"].to_numpy(dtype=bool), lengths)
+        self.count = np.bincount(self.at[train], minlength=len(order)).astype(np.uint32)
+
+    def asks(self, bucket: int, shards: int) -> list[tuple]:
+        rows = []
+        for s in np.flatnonzero(np.diff(self.pair_cuts)).tolist():
+            part = slice(self.pair_cuts[s], self.pair_cuts[s + 1])
+            u = self.u[part]
+            first = np.flatnonzero(np.diff(u, prepend=-1))
+            runs = np.diff(np.append(first, len(u))).astype(np.uint32)
+            rows.append(("asks", s, bucket, pack(self.words[u[first]], runs, self.words[self.w[part]], self.count[part]), None))
+        for s in np.flatnonzero(np.diff(self.word_cuts)).tolist():
+            rows.append(("asks", shards + s, bucket, pack(self.words[self.word_cuts[s] : self.word_cuts[s + 1]]), None))
+        return rows
+
+
+def pair_shard(u: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each pair: that of its context, moved by a part of the word that grows with the number of shards."""
+    ways = np.uint64(-(-shards // SPREAD))
+    return ((u // np.uint64(shards) + (w // np.uint64(shards)) % ways * np.uint64(0x9E3779B1)) % np.uint64(shards)).astype(np.int64)
+
+
+def count_pairs(f: pd.DataFrame, shards: int) -> list[tuple]:
+    """Sum one shard's pairs: counts to the buckets, sums to the words' shards, and the pairs that occur more than once."""
+    f = f.sort_values("src")
+    shard = int(f["dst"].iloc[0])
+    if shard >= shards:  # words that buckets ask for wait until the seating is done
+        return [("asks", shard - shards, int(b), d, None) for b, d in zip(f["src"], f["data"], strict=True)]
+    got = [unpack(d) for d in f["data"]]
+    sizes = [len(g[2]) for g in got]
+    contexts, u = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    u = np.repeat(u, np.concatenate([g[1] for g in got]))
+    seen, w = np.unique(np.concatenate([g[2] for g in got]), return_inverse=True)
+    pairs, at = np.unique(u * len(seen) + w, return_inverse=True)
+    total = np.bincount(at, np.concatenate([g[3] for g in got]), len(pairs)).astype(np.int64)
+    rows, upto = [], 0
+    for b, n in zip(f["src"].tolist(), sizes, strict=True):
+        rows.append(("counts", b, shard, pack(total[at[upto : upto + n]].astype(np.uint32)), None))
+        upto += n
+    del at, u, w, got
+    pairs, total = pairs[total > 0], total[total > 0]
+    u, w = contexts[pairs // max(len(seen), 1)], seen[pairs % max(len(seen), 1)]
+    words = np.union1d(u, w)
+    place = (words % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((words, place))
+    rank = np.empty(len(words), dtype=np.int64)
+    rank[order] = np.arange(len(words))
+    u, w = rank[np.searchsorted(words, u)], rank[np.searchsorted(words, w)]
+    words, edges = words[order], cuts(place[order], shards)
+    sums = [np.bincount(u, minlength=len(words)), np.bincount(w, minlength=len(words)), np.bincount(w, total, len(words))]
+    again = total > 1
+    needed = np.zeros(len(words), dtype=bool)
+    needed[u[again]] = needed[w[again]] = True
+    for s in np.flatnonzero(np.diff(edges)).tolist():
+        part = slice(edges[s], edges[s + 1])
+        rows.append(("words", s, shard, pack(words[part], *[x[part].astype(np.uint32) for x in sums], needed[part]), None))
+    rank = np.cumsum(needed) - 1
+    rows.append(("pairs", shard, -1, pack(words[needed], *[x.astype(np.uint32) for x in (rank[u[again]], rank[w[again]], total[again])]), None))
+    rows.append(("sums", shard, shard, b"", [int((total == 1).sum()), int((total == 2).sum())]))
+    return rows
+
+
+class Words:
+    """A word shard: sums over its pair shards' messages of followers, contexts and occurrences of each word."""
+
+    def __init__(self, f: pd.DataFrame):
+        f = f[f["kind"] == "words"].sort_values("src")
+        self.src = f["src"].tolist()
+        got = [unpack(d) for d in f["data"]]
+        self.words, at = np.unique(joined([g[0] for g in got], "u8"), return_inverse=True)
+        self.followers, self.contexts, self.times = (np.bincount(at, joined([g[k] for g in got], "u4"), len(self.words)).astype(np.int64) for k in (1, 2, 3))
+        ends = np.cumsum([0, *[len(g[0]) for g in got]])
+        #: for each pair shard, the words of the pairs that it seats
+        self.needed = [at[lo:hi][g[4]] for lo, hi, g in zip(ends[:-1], ends[1:], got, strict=True)]
+
+    def further(self, f: pd.DataFrame, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tables beyond the first of each pair, by context and by word, in one sweep."""
+        of = dict(zip(self.src, self.needed, strict=True))
+        by_context, by_word = np.zeros(len(self.words), dtype=np.int64), np.zeros(len(self.words), dtype=np.int64)
+        for src, data in f.loc[f["kind"] == f"tables{sweep}", ["src", "data"]].itertuples(index=False):
+            one, two = unpack(data)
+            by_context[of[src]] += one
+            by_word[of[src]] += two
+        return by_context, by_word
+
+    def seat(self, f: pd.DataFrame, sweep: int, d: float, new: float) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Tables of each context and the parent's discounted customers of each word, with the sums of customers and tables. new: weight of a new table in the parent."""
+        by_context, by_word = self.further(f, sweep - 1) if sweep else (0, 0)
+        customers = self.contexts + by_word
+        tables = sample_tables(customers, np.full(len(customers), new), d, self.words, 1_000 + sweep)
+        return self.followers + by_context, customers - d * tables, [int(customers.sum()), int(tables.sum())]
+
+
+def discount(one: int, two: int) -> float:
+    """n1 / (n1 + 2 n2), within reason; four digits, as tables of numbers are kept for each."""
+    return round(min(max(one / max(one + 2 * two, 1), 0.1), 0.95), 4)
+
+
+def score(docs: DataFrame, train: str = "train", bucket_bytes: int = BUCKET_BYTES, least: tuple[int, int] = (LEAST_BUCKETS, LEAST_SHARDS)) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     docs: doc_id, text (null: empty) and a boolean column that says which rows train.
     """
     docs = texts(docs, F.col(train).alias("train"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, math.ceil(size / bucket_bytes))
-    shards = max(LEAST_SHARDS, math.ceil(buckets / BUCKETS_EACH_SHARD))
+    buckets = max(least[0], math.ceil(size / bucket_bytes))
+    shards = max(least[1], math.ceil(buckets / BUCKETS_EACH_SHARD))
     dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def ask(f: pd.DataFrame) -> pd.DataFrame:
-        _, at, trains, hashes, contexts = read_bucket(f)
-        count = np.bincount(at[trains], minlength=len(hashes))
-        shard = (hashes % np.uint64(shards)).astype(np.int64)
-        rows = []
-        for s in range(shards):
-            mine = shard == s
-            if mine.any():
-                rows.append((int(f["bucket"].iloc[0]), s, hashes[mine].tobytes() + count[mine].astype("<u4").tobytes() + contexts[mine].astype("<u2").tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "shard", "pairs"])
-
-    def answer(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("bucket")
-        sizes = [len(p) // 14 for p in f["pairs"]]
-        read = lambda lo, hi, kind: np.concatenate([np.frombuffer(p[lo * n : hi * n], dtype=kind) for p, n in zip(f["pairs"], sizes, strict=True)])
-        hashes, count, context = read(0, 8, "<u8"), read(8, 12, "<u4").astype(np.int64), read(12, 14, "<u2").astype(np.int64)
-        words, word = np.unique(hashes, return_inverse=True)
-        pairs, at = np.unique(word * CONTEXTS + context, return_inverse=True)
-        total = np.bincount(at, count, len(pairs)).astype(np.int64)
-        shard = int(f["shard"].iloc[0])
-        got = seat(pairs // CONTEXTS, pairs % CONTEXTS, total, len(words), shards, shard + 1)
-        unigram = np.bincount(word, count, len(words)).astype("<u4")
-        rows, upto = [], 0
-        for bucket, n in zip(f["bucket"], sizes, strict=True):
-            p, w = at[upto : upto + n], word[upto : upto + n]
-            upto += n
-            data = unigram[w].tobytes() + got["own"][p].astype("<f4").tobytes() + got["parent"][w].astype("<f4").tobytes()
-            rows.append((int(bucket), shard, zlib.compress(data, 1), -1, 0.0, 0.0, 0, 0))
-        rows += [(-1, shard, b"", c, float(got["customers"][c]), float(got["discounts"][c]), 0, 0) for c in range(CONTEXTS) if got["customers"][c]]
-        rows.append((-1, shard, b"", -1, float(got["root"][0]), float(got["root"][1]), int(got["root"][2]), int(got["root"][3])))
-        return pd.DataFrame(rows, columns=["bucket", "shard", "answers", "context", "customers", "discounts", "words", "tokens"])
-
-    asked = dealt.groupBy("bucket").applyInPandas(ask, "bucket int, shard int, pairs binary")
-    answers = asked.groupBy("shard").applyInPandas(answer, "bucket int, shard int, answers binary, context int, customers double, discounts double, words long, tokens long")
-    answers = stored(answers, "pitman-yor")
-    sums = answers.where("bucket = -1").groupBy("context").agg(*[F.sum(c).alias(c) for c in ("customers", "discounts", "words", "tokens")]).collect()  # CONTEXTS + 1 rows at most
-    by = {r.context: r for r in sums}
-    root = by.pop(-1, None)
-    n_words, n_tokens = (root.words, root.tokens) if root else (0, 0)
-    of = lambda name: np.array([getattr(by[c], name) if c in by else 0.0 for c in range(CONTEXTS)])
-    customers, discounts = of("customers"), of("discounts")
-    root_sums = (root.customers, root.discounts) if root else (0.0, 0.0)
+        return messages(Bucket(f, shards).asks(int(f["bucket"].iloc[0]), shards))
+
+    asked = dealt.groupBy("bucket").applyInPandas(ask, MESSAGE)
+    counted = stored(asked.groupBy("dst").applyInPandas(lambda f: messages(count_pairs(f, shards)), MESSAGE), "pitman-yor", "kind")
+    kind = lambda name: counted.where(F.col("kind") == name)
+    sums = lambda df, n: [x or 0 for x in df.where("kind = 'sums'").agg(*[F.sum(F.col("sums")[i]) for i in range(n)]).first()]
+    d1 = discount(*sums(counted, 2))
+
+    def measure(f: pd.DataFrame) -> pd.DataFrame:
+        w = Words(f)
+        known = w.contexts > 0
+        return messages([("sums", -1, -1, b"", [int(known.sum()), int(w.times.sum()), int((w.contexts == 1).sum()), int((w.contexts == 2).sum())])])
+
+    n_words, n_tokens, one, two = sums(kind("words").groupBy("dst").applyInPandas(measure, MESSAGE), 4)
+    d0, base = discount(one, two), 1.0 / (n_words + 1)
+    told, seated = kind("words"), []  # seated: sums of the parent's customers and tables, sweep by sweep
+    for sweep in range(BURN + SWEEPS):
+        new = (THETA_ROOT + d0 * (seated[-1][1] if seated else n_words)) * base
+
+        def tell(f: pd.DataFrame) -> pd.DataFrame:  # run before the loop goes on
+            w, dst = Words(f), int(f["dst"].iloc[0])
+            tables, own, both = w.seat(f, sweep, d0, new)  # noqa: B023
+            rows = [("parent", s, dst, pack(tables[at].astype(np.uint32), own[at].astype(np.float32)), None) for s, at in zip(w.src, w.needed, strict=True)]
+            return messages([*rows, ("sums", -1, dst, b"", both)])
+
+        replies = stored(told.groupBy("dst").applyInPandas(tell, MESSAGE), "pitman-yor-parent", "kind")
+        seated.append((*sums(replies, 2), new))
+        customers, lower = seated[-1][0], (THETA_ROOT + d0 * seated[-1][1]) * base
+
+        def draw(f: pd.DataFrame) -> pd.DataFrame:
+            own = f[f["kind"] == "pairs"]
+            if own.empty:
+                return messages([])
+            words, u, w, c = unpack(own["data"].iloc[0])
+            got = [unpack(d) for d in f[f["kind"] == "parent"].sort_values("src")["data"]]
+            of_context, parent = joined([g[0] for g in got], "u4"), joined([g[1] for g in got], "f4").astype(np.float64)
+            u, w, c = u.astype(np.int64), w.astype(np.int64), c.astype(np.int64)
+            x = (THETA + d1 * of_context[u]) * (parent[w] + lower) / (THETA_ROOT + customers)
+            t = sample_tables(c, x, d1, words[u] * np.uint64(0x9E3779B97F4A7C15) + words[w], sweep) - 1
+            one, two = (np.bincount(k, t, len(words)).astype(np.uint32) for k in (u, w))
+            edges, src = cuts((words % np.uint64(shards)).astype(np.int64), shards), int(own["dst"].iloc[0])
+            return messages([(f"tables{sweep}", s, src, pack(one[edges[s] : edges[s + 1]], two[edges[s] : edges[s + 1]]), None) for s in np.flatnonzero(np.diff(edges)).tolist()])
+
+        drawn = kind("pairs").unionByName(replies.where("kind = 'parent'"), allowMissingColumns=True)
+        drawn = stored(drawn.groupBy("dst").applyInPandas(draw, MESSAGE), "pitman-yor-tables")
+        told = kind("words").unionByName(drawn) if sweep < BURN else told.unionByName(drawn)
+
+    kept = range(BURN + 1, BURN + SWEEPS + 1)  # sweep k reads the tables drawn in sweep k - 1
+    weights = [*[s[2] for s in seated[BURN + 1 :]], (THETA_ROOT + d0 * seated[-1][1]) * base]
+
+    def conclude(f: pd.DataFrame) -> pd.DataFrame:
+        w, dst = Words(f), int(f["dst"].iloc[0])
+        tables, own, both = np.zeros(len(w.words)), np.zeros(len(w.words)), np.zeros(2)
+        for sweep, new in zip(kept, weights, strict=True):
+            for total, x in zip((tables, own, both), w.seat(f, sweep, d0, new), strict=True):
+                total += np.array(x) / SWEEPS
+        rows = [("sums", -1, dst, b"", np.rint(both * SWEEPS).astype(int).tolist())]
+        for bucket, data in f.loc[f["kind"] == "asks", ["src", "data"]].itertuples(index=False):
+            words = unpack(data)[0]
+            at = np.minimum(np.searchsorted(w.words, words), max(len(w.words) - 1, 0))
+            hit = w.words[at] == words if len(w.words) else np.zeros(len(words), dtype=bool)
+            take = lambda x, dtype: (np.where(hit, x[at], 0) if len(x) else np.zeros(len(hit))).astype(dtype)  # noqa: B023, E731
+            rows.append(("answers", bucket, dst, pack(take(w.times, np.uint32), take(tables, np.float32), take(own, np.float32)), None))
+        return messages(rows)
+
+    answers = stored(told.unionByName(kind("asks")).groupBy("dst").applyInPandas(conclude, MESSAGE), "pitman-yor-words", "kind")
+    customers, tables = (x / SWEEPS for x in sums(answers, 2))
 
     def give(f: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        starts, at, _, hashes, contexts = read_bucket(f)
-        shard = (hashes % np.uint64(shards)).astype(np.int64)
-        unigram, own, parent = np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes)), np.zeros(len(hashes))
-        for s, data in zip(got["shard"], got["answers"], strict=True):
-            mine, data = shard == s, zlib.decompress(data)
-            n = len(data) // 12
-            for into, lo, kind in ((unigram, 0, "<u4"), (own, 4, "<f4"), (parent, 8, "<f4")):
-                into[mine] = np.frombuffer(data[lo * n : (lo + 4) * n], dtype=kind)
-        lower = (parent + (THETA_ROOT + root_sums[1]) / (n_words + 1)) / (THETA_ROOT + root_sums[0])
-        prob = (own + (THETA + discounts[contexts]) * lower) / (THETA + customers[contexts])
-        base = np.log10((unigram + 1) / (n_tokens + (n_words + 1)))
-        add = lambda v: np.add.reduceat(v[at], starts[:-1])
-        return pd.DataFrame({"doc_id": f["doc_id"], "train": f["train"], "n_tokens": np.diff(starts), "n_known": add((unigram > 0).astype(np.int64)), "train_tokens": n_tokens, "base_score": add(base), "score": add(np.log10(prob))})
-
-    mine = answers.where("bucket >= 0").select("bucket", "shard", "answers")
-    return dealt.groupBy("bucket").cogroup(mine.groupBy("bucket")).applyInPandas(give, f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        b = Bucket(f, shards)
+        got = got.sort_values("src")
+        read = lambda name: [unpack(d) for d in got.loc[got["kind"] == name, "data"]]
+        counts, words = np.concatenate([g[0] for g in read("counts")]).astype(np.int64), read("answers")
+        times, of_context, parent = (np.concatenate([g[k] for g in words]).astype(np.float64) for k in range(3))
+        lower = (parent + (THETA_ROOT + d0 * tables) * base) / (THETA_ROOT + customers)
+        x = (THETA + d1 * of_context[b.u]) * lower[b.w]
+        seats = times.copy()  # every occurrence of a word is the context of one token
+        seats[b.start] = times[b.end]
+        prob = (counts - d1 * mean_tables(counts, x, d1) + x) / (THETA + seats[b.u])
+        add = lambda v: np.add.reduceat(v[b.at], b.starts[:-1])
+        known = times[b.w]
+        return pd.DataFrame(
+            {
+                "doc_id": f["doc_id"], "train": f["train"], "n_tokens": np.diff(b.starts), "n_known": add((known > 0).astype(np.int64)), "train_tokens": n_tokens,
+                "base_score": add(np.log10((known + 1) / (n_tokens + (n_words + 1)))), "score": add(np.log10(prob)),
+            }
+        )
+
+    mine = kind("counts").unionByName(answers.where("kind = 'answers'")).select("dst", "kind", "src", "data")
+    return dealt.groupBy("bucket").cogroup(mine.groupBy("dst")).applyInPandas(give, f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,31 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ringdata.sources.tables import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine) the warehouse holds one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return sc.getCheckpointDir()
+__all__ = ["cut", "shared_dir", "stored"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df as a Parquet table in the shared folder, in parts by some columns if asked, and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

@@ -1,32 +1,121 @@
 import math
+import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ringdata.llm import pitman_yor as p
+from ringdata.llm import seating
 
 
-def test_stirling_and_sampling():
-    d, x, c = 0.5, 1.7, 4
-    # all seatings of four customers, by weight
-    weight = Counter({1: 1.0})
-    for k in range(1, c):
-        nxt = Counter()
-        for t, w in weight.items():
-            nxt[t] += w * (k - d * t)
-            nxt[t + 1] += w
-        weight = nxt
-    table = p.log_stirling(d)
-    for t, w in weight.items():
-        assert math.isclose(math.exp(table[c, t]), w, rel_tol=1e-9)
-    total = sum(w * x**t for t, w in weight.items())
-    got = p.sample_tables(np.full(40_000, c), np.full(40_000, x), d, np.random.default_rng(0))
-    for t, w in weight.items():
-        assert abs((got == t).mean() - w * x**t / total) < 0.015
-    many = p.sample_tables(np.array([1, 0, 5_000, 10**7]), np.array([0.5, 0.5, 3.0, 3.0]), 0.3, np.random.default_rng(1))
-    assert many[0] == 1 and many[1] == 0 and 1 <= many[2] <= 5_000 and many[2] < many[3] < 10**6
+def exact(c, x, d):
+    """Mean and variance of p(t) ~ S(c, t) x^t by the whole recurrence."""
+    t, row = np.arange(c + 2), np.full(c + 2, -np.inf)
+    row[0] = 0.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for k in range(c):
+            new = row + np.log(np.maximum(k - d * t, 0))
+            new[1:] = np.logaddexp(new[1:], row[:-1])
+            new[0] = -np.inf
+            row = new
+    w = np.exp(row + t * math.log(x) - (row + t * math.log(x)).max())
+    mean = (w * t).sum() / w.sum()
+    return mean, (w * t * t).sum() / w.sum() - mean * mean
+
+
+@pytest.mark.parametrize(("c", "x", "d"), [(2, 0.3, 0.5), (9, 1.7, 0.5), (40, 2.0, 0.6), (41, 2.0, 0.6), (80, 2.0, 0.6), (400, 20.0, 0.8), (400, 0.01, 0.8), (2_000, 5.0, 0.8), (10_000, 3.0, 0.8), (10_000, 1_200.0, 0.8)])
+def test_tables_against_the_whole_distribution(c, x, d):
+    mean, var = exact(c, x, d)
+    n = 20_000
+    got = seating.sample_tables(np.full(n, c), np.full(n, x), d, np.arange(n, dtype=np.uint64) * np.uint64(7919), 3)
+    assert abs(seating.mean_tables(np.array([c]), np.array([x]), d)[0] - mean) < 0.004 * mean
+    assert abs(got.mean() - mean) < 0.005 * mean + 4 * math.sqrt(var / n)
+    assert abs(got.var() - var) < 0.08 * var + 0.02
+    assert got.min() >= 1 and got.max() <= c
+
+
+def test_few_customers_and_hashed_numbers():
+    got = seating.sample_tables(np.array([0, 1, 10**9]), np.array([0.5, 0.5, 3.0]), 0.3, np.arange(3, dtype=np.uint64), 1)
+    assert got[0] == 0 and got[1] == 1 and 1 <= got[2] < 10**6
+    u = seating.uniform(np.arange(100_000, dtype=np.uint64), 7)
+    assert 0 < u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.005
+
+
+def brute_scores(train, asked, d0, d1, sweeps=60, burn=20):
+    """log10 of averaged predictive probabilities, by seating one customer after another."""
+    rng = random.Random(5)
+    tok = lambda t: [b"", *t.encode().lower().split(), b"\n"]
+    vocabulary = {w for t in train for w in tok(t)[1:]}
+    base = 1 / (len(vocabulary) + 1)
+    tables = defaultdict(list)  # (context, word) -> customers of each table; the parent's context is None
+    total, count = defaultdict(int), defaultdict(int)  # tables, customers of each context
+
+    def prob(u, w):
+        lower, theta, d = (base, p.THETA_ROOT, d0) if u is None else (prob(None, w), p.THETA, d1)
+        own = tables.get((u, w), ())
+        return (sum(own) - d * len(own) + (theta + d * total[u]) * lower) / (theta + count[u])
+
+    def seat(u, w):
+        lower, theta, d = (base, p.THETA_ROOT, d0) if u is None else (prob(None, w), p.THETA, d1)
+        own = tables[u, w]
+        k = rng.choices(range(len(own) + 1), [n - d for n in own] + [(theta + d * total[u]) * lower])[0]
+        count[u] += 1
+        if k < len(own):
+            own[k] += 1
+            return
+        own.append(1)
+        total[u] += 1
+        if u is not None:
+            seat(None, w)
+
+    def leave(u, w):
+        own = tables[u, w]
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        count[u] -= 1
+        if not own[k]:
+            del own[k]
+            total[u] -= 1
+            if u is not None:
+                leave(None, w)
+
+    pairs = [x for t in train for x in zip(tok(t), tok(t)[1:], strict=False)]
+    for u, w in pairs:
+        seat(u, w)
+    mean = [defaultdict(float) for _ in asked]
+    for sweep in range(sweeps):
+        rng.shuffle(pairs)
+        for u, w in pairs:
+            leave(u, w)
+            seat(u, w)
+        if sweep >= burn:
+            for t, m in zip(asked, mean, strict=True):
+                for k, (u, w) in enumerate(zip(tok(t), tok(t)[1:], strict=False)):
+                    m[k] += prob(u, w) / (sweeps - burn)
+    return [sum(map(math.log10, m.values())) for m in mean]
+
+
+def test_scores_against_one_customer_after_another(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    make = lambda: " ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=rng.randint(1, 25)))
+    train, asked = [make() for _ in range(90)], [*[make() for _ in range(20)], "", "unknown", "w0 unknown w1", "w3 w3 w3"]
+    rows = [(i, t, True) for i, t in enumerate(train)] + [(1_000 + i, t, False) for i, t in enumerate(asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {r.doc_id: r for r in p.score(docs, least=(3, 2)).collect()}
+    tok = lambda t: [b"", *t.encode().split(), b"\n"]
+    pairs = Counter(x for t in train for x in zip(tok(t), tok(t)[1:], strict=False))
+    contexts = Counter(w for _, w in pairs)
+    of = lambda counts: p.discount(sum(v == 1 for v in counts.values()), sum(v == 2 for v in counts.values()))
+    want = brute_scores(train, asked, of(contexts), of(pairs))
+    for i, (t, w) in enumerate(zip(asked, want, strict=True)):
+        assert abs(got[1_000 + i].score - w) < 0.03 * len(tok(t)), t
+    assert abs(sum(got[1_000 + i].score for i in range(20)) / sum(want[:20]) - 1) < 0.01
+    other = {r.doc_id: r.score for r in p.score(docs, least=(7, 5)).collect()}
+    assert all(math.isclose(other[i], r.score, rel_tol=1e-9) for i, r in got.items())  # buckets and shards do not matter
 
 
 def brute_base(rows):
@@ -44,26 +133,31 @@ def check(spark, rows, tmp):
     return got
 
 
-def test_base_and_model(spark, tmp_path, monkeypatch):
+def test_base_and_model(spark, tmp_path):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     rows += [(10_000, None), (10_001, ""), (10_001, ""), (None, "ABC é  x"), (10_002, "new " * 50_000)]
     one = check(spark, rows, tmp_path / "a")
-    monkeypatch.setattr(p, "BUCKET_BYTES", 40_000)
-    many = p.score(spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", p.remainder(F.col("doc_id"), 7) != 2), bucket_bytes=40_000).collect()
-    assert sorted((str(r.doc_id), round(r.base_score, 6), round(r.score, 3)) for r in many) == sorted((str(r.doc_id), round(r.base_score, 6), round(r.score, 3)) for r in one)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"train": p.remainder(F.col("doc_id"), 7) != 2, "bucket": F.lit(1), "kind": F.lit("x")})
+    many = p.score(docs, bucket_bytes=40_000, least=(2, 70)).collect()
+    assert sorted((str(r.doc_id), round(r.base_score, 6), round(r.score, 6)) for r in many) == sorted((str(r.doc_id), round(r.base_score, 6), round(r.score, 6)) for r in one)
     assert all(r.score <= 1e-9 for r in one)
     held = [r for r in one if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_few_and_no_rows(spark, tmp_path):
     check(spark, [(1, "only one")], tmp_path / "b")
-    assert p.score(spark.createDataFrame([], "doc_id long, text string, train boolean")).count() == 0
+    nothing = spark.createDataFrame([(1, "a b", False)], "doc_id long, text string, train boolean")
+    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in p.score(nothing, least=(2, 2)).collect()] == [(3, 0, 0)]
+    assert p.score(nothing.limit(0), least=(2, 2)).count() == 0
 
 
 def test_probabilities_sum_to_one(spark):
     words = ["a", "b", "c", "dd", "ee"]
     rows = [(i, " ".join(words[(i * k) % 5] for k in range(1, 9)), True) for i in range(40)]
-    asked = [(1000 + i, w, False) for i, w in enumerate([*words, "unknown", ""])]
-    got = {r.doc_id: r.score for r in p.score(spark.createDataFrame(rows + asked, "doc_id long, text string, train boolean")).collect()}
-    # two tokens each: the word after the start, then the end after the word's last byte
-    ends = {r: 10.0 ** got[1000 + i] for i, r in enumerate([*words, "unknown", ""])}
-    # P(word | start) * P(end | word) <= P(word | start); the sum over all texts of up to one word stays below one
-    assert 0 < sum(ends.values()) < 1
+    asked = ["", *words, "unknown", *[f"{a} {b}" for a in [*words, "unknown"] for b in [*words, "unknown"]]]
+    rows += [(1_000 + i, t, False) for i, t in enumerate(asked)]
+    got = {r.doc_id: 10.0**r.score for r in p.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), least=(2, 2)).collect()}
+    # the texts of up to one word: P(end | start) + sum of P(w | start) P(end | w); those of two words add to it, and all stay below one
+    chance = dict(zip(asked, [got[1_000 + i] for i in range(len(asked))], strict=True))
+    assert 0 < sum(chance.values()) < 1
