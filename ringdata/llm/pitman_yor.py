@@ -50,22 +50,32 @@ MESSAGE = "kind string, dst int, src int, data binary, sums array<long>"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes; those of 4 bytes an item are compressed."""
+    """Arrays as bytes. Those of 4 bytes an item are compressed; those of 8, sorted hashes, are kept as differences, whose three highest bytes compress well."""
     parts = []
     for a in arrays:
-        raw = zlib.compress(a.tobytes(), 1) if a.dtype.itemsize == 4 else a.tobytes()
-        parts += [struct.pack("<cI", a.dtype.char.encode(), len(raw)), raw]
+        raw = a.tobytes()
+        if a.dtype.itemsize == 4:
+            raw = zlib.compress(raw, 1)
+        elif a.dtype.itemsize == 8:
+            bytes_of = np.diff(a, prepend=a.dtype.type(0)).view(np.uint8).reshape(-1, 8).T
+            raw = bytes_of[:5].tobytes() + zlib.compress(bytes_of[5:].tobytes(), 1)
+        parts += [struct.pack("<cII", a.dtype.char.encode(), len(a), len(raw)), raw]
     return b"".join(parts)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(data):
-        char, n = struct.unpack_from("<cI", data, at)
-        raw = data[at + 5 : at + 5 + n]
+        char, items, n = struct.unpack_from("<cII", data, at)
+        raw = data[at + 9 : at + 9 + n]
         kind = np.dtype(char.decode())
-        out.append(np.frombuffer(zlib.decompress(raw) if kind.itemsize == 4 else raw, dtype=kind))
-        at += 5 + n
+        if kind.itemsize == 4:
+            raw = zlib.decompress(raw)
+        elif kind.itemsize == 8:
+            planes = np.frombuffer(raw[: 5 * items] + zlib.decompress(raw[5 * items :]), dtype=np.uint8).reshape(8, items)
+            raw = np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind).tobytes()
+        out.append(np.frombuffer(raw, dtype=kind))
+        at += 9 + n
     return out
 
 
@@ -121,10 +131,14 @@ class Bucket:
         rows = []
         for s in np.flatnonzero(np.diff(self.pair_cuts)).tolist():
             part = slice(self.pair_cuts[s], self.pair_cuts[s + 1])
-            u = self.u[part]
+            u, w = self.u[part], self.w[part]
             first = np.flatnonzero(np.diff(u, prepend=-1))
             runs = np.diff(np.append(first, len(u))).astype(np.uint32)
-            rows.append(("asks", s, bucket, pack(self.words[u[first]], runs, self.words[self.w[part]], self.count[part]), None))
+            local, at = np.unique(np.concatenate([u[first], w]), return_inverse=True)
+            order = np.argsort(self.words[local])
+            rank = np.empty(len(local), dtype=np.uint16 if len(local) < 1 << 16 else np.uint32)
+            rank[order] = np.arange(len(local))
+            rows.append(("asks", s, bucket, pack(self.words[local[order]], rank[at[: len(first)]], runs, rank[at[len(first) :]], self.count[part]), None))
         for s in np.flatnonzero(np.diff(self.word_cuts)).tolist():
             rows.append(("asks", shards + s, bucket, pack(self.words[self.word_cuts[s] : self.word_cuts[s + 1]]), None))
         return rows
@@ -143,19 +157,20 @@ def count_pairs(f: pd.DataFrame, shards: int) -> list[tuple]:
     if shard >= shards:  # words that buckets ask for wait until the seating is done
         return [("asks", shard - shards, int(b), d, None) for b, d in zip(f["src"], f["data"], strict=True)]
     got = [unpack(d) for d in f["data"]]
-    sizes = [len(g[2]) for g in got]
-    contexts, u = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-    u = np.repeat(u, np.concatenate([g[1] for g in got]))
-    seen, w = np.unique(np.concatenate([g[2] for g in got]), return_inverse=True)
+    sizes = [len(g[3]) for g in got]
+    seen, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    first = np.repeat(np.cumsum([0, *[len(g[0]) for g in got]])[:-1], [len(g[1]) for g in got])
+    u = np.repeat(at[first + np.concatenate([g[1] for g in got])], np.concatenate([g[2] for g in got]))
+    w = at[np.repeat(np.cumsum([0, *[len(g[0]) for g in got]])[:-1], sizes) + np.concatenate([g[3] for g in got])]
     pairs, at = np.unique(u * len(seen) + w, return_inverse=True)
-    total = np.bincount(at, np.concatenate([g[3] for g in got]), len(pairs)).astype(np.int64)
+    total = np.bincount(at, np.concatenate([g[4] for g in got]), len(pairs)).astype(np.int64)
     rows, upto = [], 0
     for b, n in zip(f["src"].tolist(), sizes, strict=True):
         rows.append(("counts", b, shard, pack(total[at[upto : upto + n]].astype(np.uint32)), None))
         upto += n
     del at, u, w, got
     pairs, total = pairs[total > 0], total[total > 0]
-    u, w = contexts[pairs // max(len(seen), 1)], seen[pairs % max(len(seen), 1)]
+    u, w = seen[pairs // len(seen)], seen[pairs % len(seen)]
     words = np.union1d(u, w)
     place = (words % np.uint64(shards)).astype(np.int64)
     order = np.lexsort((words, place))
@@ -227,8 +242,9 @@ def score(docs: DataFrame, train: str = "train", bucket_bytes: int = BUCKET_BYTE
     def ask(f: pd.DataFrame) -> pd.DataFrame:
         return messages(Bucket(f, shards).asks(int(f["bucket"].iloc[0]), shards))
 
-    asked = dealt.groupBy("bucket").applyInPandas(ask, MESSAGE)
-    counted = stored(asked.groupBy("dst").applyInPandas(lambda f: messages(count_pairs(f, shards)), MESSAGE), "pitman-yor", "kind")
+    by = lambda df, n, key="dst": df.repartitionById(n, F.col(key)).groupBy(key)  # noqa: E731  (each group is a task)
+    asked = by(dealt, buckets, "bucket").applyInPandas(ask, MESSAGE)
+    counted = stored(by(asked, 2 * shards).applyInPandas(lambda f: messages(count_pairs(f, shards)), MESSAGE), "pitman-yor", "kind")
     kind = lambda name: counted.where(F.col("kind") == name)
     sums = lambda df, n: [x or 0 for x in df.where("kind = 'sums'").agg(*[F.sum(F.col("sums")[i]) for i in range(n)]).first()]
     d1 = discount(*sums(counted, 2))
@@ -238,7 +254,7 @@ def score(docs: DataFrame, train: str = "train", bucket_bytes: int = BUCKET_BYTE
         known = w.contexts > 0
         return messages([("sums", -1, -1, b"", [int(known.sum()), int(w.times.sum()), int((w.contexts == 1).sum()), int((w.contexts == 2).sum())])])
 
-    n_words, n_tokens, one, two = sums(kind("words").groupBy("dst").applyInPandas(measure, MESSAGE), 4)
+    n_words, n_tokens, one, two = sums(by(kind("words"), shards).applyInPandas(measure, MESSAGE), 4)
     d0, base = discount(one, two), 1.0 / (n_words + 1)
     told, seated = kind("words"), []  # seated: sums of the parent's customers and tables, sweep by sweep
     for sweep in range(BURN + SWEEPS):
@@ -250,7 +266,7 @@ def score(docs: DataFrame, train: str = "train", bucket_bytes: int = BUCKET_BYTE
             rows = [("parent", s, dst, pack(tables[at].astype(np.uint32), own[at].astype(np.float32)), None) for s, at in zip(w.src, w.needed, strict=True)]
             return messages([*rows, ("sums", -1, dst, b"", both)])
 
-        replies = stored(told.groupBy("dst").applyInPandas(tell, MESSAGE), "pitman-yor-parent", "kind")
+        replies = stored(by(told, shards).applyInPandas(tell, MESSAGE), "pitman-yor-parent", "kind")
         seated.append((*sums(replies, 2), new))
         customers, lower = seated[-1][0], (THETA_ROOT + d0 * seated[-1][1]) * base
 
@@ -269,7 +285,7 @@ def score(docs: DataFrame, train: str = "train", bucket_bytes: int = BUCKET_BYTE
             return messages([(f"tables{sweep}", s, src, pack(one[edges[s] : edges[s + 1]], two[edges[s] : edges[s + 1]]), None) for s in np.flatnonzero(np.diff(edges)).tolist()])
 
         drawn = kind("pairs").unionByName(replies.where("kind = 'parent'"), allowMissingColumns=True)
-        drawn = stored(drawn.groupBy("dst").applyInPandas(draw, MESSAGE), "pitman-yor-tables")
+        drawn = stored(by(drawn, shards).applyInPandas(draw, MESSAGE), "pitman-yor-tables")
         told = kind("words").unionByName(drawn) if sweep < BURN else told.unionByName(drawn)
 
     kept = range(BURN + 1, BURN + SWEEPS + 1)  # sweep k reads the tables drawn in sweep k - 1
@@ -290,7 +306,7 @@ def score(docs: DataFrame, train: str = "train", bucket_bytes: int = BUCKET_BYTE
             rows.append(("answers", bucket, dst, pack(take(w.times, np.uint32), take(tables, np.float32), take(own, np.float32)), None))
         return messages(rows)
 
-    answers = stored(told.unionByName(kind("asks")).groupBy("dst").applyInPandas(conclude, MESSAGE), "pitman-yor-words", "kind")
+    answers = stored(by(told.unionByName(kind("asks")), shards).applyInPandas(conclude, MESSAGE), "pitman-yor-words", "kind")
     customers, tables = (x / SWEEPS for x in sums(answers, 2))
 
     def give(f: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
@@ -314,7 +330,7 @@ def score(docs: DataFrame, train: str = "train", bucket_bytes: int = BUCKET_BYTE
         )
 
     mine = kind("counts").unionByName(answers.where("kind = 'answers'")).select("dst", "kind", "src", "data")
-    return dealt.groupBy("bucket").cogroup(mine.groupBy("dst")).applyInPandas(give, f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by(dealt, buckets, "bucket").cogroup(by(mine, buckets)).applyInPandas(give, f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
