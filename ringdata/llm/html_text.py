@@ -2,12 +2,16 @@
 
 A page becomes a tree of block elements and links; markup inside a line (b, span, br)
 is part of its block. For every node: characters per tag, adjusted by the share of
-link characters and link tags; a node's density sum is that of its child blocks. What
-never is main text (scripts, forms, navigation, and elements whose class, id or role
-names an advert, a notice, a menu or reader comments) counts towards the densities
-around it but is neither chosen nor returned. The node of the largest sum is the
-article; the least density on its path to the body is the threshold that siblings
-along the path must reach to be part of it.
+link characters and link tags; a node's density sum is that of its child blocks. The
+node of the largest sum is the article; the least density on its path to the body is
+the threshold that siblings along the path must reach to be part of it.
+Elements that by their name, class, id or role are navigation, forms, adverts, notices
+or reader comments are marked: they count towards the densities around them but are
+left out of sums and text. A mark must leave a text to choose from: an element that,
+outside of links and of other marks, holds a sentence and a multiple of all that is
+outside of marks (LIFT for each mark on its path: ten times for what may frame a page,
+such as a form, header or sidebar) loses its mark, until none does, and densities
+choose within.
 Defined cases: a null or empty page, or one without text, gives an empty text; markup
 that is cut off or badly nested is closed where the next block starts; repeated rows
 are extracted alike; an empty table gives an empty result; other columns are dropped.
@@ -30,12 +34,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose content is text up to their own end tag, and never main text.
 RAW = frozenset("script style textarea title noscript iframe template svg math noembed noframes object select".split())
-#: Elements that never hold main text.
+#: Elements marked by their name, and those of them that may frame a whole page.
 DROPPED = frozenset("head nav header footer aside form button menu dialog label input option fieldset search".split()) | RAW
-#: Words of class, id or role of such elements.
+FRAMES = frozenset("header aside form fieldset".split())
+#: Words of class, id or role that mark an element, and those of them that may name a frame. A name counts whole or by its first or last part ("site-footer", "ad-slot").
 DROPPED_WORDS = frozenset(
     "ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disqus footer header hidden masthead menu modal nav navbar navigation newsletter notice pagination popup promo promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+FRAME_WORDS = frozenset("ad ads advert alert banner header masthead modal notice popup promo promotion sidebar signup social sponsored subscribe toolbar widget".split())
+#: First parts of names that tell of something else on the page ("has-sidebar", "no-ads").
+ABOUT = frozenset("has have with without no not is hide show js".split())
+#: Characters outside links that make a sentence.
+SENTENCE = 60
+#: How many times the unmarked text an element of each mark must hold to lose it.
+LIFT = {1: 10, 2: 50}
 #: A start tag closes open elements of these names, up to the nearest container.
 CLOSES = {
     "li": ("li", frozenset(["ul", "ol", "menu"])), "dd": ("dd dt", frozenset(["dl"])), "dt": ("dd dt", frozenset(["dl"])), "option": ("option", frozenset(["select"])),
@@ -47,27 +59,69 @@ MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(
 
 
 class Node:
-    __slots__ = ("name", "parent", "items", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    """mark: 0 none, 1 a frame's, 2 any other's."""
 
-    def __init__(self, name: str, parent: Node | None, dropped: bool):
-        self.name, self.parent, self.dropped = name, parent, dropped
+    __slots__ = ("name", "parent", "items", "mark", "dropped", "own", "chars", "tags", "link_chars", "link_tags", "density", "total")
+
+    def __init__(self, name: str, parent: Node | None, mark: int = 0):
+        self.name, self.parent, self.mark, self.dropped = name, parent, mark, False
         self.items: list[str | Node] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.own = self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def marked_as_dropped(attributes: str) -> bool:
+def mark_of(name: str, attributes: str) -> int:
+    mark = 0 if name not in DROPPED else 1 if name in FRAMES else 2
     for m in MARKS.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if name in ("class", "id", "role") and not DROPPED_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+        kind, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "style" and re.search(r"display\s*:\s*none", value)):
+            return 2
+        if kind in ("class", "id", "role"):
+            for token in value.split():
+                parts = re.split(r"[^a-z0-9]+", token)
+                if parts[0] not in ABOUT:
+                    for word in DROPPED_WORDS.intersection((parts[0], parts[-1])):
+                        mark = max(mark, 1 if word in FRAME_WORDS else 2)
+    return mark
+
+
+def walk(root: Node) -> list[Node]:
+    """All nodes, children before parents."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [x for x in node.items if isinstance(x, Node)]
+    return order[::-1]
+
+
+def settle_marks(root: Node) -> None:
+    """Lift marks until a text is left to choose from, and pass those that stay down the tree."""
+    order = walk(root)
+
+    def marked() -> list[tuple[int, Node]]:
+        """The marked nodes, each with the product of LIFT over the marks on its path; fills in each node's text outside of links and of marked nodes below it."""
+        for node in order:
+            node.own = 0 if node.name == "a" else sum(len(x.strip()) if isinstance(x, str) else 0 if x.mark else x.own for x in node.items)
+        lift, found = {id(None): 1}, []
+        for node in reversed(order):
+            lift[id(node)] = LIFT.get(node.mark, 1) * lift[id(node.parent)]
+            if node.mark:
+                found.append((lift[id(node)], node))
+        return found
+
+    while found := marked():
+        lift, best = max(found, key=lambda x: x[1].own / x[0])
+        if best.own < SENTENCE or root.own * lift > best.own:
+            break
+        while best is not None:
+            best.mark, best = 0, best.parent
+    for node in reversed(order):
+        node.dropped = bool(node.mark) or (node.parent is not None and node.parent.dropped)
 
 
 def parse(page: str) -> Node:
-    root = Node("body", None, False)
+    root = Node("body", None)
     at, node, n = 0, root, len(page)
 
     def text(upto: int) -> None:
@@ -97,7 +151,7 @@ def parse(page: str) -> Node:
                 node = up.parent
             continue
         if name == "br" or name == "hr":
-            node.items.append(" " if name == "br" else Node("hr", node, node.dropped))
+            node.items.append(" " if name == "br" else Node("hr", node))
             continue
         if name in VOID:
             continue
@@ -114,7 +168,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up.name in closed.split():
                 node = up.parent
-        child = Node(name, node, node.dropped or name in DROPPED or marked_as_dropped(m[3]))
+        child = Node(name, node, mark_of(name, m[3]))
         node.items.append(child)
         node = child if not m[3].endswith("/") or name in BLOCKS else node
     return root
@@ -122,12 +176,7 @@ def parse(page: str) -> Node:
 
 def measure(root: Node) -> list[Node]:
     """Fill in counts and densities; the nodes, children before parents."""
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack += [x for x in node.items if isinstance(x, Node)]
-    order.reverse()
+    order = walk(root)
     for node in order:
         for x in node.items:
             if isinstance(x, Node):
@@ -183,6 +232,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    settle_marks(root)
     order = measure(root)
     best = max((x for x in reversed(order) if not x.dropped), key=lambda x: x.total)
     if not best.total:

@@ -1,4 +1,6 @@
 import html
+import math
+import random
 import re
 import time
 
@@ -21,6 +23,64 @@ def test_small_pages(page, want):
     assert h.main_text(page) == want
 
 
+ARTICLE = [f"Sentence number {i} of the article, which has some words in it." for i in range(6)]
+WRAPPERS = ['<div class="has-sidebar">', '<div class="page-header-fixed">', '<div id="main" class="with-comments">', '<form id="aspnetForm">', '<div class="post no-ads">', '<header>', '<div class="widget">', '<div class="sidebar"><form>', '<div class="navigation">']
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_no_mark_empties_a_page(wrapper):
+    body = "".join(f"<p>{x}</p>" for x in ARTICLE)
+    comments = "<div class=comments>" + "<p>I think that this is wrong, and say it at some length.</p>" * 9 + "</div>"
+    ends = "".join(f"</{x}>" for x in re.findall(r"<(\w+)", wrapper)[::-1])
+    page = f"<body><nav><a href=/>Home</a> <a href=/n>News</a></nav>{wrapper}{body}{comments}{ends}<footer>Some rights reserved</footer>"
+    assert h.main_text(page) == "\n".join(ARTICLE)
+    assert h.main_text(f"<body><div>{body}</div>{comments * 9}") == "\n".join(ARTICLE)
+
+
+def test_densities_against_brute_force():
+    r = random.Random(6)
+
+    def grow(depth):
+        """A random tree as (name, children), where a child is a text or a tree."""
+        kids = [" ".join("w" * r.randint(1, 9) for _ in range(r.randint(1, 12))) if depth == 0 or r.random() < 0.4 else grow(depth - 1) for _ in range(r.randint(0, 4))]
+        return (r.choice(["div", "div", "section", "a", "ul"]) if depth else "p", kids)
+
+    def write(t):
+        return t if isinstance(t, str) else f"<{t[0]}>" + " ".join(map(write, t[1])) + f"</{t[0]}>"
+
+    def counts(t):
+        """Characters, tags below, characters in links, links below."""
+        if isinstance(t, str):
+            return len(t), 0, 0, 0
+        below = [(counts(k), k) for k in t[1]]
+        c, tags, lc, lt = (sum(x[i] for x, _ in below) for i in range(4))
+        trees = [k for _, k in below if not isinstance(k, str)]
+        return c, tags + len(trees), c if t[0] == "a" else lc, lt + sum(k[0] == "a" for k in trees)
+
+    def density(t, share):
+        c, tags, lc, lt = counts(t)
+        tags = max(tags, 1)
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        return c / tags * math.log(max(c / max(lc, 1) * tags / max(lt, 1), 1 + 1e-9), max(base, 1 + 1e-9))
+
+    def total(t, share):
+        """Sum of the densities of child blocks; what is inside a link or other inline element counts as its parent's."""
+        return sum(total(k, share) if k[0] == "a" else density(k, share) for k in t[1] if not isinstance(k, str))
+
+    def trees(t):
+        return [t, *[x for k in t[1] if not isinstance(k, str) for x in trees(k)]]
+
+    for _ in range(150):
+        tree = ("body", [grow(4)])
+        c, _, lc, _ = counts(tree)
+        want = sorted((x[0], round(density(x, lc / max(c, 1)), 9), round(total(x, lc / max(c, 1)), 9)) for x in trees(tree))
+        root = h.parse("<body>" + write(tree[1][0]))
+        h.settle_marks(root)
+        assert sorted((n.name, round(n.density, 9), round(n.total, 9)) for n in h.measure(root)) == want
+
+
 def test_long_odd_pages_stay_linear():
     began = time.time()
     for page in ("<a '" * 50_000, "<" * 200_000, "<!--" * 50_000, "<p x=\"" * 50_000, "<b>" * 50_000, "&" * 100_000):
