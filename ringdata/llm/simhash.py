@@ -1,16 +1,19 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
 Fingerprints: 64 bits over the XXH64 hashes (seed 42) of word shingles, repeats
-included. Links: two fingerprints that differ in at most `bits` bits. The 64 bits
-are cut into `bands`; two such fingerprints agree on at least bands - bits of them,
-so distinct fingerprints are dealt by every choice of that many bands, and each
-bucket is indexed on its own: sorted by Gray rank, so that neighbours differ in few
-bits; groups of eight, then of groups, become nodes that keep the bit pattern
-all members share and a mask of it; node pairs are walked top-down, and a pair is
-dropped when the shared patterns already differ in too many bits, or when all its
-members are known to be linked. What leaves a bucket are spanning links.
+included. Links: two fingerprints that differ in at most `bits` bits. The index: its
+top level deals the distinct fingerprints by the values of some bands (the 64 bits are
+cut into `bands`; two fingerprints within the limit agree on at least bands - bits of
+them, and each goes to a bucket for every choice of that many; the number of bands
+grows with the table so that a bucket holds about BUCKET). Below, rows are sorted by
+bucket and Gray rank, so that neighbours differ in few bits; groups of eight, then of
+groups, become nodes that keep the bit pattern all members share and a mask of it.
+Node pairs are walked top-down, and a pair is dropped when the shared patterns already
+differ in too many bits, when no bucket has members in both, or when all its members
+are known to be linked. What leaves are spanning links.
 Equal texts have one fingerprint, so copies never meet as pairs. A bucket above
-max(HOT_ROWS, 1 / HOT_SHARE of all fingerprints) is split into pairs of blocks.
+max(HOT_ROWS, 1 / HOT_SHARE of all fingerprints) is dealt once more by HOT_BANDS of its
+bits; what is still above is split into pairs of blocks.
 Defined cases: a null text is empty; a text without words has fingerprint zero,
 linked like any other; fewer words than a shingle count as one shingle; a null
 doc_id is kept and joins its component; repeated rows each get their row; an empty
@@ -29,28 +32,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored, texts
+from .shared import HOT_SHARE, hot_keys, join_skewed, stored, texts
 
 SEED = 42
 BITS = 4
-BANDS = 6
 FANOUT = 8
+#: Fingerprints of a bucket, as far as the number of bands can see to it; bands that agree when a hot bucket is dealt again.
+BUCKET, AGAIN = 512, 4
 #: A bucket is hot above HOT_ROWS fingerprints and above a share of 1 / HOT_SHARE, so at most HOT_SHARE * C(bands, bits) buckets are.
-HOT_ROWS, HOT_SHARE = 4_000, 20_000
-#: Least shingle hashes kept of a text, and how alike a document must be to the one that stays to go.
-SKETCH, ALIKE = 64, 0.5
-GROUP_PART = 500
+HOT_ROWS = 4_000
 #: Node pairs held at once while walking an index.
 WALK = 1 << 14
 
 
-def fingerprints(data: bytes, shingle: int, sketch: list | None = None) -> int:
-    """The fingerprint of one text in UTF-8; sketch, if given, gets its SKETCH least shingle hashes."""
+def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle of a text in UTF-8, repeats included."""
     from xxhash import xxh64_intdigest
 
     words = data.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -58,38 +59,28 @@ def fingerprints(data: bytes, shingle: int, sketch: list | None = None) -> int:
         starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    n = len(starts)
+    return np.fromiter((xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=np.uint64, count=len(starts))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
-    least = np.zeros(0, dtype=np.uint64)
-    for k in range(0, n, 65_536):
-        part = np.fromiter([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[k : k + 65_536].tolist(), ends[k : k + 65_536].tolist(), strict=True)], dtype=np.uint64)
-        if sketch is not None:
-            least = np.unique(np.concatenate([least, part]))[:SKETCH]
+    for k in range(0, len(hashes), 65_536):
+        part = np.ascontiguousarray(hashes[k : k + 65_536])
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    if sketch is not None:
-        sketch.append(least)
-    return int(sum(1 << b for b in range(64) if 2 * ones[b] > n))
+    return int(sum(1 << b for b in range(64) if 2 * ones[b] > len(hashes)))
 
 
-def add_fingerprint(docs: DataFrame, shingle: int = 4, sketch: bool = False) -> DataFrame:
-    """docs (with text) with `fp`, the fingerprint as a signed long, and if asked for `sketch`, instead of the text."""
+def add_fingerprint(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """docs (with text) with `fp`, the fingerprint as a signed long, instead of the text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            held: list[list] = [[] for _ in range(len(f))]
-            fp = np.array([fingerprints((t or "").encode(), shingle, h if sketch else None) for t, h in zip(f["text"], held, strict=True)], dtype=np.uint64).view(np.int64)
-            out = f.drop(columns="text").assign(fp=fp)
-            yield out.assign(sketch=[b"".join(x.tobytes() for x in h) for h in held]) if sketch else out
+            fp = np.array([fingerprint(shingle_hashes((t or "").encode(), shingle)) for t in f["text"]], dtype=np.uint64)
+            yield f.drop(columns="text").assign(fp=fp.view(np.int64))
 
     kept = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema if x.name != "text")
-    return docs.mapInPandas(run, f"{kept}, fp long" + ", sketch binary" * sketch)
-
-
-def alike(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets, estimated from their least hashes (1 for two empty sets)."""
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    union = np.union1d(x, y)[:SKETCH]
-    return float(np.isin(union, np.intersect1d(x, y)).mean()) if len(union) else 1.0
+    return docs.mapInPandas(run, f"{kept}, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -113,9 +104,13 @@ def index(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return levels
 
 
-def spanning_links(fp: np.ndarray, bits: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is connected at `bits` or fewer differing bits. side: with two blocks, which one holds each (all links count)."""
-    order = np.argsort(gray_rank(fp), kind="stable")
+def spanning_links(fp: np.ndarray, bits: int, bucket: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all that is connected, within each bucket, at `bits` or fewer differing bits.
+
+    bucket: numbers in ascending order; links between buckets may come too.
+    """
+    bucket = np.zeros(len(fp), dtype=np.int64) if bucket is None else bucket
+    order = np.lexsort((gray_rank(fp), bucket))
     fp = fp[order]
     n = len(fp)
     root = np.arange(n)
@@ -157,7 +152,9 @@ def spanning_links(fp: np.ndarray, bits: int, side: np.ndarray | None = None) ->
             stack += [(level, a[WALK:], b[WALK:]), (level, a[:WALK], b[:WALK])]
             continue
         pattern, mask = levels[level]
-        apart = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) > bits
+        width = FANOUT**level
+        strange = bucket[np.minimum(a * width + width, n) - 1] < bucket[b * width]
+        apart = strange | (np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) > bits)
         ca, cb = whole(level, a), whole(level, b)
         go = ~apart & ~((ca == cb) & (ca >= 0))
         a, b = a[go], b[go]
@@ -174,114 +171,74 @@ def spanning_links(fp: np.ndarray, bits: int, side: np.ndarray | None = None) ->
     return fp[root[tied]], fp[tied]
 
 
-def leaf_links(fp: np.ndarray, bucket: np.ndarray, small: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links inside buckets that are a single leaf group, many buckets at once."""
-    left, right = [], []
-    for k in range(1, FANOUT):
-        hit = np.flatnonzero(small[k:] & (bucket[k:] == bucket[:-k]) & (np.bitwise_count(fp[k:] ^ fp[:-k]) <= bits))
-        left.append(fp[hit])
-        right.append(fp[hit + k])
-    return np.concatenate(left), np.concatenate(right)
+def bands_for(n: int, bits: int) -> int:
+    """The least number of bands for which a bucket of n even fingerprints holds about BUCKET."""
+    bands = bits + 1
+    while n > BUCKET * 2 ** (64 * (bands - bits) / bands) and bands < bits + AGAIN:
+        bands += 1
+    return bands
 
 
-def near_links(fps: DataFrame, bits: int = BITS, bands: int = BANDS) -> DataFrame:
+def near_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """a, b: links that connect exactly the distinct fingerprints (column fp) connected at `bits` or fewer differing bits."""
-    edges = [round(64 * i / bands) for i in range(bands + 1)]
     n = max(1, fps.count())
     limit = max(HOT_ROWS, math.ceil(n / HOT_SHARE))
 
-    def keyed() -> Column:
+    def keyed(bands: int, *more: str) -> Column:
+        """The buckets of a fingerprint: which bands, and their bits, mixed to one number (a clash of two buckets only adds tests)."""
+        edges = [round(64 * i / bands) for i in range(bands + 1)]
         keys = []
         for t, chosen in enumerate(combinations(range(bands), bands - bits)):
             mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
             mask -= (mask >> 63) << 64
-            # the bucket: which bands, and their bits, mixed to one number (a clash of two buckets only adds tests)
-            keys.append(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(mask))))
-        return F.array(*keys)
-
-    rows = fps.select("fp", F.explode(keyed()).alias("bucket"))
-    hot = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-    # at most HOT_SHARE * C(bands, bits) rows of 16 bytes
-    rows = rows.join(F.broadcast(hot), "bucket", "left")
+            keys.append(F.xxhash64(*more, F.lit(t), F.col("fp").bitwiseAND(F.lit(mask))))
+        return F.explode(F.array(*keys)).alias("bucket")
+
+    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of other buckets and of hot ones, with n."""
+        # at most HOT_SHARE rows for each bucket of a fingerprint, of 16 bytes
+        hot = F.broadcast(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit))
+        marked = rows.join(hot, "bucket", "left")
+        return marked.where("n IS NULL").select("fp", "bucket"), marked.where("n IS NOT NULL")
+
+    rows, hot = parted(fps.select("fp", keyed(bands_for(n, bits))))
+    again, hot = parted(hot.select("fp", keyed(bits + AGAIN, "bucket")))
     blocks = F.ceil(F.col("n") * 2 / limit).cast("int")
     mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.xxhash64(F.col("bucket"), F.least(mine, other), F.greatest(mine, other)))
-    rows = rows.select("fp", F.explode(F.when(F.col("n").isNull(), F.array("bucket")).otherwise(pairs)).alias("bucket"))
+    rows = rows.unionByName(again).unionByName(hot.select("fp", F.explode(pairs).alias("bucket")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by bucket; a bucket is walked when its last row has come."""
+        """Rows come sorted by bucket; whole buckets are walked together, as many as came, and the last one waits for its other rows."""
         held = [np.zeros(0, dtype=np.int64)] * 2
-        for f in [*_with_end(frames)]:
-            if f is not None:
-                held = [np.concatenate([held[0], f["bucket"].to_numpy()]), np.concatenate([held[1], f["fp"].to_numpy()])]
-            bucket, fp = held
-            if not len(bucket):
-                continue
-            last = len(bucket) if f is None else int(np.searchsorted(bucket, bucket[-1]))
-            cuts = np.flatnonzero(np.diff(bucket[:last])) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [last]])
-            small = ends - starts <= FANOUT
-            out = [leaf_links(fp[:last].view(np.uint64), np.repeat(starts, ends - starts), np.repeat(small, ends - starts), bits)] if last else []
-            out += [spanning_links(fp[s:e].view(np.uint64), bits) for s, e in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True)] if last else []
-            held = [bucket[last:], fp[last:]]
-            if out:
-                yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]).view(np.int64), "b": np.concatenate([y for _, y in out]).view(np.int64)})
-
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
 
+        def walked(bucket: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+            a, b = spanning_links(fp.view(np.uint64), bits, np.cumsum(np.diff(bucket, prepend=bucket[:1]) != 0))
+            return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-def _with_end(frames):
-    yield from frames
-    yield None
-
+        for f in frames:
+            bucket, fp = (np.concatenate([h, f[c].to_numpy()]) for h, c in zip(held, ("bucket", "fp"), strict=True))
+            whole = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0
+            if whole:
+                yield walked(bucket[:whole], fp[:whole])
+            held = [bucket[whole:], fp[whole:]]
+        if len(held[0]):
+            yield walked(*held)
 
-def _named(rows: DataFrame, bits: int, bands: int) -> DataFrame:
-    """fp, component_id and class of every fingerprint in rows (doc_id, fp)."""
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    found = components(near_links(fps.select("fp"), bits, bands))
-    classes = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("class"))
-    ids = classes.groupBy("class").agg(F.min("first_id").alias("component_id"))
-    return classes.join(ids, "class").select("fp", "component_id", "class")
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInPandas(run, "a long, b long").where("a <> b").distinct()
 
 
-def group(docs: DataFrame, shingle: int = 4, bits: int = BITS, bands: int = BANDS) -> DataFrame:
+def group(docs: DataFrame, shingle: int = 4, bits: int = BITS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable through links, itself included)."""
+    n = F.count(F.lit(1)).alias("n")
     rows = stored(add_fingerprint(texts(docs), shingle), "simhash")
-    return rows.join(_named(rows, bits, bands), "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 6, bands: int = 8, least: float = ALIKE) -> DataFrame:
-    """docs without near-copies, all columns kept: of each group the row of the smallest doc_id (null last) stays.
-
-    A member whose shingles are not at least `least` alike to that row's (estimated
-    from SKETCH hashes) met its group by chance or over a long chain, and stays too.
-    Rows that repeat in doc_id and text count once.
-    """
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = stored(add_fingerprint(texts(docs).withColumn("key", key), shingle, sketch=True), "simhash")
-    rows = rows.groupBy("doc_id", "key", "fp", "sketch").agg(F.count(F.lit(1)).alias("times"))
-    named = stored(_named(rows, bits, bands).select("fp", "class"), "classes")
-    # a large group is compared with its first row in parts of about GROUP_PART members
-    parts = rows.join(named, "fp").groupBy("class").agg(F.ceil(F.count(F.lit(1)) / GROUP_PART).cast("int").alias("parts"))
-    members = rows.join(named.join(parts, "class"), "fp").withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")).cast("int"))
-    best = members.groupBy("class", "parts").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "sketch")).alias("best"))
-    best = best.select("class", "best", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.xxhash64("class", p))).alias("slot"))
-    pairs = members.withColumn("slot", F.xxhash64("class", "part")).join(best, ["slot", "class"]).select(
-        "doc_id", "key", "times", "sketch", F.col("best.sketch").alias("best_sketch"), (F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.key") == F.col("key"))).alias("first")
-    )
-
-    def unlike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            far = [alike(x, y) < least for x, y in zip(f["sketch"], f["best_sketch"], strict=True)]
-            yield f.loc[far, ["doc_id", "key", "times"]]
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    apart = pairs.where("NOT first").select("doc_id", "key", "times", "sketch", "best_sketch").mapInPandas(unlike, f"doc_id {kind}, key long, times long")
-    stay = pairs.where("first").select("doc_id", "key", "times").unionByName(apart).toDF("_id", "_key", "_times")
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]) & (key == stay["_key"]))
-    once, again = kept.where("_times = 1").select(docs["*"]), kept.where("_times > 1").select(docs["*"])
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), n), "fingerprints")
+    found = components(near_links(fps.select("fp"), bits))
+    classes = stored(fps.join(found, fps["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("class")), "classes")
+    ids = stored(classes.groupBy("class").agg(F.min("first_id").alias("component_id"), n), "ids")
+    named = join_skewed(classes.select("fp", "class"), ids.drop("n"), "class", hot_keys(ids, "class")).select("fp", "component_id")
+    return join_skewed(rows, named, "fp", hot_keys(fps, "fp")).select("doc_id", "fp", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

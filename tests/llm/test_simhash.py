@@ -77,14 +77,25 @@ def test_groups(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(simhash, "HOT_ROWS", hot)
         got = sorted((tuple(x) for x in simhash.op3_simhash(spark, str(tmp_path)).collect()), key=str)
         assert got == want
-    kept = simhash.keep_one(df, shingle=4, bits=4, bands=6, least=0.0).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(ids.values())
-    assert simhash.group(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
-
-
-def test_sketch():
-    a, b = [], []
-    simhash.fingerprints(" ".join(f"w{i}" for i in range(4_000)).encode(), 5, a)
-    simhash.fingerprints(" ".join(f"w{i}" for i in range(800, 4_800)).encode(), 5, b)
-    assert simhash.alike(a[0].tobytes(), a[0].tobytes()) == 1 and abs(simhash.alike(a[0].tobytes(), b[0].tobytes()) - 3_196 / 4_796) < 0.2
-    assert simhash.alike(b"", b"") == 1 and simhash.alike(b"", a[0].tobytes()) == 0
+    assert simhash.group(df.limit(0)).count() == 0
+
+
+def test_links_of_many_fingerprints(spark, monkeypatch):
+    """Every number of bands, hot buckets dealt again and blocks: the same components as brute force."""
+    r = random.Random(11)
+    centres = [r.getrandbits(64) for _ in range(150)]
+    # a hot bucket: many that agree on their low 40 bits
+    fps = list({flips(r, r.choice(centres), r.randrange(8)) for _ in range(700)} | {(r.getrandbits(24) << 40) | 12_345 for _ in range(300)})
+    want = brute_groups(fps)
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    for bucket, hot in ((512, 4_000), (1, 4_000), (512, 40), (1e-9, 30)):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+        at, root = {f: i for i, f in enumerate(fps)}, list(range(len(fps)))
+        for x in simhash.near_links(df).collect():
+            i, j = sorted(at[int(np.int64(v).view(np.uint64))] for v in (x.a, x.b))
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = [new if g == old else g for g in root]
+        assert [want.index(w) for w in want] == [root.index(g) for g in root]
+    monkeypatch.undo()
+    assert simhash.bands_for(10**3, 4) == 5 and simhash.bands_for(10**8, 4) == 6 and simhash.bands_for(10**12, 4) == 8
