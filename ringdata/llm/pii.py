@@ -4,7 +4,9 @@ Everything is Column expressions. A kind's matches are found twice by the same
 pattern: as strings (regexp_extract_all) and as the gaps between them (split);
 running lengths of both give code-point positions. Patterns are possessive and
 anchored at the start of a run or at the last match's end, which changes no match
-and keeps very long runs linear.
+and keeps very long runs linear. Context words are looked for in the match and in the
+CONTEXT_CHARS signs on either side of it (before it as far as the last but one match
+of its kind, behind it as far as the next).
 Defined cases: a null or empty text has no spans; repeated rows each get their
 row; an empty table gives an empty result; other columns are dropped.
 """
@@ -25,12 +27,16 @@ KINDS: dict[str, tuple[str, str, float, list[str]]] = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, ["phone", "tel", "call", "mobile"]),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.7, ["iban", "account", "bank"]),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", 0.3, ["ssn", "social security"]),
-    "secret": (r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])", r"[0-9a-fA-F]{32}", 0.3, ["token", "secret", "api_key", "apikey", "password"]),
+    "secret": (r"(?<![0-9A-Za-z+/_=-])[0-9A-Za-z+/_-]{20,128}={0,2}(?![0-9A-Za-z+/_=-])", r"[0-9A-Za-z+/_-]{20}", 0.3, ["token", "secret", "api_key", "apikey", "api key", "password", "passwd", "credential", "bearer"]),
+    # fixed values: prefixes of keys that services publish
+    "key": (r"(?<![0-9A-Za-z])(?:[spr]k_(?:live|test)_[0-9A-Za-z]{16,64}|gh[pousr]_[0-9A-Za-z]{36}|A(?:KIA|SIA)[0-9A-Z]{16}|xox[abprs]-[0-9A-Za-z-]{10,72}|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20})(?![0-9A-Za-z])", r"k_live_|k_test_|gh[pousr]_|A[KS]IA|xox|AIza|glpat-", 0.7, ["token", "secret", "key"]),
 }
 BASE = ["email", "ip", "card", "phone"]
 CONTEXT_CHARS = 32
 CONTEXT_BONUS = 0.3
 ACCEPT = 0.5
+#: Signs that differ in a run that may be a secret; hexadecimal runs have at most 16.
+DISTINCT = 10
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
@@ -75,25 +81,53 @@ def _valid(kind: str, hit: Column) -> Column:
         return F.length(_digits(hit)).between(8, 15)
     if kind == "iban":
         return mod97(hit)
+    if kind == "secret":  # words and numbers have few different signs, or no digits among them
+        return (F.size(F.array_distinct(F.split(hit, ""))) >= DISTINCT) & hit.rlike("[0-9][^0-9]*[0-9]") & hit.rlike("[A-Za-z]")
     return F.lit(True)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def scan(values: Column, op) -> Column:
+    """What op makes, from 0, of all values before each: exclusive running sums, or greatest values.
+
+    Two levels of folds over parts of sqrt(n) values: a single one would copy its
+    output at every step.
+    """
+    width = lambda v: F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+    parts = lambda v: F.transform(F.filter(F.sequence(F.lit(0), width(v)), lambda k: k * width(v) < F.size(v)), lambda k: F.slice(v, k * width(v) + 1, width(v)))
+    last = lambda o: F.element_at(o, -1)
+    run = lambda part, at: F.aggregate(part, F.array(at), lambda o, x: F.concat(o, F.array(op(last(o), x))))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, part: let(run(part, acc["at"]), lambda o: F.struct(last(o).alias("at"), F.concat(acc["out"], F.slice(o, F.lit(1), F.size(part))).alias("out")))
+    return let(values, lambda v: F.aggregate(parts(v), empty, step, lambda acc: acc["out"]))
+
+
 def _spans(kind: str, text: Column) -> Column:
     pattern, test, score, words = KINDS[kind]
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        low = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-        near = F.lower(F.substr(text, low + 1, end - low + CONTEXT_CHARS))
+
+    def rows(gaps: Column, hits: Column) -> Column:
+        """A match with the texts before and after it, and where the one before it begins."""
+        n = F.size(hits)
+        before = F.slice(gaps, F.lit(1), n)
+        lengths = F.zip_with(before, hits, lambda g, h: F.length(g) + F.length(h))
+        whole = F.zip_with(before, hits, lambda g, h: F.concat(g, h))
+        context = F.zip_with(F.slice(F.concat(F.array(F.lit("")), whole), F.lit(1), n), before, lambda w, g: F.right(F.concat(w, g), F.lit(CONTEXT_CHARS)))
+        return F.arrays_zip(hits.alias("hit"), before.alias("before"), context.alias("context"), F.slice(gaps, F.lit(2), n).alias("after"), scan(lengths, lambda a, x: a + x).alias("at"))
+
+    def span(r: Column) -> Column:
+        start = r["at"] + F.length(r["before"])
+        near = F.lower(F.concat(r["context"], r["hit"], F.left(r["after"], F.lit(CONTEXT_CHARS))))
         bonus = F.when(near.rlike("|".join(words)), CONTEXT_BONUS).otherwise(0.0)
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.least(F.lit(1.0), F.lit(score) + bonus).alias("score"))
-        kept = F.when(pair["hit"].isNotNull() & _valid(kind, pair["hit"]) & (span["score"] >= ACCEPT), F.array(span)).otherwise(F.array().cast(SPAN))
-        return F.struct(F.coalesce(end, start).alias("at"), F.concat(acc["out"], kept).alias("out"))
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(r["hit"])).alias("end"), F.least(F.lit(1.0), F.lit(score) + bonus).alias("score"))
 
-    found = F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), zero, step, lambda acc: acc["out"])
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    found = let(both, lambda s: F.transform(F.filter(rows(s["gaps"], s["hits"]), lambda r: _valid(kind, r["hit"])), span))
+    if score < ACCEPT:
+        found = F.filter(found, lambda s: s["score"] >= ACCEPT)
     possible = F.contains(text, F.lit(test)) if kind == "email" else text.rlike(test)
     return F.when(possible, found).otherwise(F.array().cast(SPAN))
 
@@ -102,21 +136,24 @@ def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFram
     """docs with the column `into`: an array of (kind, start, end, score) by kind as listed, then start."""
     empty = F.array().cast(SPAN)
     known = F.coalesce(F.col(text), F.lit(""))
-    # most texts hold neither a digit nor an at sign, and so nothing to propose
-    return docs.withColumn(into, F.when(known.rlike("[0-9@]|[a-fA-F]{32}"), F.concat(*[_spans(k, known) for k in KINDS])).otherwise(empty))
+    # a text without a digit or an at sign has nothing to propose
+    return docs.withColumn(into, F.when(known.rlike("[0-9@]"), F.concat(*[_spans(k, known) for k in KINDS])).otherwise(empty))
 
 
 def mask_pii(found: DataFrame, text: str = "text", spans_in: str = "pii") -> DataFrame:
     """The output of find_pii with every span replaced by its kind in brackets; spans that overlap become one."""
-    spans = F.array_sort(F.transform(spans_in, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        add = F.concat(F.substr(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], add)).otherwise(acc["out"]).alias("out"))
-
-    masked = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1)))
+    ordered = F.array_sort(F.transform(spans_in, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def pieces(signs: Column, spans: Column) -> Column:
+        # reach: the end of all spans before
+        rows = F.arrays_zip(spans.alias("span"), scan(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x)).alias("reach"))
+        cut = lambda lo, hi: F.array_join(F.slice(signs, lo + 1, F.greatest(hi - lo, F.lit(0))), "")
+        fresh = F.filter(rows, lambda r: r["span"]["start"] >= r["reach"])
+        parts = F.transform(fresh, lambda r: F.concat(cut(r["reach"], r["span"]["start"]), F.lit("["), F.upper(r["span"]["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), cut(F.array_max(F.transform(spans, lambda s: s["end"])), F.size(signs)))
+
+    signs = F.split(F.col(text), "")  # one sign each, so that a piece costs its length and not its place
+    masked = let(F.struct(signs.alias("signs"), ordered.alias("spans")), lambda s: pieces(s["signs"], s["spans"]))
     return found.withColumn(text, F.when(F.size(spans_in) > 0, masked).otherwise(F.col(text))).drop(spans_in)
 
 

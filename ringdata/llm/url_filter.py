@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import upper_to_lower
+from .shared import hot_keys, join_skewed, upper_to_lower
 
 #: (host, path, verdict)
 RULES = [
@@ -23,9 +23,11 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: Words of host labels that the method itself blocks where no rule fits.
+#: The method's own list, for urls that no rule fits: labels of a host, or parts of a label between hyphens.
 BLOCKED_WORDS = ["adult", "bet", "bets", "casino", "gambling", "jackpot", "malware", "nude", "phishing", "poker", "porn", "sex", "slots", "warez", "xxx"]
 PREFIX_HEX = 8
+#: Ranks of rules are above those of list entries, which are lengths of urls.
+RULE_RANK = 1 << 20
 #: Largest rule table (rows) that is broadcast; each row is under 1 kB, so 64 MB at most.
 BROADCAST_ROWS = 65_536
 
@@ -37,11 +39,19 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return upper_to_lower(part(1)), part(2)
 
 
-def rule_table(spark: SparkSession, rules=RULES, words=BLOCKED_WORDS) -> DataFrame:
-    """expr, rule (null for a word), verdict and rank (rules by length, words below all rules)."""
-    rows = [(f"{h}{p}", f"{h}{p}", v, len(h) + len(p), len(h.split(".")), len(p)) for h, p, v in rules]
-    rows += [(f"*{w}*", None, "block", 0, 0, 0) for w in words]
-    return spark.createDataFrame(rows, "expr string, rule string, verdict string, rank int, labels int, path_len int")
+def rule_table(spark: SparkSession, rules=RULES, words=BLOCKED_WORDS, listed: DataFrame | None = None) -> DataFrame:
+    """expr, rule (null for what is only listed), verdict and rank (rules by length; below all rules list entries by length, then words).
+
+    listed: entries (host, path, verdict) of a list of any size, in effect where no rule fits.
+    """
+    schema = "expr string, rule string, verdict string, rank int, labels int, path_len int"
+    rows = [(f"{h}{p}", f"{h}{p}", v, RULE_RANK + len(h) + len(p), len(h.split(".")), len(p)) for h, p, v in rules]
+    out = spark.createDataFrame(rows + [(f"*{w}*", None, "block", 0, 0, 0) for w in words], schema)
+    if listed is None:
+        return out
+    host, path = upper_to_lower(F.col("host")), F.coalesce("path", F.lit("/"))
+    entry = [F.concat(host, path), F.lit(None).cast("string"), F.col("verdict"), F.length("host") + F.length(path), F.size(F.split("host", r"\.")), F.length(path)]
+    return out.unionByName(listed.select(*[c.alias(f.name) for c, f in zip(entry, out.schema, strict=True)]))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -65,14 +75,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     digest = lambda c: F.sha2(c, 256)
     short = lambda c: F.substring(c, 1, PREFIX_HEX)
 
-    keys = urls.where("host <> ''").select("url", F.explode(F.array_union(both, words)).alias("expr")).select("url", digest(F.col("expr")).alias("digest"))
+    # each url is judged once, however many pages have it; urls without a host fit nothing
+    known = urls.where("host <> ''").groupBy("url", "host", "path").agg(F.count(F.lit(1)).alias("n"))
+    keys = known.select("url", F.explode(F.array_union(both, words)).alias("expr")).select("url", digest(F.col("expr")).alias("digest"))
     keys = keys.withColumn("prefix", short(F.col("digest")))
     listed = rules.select(digest(F.col("expr")).alias("rule_digest"), "rule", "verdict", "rank").withColumn("prefix", short(F.col("rule_digest")))
     if shape["n"] <= BROADCAST_ROWS:
         listed = F.broadcast(listed)
     met = keys.join(listed, "prefix").where(F.col("digest") == F.col("rule_digest"))
     best = met.groupBy("url").agg(F.max(F.struct("rank", "rule", "verdict")).alias("best"))
-    return urls.join(best, "url", "left").select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    judged = known.select("url").join(best, "url", "left")
+    found = join_skewed(urls.where("host <> ''"), judged, "url", hot_keys(known, "url"))
+    found = found.unionByName(urls.where("host = ''"), allowMissingColumns=True)
+    return found.select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

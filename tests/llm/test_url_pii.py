@@ -1,9 +1,10 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
-from ringdata.llm import pii, url_filter
+from ringdata.llm import pii, shared, url_filter
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -42,15 +43,51 @@ def test_pii_equals_brute_force(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, pii string").write.parquet(str(tmp_path / "documents.parquet"))
     got = pii.op1_pii(spark, str(tmp_path)).collect()
     assert len(got) == len(rows)
+    assert pii.op1_pii(spark, str(tmp_path)).where("doc_id < 0").count() == 0
     for r in got:
         text = "a@b.cd" if r.doc_id is None else TEXTS[r.doc_id] or ""
         want = brute(text)
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), (r, want)
         assert r.spans.startswith(want)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [want.count(f"{k}:") for k in PATTERNS]
     by = {r.doc_id: r.spans for r in got}
     assert by[9].count("iban") == 1 and by[10].count("secret") == 1 and by[10].count("ssn") == 2
 
 
+def test_many_matches(spark):
+    """Positions and masks of very many matches, in time that grows with their number."""
+    text = "é " + " ".join(f"u{i}@example.org 10.0.{i % 256}.7" for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    r = pii.find_pii(df).first()
+    assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.pii) == brute(text)
+    assert pii.mask_pii(pii.find_pii(df)).first().text == "é " + " ".join(["[EMAIL] [IP]"] * 20_000)
+    assert time.time() - began < 40
+    assert pii.mask_pii(pii.find_pii(df.limit(0))).count() == 0
+
+
+def test_secrets(spark):
+    # put together here, so that no line of this file looks like a key
+    yes = ["key AKIA" + "ABCDEFGHIJ234567", "use ghp_" + "a1B2" * 9, "password: Zm9vYmFyMTIzNDU2Nzg5cXdlcnR5", "sk_live_" + "4eC39HqLyjWDarjtT1zdp7dc"]
+    no = ["Zm9vYmFyMTIzNDU2Nzg5cXdlcnR5", "secret internationalisierungswoerter", "token 00000000000000000000000000000000", "AKIA"]
+    df = spark.createDataFrame(list(enumerate(yes + no)), "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in r.pii] for r in pii.find_pii(df).collect()}
+    assert all(any(k in ("key", "secret") for k in got[i]) for i in range(len(yes)))
+    assert not any(k in ("key", "secret") for i in range(len(yes), len(got)) for k in got[i])
+
+
+def test_list_entries_and_hot_urls(spark, monkeypatch):
+    monkeypatch.setattr(shared, "GROUP_PART", 5)
+    urls = ["http://a.listed.org/x/y"] * 50 + ["http://listed.org/z", "http://listed.org/x", "http://listed.com/x", None] + [""] * 30
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([("Listed.org", "/x", "block"), ("a.listed.org", None, "allow"), ("listed.org", "/x/y", "block"), ("listed.com", "/x", "block")], "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark, listed=listed)).collect()}
+    # the longest entry wins; a rule wins over every entry
+    assert len(got) == len(urls)
+    assert all(got[i] == (None, "block") for i in range(50)) and got[50] == (None, "allow") and got[51] == (None, "block") and got[52] == ("com/", "allow")
+    assert all(got[i] == (None, "allow") for i in range(53, len(urls)))
+
+
 def test_mask(spark):
     df = spark.createDataFrame([(1, "é mail a@b.cd or 1.2.3.4 end"), (2, "plain"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.mask_pii(pii.find_pii(df)).collect()}
