@@ -5,11 +5,14 @@ of the next `width` bytes. Responses are max-pooled over chunks of CHUNK bytes t
 overlap by half and cover the whole text; a hidden layer turns each chunk into a
 logit, and mean, largest and smallest logit are combined into one probability.
 It is fitted on the driver on at most SAMPLE_DOCS labelled documents (those of the
-least hash), WINDOWS windows of each; scoring reads every byte of every text.
+least hash), on every byte of each: filters on all chunks, where a document's chunks
+together weigh as much as another's, and the combiner on the same summaries of whole
+texts that scoring uses. Scoring reads every byte of every text.
 Defined cases: a null or empty text is one chunk of padding and gets a score; with
 labels of fewer than two kinds every score is the smoothed share of label 1 (0.5
 without labels); repeated rows score alike; an empty table gives an empty result;
-`add_score` keeps other columns.
+`add_score` keeps other columns;
+of several labels or texts of one doc_id the least is learnt from.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from .shared import remainder, texts
 CHUNK = 256
 HALF = CHUNK // 2
 WIDTH, FILTERS, HIDDEN = 5, 24, 16
-SAMPLE_DOCS, WINDOWS = 3_000, 6
-EPOCHS, BATCH, RATE = 8, 64, 3e-3
+SAMPLE_DOCS = 3_000
+EPOCHS, BATCH, RATE, DRAWS = 6, 64, 3e-3, 8
 THRESHOLD = 0.7
 
 
@@ -81,20 +84,25 @@ def _summary(logits: np.ndarray) -> np.ndarray:
     return np.clip(np.array([logits.mean(), logits.max(), logits.min()]), -8, 8)
 
 
-def fit(windows: list[list[bytes]], labels: list[int], seed: int = 11) -> Net:
-    """Train on windows (each up to CHUNK bytes) of documents with 0 / 1 labels."""
+def fit(documents: list[bytes], labels: list[int], seed: int = 11) -> Net:
+    """Train on whole documents with 0 / 1 labels."""
     y_doc = np.array(labels, dtype=np.float32)
     prior = float((y_doc.sum() + 1) / (len(y_doc) + 2))
     if len(set(labels)) < 2:
         return Net(prior)
     rng = np.random.default_rng(seed)
-    owner = np.array([d for d, ws in enumerate(windows) for _ in ws])
+    # chunks side by side cover every byte; the last one is a whole chunk as well where the text has that many
+    places = [[*range(0, max(1, len(t) - CHUNK + 1), CHUNK), *([len(t) - CHUNK] if len(t) > CHUNK and len(t) % CHUNK else [])] for t in documents]
+    owner = np.repeat(np.arange(len(documents)), [len(p) for p in places])
     x = np.zeros((len(owner), CHUNK + WIDTH - 1), dtype=np.uint8)
-    for i, w in enumerate(w for ws in windows for w in ws):
-        x[i, : len(w[:CHUNK])] = np.frombuffer(w[:CHUNK], dtype=np.uint8)
+    for i, w in enumerate(t[k : k + CHUNK] for t, p in zip(documents, places, strict=True) for k in p):
+        x[i, : len(w)] = np.frombuffer(w, dtype=np.uint8)
     y = y_doc[owner]
     # the rarer label counts more, but not as much as balance would ask for
-    weight = np.where(y == 1, 1.0, np.clip(y.mean() / max(1e-6, 1 - y.mean()), 1, 3)).astype(np.float32)
+    weight = np.where(y == 1, 1.0, np.clip(y_doc.mean() / max(1e-6, 1 - y_doc.mean()), 1, 3)).astype(np.float32)
+    share = 1.0 / np.bincount(owner)[owner]
+    # chunks of long documents are drawn less often: as many draws an epoch as there are chunks, at most DRAWS a document
+    draws = min(len(x), DRAWS * len(documents))
     p = {
         "table": rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), "bias": np.zeros(FILTERS, np.float32),
         "w1": rng.normal(0, 0.4, (FILTERS, HIDDEN)).astype(np.float32), "b1": np.zeros(HIDDEN, np.float32),
@@ -103,8 +111,9 @@ def fit(windows: list[list[bytes]], labels: list[int], seed: int = 11) -> Net:
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     step = 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), BATCH):
+        order = np.argsort(rng.exponential(size=len(x)) / share)[:draws]  # without replacement, by weight
+        rng.shuffle(order)
+        for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
             xb, n = x[rows], len(rows)
             z = p["table"][0][xb[:, :CHUNK]]
@@ -129,7 +138,7 @@ def fit(windows: list[list[bytes]], labels: list[int], seed: int = 11) -> Net:
                 m2[k] = 0.99 * m2[k] + 0.01 * g * g
                 p[k] -= (RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     net = Net(prior, p["table"], p["bias"], p["w1"], p["b1"], p["w2"], float(p["b2"][0]))
-    seen = np.array([np.append(_summary(np.concatenate([net.chunk_logits(w) for w in ws])), 1.0) for ws in windows])
+    seen = np.array([np.append(_summary(net.chunk_logits(t)), 1.0) for t in documents])
     net.out = _logistic(seen, y_doc)
     return net
 
@@ -147,15 +156,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 25
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE_DOCS) -> Net:
     """Fit on the labelled rows of docs whose crc32(doc_id as text) mod 4 is not 2, at most `sample` of them."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y IN (0, 1)").where(remainder(F.col("doc_id"), 4) != 2)
-    n = F.length("text")
-    places = F.sequence(F.lit(0), F.least(F.lit(WINDOWS), F.greatest(F.lit(1), F.ceil(n / CHUNK).cast("int"))) - 1)
-    last = F.greatest(n - CHUNK, F.lit(0))
-    windows = F.transform(places, lambda i: F.substr(F.col("text"), F.floor(i * last / F.greatest(F.size(places) - 1, F.lit(1))).cast("int") + 1, F.lit(CHUNK)))
     # the rows are chosen by id before any text is read
-    chosen = known.join(docs.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", windows.alias("windows")).collect()
-    rows = list({r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, r.windows))}.values())
-    return fit([[w.encode() for w in r.windows] for r in rows], [r.y for r in rows])
+    chosen = known.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
+    rows = sorted(rows.collect(), key=lambda r: r.doc_id)  # at most `sample` rows
+    return fit([r.text.encode() for r in rows], [r.y for r in rows])
 
 
 def add_score(docs: DataFrame, net: Net, name: str = "score") -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import texts
+from .shared import remainder, texts
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -183,11 +183,14 @@ def add_statistics(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE_DOCS) -> Forest:
-    """Fit on at most `sample` labelled rows of docs."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = add_statistics(texts(docs).join(F.broadcast(chosen), "doc_id")).select("doc_id", "y", "features").toPandas()
-    rows = rows.sort_values(["doc_id", "features"], key=lambda c: c.map(tuple) if c.name == "features" else c).drop_duplicates("doc_id")
+    """Fit on at most `sample` labelled rows of docs whose crc32(doc_id as text) mod 4 is not 2; the others are for testing.
+
+    Of several labels or texts of one doc_id the least is learnt from.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL").where(remainder(F.col("doc_id"), 4) != 2)
+    chosen = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
+    rows = add_statistics(rows).select("doc_id", "y", "features").toPandas().sort_values("doc_id")  # at most `sample` rows
     return fit(np.array(rows["features"].tolist(), dtype=float).reshape(-1, len(FEATURES)), rows["y"].to_numpy(dtype=float))
 
 

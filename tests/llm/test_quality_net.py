@@ -25,6 +25,25 @@ def test_held_out_accuracy(spark):
     assert (got.predicted == got.quality).mean() > 0.97
     good = got[got.quality == 1]
     assert (good.predicted == 1).mean() > 0.98
+    size = {r.doc_id: r.n_chars for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "n_chars").collect()}
+    longest = got[got.doc_id.map(size).rank(pct=True) > 0.95]
+    assert (longest.predicted == longest.quality).mean() > 0.95
+
+
+def test_training_reads_whole_texts():
+    """The only difference lies in the middle of long texts."""
+    r = np.random.default_rng(2)
+    word = lambda: bytes(r.integers(97, 123, 5, dtype=np.uint8))
+    make = lambda bad: b" ".join(b"#$#$#" if bad and 600 <= i < 850 else word() for i in range(1_200))
+    net = q.fit([make(i % 2) for i in range(400)], [1 - i % 2 for i in range(400)])
+    assert all((net.score(make(bad).decode()) >= 0.5) != bad for bad in (True, False) * 5)
+
+
+def test_ties_of_labels(spark):
+    docs = spark.createDataFrame([(i, ("good words in here ", "### $$$ ### ")[i % 2] * 9) for i in range(40)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i in range(40) for y in (1 - i % 2, 0 if i % 2 else 1)], "doc_id long, quality int")
+    one, two = q.learn(docs, labels), q.learn(docs.orderBy(F.desc("doc_id")).repartition(3), labels.orderBy(F.desc("doc_id")))
+    assert one.score("good words in here") == two.score("good words in here") > 0.5 > one.score("### $$$ ###")
 
 
 def test_cases(spark, tmp_path):
@@ -34,6 +53,6 @@ def test_cases(spark, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     got = q.op4_quality(spark, str(tmp_path)).collect()
     assert len(got) == 5 and {r.score for r in got} == {0.5} and {r.predicted for r in got} == {0}
-    net = q.fit([[b"good words in here"], [b"### $$$ ###"]] * 20, [1, 0] * 20)
+    net = q.fit([b"good words in here", b"### $$$ ###"] * 20, [1, 0] * 20)
     assert q.add_score(docs.select("doc_id", "text"), net).where(F.col("score").between(0, 1)).count() == 5
     assert q.add_score(docs.select("doc_id", "text").limit(0), net).count() == 0
