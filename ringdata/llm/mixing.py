@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, stored
+from .shared import cut, stored, unused
 
 WEIGHTS = (1, 2, 3)
 MOST = 3.0
@@ -153,13 +153,14 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with its own columns."""
-    taken = plan(docs, weights, most).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("hash").alias("_hash"))
-    taken = taken.agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
-    same = docs["doc_id"].eqNullSafe(taken["_id"]) & docs["source"].eqNullSafe(taken["_source"]) & (F.xxhash64(docs["text"]) == taken["_hash"])
+    i, source, text, copies, times, k = unused(docs.columns, "_id", "_source", "_hash", "_copies", "_rows", "_k")
+    taken = plan(docs, weights, most).groupBy(F.col("doc_id").alias(i), F.col("source").alias(source), F.col("hash").alias(text))
+    taken = taken.agg(F.sum("copies").cast("int").alias(copies), F.count(F.lit(1)).alias(times)).where(F.col(copies) > 0)
+    same = docs["doc_id"].eqNullSafe(taken[i]) & docs["source"].eqNullSafe(taken[source]) & (F.xxhash64(docs["text"]) == taken[text])
     rows = docs.join(taken, same)
     # rows that repeat are one row here, taken as often as they are together
-    rows = rows.where("_rows = 1").unionByName(rows.where("_rows > 1").dropDuplicates(["_id", "_source", "_hash"]))
-    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_k")).drop("_k")
+    rows = rows.where(F.col(times) == 1).unionByName(rows.where(F.col(times) > 1).dropDuplicates([i, source, text]))
+    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col(copies))).alias(k)).drop(k)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
