@@ -27,19 +27,34 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
+#: Compatibility characters of one code point whose NFKC is one character, and these: what full-width digits, signs and blanks need.
+COMPATIBLE = {chr(c): n for c in range(0x80, 0xFFFE) if not 0xD800 <= c < 0xE000 and len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n != chr(c)}
+_BLANK = r"[\s\x1c-\x1f\x85\p{Z}]+"
+
+
+def _trim(t: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(t, f"^{_BLANK}|{_BLANK}$", "")
+
+
 def clean_text(c: Column, unicode: bool = False) -> Column:
-    """null to '', no U+200B, Excel's =\"...\" unwrapped up to twice, trimmed; unicode=True adds NFKC (for columns that hold non-ASCII text)."""
+    """null to '', compatibility characters folded, no U+200B, Excel's =\"...\" unwrapped up to twice, trimmed.
+
+    The fold is NFKC for characters that stay one; unicode=True applies the whole of it
+    (ligatures, combining marks) in a pandas UDF.
+    """
     t = F.coalesce(c.cast("string"), F.lit(""))
-    t = F.trim(F.regexp_replace(nfkc(t) if unicode else t, "​", ""))
+    folded = F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, "".join(COMPATIBLE), "".join(COMPATIBLE.values()))).otherwise(t)
+    t = _trim(F.replace(nfkc(t) if unicode else folded, F.lit("\u200b"), F.lit("")))
     wrapped = r'(?s)^="((?:""|[^"])*+)"$'
     for _ in range(2):
-        t = F.when(t.rlike(wrapped), F.trim(F.replace(F.regexp_extract(t, wrapped, 1), F.lit('""'), F.lit('"')))).otherwise(t)
+        t = F.when(t.rlike(wrapped), _trim(F.replace(F.regexp_extract(t, wrapped, 1), F.lit('""'), F.lit('"')))).otherwise(t)
     return t
 
 
 def is_missing_text(c: Column) -> Column:
     """F2."""
-    return F.lower(F.coalesce(c, F.lit(""))).isin(MISSING)
+    return F.lower(_trim(F.coalesce(c, F.lit("")))).isin(MISSING)
 
 
 def is_phone_field(name: str) -> bool:
@@ -48,7 +63,7 @@ def is_phone_field(name: str) -> bool:
 
 
 def _general(t: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
+    return F.lower(_trim(F.regexp_replace(t, _BLANK, " ")))
 
 
 def normalize_identifier(c: Column, phone: bool = False, country_code: str = COUNTRY_CODE) -> Column:

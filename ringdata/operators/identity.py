@@ -12,7 +12,7 @@ from ringdata.operators.schema import find_column, plain_name
 CANONICAL_NAMES = ["canonical_id", "canonical", "person_id", "subscriber_id", "subscriber", "target_id", "target"]
 ALIAS_NAMES = ["alias", "alias_id", "source_identifier", "source_id", "msisdn", "mobile_no", "phone", "alternate_msisdn", "from"]
 MELTED_NAMES = ["msisdn", "Mobile_No", "source_identifier", "alternate_msisdn", "imei", "imsi", "alias", "alias_id"]
-SUBSCRIBER_COLUMNS = ["subscriber_id", "msisdn", "source_identifier", "mobile_no", "imei", "imsi", "alternate_msisdn", "user_id"]
+SUBSCRIBER_COLUMNS = ["subscriber_id", "msisdn", "Mobile_No", "Landline/MSISDN/MDN/Leased Circuit ID for Internet Access", "source_identifier", "imei", "imsi", "User Id for internet Access based on authentication"]
 PAIR_COLUMNS = [
     ("person_a", "person_b"), ("msisdn_u", "msisdn_v"), ("subscriber_id_u", "subscriber_id_v"), ("source_identifier_u", "source_identifier_v"), ("person_1", "person_2"),
     ("user_a", "user_b"), ("user_1", "user_2"), ("caller", "receiver"), ("caller_id", "receiver_id"),
@@ -29,7 +29,7 @@ def finalize_map(rows: DataFrame) -> DataFrame:
 
 
 def alias_map_from_table(df: DataFrame, country_code: str = S.COUNTRY_CODE) -> DataFrame:
-    """Melt a wide table's identity columns to (alias, canonical, ambiguous). The canonical is normalized once, by its own column's rule."""
+    """Melt a wide table's identity columns to (alias, canonical, ambiguous). The canonical is normalized once, by its own column's rule; where it is blank, the row's first other identity is."""
     canonical, alias = find_column(df.columns, CANONICAL_NAMES), find_column(df.columns, ALIAS_NAMES)
     if canonical is None:
         if len(df.columns) < 2:
@@ -38,7 +38,8 @@ def alias_map_from_table(df: DataFrame, country_code: str = S.COUNTRY_CODE) -> D
     melted = {plain_name(n) for n in MELTED_NAMES}
     columns = [canonical, *[c for c in df.columns if c != canonical and (c == alias or plain_name(c) in melted)]]
     norm = lambda c: S.normalize_identifier(F.col(f"`{c}`"), S.is_phone_field(c), country_code)
-    entry = [F.struct(norm(c).alias("alias"), norm(canonical).alias("canonical")) for c in columns]
+    target = F.coalesce(*[F.when(norm(c) != "", norm(c)) for c in columns])
+    entry = [F.struct(norm(c).alias("alias"), target.alias("canonical")) for c in columns]
     return finalize_map(df.select(F.inline(F.array(*entry))))
 
 
@@ -88,7 +89,7 @@ def read_pairs(df: DataFrame, require_label: bool = False, row_number: str | Non
 
 
 def subscriber_aliases(df: DataFrame) -> DataFrame:
-    """Aliases of a subscriber table; canonical is subscriber_id, else msisdn, else the first identity column that is not blank."""
+    """Aliases of a subscriber table; canonical is the first of SUBSCRIBER_COLUMNS that is not blank."""
     columns = [c for n in SUBSCRIBER_COLUMNS if (c := find_column(df.columns, [n]))]
     norm = [S.normalize_identifier(F.col(f"`{c}`"), S.is_phone_field(c)) for c in columns]
     canonical = F.coalesce(*[F.when(c != "", c) for c in norm], F.lit(""))

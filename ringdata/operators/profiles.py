@@ -19,9 +19,20 @@ FEATURES = [
 SKIPPED_MEMBERS = ["nan", "none", "null"]
 
 
+def member(c: Column) -> Column:
+    """A set's member: trimmed, in lower case; null if it says that it is missing."""
+    t = F.lower(F.trim(F.regexp_replace(c.cast("string"), r"[\s\p{Z}]+", " ")))
+    return F.when((t != "") & ~t.isin(SKIPPED_MEMBERS), t)
+
+
 def _set(c: Column) -> Column:
-    t = c.cast("string")
-    return F.array_sort(F.collect_set(F.when((F.trim(t) != "") & ~F.lower(t).isin(SKIPPED_MEMBERS), t)))
+    return F.array_sort(F.collect_set(member(c)))
+
+
+def at_least_zero(c: str) -> Column:
+    """A measure as a number; missing, not a number or negative counts as 0."""
+    x = F.col(c).cast("double")
+    return F.when(x > 0, F.nanvl(x, F.lit(0.0))).otherwise(0.0)
 
 
 def hours(ts: Column) -> Column:
@@ -38,9 +49,9 @@ def session_profiles(sessions: DataFrame) -> DataFrame:
 
 
 def call_pair_stats(calls: DataFrame) -> DataFrame:
-    """Per unordered pair; d0 counts lo to hi, d1 hi to lo. A missing duration counts as 0."""
+    """Per unordered pair; d0 counts lo to hi, d1 hi to lo. A missing or negative duration counts as 0."""
     lo, hi = S.canonical_pair(F.col("caller"), F.col("receiver"))
-    dur, ts, kind = F.coalesce("duration", F.lit(0.0)), F.col("ts"), F.coalesce("event_type", F.lit(""))
+    dur, ts, kind = at_least_zero("duration"), F.col("ts"), F.coalesce("event_type", F.lit(""))
     return calls.withColumns({"lo": lo, "hi": hi}).groupBy("lo", "hi").agg(
         F.count_if(F.col("caller") == F.col("lo")).alias("d0"), F.count_if(F.col("caller") != F.col("lo")).alias("d1"), F.sum(dur).alias("dur"), F.sum(dur * dur).alias("dur2"),
         F.max(dur).alias("dur_max"), F.count_distinct(F.to_date(ts)).alias("days"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(ts).alias("timed"),
@@ -59,10 +70,10 @@ def call_person_stats(calls: DataFrame) -> DataFrame:
 
 
 def session_person_stats(sessions: DataFrame) -> DataFrame:
-    """A10."""
+    """A10: seconds over all sessions, a missing or negative duration as 0."""
     ts = F.col("ts")
     return sessions.where("subscriber <> ''").groupBy(F.col("subscriber").alias("person")).agg(
-        F.count(F.lit(1)).alias("sessions"), F.sum(F.greatest("mb", F.lit(0.0))).alias("mb"), F.coalesce(F.sum("session_s"), F.lit(0.0)).alias("seconds"), F.count("session_s").alias("measured"),
+        F.count(F.lit(1)).alias("sessions"), F.sum(at_least_zero("mb")).alias("mb"), F.sum(at_least_zero("session_s")).alias("seconds"),
         F.count_distinct(F.to_date(ts)).alias("days"), F.count(ts).alias("timed"), hours(ts).alias("hours"), F.count_if(S.is_night(ts)).alias("night"), F.count_if(S.is_weekend(ts)).alias("weekend"),
         _set(F.col("destination")).alias("destinations"), _set(F.col("port")).alias("ports"), _set(F.col("cell")).alias("cells"), F.array_sort(F.collect_set(F.unix_seconds(S.hour_bucket(ts)))).alias("buckets"),
     )
@@ -106,7 +117,7 @@ def pair_features(pairs: DataFrame, calls: DataFrame, sessions: DataFrame) -> Da
     share_a, share_b = _ratio(total, n("a_events")), _ratio(total, n("b_events"))
     ca, cb = arr("a_contacts"), arr("b_contacts")
     present = (n("a_s_sessions") > 0) & (n("b_s_sessions") > 0)
-    secs = lambda s: _ratio(n(f"{s}_s_seconds"), n(f"{s}_s_measured"))
+    secs = lambda s: _ratio(n(f"{s}_s_seconds"), n(f"{s}_s_sessions"))
     zeros = F.array(*[F.lit(0).cast("bigint")] * 24)
     hist = lambda s: F.coalesce(F.col(f"{s}_s_hours"), zeros)
     timed = (n("a_s_timed") > 0) & (n("b_s_timed") > 0)

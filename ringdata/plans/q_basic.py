@@ -23,7 +23,8 @@ def iso(c):
 
 
 DUCK_ISO = "'%Y-%m-%d %H:%M:%S'"
-CLEAN = "trim(CASE WHEN trim(raw) LIKE '=\"%\"' THEN replace(trim(raw)[3:-2], '\"\"', '\"') ELSE trim(raw) END)"
+_T = "trim(translate(raw, '０１２３４５６７８９　', '0123456789 '), E' \\t\\n')"
+CLEAN = f"trim(CASE WHEN {_T} LIKE '=\"%\"' THEN replace({_T}[3:-2], '\"\"', '\"') ELSE {_T} END, E' \\t\\n')"
 DIGITS = "regexp_replace(t2, '[^0-9]', '', 'g')"
 #: normalized identifier of column raw in relation rel, by the general and by the phone rule
 NORM = """, n1 AS (SELECT *, {clean} AS t1 FROM {rel}), n2 AS (SELECT *, regexp_replace(t1, '^([0-9]+)\\.0+$', '\\1') AS t2 FROM n1),
@@ -47,7 +48,7 @@ def f1(spark, d):
     return V.messy(spark, d).select("id", S.clean_text(F.col("raw"), unicode=True).alias("cleaned"))
 
 
-@query("f2_is_missing_text", "SELECT lower(raw) IN ('', 'nan', 'none', 'null', 'nat', '<na>') AS missing, count(*) AS n FROM messy GROUP BY 1")
+@query("f2_is_missing_text", "SELECT lower(trim(raw, E' \\t\\n')) IN ('', 'nan', 'none', 'null', 'nat', '<na>') AS missing, count(*) AS n FROM messy GROUP BY 1")
 def f2(spark, d):
     return V.messy(spark, d).groupBy(S.is_missing_text(F.col("raw")).alias("missing")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -266,10 +267,16 @@ def _scratch(spark, name):
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query("s1_csv_scan", f"SELECT caller AS caller_id, receiver AS receiver_id, strftime(ts, {DUCK_ISO}) AS timestamp FROM calls")
+@query("s1_csv_scan", f"SELECT caller AS caller_id, receiver AS receiver_id, strftime(ts, {DUCK_ISO}) AS timestamp FROM calls UNION ALL SELECT 'Report', '', '' FROM calls WHERE k = 7")
 def s1(spark, d):
     path = _scratch(spark, "s1")
-    files.write_csv(V.calls(spark, d).select(F.col("caller").alias("caller_id"), F.col("receiver").alias("receiver_id"), iso("ts").alias("timestamp")), path)
+    # every file has two rows before its header, one of which comes again among the data
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    c = V.calls(spark, d).withColumn("p", (F.col("event_id") % n).cast("int"))
+    head = spark.range(n).select(F.col("id").cast("int").alias("p"), F.lit(-1).cast("long").alias("at"), F.lit("Report,,\nof all calls,,\ncaller_id,receiver_id,timestamp").alias("value"))
+    rows = c.select("p", F.col("event_id").alias("at"), F.concat_ws(",", "caller", "receiver", iso("ts")).alias("value"))
+    again = c.where("k = 7").select("p", F.col("event_id").alias("at"), F.lit("Report,,").alias("value"))
+    head.unionByName(rows).unionByName(again).repartitionById(n, F.col("p")).sortWithinPartitions("at").select("value").write.text(path)
     return files.read_records(spark, path)
 
 
@@ -296,9 +303,10 @@ def s3(spark, d):
     return files.malformed_rows(df)
 
 
-@query("s4_alias_map_from_table", ", a AS (SELECT subscriber_id AS alias, subscriber_id AS c FROM subscribers UNION SELECT msisdn, subscriber_id FROM subscribers UNION SELECT lower(imsi), subscriber_id FROM subscribers) SELECT alias, CASE WHEN count(DISTINCT c) = 1 THEN min(c) END AS canonical, count(DISTINCT c) > 1 AS ambiguous FROM a GROUP BY 1")
+@query("s4_alias_map_from_table", ", s AS (SELECT CASE WHEN subscriber_id LIKE '%7' THEN '' ELSE subscriber_id END AS i, CASE WHEN subscriber_id LIKE '%7' THEN msisdn ELSE subscriber_id END AS c, msisdn, imsi FROM subscribers), a AS (SELECT i AS alias, c FROM s WHERE i <> '' UNION SELECT msisdn, c FROM s UNION SELECT lower(imsi), c FROM s) SELECT alias, CASE WHEN count(DISTINCT c) = 1 THEN min(c) END AS canonical, count(DISTINCT c) > 1 AS ambiguous FROM a GROUP BY 1")
 def s4(spark, d):
-    return J.alias_map_from_table(V.subscribers(spark, d).select("subscriber_id", "msisdn", "imsi", "region"))
+    blank = F.when(F.col("subscriber_id").like("%7"), " \t").otherwise(F.col("subscriber_id"))  # these rows fall back on their msisdn
+    return J.alias_map_from_table(V.subscribers(spark, d).select(blank.alias("subscriber_id"), "msisdn", "imsi", "region"))
 
 
 @query("s5_alias_map_from_json", "SELECT lower(imei) AS alias, CASE WHEN count(DISTINCT subscriber_id) = 1 THEN min(subscriber_id) END AS canonical, count(DISTINCT subscriber_id) > 1 AS ambiguous FROM subscribers GROUP BY 1")
@@ -352,12 +360,13 @@ def s12(spark, d):
 
 # ---- identity and evidence
 
-AMAP = ", amap AS (SELECT alias, CASE WHEN count(DISTINCT c) = 1 THEN min(c) END AS canonical, count(DISTINCT c) > 1 AS ambiguous FROM (SELECT '91' || (9000000000 + c_custkey % 300)::VARCHAR AS alias, (c_custkey % 40)::VARCHAR AS c FROM customer WHERE c_custkey % 6 < 4 AND c_custkey < 900) GROUP BY 1)"
+AMAP = ", amap AS (SELECT alias, CASE WHEN count(DISTINCT c) = 1 THEN min(c) END AS canonical, count(DISTINCT c) > 1 AS ambiguous FROM (SELECT '91' || (9000000000 + c_custkey % 400 * 2)::VARCHAR AS alias, CASE WHEN c_custkey % 400 % 5 = 0 THEN 'm' || c_custkey % 60 ELSE (c_custkey % 40)::VARCHAR END AS c FROM customer) GROUP BY 1)"
 
 
 def _amap(spark, d):
     k = F.col("c_custkey")
-    rows = V.table(spark, d, "customer").where((k % 6 < 4) & (k < 900)).select(F.concat(F.lit("91"), (k % 300 + 9000000000).cast("string")).alias("alias"), (k % 40).cast("string").alias("canonical"))
+    canonical = F.when(k % 400 % 5 == 0, F.concat(F.lit("m"), (k % 60).cast("string"))).otherwise((k % 40).cast("string"))
+    rows = V.table(spark, d, "customer").select(F.concat(F.lit("91"), (k % 400 * 2 + 9000000000).cast("string")).alias("alias"), canonical.alias("canonical"))
     return J.finalize_map(rows)
 
 
@@ -421,12 +430,13 @@ def a5(spark, d):
     return E.observation_overlap(c.where("event_id % 2 = 0"), c.where("event_id % 2 = 1")).select(iso("start_ts").alias("start_ts"), iso("end_ts").alias("end_ts"), "status")
 
 
-TWO = ", sa AS (SELECT caller AS subject, count(*) AS rows, min(ts) AS f, max(ts) AS l FROM calls WHERE event_id % 3 = 0 AND caller::INT % 4 <> 1 GROUP BY 1), sb AS (SELECT subscriber AS subject, count(*) AS rows, min(ts) AS f, max(ts) AS l FROM sessions WHERE event_id % 3 = 1 AND subscriber::INT % 5 <> 2 GROUP BY 1), mt AS (SELECT subject, CASE WHEN sa.rows IS NOT NULL AND sb.rows IS NOT NULL THEN 'matched' WHEN sa.rows IS NOT NULL THEN 'cdr_only' ELSE 'ipdr_only' END AS status FROM sa FULL JOIN sb USING (subject))"
+TWO = ", sa AS (SELECT CASE WHEN caller::INT % 4 = 1 THEN 'c' || caller ELSE caller END AS subject, count(*) AS rows, min(ts) AS f, max(ts) AS l FROM calls GROUP BY 1), sb AS (SELECT CASE WHEN subscriber::INT % 5 = 2 THEN 's' || subscriber ELSE subscriber END AS subject, count(*) AS rows, min(ts) AS f, max(ts) AS l FROM sessions GROUP BY 1), mt AS (SELECT subject, CASE WHEN sa.rows IS NOT NULL AND sb.rows IS NOT NULL THEN 'matched' WHEN sa.rows IS NOT NULL THEN 'cdr_only' ELSE 'ipdr_only' END AS status FROM sa FULL JOIN sb USING (subject))"
 
 
 def _two(spark, d):
-    a = V.calls(spark, d).where("event_id % 3 = 0 AND cast(caller AS int) % 4 <> 1")
-    b = V.sessions(spark, d).where("event_id % 3 = 1 AND cast(subscriber AS int) % 5 <> 2")
+    # subjects that only one source knows, without leaving out a row
+    a = V.calls(spark, d).withColumn("caller", F.when(F.col("caller").cast("int") % 4 == 1, F.concat(F.lit("c"), "caller")).otherwise(F.col("caller")))
+    b = V.sessions(spark, d).withColumn("subscriber", F.when(F.col("subscriber").cast("int") % 5 == 2, F.concat(F.lit("s"), "subscriber")).otherwise(F.col("subscriber")))
     return a, b, E.subject_activity(a, "caller"), E.subject_activity(b, "subscriber")
 
 
@@ -439,10 +449,15 @@ def a6(spark, d):
     return E.match_coverage(E.match_subjects(a, b)).select("matched", "cdr_only", "ipdr_only", F.round("cdr_coverage", 6).alias("cdr_coverage"), F.round("ipdr_coverage", 6).alias("ipdr_coverage"))
 
 
-@query("j8_contact_only", "SELECT DISTINCT receiver AS contact FROM calls WHERE receiver NOT IN (SELECT caller FROM calls WHERE event_id % 40 = 0)")
+@query("j8_contact_only", "SELECT DISTINCT receiver AS contact FROM calls WHERE receiver NOT IN (SELECT subscriber FROM sessions WHERE destination IN (SELECT destination FROM sessions GROUP BY 1 HAVING count(*) = (SELECT min(n) FROM (SELECT count(*) AS n FROM sessions GROUP BY destination))))")
 def j8(spark, d):
     c = V.calls(spark, d)
-    return E.contact_only(c.where("event_id % 40 = 0").select(F.col("caller").alias("subject")), c.select(F.col("receiver").alias("contact")))
+    # subjects: all users of the rarest destinations
+    used = V.sessions(spark, d)
+    n = used.groupBy("destination").agg(F.count(F.lit(1)).alias("n"))
+    rarest = n.join(F.broadcast(n.agg(F.min("n").alias("n"))), "n")  # one row
+    subjects = used.join(rarest, "destination", "left_semi").select(F.col("subscriber").alias("subject"))
+    return E.contact_only(subjects, c.select(F.col("receiver").alias("contact")))
 
 
 @query("j9_match_subjects", TWO + "SELECT * FROM mt")

@@ -119,10 +119,10 @@ def a31(spark, d):
     return G.label_conflicts(V.calls(spark, d).select(F.col("caller").alias("person_a"), F.col("receiver").alias("person_b"), (F.col("k") % 2).alias("label")))
 
 
-@query("x3_validate_pairs", ", p AS (SELECT CASE WHEN event_id % 9 = 0 THEN '' ELSE caller END AS a, CASE WHEN event_id % 9 = 1 THEN caller ELSE receiver END AS b, k % 2 AS label FROM calls WHERE event_id % 5 < 2), c AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi FROM p GROUP BY ALL HAVING count(DISTINCT label) > 1), r AS (SELECT CASE WHEN a = '' OR b = '' THEN 'blank_id' WHEN a = b THEN 'self_pair' WHEN (least(a, b), greatest(a, b)) IN (SELECT (lo, hi) FROM c) THEN 'label_conflict' END AS reason FROM p) SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1")
+@query("x3_validate_pairs", ", p AS (SELECT CASE WHEN event_id % 9 = 0 THEN '' ELSE caller END AS a, CASE WHEN event_id % 9 = 1 THEN caller ELSE receiver END AS b, k % 2 AS label FROM calls), c AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi FROM p GROUP BY ALL HAVING count(DISTINCT label) > 1), r AS (SELECT CASE WHEN a = '' OR b = '' THEN 'blank_id' WHEN a = b THEN 'self_pair' WHEN (least(a, b), greatest(a, b)) IN (SELECT (lo, hi) FROM c) THEN 'label_conflict' END AS reason FROM p) SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1")
 def x3(spark, d):
     k = F.col("event_id") % 9
-    p = V.calls(spark, d).where("event_id % 5 < 2").select(F.when(k == 0, "").otherwise(F.col("caller")).alias("person_a"), F.when(k == 1, F.col("caller")).otherwise(F.col("receiver")).alias("person_b"), (F.col("k") % 2).alias("label"))
+    p = V.calls(spark, d).select(F.when(k == 0, "").otherwise(F.col("caller")).alias("person_a"), F.when(k == 1, F.col("caller")).otherwise(F.col("receiver")).alias("person_b"), (F.col("k") % 2).alias("label"))
     return G.pair_violations(p).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 

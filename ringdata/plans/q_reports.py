@@ -37,9 +37,9 @@ def a20(spark, d):
     return R.location_points(_located(spark, d)).withColumn("last_ts", iso("last_ts"))
 
 
-@query("a21_agent_centroid", POINTS + ", c AS (SELECT * FROM (VALUES ('DL', 28.6139, 77.2090), ('KA', 15.3173, 75.7139), ('MH', 19.7515, 75.7139), ('UP', 26.8467, 80.9462), ('WB', 22.9868, 87.8550)) v(circle, x, y)), m AS (SELECT agent, quantile_cont(lat, 0.5) AS lat, quantile_cont(lng, 0.5) AS lng FROM pts WHERE agent::INT % 2 = 0 GROUP BY 1) SELECT subscriber_id AS agent, round(coalesce(m.lat, c.x), 5)::DOUBLE AS lat, round(coalesce(m.lng, c.y), 5)::DOUBLE AS lng FROM subscribers s LEFT JOIN m ON m.agent = s.subscriber_id JOIN c USING (circle)")
+@query("a21_agent_centroid", POINTS + ", c AS (SELECT * FROM (VALUES ('DL', 28.6139, 77.2090), ('KA', 15.3173, 75.7139), ('MH', 19.7515, 75.7139), ('UP', 26.8467, 80.9462), ('WB', 22.9868, 87.8550)) v(circle, x, y)), m AS (SELECT agent, quantile_cont(lat, 0.5) AS lat, quantile_cont(lng, 0.5) AS lng FROM pts GROUP BY 1) SELECT subscriber_id AS agent, round(coalesce(m.lat, c.x), 5)::DOUBLE AS lat, round(coalesce(m.lng, c.y), 5)::DOUBLE AS lng FROM subscribers s LEFT JOIN m ON m.agent = s.subscriber_id JOIN c USING (circle)")
 def a21(spark, d):
-    pts = R.location_points(_located(spark, d).where("cast(agent AS int) % 2 = 0"))
+    pts = R.location_points(_located(spark, d))
     return R.agent_centroid(pts, _agents(spark, d)).select("agent", F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"))
 
 

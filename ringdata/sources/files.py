@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +37,15 @@ def read_records(spark: SparkSession, path: str, known: list[str] | None = None)
     header = [c.strip() or f"_c{i}" for i, c in enumerate(rows[at])]
     schema = ", ".join(f"`{c}` string" for c in header) + ", _raw string"
     df = spark.read.csv(path, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_raw", escape='"', nullValue="\0", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    # the header and the rows before it, by content (at most 101 distinct ones)
-    skipped = [[*r, *[None] * len(header)][: len(header)] for r in rows[: at + 1]]
-    known_rows = F.array(*[F.lit("\x1f".join("" if c is None else c for c in r)) for r in skipped])
-    mine = F.concat_ws("\x1f", *[F.coalesce(F.regexp_replace(f"`{c}`", "^﻿", ""), F.lit("")) for c in header])
-    return df.where(~F.array_contains(known_rows, mine)).select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header])
+    # the header and the rows before it: of rows like one of these, each file drops as many as its head has (at most 101 distinct ones)
+    heads = Counter("\x1f".join([*r, *[""] * len(header)][: len(header)]) for r in rows[: at + 1])
+    listed = F.create_map(*[F.lit(x) for pair in heads.items() for x in pair])
+    mine = F.concat_ws("\x1f", *[F.coalesce(F.regexp_replace(f"`{c}`", "^\ufeff", ""), F.lit("")) for c in header])
+    marked = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header], mine.alias("_mine"), F.col("_metadata.file_path").alias("_file")).withColumn("_head", F.element_at(listed, F.col("_mine")))
+    like = marked.where("_head IS NOT NULL").groupBy("_file", "_mine", "_head").agg(F.count(F.lit(1)).alias("_n"), *[F.first(f"`{c}`").alias(c) for c in header])
+    back = like.where("_n > _head").select(*[F.col(f"`{c}`") for c in header], F.explode(F.sequence(F.lit(1), (F.col("_n") - F.col("_head")).cast("int"))).alias("_k"))
+    names = [F.col(f"`{c}`") for c in header]
+    return marked.where("_head IS NULL").select(*names).unionByName(back.select(*names))
 
 
 def malformed_rows(df: DataFrame, corrupt: str = "_corrupt_record") -> DataFrame:

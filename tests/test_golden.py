@@ -77,8 +77,55 @@ def test_one_subscriber_gives_no_pairs(spark):
     for mode in ("exhaustive", "items"):
         out = K.correlate_sessions(s, mode)
         assert out.count() == 0 and len(out.columns) == 7
-    with pytest.raises(ValueError):
-        K.all_pairs(spark.range(30).selectExpr("cast(id AS string) AS person"), max_people=20).count()
+    people = spark.range(5_000).selectExpr("cast(id AS string) AS person")
+    assert K.all_pairs(people).agg(F.count("*"), F.count_if(F.col("lo") < F.col("hi"))).first()[:] == (12_497_500, 12_497_500)
+
+
+def test_items_are_those_of_the_profiles(spark):
+    """Case, blanks and words for missing values: the same members in sets and in shared items."""
+    rows = [("a", "Host ", "443"), ("a", "host", "nan"), ("b", "host", "443"), ("b", " NONE", "null"), ("b", "", " 443")]
+    s = spark.createDataFrame([(p, "2026-06-01 10:00:00", d, q) for p, d, q in rows], "subscriber string, ts string, destination string, port string").withColumn("ts", F.col("ts").cast("timestamp"))
+    r = K.correlate_sessions(s).first()
+    assert (r.score, r.shared_destination, r.shared_port, r.shared_bucket) == (1.0, 1, 1, 1)
+
+
+def test_items_that_everyone_holds(spark, monkeypatch):
+    """Blocks and the plain join give the same sums; 400 people share one destination."""
+    n = 400
+    s = spark.range(n).selectExpr("cast(id AS string) AS subscriber", "timestamp_seconds(1780000000 + id % 7 * 3600) AS ts", "if(id % 2 = 0, 'all', 'All ') AS destination", "cast(id % 90 AS string) AS port")
+    one = {(r.lo, r.hi): r[2:6] for r in K.correlate_sessions(s, "items").collect()}
+    assert len(one) == n * (n - 1) // 2
+    monkeypatch.setattr(K, "HOT_ITEM", 10**6)
+    assert {(r.lo, r.hi): r[2:6] for r in K.correlate_sessions(s, "items").collect()} == one
+    monkeypatch.setattr(K, "HOT_ITEM", 2)
+    monkeypatch.setattr(K, "BLOCK", 30)
+    monkeypatch.setattr(K, "ITEMS_AT_ONCE", 5)
+    assert {(r.lo, r.hi): r[2:6] for r in K.correlate_sessions(s, "items").collect()} == one
+
+
+def test_durations_below_zero_count_as_zero(spark):
+    from ringdata.operators import profiles as A
+
+    t = "2026-06-01 10:00:00"
+    calls = spark.createDataFrame([("a", "b", t, x, "") for x in (-5.0, 7.0, None)], "caller string, receiver string, ts string, duration double, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+    r = A.call_pair_stats(calls).first()
+    assert (r.dur, r.dur2, r.dur_max) == (7.0, 49.0, 7.0)
+    sessions = spark.createDataFrame([("a", t, "d", "1", "c", x, x) for x in (-5.0, 7.0, None)], "subscriber string, ts string, destination string, port string, cell string, session_s double, mb double").withColumn("ts", F.col("ts").cast("timestamp"))
+    r = A.session_person_stats(sessions).first()
+    assert (r.sessions, r.seconds, r.mb) == (3, 7.0, 7.0)
+
+
+def test_identifiers_in_other_characters(spark):
+    from ringdata.functions import scalars as S
+    from ringdata.operators import identity as J
+
+    df = spark.createDataFrame([("９８７６５４３２１０",), ("\tNaN\n",), ("\u3000=\"００１２\"\u00a0",), ("Ａb\u2003c",), ("x\u200by",)], "raw string")
+    assert [r[0] for r in df.select(S.normalize_identifier(F.col("raw"), True)).collect()] == ["919876543210", "", "0012", "ab c", "xy"]
+    wide = spark.createDataFrame([("", "9876543210", "I1"), ("s2", "9876543211", None)], "subscriber_id string, msisdn string, imei string")
+    got = {r.alias: r.canonical for r in J.alias_map_from_table(wide).collect()}
+    assert got == {"919876543210": "919876543210", "i1": "919876543210", "s2": "s2", "919876543211": "s2"}
+    table = spark.createDataFrame([("src1", "9876543210")], "source_identifier string, Mobile_No string")
+    assert {r.canonical for r in J.subscriber_aliases(table).collect()} == {"919876543210"}
 
 
 def test_item_mode_equals_exhaustive_on_its_pairs(spark):
