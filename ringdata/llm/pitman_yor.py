@@ -41,7 +41,7 @@ from .shared import remainder, stored, texts
 
 #: Size of a bucket of texts; a small corpus still gets LEAST_BUCKETS, so that its work spreads over many tasks.
 BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 48
-BUCKETS_EACH_SHARD, LEAST_SHARDS, SPREAD = 2, 16, 32
+BUCKETS_EACH_SHARD, LEAST_SHARDS, SPREAD = 3, 16, 32
 START = b""  # no word is empty
 END = b"\n"  # no word holds a line break
 THETA, THETA_ROOT = 5.0, 20.0
