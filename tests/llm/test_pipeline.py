@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as c
@@ -59,3 +60,19 @@ def test_stages(spark, tmp_path):
 def test_run_gives_the_same(spark):
     assert c.run(spark, D).count() > 0
     assert c.run(spark, D).select("doc_id", "ids_sha256").exceptAll(c.run(spark, D).select("doc_id", "ids_sha256")).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    """Every stage: names that stages use themselves, repeated rows, very long and empty texts, nulls; then no rows at all."""
+    more = ["_quality", "_pii", "_copies", "_k", "_times", "_id", "_KEY", "_rows", "_hash", "_source", "n", "a", "bucket"]
+    docs = spark.read.parquet(f"{D}/documents.parquet").limit(40)
+    odd = [(80_001, "long words here " * 30_000, "en", "src1", 480_000), (80_002, None, None, None, None), (80_003, "", "en", "src2", 0), (None, "Some words of a text that has no id at all.", "en", "src1", 43)]
+    docs = docs.unionByName(spark.createDataFrame(odd + odd[:1] + odd[3:], docs.schema)).withColumns({c: F.lit(f"kept {c}") for c in more})
+    for rows in (docs, docs.limit(0)):
+        for name, stage in c.STAGES:
+            out = stage(spark, rows, D)
+            got = out.collect()
+            assert set(out.columns) >= {"doc_id"} and (name == "tokens" or out.columns == docs.columns)
+            if name != "tokens":
+                assert all(r[m] == f"kept {m}" for r in got for m in more)
+            assert bool(got) == bool(rows.count())
