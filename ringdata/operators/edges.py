@@ -137,8 +137,8 @@ def order_edges(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("is_inferred").desc(), F.col("score").desc_nulls_last(), "lo", "hi")
 
 
-def sequential_ids(df: DataFrame, order: list, prefix: str, width: int = 7, into: str = "row_id") -> DataFrame:
-    """PREFIX0000000, ... in sort order.
+def numbered(df: DataFrame, order: list, into: str) -> DataFrame:
+    """Rows with their number in sort order, from 0.
 
     Rows are range-partitioned and sorted, counted per partition, and numbered from
     their partition's offset: no global single-partition window.
@@ -150,9 +150,14 @@ def sequential_ids(df: DataFrame, order: list, prefix: str, width: int = 7, into
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = counts.select("_part", "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
     number = F.col("_offset") + F.col("_at") - F.col("_first")
-    text = number.cast("string")
+    return rows.join(F.broadcast(offsets), "_part").withColumn(into, number).drop("_part", "_at", "_first", "_offset")
+
+
+def sequential_ids(df: DataFrame, order: list, prefix: str, width: int = 7, into: str = "row_id") -> DataFrame:
+    """PREFIX0000000, ... in sort order."""
+    text = F.col("_number").cast("string")
     padded = F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
-    return rows.join(F.broadcast(offsets), "_part").withColumn(into, F.concat(F.lit(prefix), padded)).drop("_part", "_at", "_first", "_offset")
+    return numbered(df, order, "_number").withColumn(into, F.concat(F.lit(prefix), padded)).drop("_number")
 
 
 def first_per_key(df: DataFrame, key: list[str], order: list) -> DataFrame:

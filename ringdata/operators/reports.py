@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringdata.operators.edges import numbered
+
 
 def orientations(calls: DataFrame) -> DataFrame:
     """Each call seen from either end: agent, other, direction and the call's own columns."""
@@ -117,15 +119,48 @@ def top_values(df: DataFrame, key: str, value: str, k: int = 10) -> DataFrame:
     return counts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def agent_documents(calls: DataFrame, sessions: DataFrame, edges: DataFrame, agents: DataFrame, events: int = 50) -> DataFrame:
-    """W9 and the rows of S10: per agent: stats, contacts by (-calls, id) and the latest `events` calls, newest first."""
-    stats = agent_stats(calls, sessions, edges, agents)
-    contact = F.struct((-(F.col("outgoing") + F.col("incoming"))).alias("order"), "other", "outgoing", "incoming", "seconds", "last_type")
-    contacts = contact_summary(calls).groupBy("agent").agg(F.sort_array(F.collect_list(contact)).alias("contact_list"))
-    newest = Window.partitionBy("agent").orderBy(F.col("ts").desc(), "other", "direction")
-    lines = orientations(calls).withColumn("k", F.row_number().over(newest)).where(F.col("k") <= events)
-    lines = lines.groupBy("agent").agg(F.sort_array(F.collect_list(F.struct("k", "ts", "direction", "other", "duration", "event_type"))).alias("timeline"))
-    return stats.join(contacts, "agent", "left").join(lines, "agent", "left").withColumnRenamed("agent", "agent_id")
+#: The lists of an agent's document, in its order.
+PARTS = ("contacts", "friends", "locations", "calls", "sessions")
+LINE = ["agent", "part", "order", "name", "ts", "direction", "duration", "event_type", "outgoing", "incoming", "seconds", "last_type", "known_friend", "lat", "lng", "n", "score", "destination", "port", "mb"]
+
+
+def agent_lines(calls: DataFrame, sessions: DataFrame, edges: DataFrame, points: DataFrame, agents: DataFrame) -> DataFrame:
+    """The lists of every agent, an item a row and none left out: contacts by (-calls, id), friends by (-score, id), location points by (-calls, tower), calls and sessions newest first.
+
+    A row has the agent, the part of the document, its place `k` in that list (from 1) and
+    the columns of its kind; the others are null. Places come from one sort by ranges, so
+    an agent with any share of all rows takes many tasks. edges: lo, hi and, where known,
+    score; points: the rows of A20. Rows of people who are not in agents are left out.
+    """
+    scored = edges if "score" in edges.columns else edges.withColumn("score", F.lit(None).cast("double"))
+    ends = scored.select(F.inline(F.array(F.struct(F.col("lo").alias("agent"), F.col("hi").alias("name"), "score"), F.struct(F.col("hi").alias("agent"), F.col("lo").alias("name"), "score"))))
+    friends = ends.select("agent", "name").distinct().withColumn("known_friend", F.lit(True))
+    contacts = contact_summary(calls).withColumnRenamed("other", "name").join(friends, ["agent", "name"], "left")
+    kinds = {
+        "contacts": contacts.withColumns({"order": -(F.col("outgoing") + F.col("incoming")), "known_friend": F.coalesce("known_friend", F.lit(False))}).withColumnRenamed("last_ts", "ts"),
+        "friends": ends.withColumn("order", -F.coalesce("score", F.lit(-1.0))),
+        "locations": points.withColumnsRenamed({"tower": "name", "last_ts": "ts"}).withColumn("order", -F.col("n")),
+        "calls": orientations(calls).withColumnRenamed("other", "name").withColumn("order", -F.unix_micros("ts")),
+        "sessions": sessions.select(F.col("subscriber").alias("agent"), "ts", "destination", "port", "mb").withColumn("order", -F.unix_micros("ts")),
+    }
+    out = None
+    for part in PARTS:
+        rows = kinds[part].withColumns({"part": F.lit(PARTS.index(part)), "order": F.col("order").cast("double")})
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    known = agents.select("agent").distinct()
+    placed = numbered(out.select(*LINE).join(known, "agent", "left_semi"), [F.col(c) for c in LINE], "_k")
+    first = placed.groupBy("agent", "part").agg(F.min("_k").alias("_first"))
+    name = F.element_at(F.array(*[F.lit(x) for x in PARTS]), F.col("part") + 1)
+    return placed.join(first, ["agent", "part"]).select("agent", name.alias("part"), (F.col("_k") - F.col("_first") + 1).alias("k"), *[c for c in LINE[3:]])
+
+
+def agent_documents(calls: DataFrame, sessions: DataFrame, edges: DataFrame, points: DataFrame, agents: DataFrame) -> DataFrame:
+    """The rows of S10: agent_id, part, k and a struct with the item's own columns; part `stats` holds the 14 measures (A22) as its only item."""
+    stats = agent_stats(calls, sessions, edges, agents).distinct()
+    head = stats.select(F.col("agent").alias("agent_id"), F.lit("stats").alias("part"), F.lit(1).cast("long").alias("k"), F.struct(*stats.columns[1:]).alias("stats"))
+    items = agent_lines(calls, sessions, edges, points, agents)
+    body = items.select(F.col("agent").alias("agent_id"), "part", "k", F.struct(*items.columns[3:]).alias("item"))
+    return head.unionByName(body, allowMissingColumns=True)
 
 
 def latest_activity(calls: DataFrame, sessions: DataFrame) -> DataFrame:

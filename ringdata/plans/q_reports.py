@@ -88,19 +88,40 @@ def w5(spark, d):
     return R.top_values(s, "subscriber", "port")
 
 
-@query("w9_agent_timelines", ENDS + ", r AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY ts DESC, other, dir) AS k FROM ends), c AS (SELECT agent, other, count(*) AS n FROM ends GROUP BY ALL), f AS (SELECT agent, other, row_number() OVER (PARTITION BY agent ORDER BY n DESC, other) AS k FROM c) " + f"SELECT subscriber_id AS agent, (SELECT count(*) FROM r WHERE r.agent = s.subscriber_id AND k <= 50)::INT AS events, strftime(r1.ts, {DUCK_ISO}) AS newest, f1.other AS first_contact FROM subscribers s LEFT JOIN r r1 ON r1.agent = s.subscriber_id AND r1.k = 1 LEFT JOIN f f1 ON f1.agent = s.subscriber_id AND f1.k = 1")
+SCORED = ", oe AS (SELECT lo, hi, CASE WHEN (lo::BIGINT + hi::BIGINT) % 5 <> 0 THEN ((lo::BIGINT * 31 + hi::BIGINT * 17) % 1000) / 1000.0::DOUBLE END AS score FROM observed)"
+LINES = ENDS + POINTS + SCORED + """, fe AS (SELECT lo AS agent, hi AS name, score FROM oe UNION ALL SELECT hi, lo, score FROM oe),
+li AS (SELECT agent, 'contacts' AS part, -count(*)::DOUBLE AS o, other AS name, max(ts) AS ts, NULL AS direction, count(*)::DOUBLE AS measure, NULL::DOUBLE AS lat, NULL::DOUBLE AS lng, NULL AS detail, NULL AS port FROM ends GROUP BY agent, other
+UNION ALL SELECT agent, 'friends', -coalesce(score, -1), name, NULL, NULL, score, NULL, NULL, NULL, NULL FROM fe
+UNION ALL SELECT agent, 'locations', -n, tower, last_ts, NULL, n, lat, lng, NULL, NULL FROM points
+UNION ALL SELECT agent, 'calls', -epoch_us(ts)::DOUBLE, other, ts, dir, duration, NULL, NULL, event_type, NULL FROM ends
+UNION ALL SELECT subscriber, 'sessions', -epoch_us(ts)::DOUBLE, NULL, ts, NULL, mb, NULL, NULL, destination, port FROM sessions)
+"""
+
+
+def _documents(spark, d):
+    total = F.col("lo").cast("long") + F.col("hi").cast("long")
+    score = F.when(total % 5 != 0, (F.col("lo").cast("long") * 31 + F.col("hi").cast("long") * 17) % 1000 / 1000.0)
+    return V.calls(spark, d), V.sessions(spark, d), V.observed(spark, d).withColumn("score", score), R.location_points(_located(spark, d)), _agents(spark, d)
+
+
+# calls in order of duration before type, sessions of destination and port before volume, as the columns stand
+PLACE = "row_number() OVER (PARTITION BY agent, part ORDER BY o, name, ts, direction, CASE WHEN part = 'calls' THEN measure END, lat, lng, detail, port, measure)"
+
+
+@query("w9_agent_timelines", LINES + f"SELECT agent, part, {PLACE} AS k, name, strftime(ts, {DUCK_ISO}) AS ts, direction, round(measure, 4) AS measure, detail, port FROM li WHERE agent IN (SELECT subscriber_id FROM subscribers)")
 def w9(spark, d):
-    docs = R.agent_documents(V.calls(spark, d), V.sessions(spark, d), V.observed(spark, d), _agents(spark, d))
-    first = lambda c: F.get(c, F.lit(0))
-    return docs.select(F.col("agent_id").alias("agent"), F.size("timeline").alias("events"), iso(first("timeline")["ts"]).alias("newest"), first("contact_list")["other"].alias("first_contact"))
+    rows = R.agent_lines(*_documents(spark, d))
+    measure = F.coalesce("score", (F.col("outgoing") + F.col("incoming")).cast("double"), F.col("n").cast("double"), "duration", "mb")
+    return rows.select("agent", "part", "k", "name", iso("ts").alias("ts"), "direction", F.round(measure, 4).alias("measure"), F.coalesce("event_type", "destination").alias("detail"), "port")
 
 
-@query("s10_agent_docs", STATS + "SELECT subscriber_id AS agent, coalesce(outgoing_calls, 0) AS outgoing_calls, coalesce(contacts, 0) AS contacts FROM subscribers LEFT JOIN a ON a.agent = subscriber_id")
+@query("s10_agent_docs", STATS + LINES[len(ENDS):] + "SELECT agent, part, count(*) AS items, count(*) AS last FROM li WHERE agent IN (SELECT subscriber_id FROM subscribers) GROUP BY 1, 2 UNION ALL SELECT subscriber_id, 'stats ' || coalesce(outgoing_calls, 0) || ' ' || coalesce(contacts, 0) || ' ' || coalesce(friends, 0), 1, 1 FROM subscribers LEFT JOIN a ON a.agent = subscriber_id LEFT JOIN e ON e.agent = subscriber_id")
 def s10(spark, d):
     path = _scratch(spark, "s10")
-    files.write_agent_docs(R.agent_documents(V.calls(spark, d), V.sessions(spark, d), V.observed(spark, d), _agents(spark, d)), path)
-    back = spark.read.json(f"{path}/agents", schema="agent string, outgoing_calls long, contact_list array<struct<other:string>>")
-    return back.select("agent", "outgoing_calls", F.coalesce(F.size("contact_list"), F.lit(0)).cast("long").alias("contacts"))
+    files.write_agent_docs(R.agent_documents(*_documents(spark, d)), path)
+    back = spark.read.json(f"{path}/agents", schema="agent string, part string, k long, stats struct<outgoing_calls: long, contacts: long, friends: long>")
+    part = F.when(F.col("part") == "stats", F.concat_ws(" ", "part", "stats.outgoing_calls", "stats.contacts", "stats.friends")).otherwise(F.col("part"))
+    return back.groupBy("agent", part.alias("part")).agg(F.count(F.lit(1)).alias("items"), F.max("k").alias("last"))
 
 
 @query("w10_latest_activity", ENDS + f"SELECT agent, strftime(max(ts), {DUCK_ISO}) AS last_ts FROM (SELECT agent, ts FROM ends UNION ALL SELECT subscriber, ts FROM sessions) GROUP BY 1")

@@ -65,9 +65,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_agent_docs(docs: DataFrame, path: str) -> None:
-    """One JSON document per agent in a folder of its own, and an index of all."""
-    docs.withColumn("agent", F.col("agent_id")).repartition("agent_id").write.mode("overwrite").partitionBy("agent_id").json(f"{path}/agents")
-    docs.select("agent_id").write.mode("overwrite").json(f"{path}/index")
+    """A folder for each agent and an index of all.
+
+    An agent's document is JSON lines, one for the measures and one for each item of its
+    lists, in order of part and place; a large one takes several files in name order.
+    """
+    order = ["agent_id", "part", "k"]
+    docs.withColumn("agent", F.col("agent_id")).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("agent_id").json(f"{path}/agents")
+    docs.where("part = 'stats'").select("agent_id", "stats").write.mode("overwrite").json(f"{path}/index")
 
 
 def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
