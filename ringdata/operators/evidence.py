@@ -77,8 +77,23 @@ def contact_only(subjects: DataFrame, contacts: DataFrame) -> DataFrame:
 
 
 def content_fingerprint(df: DataFrame) -> DataFrame:
-    """Rows and an order-insensitive digest of the content."""
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+    """Rows and a digest of the content that does not depend on their order: the sum of 60 bits of every row's MD5.
+
+    A row is its columns as text in the order of df, each with its length before it; a null has a sign of its own.
+    """
+    cells = [F.coalesce(F.concat(F.length(F.col(f"`{c}`").cast("string")), F.lit(":"), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in df.columns]
+    bits = F.conv(F.substring(F.md5(F.concat(*cells)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(bits), F.lit(0)).cast("string").alias("digest"))
+
+
+def validation_fingerprint(settings: dict[str, str], *content: DataFrame) -> DataFrame:
+    """S11, for a whole check: one SHA-256 of the settings (zone, country code, schemas, ...) by name and of the given content fingerprints in order."""
+    said = F.lit("\n".join(f"{k}={settings[k]}" for k in sorted(settings)))
+    out, parts = None, []
+    for i, c in enumerate(content):
+        one = c.select(F.concat_ws(" ", "rows", "digest").alias(f"c{i}"))
+        out, parts = one if out is None else out.join(one, F.lit(True)), [*parts, F.col(f"c{i}")]  # one row each
+    return out.select(F.sha2(F.concat_ws("\n", said, *parts), 256).alias("fingerprint"))
 
 
 def identity_decision(evidence: DataFrame, answer: Column, mode: Column) -> DataFrame:
@@ -150,7 +165,7 @@ def identity_decision(evidence: DataFrame, answer: Column, mode: Column) -> Data
 
 
 def two_source_evidence(cdr: DataFrame, ipdr: DataFrame, alias_map: DataFrame) -> DataFrame:
-    """One row of scalars. cdr, ipdr: subject, ts (canonical and parsed)."""
+    """The one-row evidence of X5, which X4 decides on. cdr, ipdr: subject, ts (canonical and parsed)."""
     a, b = subject_activity(cdr, "subject"), subject_activity(ipdr, "subject")
     counts = match_coverage(match_subjects(a, b))
     overlap = observation_overlap(cdr.where("subject <> ''"), ipdr.where("subject <> ''"))
@@ -160,3 +175,25 @@ def two_source_evidence(cdr: DataFrame, ipdr: DataFrame, alias_map: DataFrame) -
         F.lit(True).alias("cdr_present"), F.lit(True).alias("ipdr_present"), (F.col("matched") + F.col("cdr_only")).alias("cdr_count"), (F.col("matched") + F.col("ipdr_only")).alias("ipdr_count"),
         "matched", "cdr_only", "ipdr_only", "cdr_coverage", "ipdr_coverage", F.col("status").alias("period_status"), "start_ts", "end_ts", "ambiguous", F.lit(False).alias("proves_identity"),
     )
+
+
+def evidence_reports(cdr: DataFrame, ipdr: DataFrame, alias_map: DataFrame, settings: dict[str, str], has_zone_column: bool = False) -> dict[str, DataFrame]:
+    """All reports on two sources by name, each a DataFrame of its own, computed when used.
+
+    cdr, ipdr: the columns of A1 and ts. Of each source: summary (A1), times (A4),
+    subjects (A2), contacts (A3), contact_only (J8) and fingerprint (S11). Of both:
+    overlap (A5), coverage (A6), matches (J9), matched_details (J10), the fingerprint of
+    the check and the one-row evidence. Give sources that are dear to derive as stored tables.
+    """
+    out, active = {}, {}
+    for name, df in (("cdr", cdr), ("ipdr", ipdr)):
+        active[name] = subject_activity(df, "subject")
+        out |= {
+            f"{name}_summary": source_summary(df), f"{name}_times": timestamp_quality(df, has_zone_column=has_zone_column), f"{name}_subjects": active[name],
+            f"{name}_contacts": contact_activity(df, "contact"), f"{name}_contact_only": contact_only(df.where("subject <> ''"), df.where("contact <> ''")), f"{name}_fingerprint": content_fingerprint(df),
+        }
+    matches = match_subjects(active["cdr"], active["ipdr"])
+    return out | {
+        "overlap": observation_overlap(cdr.where("subject <> ''"), ipdr.where("subject <> ''")), "coverage": match_coverage(matches), "matches": matches, "matched_details": matched_details(active["cdr"], active["ipdr"]),
+        "check": validation_fingerprint(settings, out["cdr_fingerprint"], out["ipdr_fingerprint"]), "evidence": two_source_evidence(cdr, ipdr, alias_map),
+    }

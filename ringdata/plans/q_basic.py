@@ -14,6 +14,7 @@ from ringdata.operators.schema import canonicalize_source
 from ringdata.plans.registry import query
 from ringdata.sources import files
 from ringdata.sources import views as V
+from ringdata.sources.tables import shared_dir
 
 ISO = "yyyy-MM-dd HH:mm:ss"
 
@@ -263,8 +264,7 @@ def p8(spark, d):
 
 
 def _scratch(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("s1_csv_scan", f"SELECT caller AS caller_id, receiver AS receiver_id, strftime(ts, {DUCK_ISO}) AS timestamp FROM calls UNION ALL SELECT 'Report', '', '' FROM calls WHERE k = 7")
@@ -347,9 +347,18 @@ def s9(spark, d):
     return spark.read.csv(path, header=True, schema="id long, raw string, c_name string", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-@query("s11_fingerprint")
+def digest_sql(*columns: str) -> str:
+    """S11's digest of text columns, for DuckDB."""
+    row = " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in columns)
+    return f"coalesce(sum(('0x' || substr(md5({row}), 1, 15))::BIGINT::HUGEINT), 0)::VARCHAR"
+
+
+S11 = ", t AS (SELECT event_id::VARCHAR AS e, caller, receiver, strftime(ts, " + DUCK_ISO + ") AS moment, event_type, CASE WHEN k % 3 > 0 THEN k::VARCHAR END AS k FROM calls)"
+
+
+@query("s11_fingerprint", S11 + f"SELECT count(*) AS rows, {digest_sql('e', 'caller', 'receiver', 'moment', 'event_type', 'k')} AS digest FROM t")
 def s11(spark, d):
-    return E.content_fingerprint(V.calls(spark, d))
+    return E.content_fingerprint(V.calls(spark, d).select("event_id", "caller", "receiver", iso("ts").alias("moment"), "event_type", F.when(F.col("k") % 3 > 0, F.col("k")).alias("k")))
 
 
 @query("s12_union_sources", "SELECT source, count(*) AS n, count(mb) AS with_mb FROM (SELECT 'calls' AS source, NULL::DOUBLE AS mb FROM calls UNION ALL SELECT 'sessions', mb FROM sessions) GROUP BY 1")
@@ -505,9 +514,65 @@ def x4(spark, d):
     return E.identity_decision(ev, answer, F.when(F.col("g") % 7 == 0, "same-person")).select("g", "answer", "mode", "allowed")
 
 
-@query("x5_two_source_evidence", TWO + f", cv AS ({COVER}) SELECT matched, cdr_only, ipdr_only, cdr_coverage, ipdr_coverage, 'overlap' AS period_status, (SELECT count(*) FROM (SELECT imsi FROM subscribers GROUP BY 1 HAVING count(*) > 1)) AS ambiguous, false AS proves_identity FROM cv")
+def _listed(report, key, source, **values):
+    """One report of X5 as rows of text, for DuckDB; values: name and SQL expression."""
+    names = ", ".join(f"'{n}'" for n in values)
+    return f"SELECT '{report}' AS report, {key} AS key, unnest([{names}]) AS name, unnest([{', '.join(f'({v})::VARCHAR' for v in values.values())}]) AS value FROM {source}"
+
+
+def _x5_sql():
+    at = lambda c: f"strftime({c}, {DUCK_ISO})"
+    status = "CASE k % 11 WHEN 0 THEN 'invalid' WHEN 1 THEN 'explicit' ELSE 'assumed' END"
+    reason = "CASE WHEN k % 9 = 0 THEN 'ambiguous_mapping' ELSE 'ok' END"
+    n = lambda test: f"count(*) FILTER ({test})"
+    parts, sql = [], ""
+    for name, table, subject, contact in (
+        ("cdr", "calls", "CASE WHEN k % 13 = 0 THEN '' WHEN caller::INT % 4 = 1 THEN 'c' || caller ELSE caller END", "receiver"),
+        ("ipdr", "(SELECT *, port::BIGINT AS k FROM sessions)", "CASE WHEN k % 13 = 0 THEN '' WHEN subscriber::INT % 5 = 2 THEN 's' || subscriber ELSE subscriber END", "subscriber"),
+    ):
+        sql += f", {name} AS (SELECT {subject} AS subject, {contact} AS contact, {reason} AS sr, 'ok' AS cr, CASE WHEN k % 11 > 0 THEN ts END AS ts, {status} AS st FROM {table}), {name}_s AS (SELECT subject, count(*) AS rows, min(ts) AS f, max(ts) AS l FROM {name} WHERE subject <> '' GROUP BY 1), {name}_f AS (SELECT count(*) AS rows, {digest_sql('subject', 'contact', 'sr', 'cr', at('ts'), 'st')} AS digest FROM {name})"
+        parts += [
+            _listed(f"{name}_summary", "''", name, rows="count(*)", missing_id_rows=n("subject = ''"), ambiguous_rows=n("sr <> 'ok'"), invalid_timestamp_rows=n("st = 'invalid'"), invalid_zone_rows="0", subjects="count(DISTINCT subject) FILTER (subject <> '')", contacts="count(DISTINCT contact)"),
+            _listed(f"{name}_times", "''", name, total="count(*)", valid=n("st <> 'invalid'"), invalid=n("st = 'invalid'"), bad_zone="0", zone_status="'mixed_explicit_and_assumed'"),
+            _listed(f"{name}_subjects", "subject", f"{name}_s", rows="rows", first_ts=at("f"), last_ts=at("l")),
+            _listed(f"{name}_contacts", "contact", f"(SELECT contact, count(*) AS n FROM {name} GROUP BY 1)", rows="n"),
+            _listed(f"{name}_contact_only", "contact", f"(SELECT contact FROM {name} EXCEPT SELECT subject FROM {name})", contact="contact"),
+            _listed(f"{name}_fingerprint", "''", f"{name}_f", rows="rows", digest="digest"),
+        ]
+    sql += ", mt AS (SELECT subject, CASE WHEN a.rows IS NOT NULL AND b.rows IS NOT NULL THEN 'matched' WHEN a.rows IS NOT NULL THEN 'cdr_only' ELSE 'ipdr_only' END AS status FROM cdr_s a FULL JOIN ipdr_s b USING (subject)), cv AS (" + COVER + ")"
+    sql += ", ov AS (SELECT greatest(a.f, b.f) AS s, least(a.l, b.l) AS e FROM (SELECT min(f) AS f, max(l) AS l FROM cdr_s) a, (SELECT min(f) AS f, max(l) AS l FROM ipdr_s) b)"
+    counts = {c: c for c in ("matched", "cdr_only", "ipdr_only", "cdr_coverage", "ipdr_coverage")}
+    period = {"start_ts": at("s"), "end_ts": at("e")}
+    parts += [
+        _listed("overlap", "''", "ov", **period, status="'overlap'"),
+        _listed("coverage", "''", "cv", **counts),
+        _listed("matches", "subject", "mt", status="status"),
+        _listed("matched_details", "subject", "cdr_s a JOIN ipdr_s b USING (subject)", cdr_rows="a.rows", cdr_first_ts=at("a.f"), cdr_last_ts=at("a.l"), ipdr_rows="b.rows", ipdr_first_ts=at("b.f"), ipdr_last_ts=at("b.l")),
+        _listed("check", "''", "cdr_f a, ipdr_f b", fingerprint="sha256('country=91' || chr(10) || 'zone=Asia/Kolkata' || chr(10) || a.rows || ' ' || a.digest || chr(10) || b.rows || ' ' || b.digest)"),
+        _listed("evidence", "''", "cv, ov", cdr_present="'true'", ipdr_present="'true'", cdr_count="matched + cdr_only", ipdr_count="matched + ipdr_only", **counts, period_status="'overlap'", **period, ambiguous="SELECT count(*) FROM (SELECT imsi FROM subscribers GROUP BY 1 HAVING count(*) > 1)", proves_identity="'false'"),
+    ]
+    return sql + ", every AS (" + " UNION ALL ".join(parts) + ") SELECT * FROM every WHERE value IS NOT NULL"
+
+
+@query("x5_two_source_evidence", _x5_sql())
 def x5(spark, d):
     a, b, _, _ = _two(spark, d)
     amap = J.finalize_map(V.subscribers(spark, d).select(F.col("imsi").alias("alias"), F.col("subscriber_id").alias("canonical")))
-    one = E.two_source_evidence(a.select(F.col("caller").alias("subject"), "ts"), b.select(F.col("subscriber").alias("subject"), "ts"), amap)
-    return one.select("matched", "cdr_only", "ipdr_only", F.round("cdr_coverage", 6).alias("cdr_coverage"), F.round("ipdr_coverage", 6).alias("ipdr_coverage"), "period_status", "ambiguous", "proves_identity")
+    k = F.col("k")
+
+    def source(df, subject, contact):
+        return df.select(
+            F.when(k % 13 == 0, "").otherwise(subject).alias("subject"), contact.alias("contact"), F.when(k % 9 == 0, "ambiguous_mapping").otherwise("ok").alias("subject_reason"), F.lit("ok").alias("contact_reason"),
+            F.when(k % 11 > 0, F.date_trunc("second", "ts")).alias("ts"), F.when(k % 11 == 0, "invalid").when(k % 11 == 1, "explicit").otherwise("assumed").alias("ts_status"),
+        )
+
+    cdr = source(a, F.col("caller"), F.col("receiver"))
+    ipdr = source(b.withColumn("k", F.col("port").cast("long")), F.col("subscriber"), F.ltrim(F.col("subscriber"), F.lit("s")))
+    out = None
+    for name, df in E.evidence_reports(cdr, ipdr, amap, {"zone": "Asia/Kolkata", "country": "91"}).items():
+        key = next((c for c in ("subject", "contact") if c in df.columns), None)
+        text = [iso(c) if t == "timestamp" else F.round(c, 6).cast("string") if t == "double" else F.col(c).cast("string") for c, t in df.dtypes]
+        cells = F.array(*[F.struct(F.lit(c).alias("name"), x.alias("value")) for c, x in zip(df.columns, text, strict=True) if c != key or len(df.columns) == 1])
+        rows = df.select(F.lit(name).alias("report"), (F.col(key) if key else F.lit("")).alias("key"), F.inline(cells))
+        out = rows if out is None else out.unionByName(rows)
+    return out.where("value IS NOT NULL")

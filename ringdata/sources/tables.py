@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def shared_dir(spark) -> str:
-    """spark.checkpoint.dir of the session; where that is unset, a folder of the warehouse."""
+    """spark.checkpoint.dir of the session; where that is unset, a folder of the warehouse, in local mode only: on a cluster the warehouse may be a folder of one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return sc.getCheckpointDir()
 
 

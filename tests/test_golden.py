@@ -231,3 +231,34 @@ def test_trained_model_keeps_its_word(spark, tmp_path):
     assert all(abs(x.p - y.p) < 1e-6 for x, y in zip(a, b))
     with pytest.raises(ValueError):
         model.score(df.drop("cdr_common_contacts"))
+
+
+def test_agent_lines_keep_every_item(spark):
+    from ringdata.operators import reports as R
+
+    at = "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id)"
+    calls = spark.range(400).selectExpr("'a' AS caller", "concat('b', id % 3) AS receiver", f"{at} AS ts", "1.0D AS duration", "'VOICE' AS event_type")
+    sessions = spark.range(120).selectExpr("'a' AS subscriber", f"{at} AS ts", "'x' AS destination", "'443' AS port", "1.0D AS mb")
+    edges = spark.createDataFrame([("a", "b1", 0.2), ("a", "b2", None), ("a", "c", 0.9)], "lo string, hi string, score double")
+    points = spark.createDataFrame([("a", 20.0, 70.0, "T2", 4), ("a", 21.0, 70.0, "T1", 4), ("a", 22.0, 70.0, "T0", 9)], "agent string, lat double, lng double, tower string, n long").selectExpr("*", "timestamp'2024-01-01 00:00:00' AS last_ts")
+    agents = spark.createDataFrame([("a",), ("b0",), ("nobody",)], "agent string")
+    lines = R.agent_lines(calls, sessions, edges, points, agents).orderBy("agent", "part", "k").collect()
+    of = lambda agent, part: [r for r in lines if (r.agent, r.part) == (agent, part)]
+    for part, n in (("calls", 400), ("sessions", 120), ("contacts", 3), ("friends", 3), ("locations", 3)):
+        assert [r.k for r in of("a", part)] == list(range(1, n + 1))
+    assert [r.ts for r in of("a", "calls")] == sorted((r.ts for r in of("a", "calls")), reverse=True)
+    assert [(r.name, r.known_friend) for r in of("a", "contacts")] == [("b0", False), ("b1", True), ("b2", True)]
+    assert [r.name for r in of("a", "friends")] == ["c", "b1", "b2"]
+    assert [r.name for r in of("a", "locations")] == ["T0", "T1", "T2"]
+    assert len(of("b0", "calls")) == 134 and {r.agent for r in lines} == {"a", "b0"}
+
+
+def test_content_fingerprint(spark):
+    make = lambda rows: spark.createDataFrame(rows, "a string, b string")
+    rows = [("x", None), ("", "y"), (None, None), ("1:x", "y")]
+    one = E.content_fingerprint(make(rows)).first()
+    assert one == E.content_fingerprint(make(rows[::-1])).first() and one.rows == 4
+    assert one.digest != E.content_fingerprint(make([("x", ""), *rows[1:]])).first().digest
+    assert E.content_fingerprint(make([])).first().asDict() == {"rows": 0, "digest": "0"}
+    check = lambda **s: E.validation_fingerprint(s, E.content_fingerprint(make(rows))).first().fingerprint
+    assert check(zone="UTC", country="91") == check(country="91", zone="UTC") != check(zone="UTC", country="1")
