@@ -22,8 +22,17 @@ def both_directions(edges: DataFrame) -> DataFrame:
 
 
 def uniform(seed: int, *cols) -> Column:
-    """A number in [0, 1) that depends on the seed and the columns only."""
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)) / float(1 << 52)
+    """A number in [0, 1) that depends on the seed and the columns only: 52 bits of an MD5, which any SQL engine can repeat."""
+    return F.conv(F.substring(F.md5(_cells(seed, *cols)), 1, 13), 16, 10).cast("long") / float(1 << 52)
+
+
+def rank_hash(seed: int, *cols) -> Column:
+    """A text to order rows by, in an order that depends on the seed and the columns only."""
+    return F.md5(_cells(seed, *cols))
+
+
+def _cells(seed: int, *cols) -> Column:
+    return F.concat_ws("|", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
 
 
 def node_condition(edges: DataFrame, fraction: float, seed: int = 7) -> DataFrame:

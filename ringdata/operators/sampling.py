@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ringdata.functions import scalars as S
 from ringdata.operators import edges as G
-from ringdata.operators.edges import uniform
+from ringdata.operators.edges import rank_hash, uniform
 from ringdata.sources.tables import stored
 
 
@@ -18,6 +19,8 @@ CIRCLES = {"MH": 0.20, "DL": 0.15, "KA": 0.15, "UP": 0.30, "WB": 0.20}
 TIER_1 = ["MH", "DL", "KA"]
 HOME_TOWERS, EVENING_TOWERS, EVENING_HOUR = (1000, 1500), (2000, 2200), 18
 CALL_SHARE, DUMMY_REUSE = 0.22, 2
+#: The golden section in billionths.
+GOLDEN = 618_033_989
 START = "2026-06-15 00:00:00"
 
 
@@ -64,7 +67,7 @@ def draw(rows: DataFrame, dist: DataFrame, name: str, seed: int) -> DataFrame:
     step = 64
     mine = dist.where(F.col("name") == name)
     totals = mine.select("person", "total").distinct()
-    at = F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "agent", "i"), F.col("total"))
+    at = F.floor(uniform(seed, F.lit(name), "agent", "i") * F.col("total"))
     keyed = rows.join(totals, "person").withColumn("at", at).withColumn("block", F.floor(F.col("at") / step)).drop("total")
     spread = mine.select("person", "value", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / step), F.floor((F.col("high") - 1) / step))).alias("block"))
     return keyed.join(spread, ["person", "block"]).where("at >= low AND at < high").select(*rows.columns, F.col("value").alias(name))
@@ -93,22 +96,29 @@ def friend_adjacency(edges: DataFrame, share: DataFrame) -> DataFrame:
 
 def sample_neighbor(nodes: DataFrame, edges: DataFrame, seed: int = 7) -> DataFrame:
     """Node, neighbor: the one of the least hash, which is uniform; a node without edges gets itself."""
-    best = G.both_directions(edges).groupBy("node").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "node", "other").alias("h"), "other")).alias("b"))
+    best = G.both_directions(edges).groupBy("node").agg(F.min(F.struct(rank_hash(seed, "node", "other").alias("h"), "other")).alias("b"))
     return nodes.join(best, "node", "left").select("node", F.coalesce("b.other", "node").alias("neighbor"))
 
 
+def pick(rows: DataFrame, choices: DataFrame, value: str, what: str, seed: int) -> DataFrame:
+    """rows (agent, i, ...) with one of the agent's distinct values of `choices`, null where it has none: a rank is drawn and joined on (agent, rank)."""
+    some = choices.select("agent", value).distinct()
+    ranked = some.select("agent", value, (F.row_number().over(Window.partitionBy("agent").orderBy(value)) - 1).cast("long").alias("_at"))
+    drawn = rows.join(some.groupBy("agent").agg(F.count(F.lit(1)).alias("_n")), "agent", "left").withColumn("_at", F.floor(uniform(seed, F.lit(what), "agent", "i") * F.col("_n")))
+    return drawn.join(ranked, ["agent", "_at"], "left").drop("_at", "_n")
+
+
 def route_calls(calls: DataFrame, shares: DataFrame, contacts: DataFrame, edges: DataFrame, seed: int = 7, default_share: float = CALL_SHARE) -> DataFrame:
     """Calls (agent, i) with receiver and contact_type.
 
     With the agent's share of cross links: one of its contacts, else a graph neighbour,
     else itself; otherwise an outside number. shares: agent, share; contacts: agent, contact.
     """
-    some = contacts.groupBy("agent").agg(F.array_sort(F.collect_set("contact")).alias("cs"))
-    near = G.both_directions(edges).groupBy(F.col("node").alias("agent")).agg(F.array_sort(F.collect_set("other")).alias("ns"))
-    rows = calls.join(shares, "agent", "left").join(some, "agent", "left").join(near, "agent", "left")
-    pick = lambda xs, what: F.get(xs, F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "agent", "i"), F.greatest(F.size(xs), F.lit(1))).cast("int"))
+    near = G.both_directions(edges).select(F.col("node").alias("agent"), F.col("other").alias("_near"))
+    rows = pick(calls, contacts.select("agent", F.col("contact").alias("_contact")), "_contact", "contact", seed)
+    rows = pick(rows, near, "_near", "near", seed).join(shares, "agent", "left")
     linked = uniform(seed, F.lit("link"), "agent", "i") < F.coalesce("share", F.lit(default_share))
-    inside = F.coalesce(pick(F.col("cs"), "contact"), pick(F.col("ns"), "near"), F.col("agent"))
+    inside = F.coalesce("_contact", "_near", "agent")
     outside = F.concat(F.lit("DUMMY_"), F.col("agent"), F.lit("_"), F.lpad(F.floor(F.col("i") / DUMMY_REUSE).cast("string"), 6, "0"))
     return rows.select(*calls.columns, F.when(linked, inside).otherwise(outside).alias("receiver"), F.when(linked, "known_friend").otherwise("dummy_entity").alias("contact_type"))
 
@@ -119,13 +129,15 @@ def bounded_reuse_ids(rows: DataFrame, owner: str, order: list[str], k: int = DU
     return rows.withColumn("dummy_id", F.concat(F.lit("DUMMY_"), F.col(owner), F.lit("_"), F.lpad(F.floor(n / k).cast("string"), 6, "0")))
 
 
-def _numbered(nodes: DataFrame) -> DataFrame:
-    return G.sequential_ids(nodes.select("node").distinct(), ["node"], "", 12).select(F.col("row_id").cast("long").alias("at"), "node")
+def _numbered(nodes: DataFrame, seed: int) -> DataFrame:
+    """Distinct nodes numbered from 0 in hash order."""
+    hashed = nodes.select("node").distinct().withColumn("_h", rank_hash(seed, "node"))
+    return G.numbered(hashed, ["_h", "node"], "at").select("at", "node")
 
 
 def _pairs_of(drawn: DataFrame, numbered: DataFrame) -> DataFrame:
     a, b = numbered.select(F.col("at").alias("x"), F.col("node").alias("lo_")), numbered.select(F.col("at").alias("y"), F.col("node").alias("hi_"))
-    return drawn.join(a, "x").join(b, "y").select(F.least("lo_", "hi_").alias("lo"), F.greatest("lo_", "hi_").alias("hi"))
+    return drawn.join(a, "x").join(b, "y").select("id", F.least("lo_", "hi_").alias("lo"), F.greatest("lo_", "hi_").alias("hi"))
 
 
 def _unrank(k: Column) -> tuple[Column, Column]:
@@ -136,40 +148,40 @@ def _unrank(k: Column) -> tuple[Column, Column]:
     return (k - (y * (y - 1) / 2).cast("long")), y
 
 
+def _pair_walk(numbered: DataFrame, pairs: int, first: int, seed: int) -> DataFrame:
+    """id, lo, hi: the first places of a walk over all pairs that meets each once.
+
+    Pair numbers are unranked from id * step + start modulo the number of pairs, with a
+    step near the golden section, so that any first part of the walk spreads evenly; the
+    nodes behind the numbers are in hash order.
+    """
+    step = next(s for s in itertools.count(max(1, pairs * GOLDEN // 10**9)) if math.gcd(s, max(1, pairs)) == 1)
+    k = F.pmod(F.col("id").cast("decimal(38,0)") * step + seed * 7919, F.lit(max(1, pairs))).cast("long")
+    x, y = _unrank(F.col("k"))
+    return _pairs_of(numbered.sparkSession.range(first).select("id", k.alias("k")).select("id", x.alias("x"), y.alias("y")), numbered)
+
+
 def sample_pairs_fraction(nodes: DataFrame, fraction: float, seed: int = 7) -> DataFrame:
-    """max(1, round(fraction * N (N - 1) / 2)) distinct pairs: N-th parts of the pair numbers by a seeded affine permutation, unranked."""
-    numbered = _numbered(nodes)
+    """max(1, round(fraction * N (N - 1) / 2)) distinct pairs, the first of the walk over all pairs."""
+    numbered = stored(_numbered(nodes, seed), "nodes")
     n = numbered.count()
     pairs = n * (n - 1) // 2
     wanted = min(pairs, max(1, round(fraction * pairs))) if pairs else 0
-    step = next(s for s in range(max(1, pairs * 2 // 3) + seed, pairs * 3 + seed + 7) if math.gcd(s, max(1, pairs)) == 1)
-    k = F.pmod(F.col("id").cast("decimal(38,0)") * step + seed * 7919, F.lit(max(1, pairs))).cast("long")
-    x, y = _unrank(F.col("k"))
-    return _pairs_of(nodes.sparkSession.range(wanted).select(k.alias("k")).select(x.alias("x"), y.alias("y")), numbered)
+    return _pair_walk(numbered, pairs, wanted, seed).select("lo", "hi")
 
 
-def sample_non_edges(nodes: DataFrame, edges: DataFrame, n: int, seed: int = 7, small: int = 2_500) -> DataFrame:
-    """N distinct pairs that are no edge, fewer if there are not so many.
+def sample_non_edges(nodes: DataFrame, edges: DataFrame, n: int, seed: int = 7) -> DataFrame:
+    """N distinct pairs that are no edge; all such pairs if there are fewer.
 
-    Pairs are drawn by hash, three times as many as asked for and more on each round;
-    for at most `small` nodes the whole complement is ranked by hash instead.
+    Of any n + E pairs at most E are edges, so the first n + E of the walk over all pairs
+    hold enough, on graphs of any size and density; the first n that are no edge are kept.
     """
-    numbered = stored(_numbered(nodes), "nodes")
+    numbered = stored(_numbered(nodes, seed), "nodes")
     count = numbered.count()
     pairs = count * (count - 1) // 2
-    spark = nodes.sparkSession
-    if count <= small:
-        x, y = _unrank(F.col("id"))
-        free = G.exclude_known_edges(_pairs_of(spark.range(pairs).select(x.alias("x"), y.alias("y")), numbered), edges)
-        return free.orderBy(F.xxhash64(F.lit(seed), "lo", "hi"), "lo", "hi").limit(n)
-    for factor in (3, 12, 48):
-        k = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(pairs))
-        x, y = _unrank(F.col("k"))
-        drawn = spark.range(n * factor).select(k.alias("k")).distinct().select(x.alias("x"), y.alias("y"))
-        free = G.exclude_known_edges(_pairs_of(drawn, numbered), edges).orderBy(F.xxhash64(F.lit(seed), "lo", "hi"), "lo", "hi").limit(n)
-        if factor == 48 or free.count() == n:
-            return free
-    return free
+    known = edges.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct()
+    free = G.exclude_known_edges(_pair_walk(numbered, pairs, min(pairs, n + known.count()), seed), known)
+    return G.numbered(free, ["id"], "_place").where(F.col("_place") < n).select("lo", "hi")
 
 
 def assign_weighted(df: DataFrame, key: str, seed: int = 7) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ringdata.operators import learn as M
 from ringdata.operators import profiles as A
 from ringdata.plans.q_basic import _scratch
-from ringdata.plans.q_pairs import q6, r6
+from ringdata.plans.q_pairs import draw_sql, q6, r6
 from ringdata.plans.registry import query
 from ringdata.sources import views as V
 from ringdata.sources.tables import cut
@@ -72,19 +72,17 @@ def w3(spark, d):
     return M.stratified_split(V.pairs(spark, d), ["lo", "hi"]).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w4_group_disjoint_split", "SELECT 0::BIGINT AS people_in_two_splits")
+PART = "CASE WHEN {0} < 0.6 THEN 'train' WHEN {0} < 0.8 THEN 'validation' ELSE 'test' END"
+
+
+@query("w4_group_disjoint_split", f", s AS (SELECT *, {PART.format(draw_sql(42, 'lo'))} AS split, {PART.format(draw_sql(42, 'hi'))} AS other FROM pairs) SELECT lo, hi, label, split FROM s WHERE split = other")
 def w4(spark, d):
-    s = M.group_disjoint_split(V.pairs(spark, d), "lo", "hi")
-    people = s.select(F.explode(F.array("lo", "hi")).alias("person"), "split").groupBy("person").agg(F.count_distinct("split").alias("n"))
-    return people.agg(F.count_if(F.col("n") > 1).alias("people_in_two_splits"))
+    return M.group_disjoint_split(V.pairs(spark, d), "lo", "hi").select("lo", "hi", "label", "split")
 
 
-@query("w4_temporal_split", "SELECT true AS ordered, true AS near_fifth")
+@query("w4_temporal_split", ", q AS (SELECT quantile_disc(ts, 0.8) AS q FROM calls) SELECT event_id, CASE WHEN ts > q THEN 'held_out' ELSE 'train' END AS split FROM calls, q")
 def w4t(spark, d):
-    s = M.temporal_split(V.calls(spark, d), "ts")
-    held = F.col("split") == "held_out"
-    one = s.agg(F.max(F.when(~held, F.col("ts"))).alias("a"), F.min(F.when(held, F.col("ts"))).alias("b"), F.avg(held.cast("int")).alias("share"))
-    return one.select((F.col("a") <= F.col("b")).alias("ordered"), F.col("share").between(0.19, 0.21).alias("near_fifth"))
+    return M.temporal_split(V.calls(spark, d), "ts").select("event_id", "split")
 
 
 @query("w12_review_errors", "(SELECT 'fp' AS kind, id, p FROM scores WHERE label = 0 AND p >= 0.5 ORDER BY p DESC, id LIMIT 10) UNION ALL (SELECT 'fn', id, p FROM scores WHERE label = 1 AND p < 0.5 ORDER BY p, id LIMIT 10)")
@@ -113,12 +111,11 @@ def a30(spark, d):
     return s.select("feature", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
 
 
-@query("m1_transform_features", "SELECT count(*) AS pairs, true AS centred FROM pairs")
+@query("m1_transform_features", f", f AS (SELECT least(caller, receiver) AS lo, greatest(caller, receiver) AS hi, ln(1 + count(*)) AS n, ln(1 + sum(duration)) AS t FROM calls GROUP BY ALL) SELECT lo, hi, {q6('(n - avg(n) OVER ()) / stddev_pop(n) OVER ()', 'events')}, {q6('(t - avg(t) OVER ()) / stddev_pop(t) OVER ()', 'seconds')} FROM f")
 def m1(spark, d):
     f = A.pair_features(V.pairs(spark, d).select("lo", "hi"), V.calls(spark, d), V.sessions(spark, d))
     t = M.transform_features(f, M.scaler_of(M.feature_scaler(f)))
-    worst = F.greatest(*[F.abs(F.avg(c)) for c in A.FEATURES])
-    return t.agg(F.count(F.lit(1)).alias("pairs"), (worst < 1e-6).alias("centred"))
+    return t.select("lo", "hi", r6(F.col("cdr_events_total"), "events"), r6(F.col("cdr_total_duration_seconds"), "seconds"))
 
 
 @query("m2_train_classifier")

@@ -20,6 +20,16 @@ def q6(expr, name):
     return f"round(({expr}) + 1e-9, 6) AS {name}"
 
 
+def draw_sql(seed, *cells):
+    """SQL of edges.uniform."""
+    return f"(('0x' || substr({hash_sql(seed, *cells)}, 1, 13))::BIGINT / {1 << 52}::DOUBLE)"
+
+
+def hash_sql(seed, *cells):
+    """SQL of edges.rank_hash."""
+    return f"md5(concat_ws('|', '{seed}', {', '.join(cells)}))"
+
+
 HOURS = ", ".join(f"count(*) FILTER (hour(ts) = {h})" for h in range(24))
 NIGHT, WEEKEND = "hour(ts) < 6 OR hour(ts) >= 22", "isodow(ts) >= 6"
 PROF = f""", prof AS (SELECT subscriber AS person, count(*) AS sessions, sum(mb) AS mb, sum(session_s) AS seconds, count(*) AS timed, count(DISTINCT ts::DATE) AS days, [{HOURS}] AS hours, count(*) FILTER ({NIGHT}) AS night, count(*) FILTER ({WEEKEND}) AS weekend,
@@ -103,10 +113,9 @@ def a16(spark, d):
     return G.distinct_edges(V.calls(spark, d), _agents(spark, d))
 
 
-@query("a17_node_condition", ", e AS (SELECT lo AS node FROM pairs UNION ALL SELECT hi FROM pairs) SELECT node, count(*) AS degree, true AS ok FROM e GROUP BY 1")
+@query("a17_node_condition", f", e AS (SELECT lo, hi, ({draw_sql(7, 'lo', 'hi')} < 0.05)::INT AS r FROM pairs), b AS (SELECT lo AS node, r FROM e UNION ALL SELECT hi, r FROM e) SELECT node, count(*) AS degree, {q6('sum(r) / count(*)::DOUBLE', 'condition')} FROM b GROUP BY 1")
 def a17(spark, d):
-    c = G.node_condition(V.pairs(spark, d), 0.05)
-    return c.select("node", "degree", F.col("condition").between(0, 1).alias("ok"))
+    return G.node_condition(V.pairs(spark, d), 0.05).select("node", "degree", r6(F.col("condition"), "condition"))
 
 
 @query("a18_best_score_per_pair", "SELECT least(caller, receiver) AS lo, greatest(caller, receiver) AS hi, max(duration) AS score FROM calls GROUP BY ALL")

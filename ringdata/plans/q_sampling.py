@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringdata.operators import edges as G
 from ringdata.operators import profiles as A
 from ringdata.operators import sampling as R
+from ringdata.plans.q_pairs import draw_sql, hash_sql
 from ringdata.plans.registry import query
 from ringdata.sources import views as V
 
@@ -53,29 +53,23 @@ def _rows(spark, d):
     return V.calls(spark, d).select(F.col("caller").alias("agent"), F.col("event_id").alias("i"))
 
 
-@query("r4_route_calls", "SELECT count(*) AS calls, true AS share_near, true AS supported FROM calls")
+BOTH = ", b AS (SELECT lo AS node, hi AS other FROM observed UNION ALL SELECT hi, lo FROM observed)"
+RANKED = "SELECT *, row_number() OVER (PARTITION BY agent ORDER BY value) - 1 AS at, count(*) OVER (PARTITION BY agent) AS n FROM (SELECT DISTINCT {} AS value FROM {})"
+
+
+@query("r4_route_calls", BOTH + f""", c AS ({RANKED.format("caller AS agent, receiver", "calls WHERE k % 2 = 0")}), f AS ({RANKED.format("node AS agent, other", "b")}),
+x AS (SELECT caller AS agent, event_id AS i, {draw_sql(7, "'link'", "caller", "event_id")} < 0.5 AS linked, {draw_sql(7, "'contact'", "caller", "event_id")} AS uc, {draw_sql(7, "'near'", "caller", "event_id")} AS uf FROM calls)
+SELECT x.agent, i, CASE WHEN linked THEN coalesce(c.value, f.value, x.agent) ELSE 'DUMMY_' || x.agent || '_' || lpad((i // 2)::VARCHAR, 6, '0') END AS receiver, CASE WHEN linked THEN 'known_friend' ELSE 'dummy_entity' END AS contact_type
+FROM x LEFT JOIN c ON c.agent = x.agent AND c.at = floor(uc * c.n) LEFT JOIN f ON f.agent = x.agent AND f.at = floor(uf * f.n)""")
 def r4(spark, d):
-    c, o = V.calls(spark, d), V.observed(spark, d)
-    contacts = c.where("k % 2 = 0").select(F.col("caller").alias("agent"), F.col("receiver").alias("contact")).distinct()
+    contacts = V.calls(spark, d).where("k % 2 = 0").select(F.col("caller").alias("agent"), F.col("receiver").alias("contact"))
     shares = V.subscribers(spark, d).select(F.col("subscriber_id").alias("agent"), F.lit(0.5).alias("share"))
-    r = R.route_calls(_rows(spark, d), shares, contacts, o)
-    known = contacts.unionByName(G.both_directions(o).toDF("agent", "contact")).distinct().withColumn("hit", F.lit(True))
-    j = r.join(known, (r["agent"] == known["agent"]) & (r["receiver"] == known["contact"]), "left").select(r["agent"], "receiver", "contact_type", "hit")
-    friend = F.col("contact_type") == "known_friend"
-    fine = F.when(friend, F.col("hit").isNotNull() | (F.col("receiver") == F.col("agent"))).otherwise(F.col("receiver").startswith("DUMMY_"))
-    return j.agg(F.count(F.lit(1)).alias("calls"), F.avg(friend.cast("int")).between(0.4, 0.6).alias("share_near"), F.bool_and(fine).alias("supported"))
+    return R.route_calls(_rows(spark, d), shares, contacts, V.observed(spark, d))
 
 
-@query("r5_sample_neighbor", "SELECT count(*) AS nodes, true AS valid FROM subscribers")
+@query("r5_sample_neighbor", BOTH + f", m AS (SELECT node, arg_min(other, {hash_sql(7, 'node', 'other')}) AS other FROM b GROUP BY 1) SELECT subscriber_id AS node, coalesce(other, subscriber_id) AS neighbor FROM subscribers LEFT JOIN m ON node = subscriber_id")
 def r5(spark, d):
-    o = V.observed(spark, d)
-    nodes = V.subscribers(spark, d).select(F.col("subscriber_id").alias("node"))
-    s = R.sample_neighbor(nodes, o)
-    near = G.both_directions(o).withColumn("hit", F.lit(True))
-    j = s.join(near, (s["node"] == near["node"]) & (s["neighbor"] == near["other"]), "left").select(s["node"], "neighbor", "hit")
-    degree = G.both_directions(o).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    fine = F.col("hit").isNotNull() | (F.col("degree").isNull() & (F.col("neighbor") == F.col("node")))
-    return j.join(degree, "node", "left").agg(F.count(F.lit(1)).alias("nodes"), F.bool_and(fine).alias("valid"))
+    return R.sample_neighbor(_nodes(spark, d), V.observed(spark, d))
 
 
 @query("r6_bounded_reuse_ids", ", r AS (SELECT caller AS agent, event_id AS i, (row_number() OVER (PARTITION BY caller ORDER BY event_id) - 1) // 2 AS n FROM calls) SELECT agent, i, 'DUMMY_' || agent || '_' || lpad(n::VARCHAR, 6, '0') AS dummy_id FROM r")
@@ -87,18 +81,21 @@ def _nodes(spark, d):
     return V.subscribers(spark, d).select(F.col("subscriber_id").alias("node"))
 
 
-@query("r7_sample_non_edges", ", n AS (SELECT count(*) AS n FROM subscribers), e AS (SELECT count(*) AS e FROM observed WHERE lo IN (SELECT subscriber_id FROM subscribers) AND hi IN (SELECT subscriber_id FROM subscribers)) SELECT least(500, n * (n - 1) // 2 - e)::BIGINT AS pairs, least(500, n * (n - 1) // 2 - e)::BIGINT AS distinct_pairs, 0::BIGINT AS edges FROM n, e")
+#: The walk over all pairs; {} is the number of places.
+WALK = f""", nodes AS (SELECT subscriber_id AS node, row_number() OVER (ORDER BY {hash_sql(7, "subscriber_id")}, subscriber_id) - 1 AS at FROM subscribers), total AS (SELECT count(*) * (count(*) - 1) // 2 AS p FROM nodes),
+step AS (SELECT p, min(s) AS s FROM total, unnest(range(greatest(1, p * {R.GOLDEN} // 1000000000), greatest(1, p * {R.GOLDEN} // 1000000000) + 1000)) t(s) WHERE gcd(s, p) = 1 GROUP BY 1),
+ranked AS (SELECT b.at * (b.at - 1) // 2 + a.at AS k, least(a.node, b.node) AS lo, greatest(a.node, b.node) AS hi FROM nodes a JOIN nodes b ON b.at > a.at),
+seats AS (SELECT id, ((id::HUGEINT * s + 7 * 7919) % p)::BIGINT AS k FROM step, unnest(range(0, {{}})) t(id)), walk AS (SELECT id, lo, hi FROM seats JOIN ranked USING (k))"""
+
+
+@query("r7_sample_non_edges", WALK.format("least(p, 500 + (SELECT count(*) FROM observed))") + "SELECT lo, hi FROM walk ANTI JOIN observed USING (lo, hi) ORDER BY id LIMIT 500")
 def r7(spark, d):
-    o = V.observed(spark, d)
-    s = R.sample_non_edges(_nodes(spark, d), o, 500)
-    e = o.withColumn("edge", F.lit(1))
-    return s.join(e, ["lo", "hi"], "left").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("lo", "hi").alias("distinct_pairs"), F.count("edge").alias("edges"))
+    return R.sample_non_edges(_nodes(spark, d), V.observed(spark, d), 500)
 
 
-@query("r8_sample_pairs_fraction", ", n AS (SELECT count(*) AS n FROM subscribers), k AS (SELECT greatest(1, round_even(0.01 * (n * (n - 1) // 2), 0)::BIGINT) AS k FROM n) SELECT k AS pairs, k AS distinct_pairs, true AS ordered FROM k")
+@query("r8_sample_pairs_fraction", WALK.format("greatest(1, round_even(0.01 * p, 0)::BIGINT)") + "SELECT lo, hi FROM walk")
 def r8(spark, d):
-    s = R.sample_pairs_fraction(_nodes(spark, d), 0.01)
-    return s.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("lo", "hi").alias("distinct_pairs"), F.bool_and(F.col("lo") < F.col("hi")).alias("ordered"))
+    return R.sample_pairs_fraction(_nodes(spark, d), 0.01)
 
 
 @query("r9_friend_adjacency", ", b AS (SELECT lo AS node, hi AS other FROM observed UNION ALL SELECT hi, lo FROM observed) SELECT node, string_agg(other, ',' ORDER BY other) AS friends, CASE WHEN node IN (SELECT subscriber_id FROM subscribers WHERE region = 'ASIA') THEN 0.3 ELSE 0 END::DOUBLE AS share FROM b GROUP BY 1")
@@ -107,12 +104,13 @@ def r9(spark, d):
     return R.friend_adjacency(V.observed(spark, d), share).select("node", F.array_join("friends", ",").alias("friends"), "share")
 
 
-@query("r10_assign_weighted", "SELECT count(*) AS rows, 5::BIGINT AS circles, true AS near, true AS consistent FROM customer")
+DRAWS = ", ".join(f"{draw_sql(7, repr(x), 'c_custkey')} AS {x[0:2]}" for x in ("circle", "device", "tier", "tower")).replace("AS to", "AS tow")
+
+
+@query("r10_assign_weighted", f""", u AS (SELECT c_custkey, {DRAWS} FROM customer), c AS (SELECT *, CASE WHEN ci < 0.2 THEN 'MH' WHEN ci < 0.35 THEN 'DL' WHEN ci < 0.5 THEN 'KA' WHEN ci < 0.8 THEN 'UP' ELSE 'WB' END AS circle, ci < 0.5 AS first FROM u)
+SELECT c_custkey, circle, CASE WHEN first AND de < 0.5 THEN '5G' WHEN first OR de < 0.5 THEN '4G' ELSE '2G' END AS device, CASE WHEN first AND ti < 0.5 THEN 'premium' ELSE 'basic' END AS tier, 'TOWER_' || circle || '_' || (1000 + floor(tow * 500)::INT) AS tower FROM c""")
 def r10(spark, d):
-    a = R.assign_weighted(V.table(spark, d, "customer").select("c_custkey"), "c_custkey")
-    first = F.col("circle").isin(R.TIER_1)
-    fine = F.when(first, F.col("device").isin("5G", "4G")).otherwise(F.col("device").isin("4G", "2G") & (F.col("tier") == "basic")) & F.col("tower").contains(F.col("circle"))
-    return a.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("circle").alias("circles"), F.avg((F.col("circle") == "UP").cast("int")).between(0.2, 0.4).alias("near"), F.bool_and(fine).alias("consistent"))
+    return R.assign_weighted(V.table(spark, d, "customer").select("c_custkey"), "c_custkey")
 
 
 @query("r11_route_tower", "SELECT event_id, hour(ts) >= 18 AS evening FROM calls")

@@ -193,6 +193,20 @@ def test_pairs_are_unranked_exactly(spark):
     assert got == [(a, b) for b in range(20) for a in range(b)]
 
 
+def test_non_edges_of_dense_graphs(spark):
+    names = [f"n{i:02d}" for i in range(40)]
+    free = {p for i, p in enumerate(itertools.combinations(names, 2)) if i % 97 == 0}
+    nodes = spark.createDataFrame([(n,) for n in names], "node string")
+    edges = spark.createDataFrame([p for p in itertools.combinations(names, 2) if p not in free], "lo string, hi string")
+    draw = lambda n, e: [tuple(r) for r in R.sample_non_edges(nodes, e, n).collect()]
+    assert sorted(draw(100, edges)) == sorted(free)
+    some = draw(5, edges)
+    assert len(set(some)) == 5 and set(some) <= free
+    turned = edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))
+    assert sorted(draw(100, turned)) == sorted(free)
+    assert len({x for p in draw(60, edges.limit(0)) for x in p}) > 30  # spread over the nodes
+
+
 def test_graph_against_brute_force(spark):
     cliques = [list("abcde"), list("fghij")]
     edges = [p for c in cliques for p in itertools.combinations(c, 2)] + [("e", "f")]
