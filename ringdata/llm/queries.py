@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, line_dedup, mixing, pii, pitman_yor, quality_net, quality_rules, simhash, sketch, url_filter, whitening
+from . import bpe, html_text, line_dedup, mixing, pii, pitman_yor, quality_net, quality_rules, ranked_search, simhash, sketch, url_filter, whitening
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_pitman_yor": pitman_yor.op8_pitman_yor,
     "op9_html_text": html_text.op9_html_text,
     "op10_fingerprints": sketch.op10_fingerprints,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
     "op12_whitening": whitening.op12_whitening,
     "op13_line_dedup": line_dedup.op13_line_dedup,
 }
 ORACLE_SQL = {
     "op2_url_filters": url_filter.OP2_SQL,
+    "op11_ranked_search": ranked_search.OP11_SQL,
     "op13_line_dedup": line_dedup.OP13_SQL,
 }
