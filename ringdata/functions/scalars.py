@@ -207,10 +207,25 @@ def ratio_similarity(a: Column, b: Column) -> Column:
     return F.when(F.greatest(a, b) > 0, F.least(a, b) / F.greatest(a, b)).otherwise(0.0)
 
 
+#: Decimal digits of all scripts but ASCII's, and what they stand for.
+DIGITS = {chr(c): str(unicodedata.decimal(chr(c))) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Nd"}
+_DIGITS = "[0-9](?:_?[0-9])*+"
+#: A decimal number as Python's float reads it: digits, with single underscores between them, a point, an exponent; no hexadecimal, no type suffix.
+DECIMAL = f"^[+-]?(?:{_DIGITS}(?:[.](?:{_DIGITS})?)?|[.]{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+
+
+def number(c: Column) -> Column:
+    """A finite number that a text holds as Python's float reads it (any white space around, digits of any script), else null; columns of numbers stay as they are."""
+    t = c.cast("string")
+    t = _trim(F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, "".join(DIGITS), "".join(DIGITS.values()))).otherwise(t))
+    text = F.when(t.rlike(DECIMAL), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
+    x = F.when(F.typeof(c) == "string", text).otherwise(c.try_cast("double"))  # the planner folds typeof
+    return F.when(F.abs(x) < float("inf"), x)
+
+
 def safe_number(c: Column, default: float = 0.0) -> Column:
-    """a finite number, else the default."""
-    x = c.try_cast("double")
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(default)).otherwise(x)
+    """a finite number (see `number`), else the default."""
+    return F.coalesce(number(c), F.lit(default))
 
 
 def megabytes(mb: Column, up_kb: Column, down_kb: Column) -> Column:
@@ -237,7 +252,7 @@ def stable_numeric_id(c: Column, digits: int = 15) -> Column:
 
 def valid_port(c: Column) -> Column:
     """F20."""
-    p = c.try_cast("double")
+    p = number(c)
     return F.when(p.between(1, 65535), p.cast("int"))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ringdata.functions import scalars as S
 
+from .sweep import near_marks
+
 
 def distinct_edges(calls: DataFrame, agents: DataFrame) -> DataFrame:
     """Unordered pairs of two different selected agents."""
@@ -103,21 +105,19 @@ def annotate_contacts(contacts: DataFrame, edges: DataFrame) -> DataFrame:
 def temporal_coincidences(calls: DataFrame, sessions: DataFrame, seconds: int = 300, cap: int | None = None) -> DataFrame:
     """Per pair, the calls with a session of the caller and one of the receiver within `seconds`.
 
-    A slotted interval join: calls meet sessions on (person, slot of that width), a
-    session standing in its own and both neighbouring slots. cap keeps the first calls
-    by (time, id) where a report asks for it.
+    A sweep join (sweep.near_marks) tells for either end of every call whether a session
+    is near, in time linear in both tables, with one person's rows in as many tasks as
+    they need. A call is a distinct (event_id, time, caller, receiver). cap keeps the
+    first calls by (time, id) where a report asks for it.
     """
-    slot = lambda c: F.floor(F.unix_micros(c) / (seconds * 1_000_000))
-    at = sessions.select("subscriber", F.unix_micros("ts").alias("s"), F.explode(F.array(*[slot(F.col("ts")) + i for i in (-1, 0, 1)])).alias("slot"))
-    c = calls.select("event_id", "caller", "receiver", F.unix_micros("ts").alias("t"), slot(F.col("ts")).alias("slot"))
-
-    def near(end: str) -> DataFrame:
-        met = c.join(at, (c[end] == at["subscriber"]) & (c["slot"] == at["slot"])).where(F.abs(F.col("s") - F.col("t")) <= seconds * 1_000_000)
-        return met.select("event_id").distinct()
-
-    hit = c.join(near("caller"), "event_id", "left_semi").join(near("receiver"), "event_id", "left_semi")
+    at = sessions.select(F.col("subscriber").alias("person"), F.unix_micros("ts").alias("at"))
+    call = calls.where("caller IS NOT NULL AND receiver IS NOT NULL AND ts IS NOT NULL").select("event_id", "caller", "receiver", F.unix_micros("ts").alias("at"))
+    ends = call.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("end")).withColumn("person", F.when(F.col("end") == 0, F.col("caller")).otherwise(F.col("receiver")))
+    told = near_marks(ends, at, "person", "at", seconds * 1_000_000, order=("event_id", "end"))
+    both = [F.bool_or((F.col("end") == k) & F.col("near")) for k in (0, 1)]
+    hit = told.groupBy("event_id", "at", "caller", "receiver").agg((both[0] & both[1]).alias("near")).where("near")
     if cap is not None:
-        hit = hit.orderBy("t", "event_id").limit(cap)
+        hit = hit.orderBy("at", "event_id").limit(cap)
     return hit.groupBy(F.least("caller", "receiver").alias("lo"), F.greatest("caller", "receiver").alias("hi")).agg(F.count(F.lit(1)).alias("coincidences"))
 
 

@@ -31,8 +31,7 @@ def _set(c: Column) -> Column:
 
 def at_least_zero(c: str) -> Column:
     """A measure as a number; missing, not a number or negative counts as 0."""
-    x = F.col(c).cast("double")
-    return F.when(x > 0, F.nanvl(x, F.lit(0.0))).otherwise(0.0)
+    return F.greatest(S.safe_number(F.col(c)), F.lit(0.0))
 
 
 def hours(ts: Column) -> Column:

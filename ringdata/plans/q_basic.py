@@ -156,9 +156,19 @@ def f14(spark, d):
     return V.sessions(spark, d).select("event_id", F.round(S.ratio_similarity(F.col("mb"), F.col("session_s")) + 1e-9, 6).alias("r"))
 
 
-@query("f15_safe_number", "SELECT id, CASE WHEN id % 8 = 0 OR id % 8 IN (1, 5, 6) THEN -1.0 ELSE raw::DOUBLE END AS x FROM messy")
+# every spelling of V.messy, and some that are numbers to one reader and not to another
+_NUMBERS = ["' ' || raw || E'\\n'", "raw || 'd'", "'7f'", "'0x1p3'", "raw || 'e-2'", "'1_0' || raw", "'1__0'", "'-.5E+1'", "'+' || raw", "'1e999'", "'٣' || raw", "raw"]
+
+
+@query(
+    "f15_safe_number",
+    f""", spelt AS (SELECT id, CASE id % 12 {" ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_NUMBERS))} END AS raw FROM messy),
+read AS (SELECT id, raw, trim(translate(raw, '０１２３４５６７８９٣', '01234567893'), E' \t\n　') AS t FROM spelt)
+SELECT id, raw, coalesce(CASE WHEN regexp_matches(t, '^[+-]?([0-9](_?[0-9])*([.]([0-9](_?[0-9])*)?)?|[.][0-9](_?[0-9])*)([eE][+-]?[0-9](_?[0-9])*)?$') AND NOT isinf(coalesce(TRY_CAST(replace(t, '_', '') AS DOUBLE), 'inf'::DOUBLE)) THEN TRY_CAST(replace(t, '_', '') AS DOUBLE) END, -1.0) AS x FROM read""",
+)
 def f15(spark, d):
-    return V.messy(spark, d).select("id", S.safe_number(F.col("raw"), -1.0).alias("x"))
+    spelt = F.expr("CASE pmod(id, 12) " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_NUMBERS)).replace("E'\\n'", "'\\n'") + " END")
+    return V.messy(spark, d).select("id", spelt.alias("raw")).withColumn("x", S.safe_number(F.col("raw"), -1.0))
 
 
 @query("f16_megabytes", "SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN mb WHEN event_id % 3 = 1 THEN (mb * 3) / 1024 ELSE 0 END + 1e-9, 6) AS x FROM sessions")
