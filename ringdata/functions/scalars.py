@@ -217,7 +217,8 @@ DECIMAL = f"^[+-]?(?:{_DIGITS}(?:[.](?:{_DIGITS})?)?|[.]{_DIGITS})(?:[eE][+-]?{_
 def number(c: Column) -> Column:
     """A finite number that a text holds as Python's float reads it (any white space around, digits of any script), else null; columns of numbers stay as they are."""
     t = c.cast("string")
-    t = _trim(F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, "".join(DIGITS), "".join(DIGITS.values()))).otherwise(t))
+    t = F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, "".join(DIGITS), "".join(DIGITS.values()))).otherwise(t)
+    t = F.regexp_replace(t, r"^[\s\x85\p{Z}]+|[\s\x85\p{Z}]+$", "")
     text = F.when(t.rlike(DECIMAL), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
     x = F.when(F.typeof(c) == "string", text).otherwise(c.try_cast("double"))  # the planner folds typeof
     return F.when(F.abs(x) < float("inf"), x)

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringdata.functions import scalars as S
+from ringdata.sources.tables import stored
+
+from .sets import columns_of, jaccard_of, set_parts, set_sizes, shared_members
 
 # Names of the pair features, in order, and set members that count as missing.
 FEATURES = [
@@ -64,20 +67,43 @@ def both_ends(calls: DataFrame) -> DataFrame:
 
 
 def call_person_stats(calls: DataFrame) -> DataFrame:
-    """Events (a call counts for both ends) and distinct contacts of every person."""
-    return both_ends(calls).groupBy("person").agg(F.count(F.lit(1)).alias("events"), F.array_sort(F.collect_set("contact")).alias("contacts"))
+    """Events (a call counts for both ends) and the number of distinct contacts of every person; contact_sets has the contacts."""
+    per_contact = both_ends(calls).groupBy("person", "contact").agg(F.count(F.lit(1)).alias("n"))
+    return per_contact.groupBy("person").agg(F.sum("n").alias("events"), F.count("contact").alias("contacts"))
 
 
-def session_person_stats(sessions: DataFrame) -> DataFrame:
-    """A10: seconds over all sessions, a missing or negative duration as 0."""
+def contact_sets(calls: DataFrame) -> DataFrame:
+    """Person, part, contacts: distinct contacts in sorted arrays of bounded size."""
+    return set_parts(both_ends(calls).where("contact IS NOT NULL"), "person", "contact", "contacts")
+
+
+def session_person_numbers() -> list[Column]:
+    """Aggregates of A10 that are numbers; seconds and volume over all sessions, a missing or negative one as 0."""
     ts = F.col("ts")
-    return sessions.where("subscriber <> ''").groupBy(F.col("subscriber").alias("person")).agg(
+    return [
         F.count(F.lit(1)).alias("sessions"), F.sum(at_least_zero("mb")).alias("mb"), F.sum(at_least_zero("session_s")).alias("seconds"),
         F.count_distinct(F.to_date(ts)).alias("days"), F.count(ts).alias("timed"), hours(ts).alias("hours"), F.count_if(S.is_night(ts)).alias("night"), F.count_if(S.is_weekend(ts)).alias("weekend"),
-        _set(F.col("destination")).alias("destinations"), _set(F.col("port")).alias("ports"), _set(F.col("cell")).alias("cells"), F.array_sort(F.collect_set(F.unix_seconds(S.hour_bucket(ts)))).alias("buckets"),
+    ]
+
+
+def session_person_stats(sessions: DataFrame) -> DataFrame:
+    """A10: numbers and sets of every subscriber; for people with sets of any size, session_members has them as rows."""
+    return sessions.where("subscriber <> ''").groupBy(F.col("subscriber").alias("person")).agg(
+        *session_person_numbers(), _set(F.col("destination")).alias("destinations"), _set(F.col("port")).alias("ports"), _set(F.col("cell")).alias("cells"), F.array_sort(F.collect_set(F.unix_seconds(S.hour_bucket(F.col("ts"))))).alias("buckets"),
     )
 
 
+SETS = ["contacts", "destinations", "ports", "cells", "buckets"]
+
+
+def person_members(calls: DataFrame, sessions: DataFrame) -> DataFrame:
+    """person, kind (one of SETS), member: the sets of A9 and A10 as distinct rows."""
+    named = {"destinations": member(F.col("destination")), "ports": member(F.col("port")), "cells": member(F.col("cell")), "buckets": F.unix_seconds(S.hour_bucket(F.col("ts"))).cast("string")}
+    own = sessions.where("subscriber <> ''").select(F.col("subscriber").alias("person"), F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), m.alias("member")) for k, m in named.items()])))
+    met = both_ends(calls).select("person", F.lit("contacts").alias("kind"), F.col("contact").alias("member"))
+    return met.unionByName(own).where("member IS NOT NULL").distinct()
+
+
 def attach_pair_events(pairs: DataFrame, calls: DataFrame) -> DataFrame:
     """Calls whose ends are a requested pair, with direction 0 (lo to hi) or 1."""
     lo, hi = S.canonical_pair(F.col("caller"), F.col("receiver"))
@@ -99,22 +125,26 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def pair_features(pairs: DataFrame, calls: DataFrame, sessions: DataFrame) -> DataFrame:
-    """K2: lo, hi and the 39 FEATURES of every row of pairs. Events are cut down to the people asked for first."""
+    """K2: lo, hi and the 39 FEATURES of every row of pairs. Events are cut down to the people asked for first; sets stay rows (sets.shared_members)."""
     people = pairs.select(F.explode(F.array("lo", "hi")).alias("person")).distinct()
     stats = call_pair_stats(attach_pair_events(pairs, calls))
-    near = both_ends(calls).join(people, "person", "left_semi").groupBy("person").agg(F.count(F.lit(1)).alias("events"), F.collect_set("contact").alias("contacts"))
-    use = session_person_stats(sessions.join(people.withColumnRenamed("person", "subscriber"), "subscriber", "left_semi"))
-    both = attach_profiles(attach_profiles(pairs.join(stats, ["lo", "hi"], "left"), near.select("person", "events", "contacts")), use.select(F.col("person"), *[F.col(c).alias(f"s_{c}") for c in use.columns if c != "person"]))
+    ends = both_ends(calls).join(people, "person", "left_semi")
+    own = sessions.join(people.withColumnRenamed("person", "subscriber"), "subscriber", "left_semi")
+    members = stored(person_members(calls, own).join(people, "person", "left_semi"), "members")
+    sizes = columns_of(set_sizes(members), ["person"], SETS, ["size"])
+    shared = columns_of(shared_members(pairs, members), ["lo", "hi"], SETS, ["shared"])
+    near = ends.groupBy("person").agg(F.count(F.lit(1)).alias("events"))
+    use = own.where("subscriber <> ''").groupBy(F.col("subscriber").alias("person")).agg(*session_person_numbers())
+    prof = people.join(near, "person", "left").join(sizes, "person", "left").join(use.select("person", *[F.col(c).alias(f"s_{c}") for c in use.columns if c != "person"]), "person", "left")
+    both = attach_profiles(pairs.join(stats, ["lo", "hi"], "left").join(shared, ["lo", "hi"], "left"), prof)
     n = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    arr = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    longs = lambda c: F.coalesce(F.col(c), F.array().cast("array<bigint>"))
+    alike_sets = lambda k: jaccard_of(n(f"{k}_shared"), n(f"a_{k}_size"), n(f"b_{k}_size"))
     low, high = lambda c: F.least(n(f"a_{c}"), n(f"b_{c}")), lambda c: F.greatest(n(f"a_{c}"), n(f"b_{c}"))
     alike = lambda c: S.ratio_similarity(n(f"a_{c}"), n(f"b_{c}"))
     total = n("d0") + n("d1")
     mean = _ratio(n("dur"), total)
     span = F.coalesce((F.unix_micros("last_ts") - F.unix_micros("first_ts")) / 86_400e6, F.lit(0.0))
     share_a, share_b = _ratio(total, n("a_events")), _ratio(total, n("b_events"))
-    ca, cb = arr("a_contacts"), arr("b_contacts")
     present = (n("a_s_sessions") > 0) & (n("b_s_sessions") > 0)
     secs = lambda s: _ratio(n(f"{s}_s_seconds"), n(f"{s}_s_sessions"))
     zeros = F.array(*[F.lit(0).cast("bigint")] * 24)
@@ -124,10 +154,10 @@ def pair_features(pairs: DataFrame, calls: DataFrame, sessions: DataFrame) -> Da
     values = [
         (total > 0).cast("double"), total, F.least(n("d0"), n("d1")), F.greatest(n("d0"), n("d1")), _ratio(2 * F.least(n("d0"), n("d1")), total), _ratio(F.abs(n("d0") - n("d1")), total), n("dur"), mean,
         n("dur_max"), F.sqrt(F.greatest(_ratio(n("dur2"), total) - mean * mean, F.lit(0.0))), n("days"), span, _ratio(total, n("days")), _ratio(n("night"), n("timed")), _ratio(n("weekend"), n("timed")),
-        _ratio(n("voice"), n("typed")), F.least(share_a, share_b), F.greatest(share_a, share_b), F.least(F.size(ca), F.size(cb)).cast("double"), F.greatest(F.size(ca), F.size(cb)).cast("double"),
-        F.size(F.array_intersect(ca, cb)).cast("double"), S.jaccard(ca, cb), present.cast("double"), low("s_sessions"), high("s_sessions"), alike("s_sessions"), low("s_mb"), high("s_mb"), alike("s_mb"),
-        S.ratio_similarity(secs("a"), secs("b")), low("s_days"), high("s_days"), S.cosine(hist("a"), hist("b")), S.jaccard(arr("a_s_destinations"), arr("b_s_destinations")),
-        S.jaccard(arr("a_s_ports"), arr("b_s_ports")), S.jaccard(arr("a_s_cells"), arr("b_s_cells")), S.jaccard(longs("a_s_buckets"), longs("b_s_buckets")), part("night"), part("weekend"),
+        _ratio(n("voice"), n("typed")), F.least(share_a, share_b), F.greatest(share_a, share_b), low("contacts_size"), high("contacts_size"),
+        n("contacts_shared"), alike_sets("contacts"), present.cast("double"), low("s_sessions"), high("s_sessions"), alike("s_sessions"), low("s_mb"), high("s_mb"), alike("s_mb"),
+        S.ratio_similarity(secs("a"), secs("b")), low("s_days"), high("s_days"), S.cosine(hist("a"), hist("b")), alike_sets("destinations"),
+        alike_sets("ports"), alike_sets("cells"), alike_sets("buckets"), part("night"), part("weekend"),
     ]
     return both.select("lo", "hi", *[v.alias(name) for name, v in zip(FEATURES, values, strict=True)])
 

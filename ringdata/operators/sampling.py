@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ringdata.functions import scalars as S
 from ringdata.operators import edges as G
 from ringdata.operators.edges import rank_hash, uniform
+from ringdata.operators.sets import set_parts
 from ringdata.sources.tables import stored
 
 
@@ -89,9 +90,9 @@ def resample_events(plan: DataFrame, sources: dict[str, tuple[DataFrame, str, st
 
 
 def friend_adjacency(edges: DataFrame, share: DataFrame) -> DataFrame:
-    """Node, friends and share (0 where none). share: node, share."""
-    near = G.both_directions(edges).groupBy("node").agg(F.array_sort(F.collect_set("other")).alias("friends"))
-    return near.join(share, "node", "left").select("node", "friends", F.coalesce("share", F.lit(0.0)).alias("share"))
+    """Node, part, friends (sorted, of bounded size; a node of very many has several parts) and share (0 where none). share: node, share."""
+    near = set_parts(G.both_directions(edges), "node", "other", "friends")
+    return near.join(share, "node", "left").select("node", "part", "friends", F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
 def sample_neighbor(nodes: DataFrame, edges: DataFrame, seed: int = 7) -> DataFrame:

@@ -49,11 +49,18 @@ def cos(a, b):
     return f"list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])))"
 
 
-@query("a7_session_profiles", PROF + "SELECT person, sessions, len(dest) AS destinations, len(ports) AS ports, len(buckets) AS buckets, hours[1] AS h0, hours[13] AS h12 FROM prof")
+def joined(c):
+    return F.array_join(F.array_sort(F.transform(c, lambda x: x.cast("string"))), "|").alias(c)
+
+
+def joined_sql(c, name=None):
+    return f"array_to_string(list_sort(list_transform({c}, lambda x: x::VARCHAR)), '|') AS {name or c}"
+
+
+@query("a7_session_profiles", PROF + f"SELECT person, sessions, {joined_sql('dest', 'destinations')}, {joined_sql('ports')}, {joined_sql('buckets')}, array_to_string(hours, '|') AS hours FROM prof")
 def a7(spark, d):
     p = A.session_profiles(V.sessions(spark, d))
-    size = lambda c: F.size(c).cast("long").alias(c)
-    return p.select("person", "sessions", size("destinations"), size("ports"), size("buckets"), F.get("hours", F.lit(0)).alias("h0"), F.get("hours", F.lit(12)).alias("h12"))
+    return p.select("person", "sessions", joined("destinations"), joined("ports"), joined("buckets"), F.array_join(F.transform("hours", lambda x: x.cast("string")), "|").alias("hours"))
 
 
 @query("a8_call_pair_stats", PROF + f"SELECT lo, hi, d0, d1, round(dur, 4) AS dur, dur_max, days, strftime(f, {DUCK_ISO}) AS first_ts, strftime(l, {DUCK_ISO}) AS last_ts, night, weekend, n AS typed, voice FROM stats")
@@ -62,15 +69,16 @@ def a8(spark, d):
     return s.select("lo", "hi", "d0", "d1", F.round("dur", 4).alias("dur"), "dur_max", "days", iso("first_ts").alias("first_ts"), iso("last_ts").alias("last_ts"), "night", "weekend", "typed", "voice")
 
 
-@query("a9_call_person_stats", PROF + "SELECT person, events, len(contacts)::INT AS contacts FROM people")
+@query("a9_call_person_stats", PROF + f"SELECT person, events, len(contacts) AS contacts, 0 AS part, {joined_sql('contacts', 'names')} FROM people")
 def a9(spark, d):
-    return A.call_person_stats(V.calls(spark, d)).select("person", "events", F.size("contacts").alias("contacts"))
+    calls = V.calls(spark, d)
+    return A.call_person_stats(calls).join(A.contact_sets(calls).select("person", "part", joined("contacts").alias("names")), "person")
 
 
-@query("a10_session_person_stats", PROF + "SELECT person, sessions, round(mb, 4) AS mb, seconds, days, night, weekend, len(cells)::INT AS cells, len(dest)::INT AS destinations FROM prof")
+@query("a10_session_person_stats", PROF + f"SELECT person, sessions, round(mb, 4) AS mb, seconds, days, timed, night, weekend, {joined_sql('cells')}, {joined_sql('dest', 'destinations')}, {joined_sql('ports')}, {joined_sql('buckets')}, array_to_string(hours, '|') AS hours FROM prof")
 def a10(spark, d):
     s = A.session_person_stats(V.sessions(spark, d))
-    return s.select("person", "sessions", F.round("mb", 4).alias("mb"), "seconds", "days", "night", "weekend", F.size("cells").alias("cells"), F.size("destinations").alias("destinations"))
+    return s.select("person", "sessions", F.round("mb", 4).alias("mb"), "seconds", "days", "timed", "night", "weekend", *[joined(c) for c in ("cells", "destinations", "ports", "buckets")], F.array_join(F.transform("hours", lambda x: x.cast("string")), "|").alias("hours"))
 
 
 @query("a11_hourly_rate_pattern", ", t AS (SELECT count(*) AS total, greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400e6, 1) AS days FROM ev) SELECT h::INT AS hour, " + q6("count(u) * 24 / total::DOUBLE", "multiplier") + ", " + q6("total / (500 * days * 24)", "base_rate") + " FROM range(24) r(h) LEFT JOIN ev ON hour(ts) = h, t GROUP BY h, total, days")
@@ -140,10 +148,11 @@ def j3(spark, d):
     return A.attach_pair_events(V.observed(spark, d), V.calls(spark, d)).select("event_id", "lo", "hi", "direction")
 
 
-@query("j4_attach_profiles", PROF + "SELECT lo, hi, coalesce(a.sessions, 0) AS a_sessions, coalesce(b.sessions, 0) AS b_sessions FROM pairs LEFT JOIN prof a ON a.person = lo LEFT JOIN prof b ON b.person = hi")
+@query("j4_attach_profiles", PROF + "SELECT lo, hi, " + ", ".join(f"{s}.sessions AS {s}_sessions, {joined_sql(f'{s}.dest', f'{s}_destinations')}, {joined_sql(f'{s}.ports', f'{s}_ports')}, {joined_sql(f'{s}.buckets', f'{s}_buckets')}, array_to_string({s}.hours, '|') AS {s}_hours" for s in "ab") + " FROM pairs LEFT JOIN prof a ON a.person = lo LEFT JOIN prof b ON b.person = hi")
 def j4(spark, d):
     p = A.attach_profiles(V.pairs(spark, d), A.session_profiles(V.sessions(spark, d)))
-    return p.select("lo", "hi", F.coalesce("a_sessions", F.lit(0)).alias("a_sessions"), F.coalesce("b_sessions", F.lit(0)).alias("b_sessions"))
+    hours = [F.array_join(F.transform(f"{s}_hours", lambda x: x.cast("string")), "|").alias(f"{s}_hours") for s in "ab"]
+    return p.select("lo", "hi", "a_sessions", "b_sessions", *hours, *[joined(f"{s}_{c}") for s in "ab" for c in ("destinations", "ports", "buckets")])
 
 
 @query("j5_all_pairs", "SELECT a.subscriber_id AS lo, b.subscriber_id AS hi FROM subscribers a JOIN subscribers b ON a.subscriber_id < b.subscriber_id")
@@ -168,22 +177,38 @@ def k1(spark, d):
     return K.correlate_sessions(V.sessions(spark, d)).drop("evidence")
 
 
-_FEATURE_SQL = f"""SELECT p.lo, p.hi, (s.n > 0)::INT::DOUBLE AS f1, s.n::DOUBLE AS f2, least(d0, d1)::DOUBLE AS f3, {q6('2 * least(d0, d1) / s.n::DOUBLE', 'f5')}, {q6('abs(d0 - d1) / s.n::DOUBLE', 'f6')}, round(dur, 4) AS f7, round(dur / s.n + 1e-9, 5) AS f8, dur_max AS f9,
-round(sqrt(greatest(dur2 / s.n - (dur / s.n) * (dur / s.n), 0)), 3) AS f10, s.days::DOUBLE AS f11, {q6('(epoch_us(l) - epoch_us(f)) / 86400e6', 'f12')}, {q6('s.night / s.n::DOUBLE', 'f14')}, {q6('s.voice / s.n::DOUBLE', 'f16')}, {q6('least(s.n / a.events::DOUBLE, s.n / b.events::DOUBLE)', 'f17')}, least(len(a.contacts), len(b.contacts))::DOUBLE AS f19,
-len(list_intersect(a.contacts, b.contacts))::DOUBLE AS f21, {q6(jac('a.contacts', 'b.contacts'), 'f22')}, (x.sessions IS NOT NULL AND y.sessions IS NOT NULL)::INT::DOUBLE AS f23, coalesce(least(x.sessions, y.sessions) * (x.sessions IS NOT NULL AND y.sessions IS NOT NULL)::INT, 0)::DOUBLE AS f24,
-CASE WHEN x.sessions IS NULL OR y.sessions IS NULL THEN 0 ELSE round({cos('x.hours', 'y.hours')}, 5) END AS f33, CASE WHEN x.sessions IS NULL OR y.sessions IS NULL THEN 0 ELSE {jac('x.dest', 'y.dest')} END AS f34,
-CASE WHEN x.sessions IS NULL OR y.sessions IS NULL THEN 0 ELSE round(1 - abs(x.night / x.timed::DOUBLE - y.night / y.timed::DOUBLE) + 1e-9, 6) END AS f38
-FROM pairs p JOIN stats s USING (lo, hi) LEFT JOIN people a ON a.person = lo LEFT JOIN people b ON b.person = hi LEFT JOIN prof x ON x.person = lo LEFT JOIN prof y ON y.person = hi"""
+def _both(x):
+    """SQL of a session feature: 0 unless both people have sessions."""
+    return f"CASE WHEN x.sessions IS NULL OR y.sessions IS NULL THEN 0 ELSE {x} END"
+
+
+def _alike(a, b):
+    return f"CASE WHEN greatest({a}, {b}) > 0 THEN least({a}, {b}) / greatest({a}, {b})::DOUBLE ELSE 0 END"
+
+
+def _none(c):
+    return f"coalesce(x.{c}, 0)::DOUBLE", f"coalesce(y.{c}, 0)::DOUBLE"
+
+
+# the 39 features in order, over the prelude's tables: s (pair), a and b (people's calls), x and y (people's sessions)
+_FEATURES = [
+    "(s.n > 0)::INT", "s.n", "least(d0, d1)", "greatest(d0, d1)", "2 * least(d0, d1) / s.n::DOUBLE", "abs(d0 - d1) / s.n::DOUBLE", "dur", "dur / s.n", "dur_max", "sqrt(greatest(dur2 / s.n - (dur / s.n) * (dur / s.n), 0))",
+    "s.days", "(epoch_us(l) - epoch_us(f)) / 86400e6", "s.n / s.days::DOUBLE", "s.night / s.n::DOUBLE", "s.weekend / s.n::DOUBLE", "s.voice / s.n::DOUBLE", "least(s.n / a.events::DOUBLE, s.n / b.events::DOUBLE)", "greatest(s.n / a.events::DOUBLE, s.n / b.events::DOUBLE)",
+    "least(len(a.contacts), len(b.contacts))", "greatest(len(a.contacts), len(b.contacts))", "len(list_intersect(a.contacts, b.contacts))", jac("a.contacts", "b.contacts"), "(x.sessions IS NOT NULL AND y.sessions IS NOT NULL)::INT",
+    "least({}, {})".format(*_none("sessions")), "greatest({}, {})".format(*_none("sessions")), _alike(*_none("sessions")), "least({}, {})".format(*_none("mb")), "greatest({}, {})".format(*_none("mb")), _alike(*_none("mb")),
+    _both(_alike("x.seconds / x.sessions", "y.seconds / y.sessions")), "least({}, {})".format(*_none("days")), "greatest({}, {})".format(*_none("days")), _both(cos("x.hours", "y.hours")),
+    _both(jac("x.dest", "y.dest")), _both(jac("x.ports", "y.ports")), _both(jac("x.cells", "y.cells")), _both(jac("x.buckets", "y.buckets")),
+    _both("1 - abs(x.night / x.timed::DOUBLE - y.night / y.timed::DOUBLE)"), _both("1 - abs(x.weekend / x.timed::DOUBLE - y.weekend / y.timed::DOUBLE)"),
+]
+#: Digits that are compared: fewer for sums of many products.
+_DIGITS = {6: 4, 7: 4, 8: 4, 9: 3, 26: 3, 27: 3}
+_FEATURE_SQL = "SELECT p.lo, p.hi, " + ", ".join(f"round(({x})::DOUBLE + 1e-9, {_DIGITS.get(k, 6)}) AS {A.FEATURES[k]}" for k, x in enumerate(_FEATURES)) + " FROM pairs p JOIN stats s USING (lo, hi) LEFT JOIN people a ON a.person = lo LEFT JOIN people b ON b.person = hi LEFT JOIN prof x ON x.person = lo LEFT JOIN prof y ON y.person = hi"
 
 
 @query("k2_pair_features", PROF + _FEATURE_SQL)
 def k2(spark, d):
     f = A.pair_features(V.pairs(spark, d).select("lo", "hi"), V.calls(spark, d), V.sessions(spark, d))
-    n = A.FEATURES
-    plain, rounded = [0, 1, 2, 8, 10, 18, 20, 22, 23, 33], [4, 5, 11, 13, 15, 16, 21]
-    six = [F.round(F.col(n[i]) + 1e-9, 6).alias(f"f{i + 1}") for i in rounded]
-    last = F.when(F.col(n[22]) > 0, F.round(F.col(n[37]) + 1e-9, 6)).otherwise(0.0).alias("f38")
-    return f.select("lo", "hi", *[F.col(n[i]).alias(f"f{i + 1}") for i in plain], *six, F.round(n[6], 4).alias("f7"), F.round(F.col(n[7]) + 1e-9, 5).alias("f8"), F.round(n[9], 3).alias("f10"), F.round(n[32], 5).alias("f33"), last)
+    return f.select("lo", "hi", *[F.round(F.col(c) + 1e-9, _DIGITS.get(k, 6)).alias(c) for k, c in enumerate(A.FEATURES)])
 
 
 @query("a25_pair_coverage", PROF + "SELECT count(*) AS pairs, count(*) AS with_calls, count(*) FILTER (lo IN (SELECT person FROM prof) AND hi IN (SELECT person FROM prof)) AS with_sessions FROM pairs")

@@ -98,10 +98,10 @@ def r8(spark, d):
     return R.sample_pairs_fraction(_nodes(spark, d), 0.01)
 
 
-@query("r9_friend_adjacency", ", b AS (SELECT lo AS node, hi AS other FROM observed UNION ALL SELECT hi, lo FROM observed) SELECT node, string_agg(other, ',' ORDER BY other) AS friends, CASE WHEN node IN (SELECT subscriber_id FROM subscribers WHERE region = 'ASIA') THEN 0.3 ELSE 0 END::DOUBLE AS share FROM b GROUP BY 1")
+@query("r9_friend_adjacency", ", b AS (SELECT lo AS node, hi AS other FROM observed UNION ALL SELECT hi, lo FROM observed) SELECT node, 0 AS part, string_agg(other, ',' ORDER BY other) AS friends, CASE WHEN node IN (SELECT subscriber_id FROM subscribers WHERE region = 'ASIA') THEN 0.3 ELSE 0 END::DOUBLE AS share FROM b GROUP BY 1")
 def r9(spark, d):
     share = V.subscribers(spark, d).where("region = 'ASIA'").select(F.col("subscriber_id").alias("node"), F.lit(0.3).alias("share"))
-    return R.friend_adjacency(V.observed(spark, d), share).select("node", F.array_join("friends", ",").alias("friends"), "share")
+    return R.friend_adjacency(V.observed(spark, d), share).select("node", "part", F.array_join("friends", ",").alias("friends"), "share")
 
 
 DRAWS = ", ".join(f"{draw_sql(7, repr(x), 'c_custkey')} AS {x[0:2]}" for x in ("circle", "device", "tier", "tower")).replace("AS to", "AS tow")
