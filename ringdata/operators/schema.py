@@ -36,6 +36,8 @@ ALIASES = {
     },
 }
 REQUIRED = {"cdr": ["caller"], "ipdr": ["subscriber"]}
+#: Fields that a row must name to be a header.
+HEADER = {"cdr": ["caller", "receiver"], "ipdr": ["subscriber"]}
 
 
 def plain_name(name: str) -> str:
@@ -51,6 +53,14 @@ def find_column(columns: list[str], names: list[str]) -> str | None:
     return next((plain[plain_name(n)] for n in names if plain_name(n) in plain), None)
 
 
+def is_header(row: list[str], kind: str, overrides: dict[str, str] | None = None) -> bool:
+    """Whether a row names all that a kind's header must: by the names asked for, or by known ones."""
+    asked = overrides or {}
+    if all(f in asked for f in HEADER[kind]) and all(find_column(row, [asked[f]]) for f in HEADER[kind]):
+        return True
+    return all(find_column(row, ALIASES[kind][f]) for f in HEADER[kind])
+
+
 def resolve_schema(columns: list[str], kind: str, overrides: dict[str, str] | None = None) -> dict[str, str]:
     """Canonical field -> column. Overrides win; a missing required column or an unknown override is an error."""
     found = {}

@@ -277,17 +277,26 @@ def _scratch(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("s1_csv_scan", f"SELECT caller AS caller_id, receiver AS receiver_id, strftime(ts, {DUCK_ISO}) AS timestamp FROM calls UNION ALL SELECT 'Report', '', '' FROM calls WHERE k = 7")
+@query(
+    "s1_csv_scan",
+    f"""SELECT caller AS caller_id, receiver AS receiver_id, strftime(ts, {DUCK_ISO}) AS timestamp, NULL AS Call_Duration, NULL AS source FROM calls WHERE event_id % 2 = 0
+UNION ALL SELECT caller, receiver, strftime(ts, {DUCK_ISO}), k::VARCHAR, event_type || ', ' || k FROM calls WHERE event_id % 2 = 1
+UNION ALL SELECT 'Report', '', '', NULL, NULL FROM calls WHERE k = 7 AND event_id % 2 = 0 UNION ALL SELECT 'caller_id', 'receiver_id', 'timestamp', NULL, NULL FROM calls WHERE k = 8 AND event_id % 2 = 0""",
+)
 def s1(spark, d):
     path = _scratch(spark, "s1")
-    # every file has two rows before its header, one of which comes again among the data
+    # two layouts: some files have two rows before their header (it and one of them come again as data), the others none, more columns, in another order
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    c = V.calls(spark, d).withColumn("p", (F.col("event_id") % n).cast("int"))
-    head = spark.range(n).select(F.col("id").cast("int").alias("p"), F.lit(-1).cast("long").alias("at"), F.lit("Report,,\nof all calls,,\ncaller_id,receiver_id,timestamp").alias("value"))
-    rows = c.select("p", F.col("event_id").alias("at"), F.concat_ws(",", "caller", "receiver", iso("ts")).alias("value"))
-    again = c.where("k = 7").select("p", F.col("event_id").alias("at"), F.lit("Report,,").alias("value"))
-    head.unionByName(rows).unionByName(again).repartitionById(n, F.col("p")).sortWithinPartitions("at").select("value").write.text(path)
-    return files.read_records(spark, path)
+    c = V.calls(spark, d).withColumn("p", (F.col("event_id") % (2 * n)).cast("int"))
+    first = F.when(F.col("id") % 2 == 0, "Report,,\nof all calls,,\ncaller_id,receiver_id,timestamp").otherwise("Call_Duration,caller_id,timestamp,source,receiver_id")
+    head = spark.range(2 * n).select(F.col("id").cast("int").alias("p"), F.lit(-1).cast("long").alias("at"), first.alias("value"))
+    even = F.concat_ws(",", "caller", "receiver", iso("ts"))
+    odd = F.concat_ws(",", F.col("k").cast("string"), "caller", iso("ts"), F.concat(F.lit('"'), "event_type", F.lit(", "), F.col("k").cast("string"), F.lit('"')), "receiver")
+    rows = c.select("p", F.col("event_id").alias("at"), F.when(F.col("p") % 2 == 0, even).otherwise(odd).alias("value"))
+    again = c.where("k IN (7, 8) AND p % 2 = 0").select("p", F.col("event_id").alias("at"), F.when(F.col("k") == 7, "Report,,").otherwise("caller_id,receiver_id,timestamp").alias("value"))
+    head.unionByName(rows).unionByName(again).repartitionById(2 * n, F.col("p")).sortWithinPartitions("at").select("value").write.text(path)
+    found = files.read_records(spark, path)
+    return found.select("caller_id", "receiver_id", "timestamp", "Call_Duration", "source")
 
 
 @query("s2_canonical_select", f"SELECT caller, receiver, duration::VARCHAR AS duration, strftime(ts, {DUCK_ISO}) AS \"when\" FROM calls WHERE k >= 0")

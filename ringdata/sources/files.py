@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import csv
-from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringdata.operators.schema import ALIASES, plain_name
+from ringdata.operators.schema import is_header
+
+from .tables import stored
 
 HEADER_ROWS = 101
 
@@ -23,29 +27,125 @@ def first_existing(spark: SparkSession, folder: str, names: list[str]) -> str:
     raise FileNotFoundError(f"none of {names} in {folder}")
 
 
-def read_records(spark: SparkSession, path: str, known: list[str] | None = None) -> DataFrame:
-    """A CSV as text columns; the header is the row of the first 101 with most known names, rows before it are skipped.
-
-    Each file of the path is taken to start with the same preamble and header.
+def _cells(line: str) -> list[str]:
+    """The fields of a line of CSV, trimmed."""
+    return [c.strip() for c in next(csv.reader([line]), [])]
+
+
+class _Head:
+    """Finds a file's header among its first HEADER_ROWS lines, seen one after another."""
+
+    def __init__(self, kind: str, overrides: dict[str, str]) -> None:
+        self.kind, self.overrides = kind, overrides
+        self.lines: list[str] = []
+        self.at: int | None = None
+
+    def take(self, line: str | None) -> bool:
+        """Note a line; true once the header is known."""
+        if self.at is None:
+            self.lines.append((line or "").removeprefix("\ufeff") if not self.lines else line or "")
+            if is_header(_cells(self.lines[-1]), self.kind, self.overrides):
+                self.at = len(self.lines) - 1
+            elif len(self.lines) == HEADER_ROWS:
+                self.end()
+        return self.at is not None
+
+    def end(self) -> None:
+        """No row is a header: the first that is not blank counts as one."""
+        if self.at is None:
+            self.at = next((k for k, x in enumerate(self.lines) if x.strip()), len(self.lines) - 1)
+
+    def rest(self) -> list[str]:
+        """Lines after the header."""
+        return self.lines[self.at + 1 :]
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+
+def headers(spark: SparkSession, path: str, kind: str, overrides: dict[str, str] | None = None) -> DataFrame:
+    """file, names: the header of every file, found in the file's first split."""
+    asked = dict(overrides or {})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heads: dict[str, _Head] = {}
+        for f in frames:
+            for file, own in f.groupby("file", sort=False)["value"]:
+                head = heads.setdefault(file, _Head(kind, asked))
+                if head.at is None:
+                    for line in own:
+                        if head.take(line):
+                            break
+        for file, head in heads.items():
+            head.end()
+            names: list[str] = []
+            for i, c in enumerate(_cells(head.lines[head.at])):
+                name = c or f"_c{i}"
+                names.append(name if name not in names else f"{name}.{i}")
+            yield pd.DataFrame({"file": [file], "names": [names]})
+
+    return _lines(spark, path).where("start = 0").select("value", "file").mapInPandas(run, "file string, names array<string>")
+
+
+def read_records(spark: SparkSession, path: str, kind: str = "cdr", overrides: dict[str, str] | None = None) -> DataFrame:
+    """CSV files as text columns, each with a preamble and a header of its own.
+
+    A file's header is the first of its first 101 rows that names the columns which the
+    kind requires (or those of overrides), else its first row; what stands before it is
+    passed over by position, in the file's first split; later splits are data. Columns
+    are those of all headers, in order of first sight: a field that a row lacks is '', a
+    column that its file lacks is null. Lines that are blank are none. Fields hold no
+    line ends, so that files split anywhere between lines. One pass over the first
+    splits finds the headers; a second one, in which Python only cuts off the heads,
+    reads the rows.
     """
-    names = {plain_name(n) for fields in ALIASES.values() for alts in fields.values() for n in alts} | {plain_name(n) for n in known or []}
-    lines = [r[0].lstrip("﻿") for r in spark.read.text(path).limit(HEADER_ROWS).collect()]
-    rows = list(csv.reader(lines))
-    if not rows:
+    found = stored(headers(spark, path, kind, overrides), "headers")
+    # distinct headers: as many as there are layouts, not files
+    layouts = [r["names"] for r in found.groupBy("names").agg(F.min("file").alias("file")).orderBy("file").collect()]
+    if not layouts:
         raise ValueError(f"{path} is empty")
-    at = max(range(len(rows)), key=lambda i: (sum(plain_name(c) in names for c in rows[i]), -i))
-    header = [c.strip() or f"_c{i}" for i, c in enumerate(rows[at])]
-    schema = ", ".join(f"`{c}` string" for c in header) + ", _raw string"
-    df = spark.read.csv(path, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_raw", escape='"', nullValue="\0", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    # the header and the rows before it: of rows like one of these, each file drops as many as its head has (at most 101 distinct ones)
-    heads = Counter("\x1f".join([*r, *[""] * len(header)][: len(header)]) for r in rows[: at + 1])
-    listed = F.create_map(*[F.lit(x) for pair in heads.items() for x in pair])
-    mine = F.concat_ws("\x1f", *[F.coalesce(F.regexp_replace(f"`{c}`", "^\ufeff", ""), F.lit("")) for c in header])
-    marked = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header], mine.alias("_mine"), F.col("_metadata.file_path").alias("_file")).withColumn("_head", F.element_at(listed, F.col("_mine")))
-    like = marked.where("_head IS NOT NULL").groupBy("_file", "_mine", "_head").agg(F.count(F.lit(1)).alias("_n"), *[F.first(f"`{c}`").alias(c) for c in header])
-    back = like.where("_n > _head").select(*[F.col(f"`{c}`") for c in header], F.explode(F.sequence(F.lit(1), (F.col("_n") - F.col("_head")).cast("int"))).alias("_k"))
-    names = [F.col(f"`{c}`") for c in header]
-    return marked.where("_head IS NULL").select(*names).unionByName(back.select(*names))
+    columns = list(dict.fromkeys(n for names in layouts for n in names))
+    width = max(map(len, layouts))
+    asked = dict(overrides or {})
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        heads: dict[str, _Head] = {}
+        for b in batches:
+            files, starts = b.column("file"), b.column("start").to_numpy(zero_copy_only=False)
+            data, at = b.column("value"), 0
+            while at < len(b):
+                # rows of one split stand together
+                file = files[at].as_py()
+                same = np.array(pa.compute.equal(files.slice(at), file)) & (starts[at:] == starts[at])
+                until = at + (int(np.argmin(same)) if not same.all() else len(same))
+                if starts[at] == 0:
+                    head = heads.setdefault(file, _Head(kind, asked))
+                    while at < until and head.at is None:
+                        head.take(data[at].as_py())
+                        at += 1
+                        if head.at is not None and head.rest():
+                            yield pa.RecordBatch.from_arrays([pa.array(head.rest()), pa.array([file] * len(head.rest()))], names=["value", "file"])
+                if at < until:
+                    yield pa.RecordBatch.from_arrays([data.slice(at, until - at), files.slice(at, until - at)], names=["value", "file"])
+                at = until
+        for file, head in heads.items():
+            if head.at is None:
+                head.end()
+                if head.rest():
+                    yield pa.RecordBatch.from_arrays([pa.array(head.rest()), pa.array([file] * len(head.rest()))], names=["value", "file"])
+
+    lines = _lines(spark, path).mapInArrow(cut, "value string, file string").where(F.trim("value") != "")
+    fields = F.from_csv("value", F.lit(", ".join(f"_{k} string" for k in range(width))), {"escape": '"', "nullValue": "\0", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1", "maxColumns": str(max(width, 1) + 20_480)})
+    rows = lines.withColumn("_row", fields).join(found.withColumnsRenamed({"file": "_file", "names": "_names"}), F.col("file") == F.col("_file"))
+    as_array = F.array(*[F.col(f"_row._{k}") for k in range(width)])
+    held = rows.select("_names", as_array.alias("_fields"))
+    if len(layouts) == 1:
+        return held.select(*[F.coalesce(F.get("_fields", F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(columns)])
+    place = lambda c: F.array_position("_names", F.lit(c)).cast("int")
+    return held.select(*[F.when(place(c) > 0, F.coalesce(F.get("_fields", place(c) - 1), F.lit(""))).alias(c) for c in columns])
 
 
 def malformed_rows(df: DataFrame, corrupt: str = "_corrupt_record") -> DataFrame:
