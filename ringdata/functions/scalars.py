@@ -95,12 +95,19 @@ def valid_zone(c: Column) -> Column:
     return F.when(t == "", "").when(t.isin("Z", "UTC", "GMT"), "UTC").when(ok, offset).otherwise(F.try_element_at(names, t))
 
 
-def local_time(text: Column, day_first: bool) -> Column:
+def year_first(text: Column) -> Column:
+    """Whether a text starts with year, month and day: a vote on the order of its source's dates."""
+    return clean_text(text).rlike(r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}")
+
+
+def local_time(text: Column, day_first: bool | Column) -> Column:
     """The wall-clock time in a text, read at UTC; null if none of the known forms fits."""
     t = F.regexp_replace(F.translate(text, "/T", "- "), r"^([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})", "$1-$2-$3")
     clock = "[ H:m[:s[.SSSSSS][.SSS]]]"
-    days = ["d-M-yyyy", "M-d-yyyy"] if day_first else ["M-d-yyyy", "d-M-yyyy"]
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(day + clock)) for day in ["yyyy-M-d", *days]])
+    year, day, month = (F.try_to_timestamp(t, F.lit(form + clock)) for form in ("yyyy-M-d", "d-M-yyyy", "M-d-yyyy"))
+    if isinstance(day_first, bool):
+        return F.coalesce(year, *((day, month) if day_first else (month, day)))
+    return F.coalesce(year, F.when(day_first, F.coalesce(day, month)).otherwise(F.coalesce(month, day)))
 
 
 EXPLICIT = r"(?i)(?<=:[0-9]{2}|:[0-9]{2}\.[0-9]{1,6})\s*(Z|[+-][0-9]{2}:?[0-9]{2})$"
@@ -111,8 +118,8 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def parse_event_time(text: Column, zone: Column | None = None, default_zone: str = ZONE, day_first: bool = True) -> Column:
-    """a struct of `instant` (UTC) and `status`.
+def parse_event_time(text: Column, zone: Column | None = None, default_zone: str = ZONE, day_first: bool | Column = True) -> Column:
+    """a struct of `instant` (UTC) and `status`; times.parse_event_times finds day_first by a vote of each source.
 
     Status: explicit (the text has an offset), zone (the row's zone), assumed (the
     default zone), invalid_zone, invalid (no such time, or one that the zone skips or
@@ -122,7 +129,7 @@ def parse_event_time(text: Column, zone: Column | None = None, default_zone: str
 
     def read(a: Column) -> Column:
         offset = F.regexp_extract(a["t"], EXPLICIT, 1)
-        wall = local_time(F.trim(F.regexp_replace(a["t"], EXPLICIT, "")), day_first)
+        wall = local_time(F.trim(F.regexp_replace(a["t"], EXPLICIT, "")), day_first if isinstance(day_first, bool) else a["day_first"])
         return F.struct(a["t"].alias("t"), a["zone"].alias("zone"), offset.alias("offset"), wall.alias("wall"), F.when(a["zone"] == "", F.lit(default_zone)).otherwise(a["zone"]).alias("used"))
 
     def place(b: Column) -> Column:
@@ -145,7 +152,7 @@ def parse_event_time(text: Column, zone: Column | None = None, default_zone: str
         )
         return F.struct(instant.alias("instant"), status.alias("status"))
 
-    start = F.struct(clean_text(text).alias("t"), (valid_zone(zone) if zone is not None else F.lit("")).alias("zone"))
+    start = F.struct(clean_text(text).alias("t"), (valid_zone(zone) if zone is not None else F.lit("")).alias("zone"), (F.lit(day_first) if isinstance(day_first, bool) else day_first).alias("day_first"))
     return let(start, lambda a: let(read(a), lambda b: let(place(b), judge)))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ringdata.functions import scalars as S
 from ringdata.operators.edges import uniform
+from ringdata.operators.order import quantile, running_sums
 from ringdata.operators.profiles import FEATURES
 from ringdata.sources.tables import cut
 
@@ -47,18 +48,10 @@ def binary_metrics(df: DataFrame, label: str = "label", p: str = "p", threshold:
 
 
 def _by_score(df: DataFrame, label: str, p: str) -> DataFrame:
-    """One row per distinct score (rounded to 9 digits): positives, negatives and those of higher scores.
-
-    Distinct scores at 9 digits are at most 1e9; running sums are taken within blocks
-    of scores first, so no task holds them all.
-    """
-    rows = df.groupBy(F.round(p, 9).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")).withColumn("block", F.floor(F.col("s") * 1000))
-    blocks = rows.groupBy("block").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    over = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)  # at most 1001 rows
-    blocks = blocks.select("block", F.coalesce(F.sum("bp").over(over), F.lit(0)).alias("op"), F.coalesce(F.sum("bn").over(over), F.lit(0)).alias("on"))
-    inside = Window.partitionBy("block").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    above = lambda c, o: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(o)
-    return rows.join(F.broadcast(blocks), "block").select("s", "pos", "neg", above("pos", "op").alias("pos_above"), above("neg", "on").alias("neg_above"))
+    """One row per distinct score, at full precision: positives, negatives and those of higher scores; rows without a score do not count."""
+    known = df.where(F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")))
+    rows = known.groupBy(F.col(p).cast("double").alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    return running_sums(rows, [F.col("s").desc()], ["pos", "neg"]).withColumnsRenamed({"before_pos": "pos_above", "before_neg": "neg_above"})
 
 
 def roc_auc(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
@@ -154,8 +147,8 @@ def group_disjoint_split(df: DataFrame, a: str, b: str, seed: int = 42, shares=(
 
 
 def temporal_split(df: DataFrame, ts: str, held: float = 0.2) -> DataFrame:
-    """Rows later than the (1 - held) quantile of time are held out."""
-    q = df.agg(F.percentile_approx(F.unix_micros(ts), 1 - held, 100_000).alias("q"))
+    """Rows later than the (1 - held) quantile of time, which is exact, are held out."""
+    q = quantile(df, F.unix_micros(ts), 1 - held)
     return df.join(F.broadcast(q), F.lit(True)).withColumn("split", F.when(F.unix_micros(ts) > F.col("q"), "held_out").otherwise("train")).drop("q")  # q is one row
 
 

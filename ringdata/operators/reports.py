@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringdata.operators.edges import numbered
+from ringdata.operators.order import medians
+from ringdata.sources.tables import stored
 
 
 def orientations(calls: DataFrame) -> DataFrame:
@@ -50,7 +52,11 @@ DEFAULT_CENTRE = (22.5937, 78.9629)
 
 def agent_centroid(points: DataFrame, agents: DataFrame) -> DataFrame:
     """Count-weighted median of latitude and of longitude; else the circle's centre; else the default. agents: agent, circle."""
-    mid = points.groupBy("agent").agg(F.percentile("lat", 0.5, F.col("n")).alias("lat"), F.percentile("lng", 0.5, F.col("n")).alias("lng"))
+    # points stand at five digits (A20), so that hundred-thousandths of a degree are whole numbers
+    axes = F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.round(F.col(c) * 100_000).cast("long").alias("value")) for c in ("lat", "lng")])).alias("at")
+    whole = stored(points.where("agent IS NOT NULL").select("agent", "n", axes).groupBy("agent", "at.axis", "at.value").agg(F.sum("n").alias("n")), "axes")
+    mid = medians(whole, ["agent", "axis"], "value", "n").withColumn("x", (F.col("low") + F.col("high")) / 200_000)
+    mid = mid.groupBy("agent").agg(*[F.max(F.when(F.col("axis") == c, F.col("x"))).alias(c) for c in ("lat", "lng")])
     out = agents.join(mid, "agent", "left")
     place = lambda k: F.coalesce(*[F.when(F.col("circle") == c, F.lit(xy[k])) for c, xy in CENTRES.items()], F.lit(DEFAULT_CENTRE[k]))
     return out.select("agent", F.coalesce("lat", place(0)).alias("lat"), F.coalesce("lng", place(1)).alias("lng"))

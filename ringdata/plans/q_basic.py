@@ -11,6 +11,7 @@ from ringdata.operators import evidence as E
 from ringdata.operators import filters as P
 from ringdata.operators import identity as J
 from ringdata.operators.schema import canonicalize_source
+from ringdata.operators.times import parse_event_times
 from ringdata.plans.registry import query
 from ringdata.sources import files
 from ringdata.sources import views as V
@@ -64,32 +65,35 @@ def f4(spark, d):
     return V.messy(spark, d).select("id", F.array_join(S.identifier_variants(F.col("raw"), True), "|").alias("variants"))
 
 
-TIMES = """, tt AS (SELECT event_id, ts, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%d/%m/%Y %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00' WHEN 2 THEN strftime(ts, '%Y-%m-%d') WHEN 3 THEN strftime(ts, '%Y/%m/%d %H:%M:%S') ELSE 'soon' END AS raw,
+# two sources: in that of even numbers most dates start with the year (so that 01/02/2024 is a second of January), in the other with the day
+TIMES = """, tt AS (SELECT event_id, ts, event_id % 2 AS source, CASE event_id % 10 WHEN 0 THEN strftime(ts, '%m/%d/%Y %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00' WHEN 2 THEN strftime(ts, '%Y-%m-%d') WHEN 3 THEN strftime(ts, '%d/%m/%Y %H:%M:%S')
+  WHEN 5 THEN strftime(ts, '%d/%m/%Y %H:%M:%S') WHEN 7 THEN strftime(ts, '%d/%m/%Y') WHEN 6 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00' WHEN 8 THEN strftime(ts, '%Y/%m/%d %H:%M:%S') ELSE 'soon' END AS raw,
   CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'UTC' ELSE '+03:00' END AS zone FROM ev)
 """
 
 
 def _times(spark, d):
     e, ts = V.calls(spark, d), F.col("ts")
-    k = F.col("event_id") % 5
+    k = F.col("event_id") % 10
+    shown = lambda form: F.date_format(ts, form)
     raw = (
-        F.when(k == 0, F.date_format(ts, "dd/MM/yyyy HH:mm:ss")).when(k == 1, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
-        .when(k == 2, F.date_format(ts, "yyyy-MM-dd")).when(k == 3, F.date_format(ts, "yyyy/MM/dd HH:mm:ss")).otherwise("soon")
+        F.when(k == 0, shown("MM/dd/yyyy HH:mm:ss")).when(k.isin(1, 6), F.concat(shown("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).when(k == 2, shown("yyyy-MM-dd"))
+        .when(k.isin(3, 5), shown("dd/MM/yyyy HH:mm:ss")).when(k == 7, shown("dd/MM/yyyy")).when(k == 8, shown("yyyy/MM/dd HH:mm:ss")).otherwise("soon")
     )
     z = F.col("event_id") % 3
-    return e.select("event_id", raw.alias("raw"), F.when(z == 0, "").when(z == 1, "UTC").otherwise("+03:00").alias("zone"))
+    return e.select("event_id", (F.col("event_id") % 2).alias("source"), raw.alias("raw"), F.when(z == 0, "").when(z == 1, "UTC").otherwise("+03:00").alias("zone"))
 
 
 @query(
     "f5_parse_event_time",
     TIMES
     + f""", off AS (SELECT *, CASE WHEN zone = '' THEN 19800 WHEN zone = 'UTC' THEN 0 ELSE 10800 END AS o FROM tt)
-SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL WHEN 1 THEN strftime(date_trunc('second', ts) - INTERVAL 2 HOUR, {DUCK_ISO}) WHEN 2 THEN strftime(date_trunc('day', ts) - to_seconds(o), {DUCK_ISO}) ELSE strftime(date_trunc('second', ts) - to_seconds(o), {DUCK_ISO}) END AS utc,
-CASE WHEN event_id % 5 = 4 THEN 'invalid' WHEN event_id % 5 = 1 THEN 'explicit' WHEN zone = '' THEN 'assumed' ELSE 'zone' END AS status FROM off""",
+SELECT event_id, CASE WHEN event_id % 10 IN (4, 9) THEN NULL WHEN event_id % 10 IN (1, 6) THEN strftime(date_trunc('second', ts) - INTERVAL 2 HOUR, {DUCK_ISO}) WHEN event_id % 10 IN (2, 7) THEN strftime(date_trunc('day', ts) - to_seconds(o), {DUCK_ISO}) ELSE strftime(date_trunc('second', ts) - to_seconds(o), {DUCK_ISO}) END AS utc,
+CASE WHEN event_id % 10 IN (4, 9) THEN 'invalid' WHEN event_id % 10 IN (1, 6) THEN 'explicit' WHEN zone = '' THEN 'assumed' ELSE 'zone' END AS status FROM off""",
 )
 def f5(spark, d):
-    parsed = _times(spark, d).select("event_id", S.parse_event_time(F.col("raw"), F.col("zone")).alias("e"))
-    return parsed.select("event_id", iso("e.instant").alias("utc"), "e.status")
+    parsed = parse_event_times(_times(spark, d), "raw", F.col("zone"), ["source"])
+    return parsed.select("event_id", iso("event.instant").alias("utc"), "event.status")
 
 
 @query("f6_parse_timezone", TIMES + "SELECT zone, CASE WHEN zone = '' THEN '' ELSE zone END AS parsed, count(*) AS n FROM tt GROUP BY ALL")
