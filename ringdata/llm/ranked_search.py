@@ -28,6 +28,7 @@ or items gives an empty result; other columns are dropped.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -43,7 +44,7 @@ from .shared import remainder, stored, texts, unused
 
 TOP = 50
 #: Postings of a block; documents and postings of a segment; documents of a window; terms of items searched at once; signs of a text counted at once.
-BLOCK, SEGMENT_DOCS, SEGMENT_POSTINGS, WINDOW, ITEM_TERMS, SLICE = 64, 1 << 16, 1 << 22, 2_048, 500_000, 1 << 22
+BLOCK, SEGMENT_DOCS, SEGMENT_POSTINGS, WINDOW, ITEM_TERMS, SLICE = 64, 1 << 16, 1 << 20, 2_048, 500_000, 1 << 22
 #: One segment in SAMPLE is searched first, for the thresholds of the others; GROUPS: groups of segments merged apart.
 SAMPLE, GROUPS = 16, 64
 
@@ -175,9 +176,7 @@ class _Held:
         self.sizes: list[int] = []
         self.number: defaultdict[bytes, int] = defaultdict()
         self.number.default_factory = self.number.__len__
-        self.term: list[int] = []
-        self.tf: list[int] = []
-        self.many: list[int] = []
+        self.term, self.tf, self.many = array("q"), array("q"), array("q")
 
     def add(self, doc_id: int | None, found: Counter) -> None:
         if found:
