@@ -1,13 +1,14 @@
-"""Byte-level BPE encoding and decoding, with tree concatenation for long unsplit text.
-
-A text is cut where the tokenizer's own pattern always cuts (a change from letters,
-digits or other signs to white space, and between those classes where no
-contraction can start), so its pieces encode on their own. A run that the pattern
-never cuts is halved down to leaves, the leaves are encoded in parallel, and
-neighbours are concatenated up the tree: tokens around a join are encoded again in
-a growing window until the window's first and last tokens are those that both
-sides already had. A BPE encoding is fixed by its adjacent pairs, so this is exact.
-Texts over `long_chars` code points become rows of pieces that any task can take;
+"""Byte-level BPE encoding and decoding by tree concatenation.
+
+A text of more than TEXT_LEAF code points is halved, wherever the middle falls, down to
+leaves; the leaves are encoded apart, and neighbours are concatenated up the tree. At a
+join, a window of tokens on both sides is encoded again; it grows until it starts and
+ends at places where the tokenizer's own pattern cuts whatever stands around them, and
+its first and last tokens are those that both sides already had. What lies beyond such
+places can't change, so this is exact. A run that the pattern never cuts is a tree of
+its own: its window grows until both sides agree, since a BPE encoding is fixed by its
+adjacent pairs.
+Texts over `long_chars` code points become rows of leaves that any task can take;
 shorter ones are encoded where they lie.
 Defined cases: a null text counts as empty (no tokens); repeated rows are encoded
 alike; an empty table gives an empty result; other columns are dropped.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +34,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Places where PATTERN cuts whatever stands around them.
 CUTS = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 LONG_CHARS = 16_384
-LEAF_CHARS = 1_024
+#: Leaves of a text, and of a run that is never cut.
+TEXT_LEAF, LEAF_CHARS = 2_048, 1_024
 FIRST_WINDOW = 4
 
 
@@ -66,6 +68,10 @@ class ByteBpe:
         ranks = {bytes(back[ord(c)] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.plain = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.model = Tokenizer.from_file(path).model
+        self.size = np.zeros(max([*ranks.values(), *special.values()]) + 1, dtype=np.int64)
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
+            self.size[i] = len(token)
+        self.joins = 0
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
 
     def run(self, data: bytes) -> list[int]:
@@ -85,10 +91,62 @@ class ByteBpe:
                 return [*left[:i], *middle, *right[j:]]
             w *= 2
 
-    def tree(self, leaves: list[list[int]]) -> list[int]:
+    def cut_before(self, ids: np.ndarray, w: int) -> int | None:
+        """Where to cut the end of a side: the number of its first tokens that stay; None if its last w tokens don't show it."""
+        i = max(0, len(ids) - w)
+        cuts = self.cuts(ids[i:], i == 0)
+        # the last cut but one, so that what both sides had shows again in the window
+        return i + cuts[-2] if len(cuts) > 1 else 0 if i == 0 else None
+
+    def cut_after(self, ids: np.ndarray, w: int) -> int | None:
+        """Where to cut the start of a side: the number of its first tokens that are encoded again."""
+        j = min(len(ids), w)
+        cuts = self.cuts(ids[:j], True)
+        return cuts[1] if len(cuts) > 1 else j if j == len(ids) else None
+
+    def cuts(self, ids: np.ndarray, whole_start: bool) -> list[int]:
+        """Tokens before each sure cut inside a stretch of ids."""
+        data = self.bytes_of(ids.tolist())
+        skip = 0
+        if not whole_start:  # the first token may start inside a sign
+            while skip < len(data) and data[skip] & 0xC0 == 0x80:
+                skip += 1
+        text = data[skip:].decode("utf-8", errors="ignore")  # so may the last one end
+        ends = np.cumsum(self.size[ids])
+        at, done, places = 0, skip, []
+        for m in CUTS.finditer(text):
+            done += len(text[at : m.start()].encode())
+            at = m.start()
+            k = int(np.searchsorted(ends, done))
+            if 0 < done and k < len(ends) - 1 and ends[k] == done:
+                places.append(k + 1)
+        return places
+
+    def join_texts(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Concatenate the encodings of two neighbouring texts, cut anywhere between two signs."""
+        self.joins += 1
+        w = FIRST_WINDOW
+        while True:
+            i, j = self.cut_before(left, w), self.cut_after(right, w)
+            if i is not None and j is not None:
+                text = self.bytes_of([*left[i:].tolist(), *right[:j].tolist()]).decode()
+                middle = self.plain.encode_to_numpy(text, allowed_special=set())
+                if (i == 0 or middle[0] == left[i]) and (j == len(right) or middle[-1] == right[j - 1]):
+                    return np.concatenate([left[:i], middle, right[j:]])
+            w *= 2
+
+    def halved(self, text: str) -> np.ndarray:
+        """Ids of a text without special tokens and without runs longer than a leaf."""
+        if len(text) <= TEXT_LEAF:
+            return self.plain.encode_to_numpy(text, allowed_special=set())
+        mid = len(text) // 2
+        return self.join_texts(self.halved(text[:mid]), self.halved(text[mid:]))
+
+    def tree(self, leaves: list, join: Callable | None = None) -> list:
         """Concatenate neighbours pairwise, level by level."""
+        join = join or self.join
         while len(leaves) > 1:
-            leaves = [self.join(*leaves[k : k + 2]) if k + 1 < len(leaves) else leaves[k] for k in range(0, len(leaves), 2)]
+            leaves = [join(*leaves[k : k + 2]) if k + 1 < len(leaves) else leaves[k] for k in range(0, len(leaves), 2)]
         return leaves[0] if leaves else []
 
     def piece(self, text: str) -> np.ndarray:
@@ -98,22 +156,16 @@ class ByteBpe:
         words = text.split()
         lengths = list(map(len, words))
         # a run of white space longer than a leaf has that much beyond one sign for each gap
-        if max(lengths, default=0) <= LEAF_CHARS and len(text) - sum(lengths) - len(words) <= LEAF_CHARS - 2:
-            return self.plain.encode_to_numpy(text, allowed_special="all")
+        plain = max(lengths, default=0) <= LEAF_CHARS and len(text) - sum(lengths) - len(words) <= LEAF_CHARS - 2
         out: list[np.ndarray] = []
         for special, part in split_special(text, self.special):
             if special:
                 out.append(self.plain.encode_to_numpy(part, allowed_special="all"))
-                continue
-            pending = ""
-            for unit, runs in units(part):
-                if len(unit) <= LEAF_CHARS:
-                    pending += unit
-                    continue
-                out += [self.plain.encode_to_numpy(pending, allowed_special=set())] if pending else []
-                pending = ""
-                out += [np.array(self.whole(r), dtype=np.uint32) for r in runs]
-            out += [self.plain.encode_to_numpy(pending, allowed_special=set())] if pending else []
+            elif plain:
+                out.append(self.halved(part))
+            else:
+                for runs, stretch in stretches(part):
+                    out += [np.array(self.whole(r), dtype=np.uint32) for r in runs] if runs else [self.halved(stretch)]
         return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
 
     def whole(self, run: str) -> list[int]:
@@ -150,6 +202,21 @@ def units(text: str) -> Iterator[tuple[str, list[str]]]:
             at = end
 
 
+def stretches(text: str) -> Iterator[tuple[list[str], str]]:
+    """A text as units longer than a leaf, with their pre-tokens, and what lies between them."""
+    pending: list[str] = []
+    for unit, runs in units(text):
+        if runs:
+            if pending:
+                yield [], "".join(pending)
+                pending = []
+            yield runs, unit
+        else:
+            pending.append(unit)
+    if pending:
+        yield [], "".join(pending)
+
+
 def pretokens(unit: str) -> list[str]:
     """PATTERN's cuts in a stretch, by linear matching (no backtracking over long white space)."""
     out = []
@@ -177,29 +244,17 @@ def halves(run: str, leaf: int) -> list[str]:
 
 
 def cut_text(text: str, special, size: int) -> list[tuple[int, str]]:
-    """(run, piece) rows of a long text: run 0 is free-standing, pieces of one run share a positive number."""
+    """(run, piece) rows of a long text: run 0 is free-standing; pieces of one text share a negative number, of one run that is never cut a positive one."""
     rows: list[tuple[int, str]] = []
     n = 0
     for is_special, part in split_special(text, special):
         if is_special:
             rows.append((0, part))
             continue
-        pending: list[str] = []
-        length = 0
-        for unit, runs in units(part):
-            if len(unit) <= size:
-                if length + len(unit) > size:
-                    rows.append((0, "".join(pending)))
-                    pending, length = [], 0
-                pending.append(unit)
-                length += len(unit)
-                continue
-            rows += [(0, "".join(pending))] if pending else []
-            pending, length = [], 0
-            for run in runs:
+        for runs, stretch in stretches(part):
+            for run in runs or [stretch]:
                 n += 1
-                rows += [(n, p) for p in halves(run, size)]
-        rows += [(0, "".join(pending))] if pending else []
+                rows += [(n if runs else -n, p) for p in halves(run, size)]
     return rows
 
 
@@ -234,23 +289,23 @@ def encode(docs: DataFrame, vocabulary: str, long_chars: int = LONG_CHARS, keep_
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = bpe(vocabulary)
         for f in frames:
-            ids = [np.array(model.whole(p), dtype=np.uint32) if run else model.piece(p) for run, p in zip(f["run"], f["piece"], strict=True)]
+            ids = [np.array(model.whole(p), dtype=np.uint32) if run > 0 else model.halved(p) if run < 0 else model.piece(p) for run, p in zip(f["run"], f["piece"], strict=True)]
             yield f[["key", "part", "run"]].assign(ids=[i.tobytes() for i in ids])
 
     def gather(f: pd.DataFrame) -> pd.DataFrame:
         model = bpe(vocabulary)
         f = f.sort_values("part")
         parts: list[np.ndarray] = []
-        leaves: list[list[int]] = []
+        leaves: list = []
         last = 0
-        for run, ids in zip([*f["run"], -1], [*f["ids"], b""], strict=True):
+        for run, ids in zip([*f["run"], 0], [*f["ids"], b""], strict=True):
             if run != last and leaves:
-                parts.append(np.array(model.tree(leaves), dtype=np.uint32))
+                parts.append(np.array(model.tree(leaves, model.join_texts if last < 0 else None), dtype=np.uint32))
                 leaves = []
             last = run
             ids = np.frombuffer(ids, dtype=np.uint32)
-            if run > 0:
-                leaves.append(ids.tolist())
+            if run:
+                leaves.append(ids.tolist() if run > 0 else ids)
             else:
                 parts.append(ids)
         return finish("key", f["key"].iloc[:1], [np.concatenate(parts)])

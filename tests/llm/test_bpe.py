@@ -31,6 +31,32 @@ def test_tree_equals_the_library():
             assert "".join(p for _, p in rows) == t
 
 
+def test_documents_go_through_joins():
+    """Every text of the given documents that is longer than a leaf is put together from halves, and equals the library's."""
+    import pyarrow.parquet as pq
+
+    hf, model = Tokenizer.from_file(PATH), bpe.ByteBpe(PATH)
+    long = joined = 0
+    for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist():
+        before = model.joins
+        assert model.piece(t or "").tolist() == hf.encode(t or "", add_special_tokens=False).ids
+        long += len(t or "") > bpe.TEXT_LEAF
+        joined += model.joins > before
+    assert joined >= long > 200
+
+
+JOINED = ["I don't know  what 漢字 it's  \n\n about 12 345.67 — “né” ... ok's", "a  b\n c'll d'" + "'s e 's", "    x", "é😀 é😀é", "'" * 3 + " 'll 'lla"]
+
+
+def test_joins_at_every_place():
+    hf, model = Tokenizer.from_file(PATH), bpe.ByteBpe(PATH)
+    for t in JOINED:
+        want = hf.encode(t, add_special_tokens=False).ids
+        for k in range(len(t) + 1):
+            got = model.join_texts(model.plain.encode_to_numpy(t[:k]), model.plain.encode_to_numpy(t[k:]))
+            assert got.tolist() == want, (t, k)
+
+
 def test_query(spark, tmp_path):
     hf = Tokenizer.from_file(PATH)
     rows = [(i, t, 1) for i, t in enumerate(ODD)] + [(1, None, 1), (None, "x" * 40_000, 1), (7, "漢字かな" * 9000, 1), (7, "漢字かな" * 9000, 1), (8, "some words, " * 4000 + "y" * 50_000 + " end", 2)]
