@@ -7,8 +7,9 @@ anchored at the start of a run or at the last match's end, which changes no matc
 and keeps very long runs linear. Context words are looked for in the match and in the
 CONTEXT_CHARS signs on either side of it (before it as far as the last but one match
 of its kind, behind it as far as the next).
-Defined cases: a null or empty text has no spans; repeated rows each get their
-row; an empty table gives an empty result; other columns are dropped.
+Defined cases: a null or empty text has no spans; very long texts and matches of any
+length are read whole; spans of different kinds may overlap and all stay; repeated rows
+each get their row; an empty table gives an empty result; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ KINDS: dict[str, tuple[str, str, float, list[str]]] = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, ["phone", "tel", "call", "mobile"]),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.7, ["iban", "account", "bank"]),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", 0.3, ["ssn", "social security"]),
-    "secret": (r"(?<![0-9A-Za-z+/_=-])[0-9A-Za-z+/_-]{20,128}={0,2}(?![0-9A-Za-z+/_=-])", r"[0-9A-Za-z+/_-]{20}", 0.3, ["token", "secret", "api_key", "apikey", "api key", "password", "passwd", "credential", "bearer"]),
+    "secret": (r"(?<![0-9A-Za-z+/_=-])[0-9A-Za-z+/_-]{20,}+={0,2}(?![0-9A-Za-z+/_=-])", r"[0-9A-Za-z+/_-]{20}", 0.3, ["token", "secret", "api_key", "apikey", "api key", "password", "passwd", "credential", "bearer"]),
     # fixed values: prefixes of keys that services publish
     "key": (r"(?<![0-9A-Za-z])(?:[spr]k_(?:live|test)_[0-9A-Za-z]{16,64}|gh[pousr]_[0-9A-Za-z]{36}|A(?:KIA|SIA)[0-9A-Z]{16}|xox[abprs]-[0-9A-Za-z-]{10,72}|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20})(?![0-9A-Za-z])", r"k_live_|k_test_|gh[pousr]_|A[KS]IA|xox|AIza|glpat-", 0.7, ["token", "secret", "key"]),
 }

@@ -88,6 +88,13 @@ def test_list_entries_and_hot_urls(spark, monkeypatch):
     assert all(got[i] == (None, "allow") for i in range(53, len(urls)))
 
 
+def test_secrets_of_any_length(spark):
+    signs = "aB3dE5gH7jK9mN1pQ2rS4tU6vW8xY0z+"
+    df = spark.createDataFrame([(n, "token " + (signs * (n // 32 + 1))[:n]) for n in (19, 20, 100, 150, 5_000, 300_000)], "doc_id long, text string")
+    got = {r.doc_id: [(s["start"], s["end"]) for s in r.spans if s["kind"] == "secret"] for r in pii.find_pii(df, into="spans").collect()}
+    assert got == {19: [], **{n: [(6, 6 + n)] for n in (20, 100, 150, 5_000, 300_000)}}
+
+
 def test_mask(spark):
     df = spark.createDataFrame([(1, "é mail a@b.cd or 1.2.3.4 end"), (2, "plain"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.mask_pii(pii.find_pii(df)).collect()}
