@@ -4,7 +4,9 @@ A page becomes a tree of block elements and links; markup inside a line (b, span
 is part of its block. For every node: characters per tag, adjusted by the share of
 link characters and link tags; a node's density sum is that of its child blocks. The
 node of the largest sum is the article; the least density on its path to the body is
-the threshold that siblings along the path must reach to be part of it.
+the threshold that siblings along the path must reach to be part of it. An <article>
+around that node is taken whole; in a <main> around it, blocks that hold text themselves
+(paragraphs, lists, tables) need not reach the threshold, other containers must.
 Elements that by their name, class, id or role are navigation, forms, adverts, notices
 or reader comments are marked: they count towards the densities around them but are
 left out of sums and text. A mark must leave a text to choose from: an element that,
@@ -22,7 +24,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +40,16 @@ RAW = frozenset("script style textarea title noscript iframe template svg math n
 #: Elements marked by their name, and those of them that may frame a whole page.
 DROPPED = frozenset("head nav header footer aside form button menu dialog label input option fieldset search".split()) | RAW
 FRAMES = frozenset("header aside form fieldset".split())
-#: Words of class, id or role that mark an element, and those of them that may name a frame. A name counts whole or by its first or last part ("site-footer", "ad-slot").
+#: Words of class, id or role that mark an element, and those of them that may name a frame. A name counts if all its parts are such words or COMPANIONS ("site-footer", "ad-slot"; not "social-policy").
 DROPPED_WORDS = frozenset(
     "ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disqus footer header hidden masthead menu modal nav navbar navigation newsletter notice pagination popup promo promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 FRAME_WORDS = frozenset("ad ads advert alert banner header masthead modal notice popup promo promotion sidebar signup social sponsored subscribe toolbar widget".split())
-#: First parts of names that tell of something else on the page ("has-sidebar", "no-ads").
-ABOUT = frozenset("has have with without no not is hide show js".split())
+#: Words of place and form beside a marking word.
+COMPANIONS = frozenset("area articles bar block bottom box btn button buttons center col column consent container content count form global group icons inner item items left links list main message outer page panel posts primary reader right secondary section site slot sticky tags text thread top unit user wrap wrapper".split())
+#: Blocks that hold text themselves.
+TEXTS = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Characters outside links that make a sentence.
 SENTENCE = 60
 #: How many times the unmarked text an element of each mark must hold to lose it.
@@ -78,9 +84,9 @@ def mark_of(name: str, attributes: str) -> int:
             return 2
         if kind in ("class", "id", "role"):
             for token in value.split():
-                parts = re.split(r"[^a-z0-9]+", token)
-                if parts[0] not in ABOUT:
-                    for word in DROPPED_WORDS.intersection((parts[0], parts[-1])):
+                parts = set(re.findall(r"[a-z]+|[^\x00-\x7f]+", token))
+                if parts <= DROPPED_WORDS | COMPANIONS:
+                    for word in parts & DROPPED_WORDS:
                         mark = max(mark, 1 if word in FRAME_WORDS else 2)
     return mark
 
@@ -120,13 +126,38 @@ def settle_marks(root: Node) -> None:
         node.dropped = bool(node.mark) or (node.parent is not None and node.parent.dropped)
 
 
+class Open:
+    """The open elements, with the depths at which each name is open, so that no tag walks up the tree to find its partner."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.depths, self.solid = [root], defaultdict(list), [0]
+
+    def push(self, node: Node) -> None:
+        self.depths[node.name].append(len(self.nodes))
+        if node.name in BLOCKS and node.name != "p":
+            self.solid.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def deepest(self, names: Iterable[str]) -> int:
+        """Depth of the innermost open element of these names; 0 if none is."""
+        return max((self.depths[x][-1] for x in names if self.depths[x]), default=0)
+
+    def close(self, depth: int) -> None:
+        """Close the element at this depth and all inside it."""
+        while len(self.nodes) > depth:
+            node = self.nodes.pop()
+            self.depths[node.name].pop()
+            if self.solid[-1] == len(self.nodes):
+                self.solid.pop()
+
+
 def parse(page: str) -> Node:
     root = Node("body", None)
-    at, node, n = 0, root, len(page)
+    at, n, opened = 0, len(page), Open(root)
 
     def text(upto: int) -> None:
         if upto > at:
-            node.items.append(page[at:upto])
+            opened.nodes[-1].items.append(page[at:upto])
 
     for_search = TAG.search
     while at < n:
@@ -140,18 +171,14 @@ def parse(page: str) -> Node:
         if not name or name in ("html", "body"):
             continue
         if m[1]:
-            up = node
-            while up is not root and up.name != name:
-                # an end tag of an inline element does not reach beyond its block
-                if up.name in BLOCKS and name not in BLOCKS and name not in DROPPED:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            depth = opened.deepest([name])
+            # an end tag of an inline element does not reach beyond its block
+            inline = name not in BLOCKS and name not in DROPPED
+            if depth > (max(opened.solid[-1], opened.deepest("p")) if inline else 0):
+                opened.close(depth)
             continue
         if name == "br" or name == "hr":
-            node.items.append(" " if name == "br" else Node("hr", node))
+            opened.nodes[-1].items.append(" " if name == "br" else Node("hr", opened.nodes[-1]))
             continue
         if name in VOID:
             continue
@@ -161,16 +188,13 @@ def parse(page: str) -> Node:
             continue
         if name in CLOSES or name in BLOCKS:
             closed, container = CLOSES.get(name, ("p", frozenset()))
-            up = node
-            while up is not root and up.name not in closed.split() and up.name not in container:
-                if up.name in BLOCKS and up.name != "p" and name not in CLOSES:
-                    break
-                up = up.parent
-            if up.name in closed.split():
-                node = up.parent
-        child = Node(name, node, mark_of(name, m[3]))
-        node.items.append(child)
-        node = child if not m[3].endswith("/") or name in BLOCKS else node
+            depth = opened.deepest(closed.split())
+            if depth > (opened.deepest(container) if name in CLOSES else opened.solid[-1]):
+                opened.close(depth)
+        child = Node(name, opened.nodes[-1], mark_of(name, m[3]))
+        child.parent.items.append(child)
+        if not m[3].endswith("/") or name in BLOCKS:
+            opened.push(child)
     return root
 
 
@@ -240,14 +264,15 @@ def main_text(page: str | None) -> str:
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
+    article = next((i for i, x in enumerate(path) if x.name == "article"), 0)
     threshold = min(x.density for x in path)
-    above = set(map(id, path[1:]))
+    above = set(map(id, path[article + 1 :]))
     on_path = set(map(id, path))
 
     def keep(child: Node) -> bool:
         if child.parent is None or id(child.parent) not in above or id(child) in on_path:
             return True
-        return child.density >= threshold or child.name in ("h1", "h2", "h3", "h4", "h5", "h6")
+        return child.density >= threshold or child.name in (TEXTS if child.parent.name == "main" else HEADINGS)
 
     return "\n".join(blocks(root, keep))
 

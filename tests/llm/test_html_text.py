@@ -37,6 +37,31 @@ def test_no_mark_empties_a_page(wrapper):
     assert h.main_text(f"<body><div>{body}</div>{comments * 9}") == "\n".join(ARTICLE)
 
 
+@pytest.mark.parametrize("name", ["social-policy", "search-theory", "related-work", "comment-analysis", "no-ads", "ad"])
+def test_names_that_only_contain_a_marking_word(name):
+    side = "<div>" + "".join(f"<p>Side column line {i}, which is of no mark at all here.</p>" for i in range(6)) + "</div>"
+    body = [f"Paragraph {i} of the article, " + "with a good many words in each of its lines, " * 5 + "as it should be." for i in range(4)]
+    part = "".join(f"<p>{x}</p>" for x in body)
+    whole = h.main_text(f'<body>{side}<div class="{name}">{part}</div></body>')
+    assert (body[0] in whole and body[-1] in whole) == (name != "ad")
+    inside = h.main_text(f'<article><div>{part}</div><section class="{name}"><p>One more part of it.</p></section></article>')
+    assert inside == "\n".join(body + ["One more part of it."] * (name != "ad"))
+
+
+def test_marked_compounds():
+    assert all(h.mark_of("div", f'class="{x}"') for x in ["site-footer", "ad-slot", "cookie_notice", "comment-list", "share-buttons", "x related-posts", "ad-1", "sidebar2", "page-header"])
+    assert not any(h.mark_of("div", f'class="{x}"') for x in ["has-sidebar", "no-ads", "page-header-fixed", "content", "main-content", "post", "", "-", "advice"])
+
+
+def test_no_part_of_an_article_is_dropped():
+    long = "<p>" + "A long paragraph of many words that tells of something. " * 8 + "</p>"
+    said = " ".join(("A long paragraph of many words that tells of something. " * 8).split())
+    page = f"<article><section>{long}{long}</section><section><h2>B</h2><p>Tiny para.</p><ul><li>one<li>two</ul></section></article><div><a href=/>x</a></div>"
+    assert h.main_text(page) == "\n".join([said, said, "B", "Tiny para.", "one", "two"])
+    page = f"<main><p>Short lead.</p><div>{long}{long}</div><p>Short end.</p><div><a href=/>Other page</a> <a href=/>Next page</a></div></main>"
+    assert h.main_text(page) == "\n".join(["Short lead.", said, said, "Short end."])
+
+
 def test_densities_against_brute_force():
     r = random.Random(6)
 
@@ -83,7 +108,8 @@ def test_densities_against_brute_force():
 
 def test_long_odd_pages_stay_linear():
     began = time.time()
-    for page in ("<a '" * 50_000, "<" * 200_000, "<!--" * 50_000, "<p x=\"" * 50_000, "<b>" * 50_000, "&" * 100_000):
+    for page in ("<a '" * 50_000, "<" * 200_000, "<!--" * 50_000, "<p x=\"" * 50_000, "<b>" * 50_000, "&" * 100_000,
+                 "<span>" * 100_000 + "</b>" * 100_000, "<b><p>" + "<span>" * 50_000 + "</b>" * 50_000, "<span>" * 50_000 + "<div></div>" * 50_000, "<ul>" + "<div>" * 50_000 + "<dd></dd>" * 50_000):
         h.main_text(page)
     assert time.time() - began < 20
 
@@ -98,7 +124,7 @@ def test_query_on_the_template_pages(spark, tmp_path):
         parts = [re.sub(r"<[^>]*>|<[^>]*$", "", p.replace("<br>", " ")) for p in re.split(r"</?(?:p|h1)>", article)]
         want = "\n".join(t for t in (" ".join(html.unescape(p).split()) for p in parts) if t)
         assert r.text == want and r.n_chars == len(want) and r.url == pages[r.page_id].url
-    rows = [(i, None, p, 1) for i, (p, _) in enumerate(PAGES)] + [(0, "u", None, 1)]
+    rows = [(i, None, p, 1) for i, (p, _) in enumerate(PAGES) for _ in range(2)] + [(0, "u", None, 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
-    assert sorted((r.page_id, r.text) for r in h.extract(df).collect()) == sorted([(i, w) for i, (_, w) in enumerate(PAGES)] + [(0, "")])
+    assert sorted((r.page_id, r.text) for r in h.extract(df).collect()) == sorted([(i, w) for i, (_, w) in enumerate(PAGES) for _ in range(2)] + [(0, "")])
     assert h.extract(df.limit(0)).count() == 0
