@@ -6,10 +6,10 @@ import json
 import unicodedata
 import zoneinfo
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ringdata.functions.unicode import casefold, let, nfkc
 
 # Spellings of a missing value, of labels, and the words that mark a phone field.
 MISSING = ["", "nan", "none", "null", "nat", "<na>"]
@@ -21,14 +21,6 @@ PHONE_WORDS = ["phone", "mobile", "msisdn", "contact", "party", "landline", "cal
 COUNTRY_CODE, ZONE = "91", "Asia/Kolkata"
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode NFKC, the one text function that Spark lacks."""
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
-
-
-#: Compatibility characters of one code point whose NFKC is one character, and these: what full-width digits, signs and blanks need.
-COMPATIBLE = {chr(c): n for c in range(0x80, 0xFFFE) if not 0xD800 <= c < 0xE000 and len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n != chr(c)}
 _BLANK = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
 
@@ -37,19 +29,15 @@ def _trim(t: Column) -> Column:
     return F.regexp_replace(t, f"^{_BLANK}|{_BLANK}$", "")
 
 
-def clean_text(c: Column, unicode: bool = False) -> Column:
-    """null to '', compatibility characters folded, no U+200B, Excel's =\"...\" unwrapped up to twice, trimmed.
+def clean_text(c: Column) -> Column:
+    """null to '', Unicode NFKC, no U+200B, Excel's =\"...\" unwrapped up to twice, trimmed."""
+    wrapped = r'(?s)^="((?:""|[^"])*+)"$'
+
+    def unwrap(t: Column) -> Column:
+        return F.when(t.rlike(wrapped), _trim(F.replace(F.regexp_extract(t, wrapped, 1), F.lit('""'), F.lit('"')))).otherwise(t)
 
-    The fold is NFKC for characters that stay one; unicode=True applies the whole of it
-    (ligatures, combining marks) in a pandas UDF.
-    """
     t = F.coalesce(c.cast("string"), F.lit(""))
-    folded = F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, "".join(COMPATIBLE), "".join(COMPATIBLE.values()))).otherwise(t)
-    t = _trim(F.replace(nfkc(t) if unicode else folded, F.lit("\u200b"), F.lit("")))
-    wrapped = r'(?s)^="((?:""|[^"])*+)"$'
-    for _ in range(2):
-        t = F.when(t.rlike(wrapped), _trim(F.replace(F.regexp_extract(t, wrapped, 1), F.lit('""'), F.lit('"')))).otherwise(t)
-    return t
+    return let(_trim(F.replace(nfkc(t), F.lit("\u200b"), F.lit(""))), lambda t: unwrap(unwrap(t)))
 
 
 def is_missing_text(c: Column) -> Column:
@@ -63,21 +51,23 @@ def is_phone_field(name: str) -> bool:
 
 
 def _general(t: Column) -> Column:
-    return F.lower(_trim(F.regexp_replace(t, _BLANK, " ")))
+    return casefold(_trim(F.regexp_replace(t, _BLANK, " ")))
 
 
 def normalize_identifier(c: Column, phone: bool = False, country_code: str = COUNTRY_CODE) -> Column:
     """one spelling of an identifier ('' if missing). phone: apply the rules of phone fields to phone-shaped text."""
-    t = clean_text(c)
-    t = F.regexp_replace(t, r"^([0-9]+)\.0+$", "$1")
-    out = _general(t)
-    if phone:
-        d = F.regexp_replace(t, "[^0-9]", "")
-        d = F.when(d.startswith("00"), F.substr(d, F.lit(3))).otherwise(d)
-        full = F.when(F.length(d) == 10, F.concat(F.lit(country_code), d)).when((F.length(d) == 11) & d.startswith("0"), F.concat(F.lit(country_code), F.substr(d, F.lit(2)))).otherwise(d)
-        shaped = t.rlike(r"^[+()\-\s.0-9]+$") & (F.length(F.regexp_replace(t, "[^0-9]", "")) >= 7)
-        out = F.when(shaped, full).otherwise(out)
-    return F.when(is_missing_text(t), "").otherwise(out)
+
+    def spelling(t: Column) -> Column:
+        out = _general(t)
+        if phone:
+            d = F.regexp_replace(t, "[^0-9]", "")
+            d = F.when(d.startswith("00"), F.substr(d, F.lit(3))).otherwise(d)
+            full = F.when(F.length(d) == 10, F.concat(F.lit(country_code), d)).when((F.length(d) == 11) & d.startswith("0"), F.concat(F.lit(country_code), F.substr(d, F.lit(2)))).otherwise(d)
+            shaped = t.rlike(r"^[+()\-\s.0-9]+$") & (F.length(F.regexp_replace(t, "[^0-9]", "")) >= 7)
+            out = F.when(shaped, full).otherwise(out)
+        return F.when(is_missing_text(t), "").otherwise(out)
+
+    return let(F.regexp_replace(clean_text(c), r"^([0-9]+)\.0+$", "$1"), spelling)
 
 
 def identifier_variants(c: Column, phone: bool) -> Column:
@@ -113,11 +103,6 @@ def local_time(text: Column, day_first: bool | Column) -> Column:
 EXPLICIT = r"(?i)(?<=:[0-9]{2}|:[0-9]{2}\.[0-9]{1,6})\s*(Z|[+-][0-9]{2}:?[0-9]{2})$"
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with the value computed once per row."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def parse_event_time(text: Column, zone: Column | None = None, default_zone: str = ZONE, day_first: bool | Column = True) -> Column:
     """a struct of `instant` (UTC) and `status`; times.parse_event_times finds day_first by a vote of each source.
 

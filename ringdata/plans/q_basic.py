@@ -25,12 +25,12 @@ def iso(c):
 
 
 DUCK_ISO = "'%Y-%m-%d %H:%M:%S'"
-_T = "trim(translate(raw, '０１２３４５６７８９　', '0123456789 '), E' \\t\\n')"
+_T = "trim(translate(nfc_normalize(replace(replace(raw, 'ﬁ', 'fi'), '½', '1⁄2')), '０１２３４５６７８９　', '0123456789 '), E' \\t\\n')"
 CLEAN = f"trim(CASE WHEN {_T} LIKE '=\"%\"' THEN replace({_T}[3:-2], '\"\"', '\"') ELSE {_T} END, E' \\t\\n')"
 DIGITS = "regexp_replace(t2, '[^0-9]', '', 'g')"
 #: normalized identifier of column raw in relation rel, by the general and by the phone rule
 NORM = """, n1 AS (SELECT *, {clean} AS t1 FROM {rel}), n2 AS (SELECT *, regexp_replace(t1, '^([0-9]+)\\.0+$', '\\1') AS t2 FROM n1),
-n3 AS (SELECT *, {digits} AS d0, lower(trim(regexp_replace(t2, '\\s+', ' ', 'g'))) AS g FROM n2),
+n3 AS (SELECT *, {digits} AS d0, replace(lower(trim(regexp_replace(t2, '\\s+', ' ', 'g'))), 'ß', 'ss') AS g FROM n2),
 n4 AS (SELECT *, CASE WHEN starts_with(d0, '00') THEN substr(d0, 3) ELSE d0 END AS d FROM n3),
 norm AS (SELECT *, CASE WHEN lower(t1) IN ('', 'nan', 'none', 'null', 'nat', '<na>') THEN '' ELSE g END AS plain,
   CASE WHEN lower(t1) IN ('', 'nan', 'none', 'null', 'nat', '<na>') THEN '' WHEN regexp_full_match(t2, '[+()\\-\\s.0-9]+') AND length(d0) >= 7
@@ -47,7 +47,7 @@ def norm_sql(rel: str) -> str:
 
 @query("f1_clean_text", f"SELECT id, {CLEAN} AS cleaned FROM messy")
 def f1(spark, d):
-    return V.messy(spark, d).select("id", S.clean_text(F.col("raw"), unicode=True).alias("cleaned"))
+    return V.messy(spark, d).select("id", S.clean_text(F.col("raw")).alias("cleaned"))
 
 
 @query("f2_is_missing_text", "SELECT lower(trim(raw, E' \\t\\n')) IN ('', 'nan', 'none', 'null', 'nat', '<na>') AS missing, count(*) AS n FROM messy GROUP BY 1")

@@ -83,6 +83,7 @@ def messy(spark: SparkSession, d: str) -> DataFrame:
         .when(k % 40 == 5, "\tNaN \t")
         .when(k % 8 == 5, "NaN")
         .when(k % 40 == 7, F.concat(F.lit("　"), F.translate(n, "0123456789", "０１２３４５６７８９"), F.lit("\t")))
+        .when(k % 40 == 14, F.concat(F.lit(" \ufb01rst Cafe\u0301 \u00bd Stra\u00dfe "), k.cast("string")))
         .when(k % 8 == 6, F.concat(F.lit("  "), F.col("c_name"), F.lit("   X ")))
         .otherwise(n)
     )
@@ -101,5 +102,5 @@ observed AS (SELECT lo, hi FROM pairs WHERE (lo::BIGINT + hi::BIGINT) % 3 <> 0),
 inferred AS (SELECT lo, hi, ((lo::BIGINT * 31 + hi::BIGINT * 17) % 1000) / 1000.0::DOUBLE AS score FROM pairs WHERE (lo::BIGINT + hi::BIGINT) % 4 <> 1),
 scores AS (SELECT l.doc_id AS id, l.quality::INT AS label, (d.n_chars % 1000) / 1000.0::DOUBLE AS p, ['observed','confirmed','inferred','sampled_negative'][l.doc_id % 4 + 1] AS source, d.n_chars FROM labels l JOIN documents d USING (doc_id)),
 messy AS (SELECT c_custkey AS id, c_name, c_acctbal, c_mktsegment, CASE c_custkey % 8 WHEN 0 THEN '+91 (' || substr(n, 1, 5) || ') ' || substr(n, 6, 5) WHEN 1 THEN '="' || n || '"' WHEN 2 THEN '0' || n WHEN 3 THEN '0091' || n
-  WHEN 4 THEN n || '.00' WHEN 5 THEN CASE WHEN c_custkey % 40 = 5 THEN E'\\tNaN \\t' ELSE 'NaN' END WHEN 7 THEN CASE WHEN c_custkey % 40 = 7 THEN '　' || translate(n, '0123456789', '０１２３４５６７８９') || E'\\t' ELSE n END WHEN 6 THEN '  ' || c_name || '   X ' ELSE n END AS raw FROM (SELECT *, (c_custkey % 300 + 9000000000)::VARCHAR AS n FROM customer))
+  WHEN 4 THEN n || '.00' WHEN 5 THEN CASE WHEN c_custkey % 40 = 5 THEN E'\\tNaN \\t' ELSE 'NaN' END WHEN 7 THEN CASE WHEN c_custkey % 40 = 7 THEN '　' || translate(n, '0123456789', '０１２３４５６７８９') || E'\\t' ELSE n END WHEN 6 THEN CASE WHEN c_custkey % 40 = 14 THEN ' ﬁrst Café ½ Straße ' || c_custkey ELSE '  ' || c_name || '   X ' END ELSE n END AS raw FROM (SELECT *, (c_custkey % 300 + 9000000000)::VARCHAR AS n FROM customer))
 """

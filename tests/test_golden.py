@@ -27,7 +27,7 @@ def test_phone_spellings(spark):
     phone = lambda c: S.normalize_identifier(c, phone=True)
     assert one(spark, phone, "+91 (98765) 43210", '="9876543210"', "9876543210", "09876543210", "0091 98765 43210", "9876543210.00") == ["919876543210"] * 6
     assert one(spark, S.normalize_identifier, "1234567890", " NaN ", None, "<NA>", "Ab  C") == ["1234567890", "", "", "", "ab c"]
-    assert one(spark, lambda c: S.clean_text(c, unicode=True), "ＡＢ​", '="a""b"') == ["AB", 'a"b']
+    assert one(spark, lambda c: S.clean_text(c), "ＡＢ​", '="a""b"') == ["AB", 'a"b']
 
 
 def test_times(spark):
