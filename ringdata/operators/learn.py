@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -243,8 +244,46 @@ def evaluate(model: PairModel, splits: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def platt_calibrate(df: DataFrame, score: str = "p", label: str = "label") -> DataFrame:
-    """M7: df with `calibrated`, from a logistic fit on the one score."""
-    va = VectorAssembler(inputCols=[score], outputCol="_x")
-    model = Pipeline(stages=[va, LogisticRegression(featuresCol="_x", labelCol=label, maxIter=50)]).fit(df)
-    return model.transform(df).withColumn("calibrated", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
+def platt_fit(df: DataFrame, score: str = "p", label: str = "label", steps: int = 30) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve of a label by a score (Platt's smoothed targets), by Newton steps that are halved while the loss rises.
+
+    A step is one aggregate of six sums, so any number of rows is fitted whole. Rows without
+    a score or label are passed over; without rows the curve is 0.5 everywhere, and a score
+    of one value fits the intercept alone.
+    """
+    rows = cut(df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y")).where("s is not null and y in (0, 1)"))
+    n = rows.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("pos"), F.count("y").alias("all")).first()
+    pos, neg = n["pos"], n["all"] - n["pos"]
+    target = F.when(F.col("y") == 1, (pos + 1) / (pos + 2)).otherwise(1 / (neg + 2))
+    at, step, last = (0.0, math.log((pos + 1) / (neg + 1))), (0.0, 0.0), math.inf
+    for _ in range(steps if n["all"] else 0):
+        z = F.col("s") * at[0] + at[1]
+        p = 1 / (1 + F.exp(-z))
+        g, w = target - p, p * (1 - p)
+        loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - target * z
+        x = rows.agg(F.sum(loss).alias("loss"), F.sum(g * F.col("s")).alias("ga"), F.sum(g).alias("gb"), F.sum(w * F.col("s") ** 2).alias("aa"), F.sum(w * F.col("s")).alias("ab"), F.sum(w).alias("bb")).first()
+        if x["loss"] > last + 1e-12 * abs(last):
+            step = (step[0] / 2, step[1] / 2)
+            at = (at[0] - step[0], at[1] - step[1])
+            continue
+        last, det = x["loss"], x["aa"] * x["bb"] - x["ab"] ** 2
+        if det > 1e-12 * x["aa"] * x["bb"]:
+            step = ((x["bb"] * x["ga"] - x["ab"] * x["gb"]) / det, (x["aa"] * x["gb"] - x["ab"] * x["ga"]) / det)
+        else:
+            step = (0.0, x["gb"] / x["bb"])
+        if max(map(abs, step)) < 1e-12:
+            break
+        at = (at[0] + step[0], at[1] + step[1])
+    return at
+
+
+def platt_calibrate(df: DataFrame, validation: DataFrame, score: str = "p", label: str = "label") -> DataFrame:
+    """M7: df with `calibrated`, by the curve fitted on the validation split, whose rows should not be df's."""
+    a, b = platt_fit(validation, score, label)
+    return df.withColumn("calibrated", 1 / (1 + F.exp(-(F.col(score) * a + b))))
+
+
+def platt_cross_calibrate(df: DataFrame, key: str, score: str = "p", label: str = "label", seed: int = 7) -> DataFrame:
+    """M7 where no split is set aside: keys are drawn into two halves, and each is calibrated by the curve of the other."""
+    first = uniform(seed, F.col(key)) < 0.5
+    return platt_calibrate(df.where(first), df.where(~first), score, label).unionByName(platt_calibrate(df.where(~first), df.where(first), score, label))

@@ -151,9 +151,23 @@ def m6(spark, d):
     return a.join(b, ["lo", "hi"]).select("lo", "hi", (F.abs(F.col("p") - F.col("q")) < 1e-6).alias("same"))
 
 
-@query("m7_platt_calibrate")
+def platt_sql(steps: int = 8) -> str:
+    """Newton steps of both halves' curves, written out; `other` is the half that a curve is for."""
+    out = f""", halves AS (SELECT id, label, p, {draw_sql(7, 'id')} < 0.5 AS half FROM scores),
+fit AS (SELECT NOT half AS other, p AS s, CASE WHEN label = 1 THEN (pos + 1) / (pos + 2) ELSE 1 / (neg + 2) END AS t, ln((pos + 1) / (neg + 1)) AS b
+  FROM halves JOIN (SELECT half, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM halves GROUP BY 1) USING (half) WHERE p IS NOT NULL),
+c0 AS (SELECT other, 0::DOUBLE AS a, min(b) AS b FROM fit GROUP BY 1)"""
+    for k in range(steps):
+        out += f""",
+e{k} AS (SELECT other, a, c.b, s, t, 1 / (1 + exp(-(a * s + c.b))) AS q FROM fit JOIN c{k} c USING (other)),
+g{k} AS (SELECT other, a, b, sum((t - q) * s) AS ga, sum(t - q) AS gb, sum(q * (1 - q) * s * s) AS aa, sum(q * (1 - q) * s) AS ab, sum(q * (1 - q)) AS bb FROM e{k} GROUP BY ALL),
+c{k + 1} AS (SELECT other, a + (bb * ga - ab * gb) / (aa * bb - ab * ab) AS a, b + (aa * gb - ab * ga) / (aa * bb - ab * ab) AS b FROM g{k})"""
+    return out + f" SELECT id, label, p, round(1 / (1 + exp(-(a * p + b))), 6) AS calibrated FROM halves JOIN c{steps} ON half = other"
+
+
+@query("m7_platt_calibrate", platt_sql())
 def m7(spark, d):
-    return M.platt_calibrate(V.scores(spark, d).select("id", "label", "p"))
+    return M.platt_cross_calibrate(V.scores(spark, d).select("id", "label", "p"), "id").withColumn("calibrated", F.round("calibrated", 6))
 
 
 @query("m8_label_policy_weights", "SELECT source, CASE source WHEN 'inferred' THEN 0.4 WHEN 'sampled_negative' THEN 0.6 ELSE 1.0 END::DOUBLE AS weight, count(*) AS n FROM scores WHERE source <> 'inferred' GROUP BY ALL")

@@ -57,12 +57,12 @@ BOTH = ", b AS (SELECT lo AS node, hi AS other FROM observed UNION ALL SELECT hi
 RANKED = "SELECT *, row_number() OVER (PARTITION BY agent ORDER BY value) - 1 AS at, count(*) OVER (PARTITION BY agent) AS n FROM (SELECT DISTINCT {} AS value FROM {})"
 
 
-@query("r4_route_calls", BOTH + f""", c AS ({RANKED.format("caller AS agent, receiver", "calls WHERE k % 2 = 0")}), f AS ({RANKED.format("node AS agent, other", "b")}),
+@query("r4_route_calls", BOTH + f""", c AS ({RANKED.format("caller AS agent, receiver", "calls")}), f AS ({RANKED.format("node AS agent, other", "b")}),
 x AS (SELECT caller AS agent, event_id AS i, {draw_sql(7, "'link'", "caller", "event_id")} < 0.5 AS linked, {draw_sql(7, "'contact'", "caller", "event_id")} AS uc, {draw_sql(7, "'near'", "caller", "event_id")} AS uf FROM calls)
 SELECT x.agent, i, CASE WHEN linked THEN coalesce(c.value, f.value, x.agent) ELSE 'DUMMY_' || x.agent || '_' || lpad((i // 2)::VARCHAR, 6, '0') END AS receiver, CASE WHEN linked THEN 'known_friend' ELSE 'dummy_entity' END AS contact_type
 FROM x LEFT JOIN c ON c.agent = x.agent AND c.at = floor(uc * c.n) LEFT JOIN f ON f.agent = x.agent AND f.at = floor(uf * f.n)""")
 def r4(spark, d):
-    contacts = V.calls(spark, d).where("k % 2 = 0").select(F.col("caller").alias("agent"), F.col("receiver").alias("contact"))
+    contacts = V.calls(spark, d).select(F.col("caller").alias("agent"), F.col("receiver").alias("contact"))
     shares = V.subscribers(spark, d).select(F.col("subscriber_id").alias("agent"), F.lit(0.5).alias("share"))
     return R.route_calls(_rows(spark, d), shares, contacts, V.observed(spark, d))
 
