@@ -4,10 +4,12 @@ A filter is a table (width x 256): its response at a byte is the sum of the entr
 of the next `width` bytes. Responses are max-pooled over chunks of CHUNK bytes that
 overlap by half and cover the whole text; a hidden layer turns each chunk into a
 logit, and mean, largest and smallest logit are combined into one probability.
-It is fitted on the driver on at most SAMPLE_DOCS labelled documents (those of the
-least hash), on every byte of each: filters on all chunks, where a document's chunks
-together weigh as much as another's, and the combiner on the same summaries of whole
-texts that scoring uses. Scoring reads every byte of every text.
+It is fitted on the driver on at most SAMPLE_DOCS labelled documents of together at
+most SAMPLE_BYTES bytes (in order of hash; what does not fit is no row of the sample,
+and a very long text never reaches the driver), on every byte of each: filters on all
+chunks in every epoch, where a document's chunks together weigh as much as another's,
+and the combiner on the same summaries of whole texts that scoring uses. Scoring reads
+every byte of every text, of any length.
 Defined cases: a null or empty text is one chunk of padding and gets a score; with
 labels of fewer than two kinds every score is the smoothed share of label 1 (0.5
 without labels); repeated rows score alike; an empty table gives an empty result;
@@ -30,8 +32,8 @@ from .shared import remainder, texts
 CHUNK = 256
 HALF = CHUNK // 2
 WIDTH, FILTERS, HIDDEN = 5, 24, 16
-SAMPLE_DOCS = 3_000
-EPOCHS, BATCH, RATE, DRAWS = 6, 64, 3e-3, 8
+SAMPLE_DOCS, SAMPLE_BYTES = 3_000, 64 << 20
+EPOCHS, BATCH, RATE = 6, 64, 3e-3
 THRESHOLD = 0.7
 
 
@@ -101,8 +103,7 @@ def fit(documents: list[bytes], labels: list[int], seed: int = 11) -> Net:
     # the rarer label counts more, but not as much as balance would ask for
     weight = np.where(y == 1, 1.0, np.clip(y_doc.mean() / max(1e-6, 1 - y_doc.mean()), 1, 3)).astype(np.float32)
     share = 1.0 / np.bincount(owner)[owner]
-    # chunks of long documents are drawn less often: as many draws an epoch as there are chunks, at most DRAWS a document
-    draws = min(len(x), DRAWS * len(documents))
+    weight *= (share / share.mean()).astype(np.float32)
     p = {
         "table": rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), "bias": np.zeros(FILTERS, np.float32),
         "w1": rng.normal(0, 0.4, (FILTERS, HIDDEN)).astype(np.float32), "b1": np.zeros(HIDDEN, np.float32),
@@ -111,8 +112,7 @@ def fit(documents: list[bytes], labels: list[int], seed: int = 11) -> Net:
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     step = 0
     for _ in range(EPOCHS):
-        order = np.argsort(rng.exponential(size=len(x)) / share)[:draws]  # without replacement, by weight
-        rng.shuffle(order)
+        order = rng.permutation(len(x))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
             xb, n = x[rows], len(rows)
@@ -127,10 +127,8 @@ def fit(documents: list[bytes], labels: list[int], seed: int = 11) -> Net:
             err = (_sigmoid(hid @ p["w2"] + p["b2"]) - y[rows]) * weight[rows] / n
             g_pre = np.outer(err, p["w2"]) * (pre > 0)
             g_top = g_pre @ p["w1"].T * (top > 0)
-            g_table = np.zeros_like(p["table"])
-            filt = np.broadcast_to(np.arange(FILTERS), where.shape)
-            for j in range(WIDTH):
-                np.add.at(g_table[j], (np.take_along_axis(xb, where + j, 1), filt), g_top)
+            cells = [(np.take_along_axis(xb, where + j, 1).astype(np.intp) + 256 * j) * FILTERS + np.arange(FILTERS) for j in range(WIDTH)]
+            g_table = np.bincount(np.concatenate(cells, axis=None), np.tile(g_top.ravel(), WIDTH), p["table"].size).reshape(p["table"].shape)
             grads = {"table": g_table, "bias": g_top.sum(0), "w1": act.T @ g_pre, "b1": g_pre.sum(0), "w2": hid.T @ err, "b2": np.array([err.sum()])}
             step += 1
             for k, g in grads.items():
@@ -153,14 +151,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 25
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE_DOCS) -> Net:
-    """Fit on the labelled rows of docs whose crc32(doc_id as text) mod 4 is not 2, at most `sample` of them."""
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Net:
+    """Fit on the labelled rows of docs whose crc32(doc_id as text) mod 4 is not 2, at most `sample` rows and `sample_bytes` bytes."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y IN (0, 1)").where(remainder(F.col("doc_id"), 4) != 2)
     # the rows are chosen by id before any text is read
     chosen = known.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
-    rows = sorted(rows.collect(), key=lambda r: r.doc_id)  # at most `sample` rows
-    return fit([r.text.encode() for r in rows], [r.y for r in rows])
+    rows = texts(docs).where(F.octet_length("text") <= sample_bytes).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
+    kept, room = [], sample_bytes
+    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        text = r.text.encode()
+        if len(text) <= room:
+            kept.append((r.doc_id, text, r.y))
+            room -= len(text)
+    kept.sort(key=lambda r: r[0])
+    return fit([text for _, text, _ in kept], [y for _, _, y in kept])
 
 
 def add_score(docs: DataFrame, net: Net, name: str = "score") -> DataFrame:

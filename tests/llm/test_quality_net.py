@@ -39,6 +39,29 @@ def test_training_reads_whole_texts():
     assert all((net.score(make(bad).decode()) >= 0.5) != bad for bad in (True, False) * 5)
 
 
+def test_every_chunk_is_learnt_from(monkeypatch):
+    """A table entry moves for each byte value that only one chunk of a very long text holds."""
+    r = np.random.default_rng(4)
+    long = b"".join(bytes([128 + k]) * q.CHUNK for k in range(100))
+    docs = [long, *[bytes(r.integers(97, 123, 300, dtype=np.uint8)) for _ in range(20)]]
+    monkeypatch.setattr(q, "EPOCHS", 0)
+    before = q.fit(docs, [0] + [1] * 20).table
+    monkeypatch.setattr(q, "EPOCHS", 1)
+    moved = np.abs(q.fit(docs, [0] + [1] * 20).table - before).max(axis=(0, 2)) > 0
+    assert moved[128:228].all() and not moved[228:].any()
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * (40 if i else 4_000)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(q, "fit", lambda texts, y: seen.append([len(t) for t in texts]))
+    q.learn(docs, labels, sample_bytes=2_000)
+    q.learn(docs, labels)
+    assert sum(seen[0]) == 2_000 and set(seen[0]) == {200}
+    assert len(seen[1]) > 30 and max(seen[1]) == 20_000
+
+
 def test_ties_of_labels(spark):
     docs = spark.createDataFrame([(i, ("good words in here ", "### $$$ ### ")[i % 2] * 9) for i in range(40)] * 2, "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i in range(40) for y in (1 - i % 2, 0 if i % 2 else 1)], "doc_id long, quality int")
