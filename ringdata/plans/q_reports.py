@@ -115,13 +115,21 @@ def w9(spark, d):
     return rows.select("agent", "part", "k", "name", iso("ts").alias("ts"), "direction", F.round(measure, 4).alias("measure"), F.coalesce("event_type", "destination").alias("detail"), "port")
 
 
-@query("s10_agent_docs", STATS + LINES[len(ENDS):] + "SELECT agent, part, count(*) AS items, count(*) AS last FROM li WHERE agent IN (SELECT subscriber_id FROM subscribers) GROUP BY 1, 2 UNION ALL SELECT subscriber_id, 'stats ' || coalesce(outgoing_calls, 0) || ' ' || coalesce(contacts, 0) || ' ' || coalesce(friends, 0), 1, 1 FROM subscribers LEFT JOIN a ON a.agent = subscriber_id LEFT JOIN e ON e.agent = subscriber_id")
+_MEASURES = ["outgoing_calls", "incoming_calls", "contacts", "outgoing_contacts", "incoming_contacts", "call_days", "sessions", "destinations", "ports", "friends"]
+
+
+@query("s10_agent_docs", STATS + LINES[len(ENDS):] + f"""SELECT agent, part, {PLACE} AS k, name, strftime(ts, {DUCK_ISO}) AS ts, direction, round(measure, 4) AS measure, round(lat, 5)::DOUBLE AS lat, round(lng, 5)::DOUBLE AS lng, detail, port FROM li WHERE agent IN (SELECT subscriber_id FROM subscribers)
+UNION ALL SELECT subscriber_id, 'stats', 1, concat_ws(' ', {', '.join(f'coalesce({c}, 0)' for c in _MEASURES)}), strftime(greatest(lc, ls), {DUCK_ISO}), NULL, round(coalesce(call_seconds, 0), 4), NULL, NULL, round(coalesce(mb, 0), 2)::DECIMAL(18, 2)::VARCHAR, NULL FROM subscribers LEFT JOIN a ON a.agent = subscriber_id LEFT JOIN s ON s.agent = subscriber_id LEFT JOIN e ON e.agent = subscriber_id""")
 def s10(spark, d):
-    path = _scratch(spark, "s10")
-    files.write_agent_docs(R.agent_documents(*_documents(spark, d)), path)
-    back = spark.read.json(f"{path}/agents", schema="agent string, part string, k long, stats struct<outgoing_calls: long, contacts: long, friends: long>")
-    part = F.when(F.col("part") == "stats", F.concat_ws(" ", "part", "stats.outgoing_calls", "stats.contacts", "stats.friends")).otherwise(F.col("part"))
-    return back.groupBy("agent", part.alias("part")).agg(F.count(F.lit(1)).alias("items"), F.max("k").alias("last"))
+    path, docs = _scratch(spark, "s10"), R.agent_documents(*_documents(spark, d))
+    files.write_agent_docs(docs, path)
+    i, s = F.col("item"), F.col("stats")
+    measure = F.coalesce(i["score"], (i["outgoing"] + i["incoming"]).cast("double"), i["n"].cast("double"), i["duration"], i["mb"], s["call_seconds"])
+    detail = F.coalesce(i["event_type"], i["destination"], F.round(s["mb"], 2).cast("decimal(18, 2)").cast("string"))
+    return files.read_agent_docs(spark, path, docs.schema).select(
+        F.col("agent_id").alias("agent"), "part", "k", F.when(s.isNotNull(), F.concat_ws(" ", *[s[c] for c in _MEASURES])).otherwise(i["name"]).alias("name"), iso(F.coalesce(i["ts"], s["last_activity"])).alias("ts"),
+        i["direction"].alias("direction"), F.round(measure, 4).alias("measure"), F.round(i["lat"], 5).alias("lat"), F.round(i["lng"], 5).alias("lng"), detail.alias("detail"), i["port"].alias("port"),
+    )
 
 
 @query("w10_latest_activity", ENDS + f"SELECT agent, strftime(max(ts), {DUCK_ISO}) AS last_ts FROM (SELECT agent, ts FROM ends UNION ALL SELECT subscriber, ts FROM sessions) GROUP BY 1")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringdata.operators.schema import is_header
@@ -164,15 +164,36 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def write_agent_docs(docs: DataFrame, path: str) -> None:
-    """A folder for each agent and an index of all.
+#: Instants of documents keep their microseconds.
+DOC_INSTANTS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
-    An agent's document is JSON lines, one for the measures and one for each item of its
-    lists, in order of part and place; a large one takes several files in name order.
+
+def write_agent_docs(docs: DataFrame, path: str, files: int | None = None) -> None:
+    """The documents of all agents as ranges of (agent, part, place) in JSON lines, with two indexes.
+
+    An agent's document is one line for the measures and one for each item of its lists,
+    in order. Files are cut by range, so that their number (`files`; otherwise as many as
+    a shuffle has partitions, at most) follows the size of the data, not the number of
+    agents, and a large document takes several. `index` holds the measures of every agent;
+    `files` where its lines are: agent_id, file, first_row (from 0) and rows.
     """
-    order = ["agent_id", "part", "k"]
-    docs.withColumn("agent", F.col("agent_id")).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("agent_id").json(f"{path}/agents")
+    spark, order = docs.sparkSession, ["agent_id", "part", "k"]
+    ranges = docs.repartitionByRange(files, *order) if files else docs.repartitionByRange(*order)
+    ranges.sortWithinPartitions(*order).write.mode("overwrite").option("timestampFormat", DOC_INSTANTS).json(f"{path}/documents")
     docs.where("part = 'stats'").select("agent_id", "stats").write.mode("overwrite").json(f"{path}/index")
+    lines = spark.read.schema("agent_id string").json(f"{path}/documents").select("agent_id", F.col("_metadata.file_name").alias("file"))
+    before = F.sum("rows").over(Window.partitionBy("file").orderBy("agent_id").rowsBetween(Window.unboundedPreceding, -1))  # agents of one file
+    held = lines.groupBy("agent_id", "file").agg(F.count(F.lit(1)).alias("rows")).withColumn("first_row", F.coalesce(before, F.lit(0)))
+    held.repartitionByRange("agent_id").sortWithinPartitions("agent_id", "file").write.mode("overwrite").parquet(f"{path}/files")
+
+
+def read_agent_docs(spark: SparkSession, path: str, schema, agent: str | None = None) -> DataFrame:
+    """The rows that write_agent_docs was given; those of one agent from its own files only, found in the index."""
+    reader = spark.read.schema(schema).option("timestampFormat", DOC_INSTANTS)
+    if agent is None:
+        return reader.json(f"{path}/documents")
+    held = spark.read.parquet(f"{path}/files").where(F.col("agent_id") == agent).select("file").collect()  # at most one row a file
+    return reader.json([f"{path}/documents/{r.file}" for r in held]).where(F.col("agent_id") == agent) if held else spark.createDataFrame([], schema)
 
 
 def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
