@@ -177,11 +177,6 @@ def k1(spark, d):
     return K.correlate_sessions(V.sessions(spark, d)).drop("evidence")
 
 
-@query("k1_correlate_above", PROF + f"SELECT a.person AS lo, b.person AS hi, round({_SCORE} + 1e-9, 6) AS score, {_SHARED} FROM prof a JOIN prof b ON a.person < b.person WHERE round({_SCORE} + 1e-9, 6) >= 0.5")
-def k1_above(spark, d):
-    return K.correlate_above(V.sessions(spark, d), 0.5).drop("evidence")
-
-
 def _both(x):
     """SQL of a session feature: 0 unless both people have sessions."""
     return f"CASE WHEN x.sessions IS NULL OR y.sessions IS NULL THEN 0 ELSE {x} END"
