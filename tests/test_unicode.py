@@ -1,4 +1,5 @@
 import random
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -35,3 +36,10 @@ def test_identifiers_as_python_folds_them(spark):
     assert [r[1] for r in sorted(df.select("i", S.normalize_identifier(F.col("t"))).collect())] == want
     phone = "①②③ ４５６７８９０"
     assert spark.createDataFrame([(phone,)], "t string").select(S.normalize_identifier(F.col("t"), phone=True)).first()[0] == "911234567890"
+
+
+def test_blanks_and_classes():
+    """Characters trimmed one by one are those of the class, and a class in spans holds what it was made of."""
+    assert {chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "Z"} < set(S.BLANKS)
+    assert all(re.fullmatch(r"\s", c) for c in S.BLANKS)
+    assert U.any_of(["é", "ß", "ê"]) == r"[\x{DF}-\x{EA}&&[[\x{DF}-\x{EA}&&[\x{DF}-\x{DF}\x{E9}-\x{EA}]]]]"
