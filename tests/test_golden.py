@@ -17,6 +17,7 @@ from ringdata.operators import profiles as A
 from ringdata.operators import sampling as R
 from ringdata.operators.schema import canonicalize_source, resolve_schema
 from ringdata.sources import files
+from ringdata.sources import views as V
 
 
 def one(spark, column, *values):
@@ -276,3 +277,19 @@ def test_content_fingerprint(spark):
     assert E.content_fingerprint(make([])).first().asDict() == {"rows": 0, "digest": "0"}
     check = lambda **s: E.validation_fingerprint(s, E.content_fingerprint(make(rows))).first().fingerprint
     assert check(zone="UTC", country="91") == check(country="91", zone="UTC") != check(zone="UTC", country="1")
+
+
+def test_pairs_are_scored_where_blocks_meet(spark, monkeypatch):
+    """No join or exchange above the tasks that make pairs; small blocks, strips and batches change nothing."""
+    s = V.sessions(spark, "/root/testdata/sf0.001")
+    plan = K.correlate_sessions(s)._jdf.queryExecution().sparkPlan().toString()
+    above = plan.split("FlatMapGroupsInArrow")[0]
+    assert above != plan and "Join" not in above and "Aggregate" not in above
+    one = sorted(map(tuple, K.correlate_sessions(s).collect()))
+    four = sorted((r.lo, r.hi, round(r.cosine, 9)) for r in K.weighted_item_cosine(s).collect())
+    pairs = sorted(map(tuple, K.all_pairs(s.selectExpr("subscriber AS person")).collect()))
+    for name, value in {"BLOCK": 4, "STRIP": 3, "ITEMS_AT_ONCE": 7, "PAIRS_AT_ONCE": 5, "HOT_ITEM": 3, "LIST": 4}.items():
+        monkeypatch.setattr(K, name, value)
+    assert sorted(map(tuple, K.correlate_sessions(s).collect())) == one and len(one) == len(pairs)
+    assert sorted((r.lo, r.hi, round(r.cosine, 9)) for r in K.weighted_item_cosine(s).collect()) == four
+    assert sorted(map(tuple, K.all_pairs(s.selectExpr("subscriber AS person")).collect())) == pairs == [r[:2] for r in one]
