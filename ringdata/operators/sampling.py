@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringdata.functions import scalars as S
+from ringdata.functions.unicode import let
 from ringdata.operators import edges as G
 from ringdata.operators.edges import rank_hash, uniform
 from ringdata.operators.sets import set_parts
@@ -141,12 +142,31 @@ def _pairs_of(drawn: DataFrame, numbered: DataFrame) -> DataFrame:
     return drawn.join(a, "x").join(b, "y").select("id", F.least("lo_", "hi_").alias("lo"), F.greatest("lo_", "hi_").alias("hi"))
 
 
+def _ends(k: Column) -> Column:
+    """Pair number k (0-based) as a struct of y > x: k = y (y - 1) / 2 + x, in whole numbers."""
+    below = lambda y: F.when(y % 2 == 0, F.shiftright(y, 1) * (y - 1)).otherwise(y * F.shiftright(y - 1, 1))
+
+    def settle(y: Column) -> Column:
+        return F.when(below(y) > k, y - 1).when(below(y + 1) <= k, y + 1).otherwise(y)
+
+    guess = F.floor((1 + F.sqrt(1 + 8 * k.cast("double"))) / 2).cast("long")
+    return let(let(guess, settle), lambda y: F.struct((k - below(y)).alias("x"), y.alias("y")))
+
+
 def _unrank(k: Column) -> tuple[Column, Column]:
-    """Pair number k (0-based) as y > x: k = y (y - 1) / 2 + x."""
-    y = F.floor((1 + F.sqrt(1 + 8 * k.cast("double"))) / 2).cast("long")
-    y = F.when(y * (y - 1) / 2 > k, y - 1).otherwise(y)
-    y = F.when((y + 1) * y / 2 <= k, y + 1).otherwise(y)
-    return (k - (y * (y - 1) / 2).cast("long")), y
+    at = _ends(k)
+    return at["x"], at["y"]
+
+
+def _times(a: Column, step: int, modulus: int) -> Column:
+    """a * step modulo a number below 2^62 for 0 <= a < modulus: in longs where they hold it, else in decimals."""
+    if modulus < 1 << 31:
+        return F.pmod(a * F.lit(step), F.lit(modulus))
+    return F.pmod(a.cast("decimal(38,0)") * step, F.lit(modulus)).cast("long")
+
+
+#: Places of the walk of one task, at most, and in a row: only the first of a row is multiplied out.
+TASK_PLACES, ROW_PLACES = 1 << 20, 256
 
 
 def _pair_walk(numbered: DataFrame, pairs: int, first: int, seed: int) -> DataFrame:
@@ -154,12 +174,16 @@ def _pair_walk(numbered: DataFrame, pairs: int, first: int, seed: int) -> DataFr
 
     Pair numbers are unranked from id * step + start modulo the number of pairs, with a
     step near the golden section, so that any first part of the walk spreads evenly; the
-    nodes behind the numbers are in hash order.
+    nodes behind the numbers are in hash order. Tasks follow the number of places.
     """
-    step = next(s for s in itertools.count(max(1, pairs * GOLDEN // 10**9)) if math.gcd(s, max(1, pairs)) == 1)
-    k = F.pmod(F.col("id").cast("decimal(38,0)") * step + seed * 7919, F.lit(max(1, pairs))).cast("long")
-    x, y = _unrank(F.col("k"))
-    return _pairs_of(numbered.sparkSession.range(first).select("id", k.alias("k")).select("id", x.alias("x"), y.alias("y")), numbered)
+    modulus = max(1, pairs)
+    step = next(s for s in itertools.count(max(1, pairs * GOLDEN // 10**9)) if math.gcd(s, modulus) == 1)
+    rows = numbered.sparkSession.range(0, math.ceil(first / ROW_PLACES), 1, max(1, math.ceil(first / TASK_PLACES), min(64, first // ROW_PLACES)))
+    start = F.pmod(_times(F.col("id"), step * ROW_PLACES % modulus, modulus) + F.lit(seed * 7919 % modulus), F.lit(modulus))
+    jumps = F.array(*[F.lit(i * step % modulus).cast("long") for i in range(ROW_PLACES)])
+    places = rows.select((F.col("id") * ROW_PLACES).alias("from"), start.alias("start"), F.posexplode(jumps).alias("i", "jump"))
+    drawn = places.select((F.col("from") + F.col("i")).alias("id"), _ends(F.pmod(F.col("start") + F.col("jump"), F.lit(modulus))).alias("at")).where(F.col("id") < first)
+    return _pairs_of(drawn.select("id", "at.x", "at.y"), numbered)
 
 
 def sample_pairs_fraction(nodes: DataFrame, fraction: float, seed: int = 7) -> DataFrame:

@@ -293,3 +293,21 @@ def test_pairs_are_scored_where_blocks_meet(spark, monkeypatch):
     assert sorted(map(tuple, K.correlate_sessions(s).collect())) == one and len(one) == len(pairs)
     assert sorted((r.lo, r.hi, round(r.cosine, 9)) for r in K.weighted_item_cosine(s).collect()) == four
     assert sorted(map(tuple, K.all_pairs(s.selectExpr("subscriber AS person")).collect())) == pairs == [r[:2] for r in one]
+
+
+def test_walk_in_many_tasks(spark, monkeypatch):
+    """The same places however they are dealt; the number of tasks follows the number of places."""
+    nodes = spark.range(40).select(F.col("id").cast("string").alias("node"))
+    numbered = R._numbered(nodes, 7)
+    name, pairs = {r["at"]: r.node for r in numbered.collect()}, 780
+    step = next(s for s in itertools.count(pairs * R.GOLDEN // 10**9) if R.math.gcd(s, pairs) == 1)
+    ends = [(x, y) for y in range(40) for x in range(y)]
+    want = [(i, *sorted(name[e] for e in ends[(i * step + 7 * 7919) % pairs])) for i in range(501)]
+    monkeypatch.setattr(R, "TASK_PLACES", 50)
+    monkeypatch.setattr(R, "ROW_PLACES", 50)
+    got = R._pair_walk(numbered, pairs, 501, 7)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "splits=Some(11)" in got._jdf.queryExecution().optimizedPlan().toString()
+    k = 2**61 - 7
+    x, y = spark.range(1).select(*R._unrank(F.lit(k))).first()
+    assert y * (y - 1) // 2 + x == k and 0 <= x < y
