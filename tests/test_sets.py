@@ -60,3 +60,17 @@ def test_contacts_of_a_person_with_a_million(spark):
     assert (stats.events, stats.contacts) == (2 * MILLION, MILLION)
     parts = A.contact_sets(calls).where("person = 'hub'").select(F.size("contacts").alias("n")).collect()
     assert len(parts) == 16 and sum(r.n for r in parts) == MILLION and max(r.n for r in parts) < 70_000
+
+
+def test_sets_of_any_size_meet(spark, monkeypatch):
+    """Carried sets, looked-up ones, and pairs of one of each; the plan of small sets looks up no member by pair."""
+    from ringdata.operators import sets as T
+
+    rows = [(p, "x", str(m)) for p, n in (("a", 3), ("b", 9), ("c", 12), ("d", 4)) for m in range(n)]
+    members = spark.createDataFrame(rows, "person string, kind string, member string")
+    pairs = spark.createDataFrame([*combinations("abcd", 2)], "lo string, hi string")
+    one = sorted(map(tuple, shared_members(pairs, members).collect()))
+    assert one == [(a, b, "x", n[a], n[b], min(n[a], n[b])) for n in [dict(a=3, b=9, c=12, d=4)] for a, b in combinations("abcd", 2)]
+    for small in (0, 4, 9):
+        monkeypatch.setattr(T, "SMALL", small)
+        assert sorted(map(tuple, shared_members(pairs, members).collect())) == one
