@@ -2,7 +2,8 @@
 
 Two texts are near-copies at a Jaccard similarity of at least `least` between their
 sets of word shingles. SimHash fingerprints within BITS bits, found through the
-Gray-order index, are the first candidates. Fingerprints alone can't give all of them:
+Gray-order index, are the first candidates: links that span them, and then, since a
+link may prove wrong that stood for others, all pairs of the rows that stay. Fingerprints alone can't give all of them:
 at a similarity of 0.80 two texts differ in 10 of 64 bits on average, where an index
 prunes nothing, so among the rows that stay candidates also share one of BANDS buckets
 of ROWS MinHashes each (chance to meet: 99.9 % at 0.80, over 99.99 % at 0.85 and
@@ -117,14 +118,22 @@ def near_links(nodes: DataFrame, sets_of, least: float = LEAST) -> DataFrame:
     spans = spans.select(F.least("ha", "hb")["node"].alias("a"), F.greatest("ha", "hb")["node"].alias("b"))
     pairs = stored(same.unionByName(spans).where("a <> b").distinct(), "pairs")
 
-    rows = nodes.select("node", F.explode("buckets").alias("bucket"))
+    # rows of one fingerprint that are not alike to its first are a bucket like others
+    rows = nodes.select("node", F.explode(F.array_append("buckets", F.xxhash64(F.lit("fingerprint"), "fp"))).alias("bucket"))
     counts = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     live = join_skewed(rows, counts.select("bucket"), "bucket", hot_keys(counts, "bucket"))
     live = stored(live.distinct().join(nodes.select("node", "best"), "node"), "live")
+    found = stored(_verified(pairs, stored(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets"), least), "links")
+
+    # a spanning link stands for others, which count if it proves wrong: all pairs of fingerprints of the rows that stay
+    left = stored(nodes.select("node", "best", "fp").join(found.select(F.col("b").alias("node")).distinct(), "node", "left_anti"), "left")
+    end = lambda c: left.select(F.col("fp").alias(c), F.struct("best", "node").alias(f"h{c}"))
+    pairs = simhash.near_links(left.select("fp").distinct(), BITS, every=True).join(end("a"), "a").join(end("b"), "b")
+    pairs = stored(pairs.select(F.least("ha", "hb")["node"].alias("a"), F.greatest("ha", "hb")["node"].alias("b")).distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     sets = stored(sets_of(live.select("node").unionByName(ends).distinct()), "sets")
 
-    links = found = stored(_verified(pairs, sets, least), "links")
+    links = found = stored(found.unionByName(_verified(pairs, sets, least)), "links")
     for round_ in range(ROUNDS + 1):
         live = stored(live.join(found.select(F.col("b").alias("node")).distinct(), "node", "left_anti"), "live")
         heads = stored(live.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("best", "node")).alias("head")).where("n > 1"), "heads")

@@ -104,8 +104,8 @@ def index(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return levels
 
 
-def spanning_links(fp: np.ndarray, bits: int, bucket: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect all that is connected, within each bucket, at `bits` or fewer differing bits.
+def spanning_links(fp: np.ndarray, bits: int, bucket: np.ndarray | None = None, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all that is connected, within each bucket, at `bits` or fewer differing bits; every: all such pairs.
 
     bucket: numbers in ascending order; links between buckets may come too.
     """
@@ -133,7 +133,9 @@ def spanning_links(fp: np.ndarray, bits: int, bucket: np.ndarray | None = None)
                 root = up
 
     near = np.flatnonzero(np.bitwise_count(fp[1:] ^ fp[:-1]) <= bits)
-    union(near, near + 1)
+    if not every:
+        union(near, near + 1)
+    pairs = [(fp[:0], fp[:0])]
     levels = index(fp)
 
     def whole(level: int, node: np.ndarray) -> np.ndarray:
@@ -155,10 +157,15 @@ def spanning_links(fp: np.ndarray, bits: int, bucket: np.ndarray | None = None)
         width = FANOUT**level
         strange = bucket[np.minimum(a * width + width, n) - 1] < bucket[b * width]
         apart = strange | (np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) > bits)
-        ca, cb = whole(level, a), whole(level, b)
-        go = ~apart & ~((ca == cb) & (ca >= 0))
+        if every:
+            go = ~apart & ((a != b) | (level > 0))
+        else:
+            ca, cb = whole(level, a), whole(level, b)
+            go = ~apart & ~((ca == cb) & (ca >= 0))
         a, b = a[go], b[go]
-        if level == 0:
+        if level == 0 and every:
+            pairs.append((fp[a], fp[b]))
+        elif level == 0:
             union(a, b)
         elif len(a):
             below = len(levels[level - 1][0])
@@ -167,6 +174,9 @@ def spanning_links(fp: np.ndarray, bits: int, bucket: np.ndarray | None = None)
             y = (b[:, None, None] * FANOUT + child[None, None, :] + 0 * child[None, :, None]).ravel()
             ok = (x < below) & (y < below) & (x <= y)
             stack.append((level - 1, x[ok], y[ok]))
+    if every:
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        return np.minimum(a, b), np.maximum(a, b)
     tied = root != np.arange(n)
     return fp[root[tied]], fp[tied]
 
@@ -179,8 +189,8 @@ def bands_for(n: int, bits: int) -> int:
     return bands
 
 
-def near_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """a, b: links that connect exactly the distinct fingerprints (column fp) connected at `bits` or fewer differing bits."""
+def near_links(fps: DataFrame, bits: int = BITS, every: bool = False) -> DataFrame:
+    """a, b: links that connect exactly the distinct fingerprints (column fp) connected at `bits` or fewer differing bits; every: all such pairs."""
     n = max(1, fps.count())
     limit = max(HOT_ROWS, math.ceil(n / HOT_SHARE))
 
@@ -213,7 +223,7 @@ def near_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
         held = [np.zeros(0, dtype=np.int64)] * 2
 
         def walked(bucket: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
-            a, b = spanning_links(fp.view(np.uint64), bits, np.cumsum(np.diff(bucket, prepend=bucket[:1]) != 0))
+            a, b = spanning_links(fp.view(np.uint64), bits, np.cumsum(np.diff(bucket, prepend=bucket[:1]) != 0), every)
             return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
         for f in frames:

@@ -85,3 +85,23 @@ def test_rows_unlike_their_leader_are_regrouped(spark, monkeypatch):
     of = {x.node: x.best.doc_id for x in nodes.collect()}
     assert all(of[x.a] < of[x.b] and likeness(rows[of[x.a]][1], rows[of[x.b]][1]) >= 0.8 for x in links)
     assert sorted(set(of.values()) - {of[x.b] for x in links}) == list(range(6))
+
+
+def test_links_behind_a_spanning_link_that_proves_wrong(spark):
+    """Fingerprints 0, 1 and 3 are spanned from 0; only 1 and 3 are alike, and no bucket holds both. Two of fingerprint 9 that differ from its first are alike too."""
+    import numpy as np
+
+    from ringdata.llm import near_copies, simhash
+
+    rng = np.random.default_rng(3)
+    fp = np.unique(np.concatenate([rng.integers(0, 1 << 63, 60, dtype=np.uint64), np.arange(40, dtype=np.uint64) * np.uint64(5)]))
+    want = {(int(a), int(b)) for i, a in enumerate(fp) for b in fp[i + 1 :] if int(a ^ b).bit_count() <= 3}
+    assert set(zip(*(x.tolist() for x in simhash.spanning_links(fp, 3, every=True)), strict=True)) == want
+
+    base = {k: np.arange(k * 1000, k * 1000 + 20, dtype=np.uint32) for k in range(4)}
+    far = (1 << 62) - 1
+    rows = [(1, 0, base[0]), (2, 1, base[1]), (3, 3, base[1][1:]), (4, far, base[2]), (5, far, base[3]), (6, far, base[3][1:])]
+    nodes = spark.createDataFrame([(k, (False, k, k), f, []) for k, f, _ in rows], "node long, best struct<no_id: boolean, doc_id: long, key: long>, fp long, buckets array<long>")
+    sets = spark.createDataFrame([(k, x.tobytes()) for k, _, x in rows], "node long, hashes binary")
+    links = near_copies.near_links(nodes, lambda wanted: sets.join(wanted, "node"))
+    assert {tuple(r) for r in links.collect()} == {(2, 3), (5, 6)}
