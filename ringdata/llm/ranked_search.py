@@ -44,7 +44,7 @@ from .shared import remainder, stored, texts, unused
 
 TOP = 50
 #: Postings of a block; documents and postings of a segment; documents of a window; terms of items searched at once; signs of a text counted at once.
-BLOCK, SEGMENT_DOCS, SEGMENT_POSTINGS, WINDOW, ITEM_TERMS, SLICE = 64, 1 << 16, 1 << 22, 2_048, 500_000, 1 << 22
+BLOCK, SEGMENT_DOCS, SEGMENT_POSTINGS, WINDOW, ITEM_TERMS, SLICE = 64, 1 << 16, 1 << 21, 2_048, 500_000, 1 << 22
 #: One segment in SAMPLE is searched first, for the thresholds of the others; GROUPS: groups of segments merged apart.
 SAMPLE, GROUPS = 16, 64
 
