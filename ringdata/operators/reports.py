@@ -11,22 +11,19 @@ from ringdata.sources.tables import stored
 
 
 def orientations(calls: DataFrame) -> DataFrame:
-    """Each call seen from either end: agent, other, direction and the call's own columns."""
-    own = ["ts", "duration", "event_type"]
-    out = calls.select(F.col("caller").alias("agent"), F.col("receiver").alias("other"), F.lit("outgoing").alias("direction"), *own)
-    into = calls.select(F.col("receiver").alias("agent"), F.col("caller").alias("other"), F.lit("incoming").alias("direction"), *own)
-    return out.unionByName(into)
+    """Each call seen from either end: agent, other, direction and the call's own columns; one pass over the calls."""
+    end = lambda agent, other, direction: F.struct(F.col(agent).alias("agent"), F.col(other).alias("other"), F.lit(direction).alias("direction"))
+    return calls.select(F.inline(F.array(end("caller", "receiver", "outgoing"), end("receiver", "caller", "incoming"))), "ts", "duration", "event_type")
 
 
 def contact_summary(calls: DataFrame) -> DataFrame:
-    """Per (agent, other): calls each way, seconds, last instant and the last call's type (ties: the greater type)."""
-    return (
-        orientations(calls)
-        .groupBy("agent", "other")
-        .agg(
-            F.count_if(F.col("direction") == "outgoing").alias("outgoing"), F.count_if(F.col("direction") == "incoming").alias("incoming"), F.sum("duration").alias("seconds"),
-            F.max("ts").alias("last_ts"), F.max_by("event_type", F.struct("ts", "event_type")).alias("last_type"),
-        )
+    """Per (agent, other): calls each way, seconds, last instant and the last call's type (ties: the greater type).
+
+    Calls are summed for each type first, in numbers only, so that no task sorts them; the last type comes from the types' last instants.
+    """
+    typed = orientations(calls).groupBy("agent", "other", "event_type").agg(F.count_if(F.col("direction") == "outgoing").alias("out"), F.count_if(F.col("direction") == "incoming").alias("in"), F.sum("duration").alias("s"), F.max("ts").alias("t"))
+    return typed.groupBy("agent", "other").agg(
+        F.sum("out").alias("outgoing"), F.sum("in").alias("incoming"), F.sum("s").alias("seconds"), F.max("t").alias("last_ts"), F.max_by("event_type", F.struct("t", "event_type")).alias("last_type"),
     )
 
 
@@ -72,11 +69,13 @@ def agent_stats(calls: DataFrame, sessions: DataFrame, edges: DataFrame, agents:
     """14 measures per agent."""
     ends = orientations(calls)
     out, into = F.col("direction") == "outgoing", F.col("direction") == "incoming"
-    a = ends.groupBy("agent").agg(
-        F.count_if(out).alias("outgoing_calls"), F.count_if(into).alias("incoming_calls"), F.sum("duration").alias("call_seconds"), F.count_distinct("other").alias("contacts"),
-        F.count_distinct(F.when(out, F.col("other"))).alias("outgoing_contacts"), F.count_distinct(F.when(into, F.col("other"))).alias("incoming_contacts"),
-        F.count_distinct(F.to_date("ts")).alias("call_days"), F.max("ts").alias("last_call"),
-    )
+    # sums of each contact first: counting several columns' distinct values at once would copy every call for each
+    met = ends.groupBy("agent", "other").agg(F.count_if(out).alias("out"), F.count_if(into).alias("in"), F.sum("duration").alias("s"), F.max("ts").alias("t"))
+    known = F.col("other").isNotNull()
+    a = met.groupBy("agent").agg(
+        F.sum("out").alias("outgoing_calls"), F.sum("in").alias("incoming_calls"), F.sum("s").alias("call_seconds"), F.count("other").alias("contacts"),
+        F.count_if(known & (F.col("out") > 0)).alias("outgoing_contacts"), F.count_if(known & (F.col("in") > 0)).alias("incoming_contacts"), F.max("t").alias("last_call"),
+    ).join(ends.groupBy("agent").agg(F.count_distinct(F.to_date("ts")).alias("call_days")), "agent")
     s = sessions.groupBy(F.col("subscriber").alias("agent")).agg(F.count(F.lit(1)).alias("sessions"), F.sum("mb").alias("mb"), F.count_distinct("destination").alias("destinations"), F.count_distinct("port").alias("ports"), F.max("ts").alias("last_session"))
     e = edges.select(F.explode(F.array("lo", "hi")).alias("agent")).groupBy("agent").agg(F.count(F.lit(1)).alias("friends"))
     joined = agents.select("agent").join(a, "agent", "left").join(s, "agent", "left").join(e, "agent", "left")
@@ -130,14 +129,12 @@ PARTS = ("contacts", "friends", "locations", "calls", "sessions")
 LINE = ["agent", "part", "order", "name", "ts", "direction", "duration", "event_type", "outgoing", "incoming", "seconds", "last_type", "known_friend", "lat", "lng", "n", "score", "destination", "port", "mb"]
 
 
-def agent_lines(calls: DataFrame, sessions: DataFrame, edges: DataFrame, points: DataFrame, agents: DataFrame) -> DataFrame:
-    """The lists of every agent, an item a row and none left out: contacts by (-calls, id), friends by (-score, id), location points by (-calls, tower), calls and sessions newest first.
+#: Rows of a list that one task may place; longer lists are placed by ranges.
+LIST_ROWS = 1_000_000
 
-    A row has the agent, the part of the document, its place `k` in that list (from 1) and
-    the columns of its kind; the others are null. Places come from one sort by ranges, so
-    an agent with any share of all rows takes many tasks. edges: lo, hi and, where known,
-    score; points: the rows of A20. Rows of people who are not in agents are left out.
-    """
+
+def _line_rows(calls: DataFrame, sessions: DataFrame, edges: DataFrame, points: DataFrame, agents: DataFrame) -> DataFrame:
+    """The columns of LINE of every item of the agents' lists; part is its place in PARTS."""
     scored = edges if "score" in edges.columns else edges.withColumn("score", F.lit(None).cast("double"))
     ends = scored.select(F.inline(F.array(F.struct(F.col("lo").alias("agent"), F.col("hi").alias("name"), "score"), F.struct(F.col("hi").alias("agent"), F.col("lo").alias("name"), "score"))))
     friends = ends.select("agent", "name").distinct().withColumn("known_friend", F.lit(True))
@@ -153,20 +150,55 @@ def agent_lines(calls: DataFrame, sessions: DataFrame, edges: DataFrame, points:
     for part in PARTS:
         rows = kinds[part].withColumns({"part": F.lit(PARTS.index(part)), "order": F.col("order").cast("double")})
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    known = agents.select("agent").distinct()
-    placed = numbered(out.select(*LINE).join(known, "agent", "left_semi"), [F.col(c) for c in LINE], "_k")
-    first = placed.groupBy("agent", "part").agg(F.min("_k").alias("_first"))
-    name = F.element_at(F.array(*[F.lit(x) for x in PARTS]), F.col("part") + 1)
-    return placed.join(first, ["agent", "part"]).select("agent", name.alias("part"), (F.col("_k") - F.col("_first") + 1).alias("k"), *[c for c in LINE[3:]])
+    return out.select(*LINE).join(agents.select("agent").distinct(), "agent", "left_semi")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Stored rows with `k`, the place in their agent's part. Tasks hold whole agents, sorted by agent, part and place.
+
+    Agents are dealt by hash, in one shuffle. Parts of more than LIST_ROWS rows are placed
+    by one sort by ranges instead, each over many tasks; rows after a sort by ranges stand
+    in tasks of their own, sorted too.
+    """
+    place = F.row_number().over(Window.partitionBy("agent", "part").orderBy(*LINE[2:]))
+    whole = lambda df: df.repartition("agent").withColumn("k", place.cast("long"))
+    large = stored(rows.groupBy("agent", "part").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LIST_ROWS).select("agent", "part"), "long-lists")
+    if large.isEmpty():
+        return whole(rows)
+    large = F.broadcast(large)  # at most one in LIST_ROWS rows
+    ranged = numbered(rows.join(large, ["agent", "part"], "left_semi"), [F.col(c) for c in LINE], "_k")
+    first = ranged.groupBy("agent", "part").agg(F.min("_k").alias("_first"))  # as many rows as large has
+    apart = ranged.join(F.broadcast(first), ["agent", "part"]).withColumn("k", F.col("_k") - F.col("_first") + 1).sortWithinPartitions("agent", "part", "k")
+    return whole(rows.join(large, ["agent", "part"], "left_anti")).unionByName(apart.select(*rows.columns, "k"))
+
+
+def agent_lines(calls: DataFrame, sessions: DataFrame, edges: DataFrame, points: DataFrame, agents: DataFrame) -> DataFrame:
+    """The lists of every agent, an item a row and none left out: contacts by (-calls, id), friends by (-score, id), location points by (-calls, tower), calls and sessions newest first.
+
+    A row has the agent, the part of the document, its place `k` in that list (from 1) and
+    the columns of its kind; the others are null. An agent with any share of all rows takes
+    many tasks (_placed). edges: lo, hi and, where known, score; points: the rows of A20.
+    Rows of people who are not in agents are left out.
+    """
+    placed = _placed(stored(_line_rows(calls, sessions, edges, points, agents), "lines"))
+    return placed.select("agent", _part_name().alias("part"), "k", *LINE[3:])
+
+
+def _part_name():
+    return F.when(F.col("part") < 0, "stats").otherwise(F.element_at(F.array(*[F.lit(x) for x in PARTS]), F.greatest(F.col("part"), F.lit(0)) + 1))
 
 
 def agent_documents(calls: DataFrame, sessions: DataFrame, edges: DataFrame, points: DataFrame, agents: DataFrame) -> DataFrame:
-    """The rows of S10: agent_id, part, k and a struct with the item's own columns; part `stats` holds the 14 measures (A22) as its only item."""
+    """The rows of S10: agent_id, part, k and a struct with the item's own columns; part `stats` holds the 14 measures (A22) as its only item.
+
+    Rows are dealt as _placed does: tasks are sorted by agent, part and place, the stats first.
+    """
+    calls, edges = stored(calls.select("caller", "receiver", "ts", "duration", "event_type"), "calls"), stored(edges, "edges")
     stats = agent_stats(calls, sessions, edges, agents).distinct()
-    head = stats.select(F.col("agent").alias("agent_id"), F.lit("stats").alias("part"), F.lit(1).cast("long").alias("k"), F.struct(*stats.columns[1:]).alias("stats"))
-    items = agent_lines(calls, sessions, edges, points, agents)
-    body = items.select(F.col("agent").alias("agent_id"), "part", "k", F.struct(*items.columns[3:]).alias("item"))
-    return head.unionByName(body, allowMissingColumns=True)
+    head = stats.select("agent", F.lit(-1).alias("part"), F.struct(*stats.columns[1:]).alias("stats"))
+    rows = stored(head.unionByName(_line_rows(calls, sessions, edges, points, agents), allowMissingColumns=True), "documents")
+    item = F.when(F.col("part") >= 0, F.struct(*LINE[3:]))
+    return _placed(rows).select(F.col("agent").alias("agent_id"), _part_name().alias("part"), "k", "stats", item.alias("item"))
 
 
 def latest_activity(calls: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ringdata.plans.q_pairs import q6, r6
 from ringdata.plans.registry import query
 from ringdata.sources import files
 from ringdata.sources import views as V
+from ringdata.sources.tables import stored
 
 ENDS = ", ends AS (SELECT caller AS agent, receiver AS other, 'outgoing' AS dir, ts, duration, event_type FROM calls UNION ALL SELECT receiver, caller, 'incoming', ts, duration, event_type FROM calls)"
 
@@ -101,7 +102,8 @@ UNION ALL SELECT subscriber, 'sessions', -epoch_us(ts)::DOUBLE, NULL, ts, NULL,
 def _documents(spark, d):
     total = F.col("lo").cast("long") + F.col("hi").cast("long")
     score = F.when(total % 5 != 0, (F.col("lo").cast("long") * 31 + F.col("hi").cast("long") * 17) % 1000 / 1000.0)
-    return V.calls(spark, d), V.sessions(spark, d), V.observed(spark, d).withColumn("score", score), R.location_points(_located(spark, d)), _agents(spark, d)
+    agents = stored(_agents(spark, d), "agents")
+    return V.calls(spark, d), V.sessions(spark, d), V.observed(spark, d).withColumn("score", score), R.location_points(_located(spark, d)), agents
 
 
 # calls in order of duration before type, sessions of destination and port before volume, as the columns stand
@@ -122,7 +124,7 @@ _MEASURES = ["outgoing_calls", "incoming_calls", "contacts", "outgoing_contacts"
 UNION ALL SELECT subscriber_id, 'stats', 1, concat_ws(' ', {', '.join(f'coalesce({c}, 0)' for c in _MEASURES)}), strftime(greatest(lc, ls), {DUCK_ISO}), NULL, round(coalesce(call_seconds, 0), 4), NULL, NULL, round(coalesce(mb, 0), 2)::DECIMAL(18, 2)::VARCHAR, NULL FROM subscribers LEFT JOIN a ON a.agent = subscriber_id LEFT JOIN s ON s.agent = subscriber_id LEFT JOIN e ON e.agent = subscriber_id""")
 def s10(spark, d):
     path, docs = _scratch(spark, "s10"), R.agent_documents(*_documents(spark, d))
-    files.write_agent_docs(docs, path)
+    files.write_agent_docs(docs, path, dealt=True)
     i, s = F.col("item"), F.col("stats")
     measure = F.coalesce(i["score"], (i["outgoing"] + i["incoming"]).cast("double"), i["n"].cast("double"), i["duration"], i["mb"], s["call_seconds"])
     detail = F.coalesce(i["event_type"], i["destination"], F.round(s["mb"], 2).cast("decimal(18, 2)").cast("string"))

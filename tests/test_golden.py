@@ -311,3 +311,27 @@ def test_walk_in_many_tasks(spark, monkeypatch):
     k = 2**61 - 7
     x, y = spark.range(1).select(*R._unrank(F.lit(k))).first()
     assert y * (y - 1) // 2 + x == k and 0 <= x < y
+
+
+def test_documents_of_long_lists_and_short_ones(spark, monkeypatch, tmp_path):
+    """Lists placed by ranges and by agent are alike; no range is sampled where no list is long; each file holds an agent's lines together."""
+    from ringdata.operators import reports as R
+    from ringdata.plans import q_reports as Q
+    from ringdata.sources import files
+
+    d = "/root/testdata/sf0.001"
+    one = R.agent_documents(*Q._documents(spark, d))
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [agent" in plan and "_first" not in plan
+    want = sorted(map(repr, one.collect()))
+    monkeypatch.setattr(R, "LIST_ROWS", 60)
+    docs, path = R.agent_documents(*Q._documents(spark, d)), str(tmp_path / "docs")
+    assert "_first" in docs._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, docs.collect())) == want
+    files.write_agent_docs(docs, path, dealt=True)
+    assert sorted(map(repr, files.read_agent_docs(spark, path, docs.schema).collect())) == want
+    held = spark.read.parquet(f"{path}/files").collect()
+    assert sum(r.rows for r in held) == len(want)
+    for r in held:
+        lines = (tmp_path / "docs" / "documents" / r.file).read_text().splitlines()[r.first_row :][: r.rows]
+        assert len(lines) == r.rows and all(f'"agent_id":"{r.agent_id}"' in x for x in lines)
