@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ringdata.functions import scalars as S
 from ringdata.sources.tables import stored
 
-from .sets import columns_of, jaccard_of, set_parts, set_sizes, shared_members
+from .sets import SMALL, columns_of, jaccard_of, set_parts, set_sizes, shared_members
 
 # Names of the pair features, in order, and set members that count as missing.
 FEATURES = [
@@ -77,33 +77,82 @@ def contact_sets(calls: DataFrame) -> DataFrame:
     return set_parts(both_ends(calls).where("contact IS NOT NULL"), "person", "contact", "contacts")
 
 
-def session_person_numbers() -> list[Column]:
-    """Aggregates of A10 that are numbers; seconds and volume over all sessions, a missing or negative one as 0."""
+def session_person_numbers() -> list[tuple[Column, str]]:
+    """Aggregates of A10 that are numbers, with their names; seconds and volume over all sessions, a missing or negative one as 0."""
     ts = F.col("ts")
     return [
-        F.count(F.lit(1)).alias("sessions"), F.sum(at_least_zero("mb")).alias("mb"), F.sum(at_least_zero("session_s")).alias("seconds"),
-        F.count_distinct(F.to_date(ts)).alias("days"), F.count(ts).alias("timed"), hours(ts).alias("hours"), F.count_if(S.is_night(ts)).alias("night"), F.count_if(S.is_weekend(ts)).alias("weekend"),
+        (F.count(F.lit(1)), "sessions"), (F.sum(at_least_zero("mb")), "mb"), (F.sum(at_least_zero("session_s")), "seconds"),
+        (F.size(F.collect_set(F.to_date(ts))), "days"), (F.count(ts), "timed"), (hours(ts), "hours"), (F.count_if(S.is_night(ts)), "night"), (F.count_if(S.is_weekend(ts)), "weekend"),
     ]
 
 
 def session_person_stats(sessions: DataFrame) -> DataFrame:
     """A10: numbers and sets of every subscriber; for people with sets of any size, session_members has them as rows."""
     return sessions.where("subscriber <> ''").groupBy(F.col("subscriber").alias("person")).agg(
-        *session_person_numbers(), _set(F.col("destination")).alias("destinations"), _set(F.col("port")).alias("ports"), _set(F.col("cell")).alias("cells"), F.array_sort(F.collect_set(F.unix_seconds(S.hour_bucket(F.col("ts"))))).alias("buckets"),
+        *[c.alias(n) for c, n in session_person_numbers()], _set(F.col("destination")).alias("destinations"), _set(F.col("port")).alias("ports"), _set(F.col("cell")).alias("cells"), F.array_sort(F.collect_set(F.unix_seconds(S.hour_bucket(F.col("ts"))))).alias("buckets"),
     )
 
 
 SETS = ["contacts", "destinations", "ports", "cells", "buckets"]
 
 
+#: People of asked pairs up to whose number events are cut down to them before they are summed.
+CUT_PEOPLE = 200_000
+
+
+def _session_members() -> dict[str, Column]:
+    """The members of each kind that a session has."""
+    return {"destinations": member(F.col("destination")), "ports": member(F.col("port")), "cells": member(F.col("cell")), "buckets": F.unix_seconds(S.hour_bucket(F.col("ts"))).cast("string")}
+
+
 def person_members(calls: DataFrame, sessions: DataFrame) -> DataFrame:
     """person, kind (one of SETS), member: the sets of A9 and A10 as distinct rows."""
-    named = {"destinations": member(F.col("destination")), "ports": member(F.col("port")), "cells": member(F.col("cell")), "buckets": F.unix_seconds(S.hour_bucket(F.col("ts"))).cast("string")}
-    own = sessions.where("subscriber <> ''").select(F.col("subscriber").alias("person"), F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), m.alias("member")) for k, m in named.items()])))
+    own = sessions.where("subscriber <> ''").select(F.col("subscriber").alias("person"), F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), m.alias("member")) for k, m in _session_members().items()])))
     met = both_ends(calls).select("person", F.lit("contacts").alias("kind"), F.col("contact").alias("member"))
     return met.unionByName(own).where("member IS NOT NULL").distinct()
 
 
+def _hashed(m: Column) -> Column:
+    return F.when(m.isNotNull(), F.xxhash64(m))
+
+
+def _size(hashes: Column) -> Column:
+    """Members of a set of hashes; of none, 0."""
+    return F.size(F.coalesce(hashes, F.array().cast("array<bigint>"))).cast("long")
+
+
+def person_profiles(people: DataFrame, calls: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The numbers and sets of every one of people, and who is large (nobody: None).
+
+    A row has person, events, s_* (A10's numbers) and, for each of SETS, <kind>_set with
+    64-bit hashes of the members and <kind>_size. A person with more than SMALL contacts or
+    sessions is large: the sets are null and sizes come from their members' rows, so that no
+    row grows beyond SMALL members of a kind.
+    """
+    few = people.limit(CUT_PEOPLE + 1).count() <= CUT_PEOPLE
+    cut = lambda df, key: df.join(F.broadcast(people.withColumnRenamed("person", key)), key, "left_semi") if few else df
+    own = cut(sessions.where("subscriber <> ''"), "subscriber").withColumnRenamed("subscriber", "person")
+    met = stored(cut(both_ends(calls), "person").groupBy("person", "contact").agg(F.count(F.lit(1)).alias("n")), "met")
+    counts = [met.groupBy("person").agg(F.count("contact").alias("n")), own.groupBy("person").agg(F.count(F.lit(1)).alias("n"))]
+    large = stored(counts[0].unionByName(counts[1]).where(F.col("n") > SMALL).select("person").distinct(), "large")
+    none = large.isEmpty()
+    # at most one of SMALL calls' ends or sessions
+    flagged = lambda df: df.withColumn("_large", F.lit(False)) if none else df.join(F.broadcast(large.withColumn("_large", F.lit(True))), "person", "left").withColumn("_large", F.coalesce("_large", F.lit(False)))
+    set_of = lambda m: F.collect_set(F.when(~F.col("_large"), _hashed(m)))
+    near = flagged(met).groupBy("person").agg(F.sum("n").alias("events"), set_of(F.col("contact")).alias("contacts_set"))
+    use = flagged(own).groupBy("person").agg(*[c.alias(f"s_{n}") for c, n in session_person_numbers()], *[set_of(m).alias(f"{k}_set") for k, m in _session_members().items()])
+    prof = people.join(near, "person", "left").join(use, "person", "left")
+    if none:
+        return prof.withColumns({f"{k}_size": _size(F.col(f"{k}_set")) for k in SETS}), None
+    hubs = lambda df, key: df.join(F.broadcast(large.withColumnRenamed("person", key)), key, "left_semi")
+    rows = hubs(met.where("contact IS NOT NULL").select("person", F.lit("contacts").alias("kind"), F.col("contact").alias("member")), "person").unionByName(hubs(person_members(calls.limit(0), sessions), "person"))
+    sizes = columns_of(set_sizes(rows), ["person"], SETS, ["size"]).withColumn("_hub", F.lit(True))
+    prof = prof.join(sizes.withColumnsRenamed({f"{k}_size": f"_{k}" for k in SETS}), "person", "left")
+    hub = F.coalesce("_hub", F.lit(False))
+    prof = prof.withColumns({f"{k}_size": F.when(hub, F.col(f"_{k}")).otherwise(_size(F.col(f"{k}_set"))) for k in SETS} | {f"{k}_set": F.when(~hub, F.col(f"{k}_set")) for k in SETS})
+    return prof.drop("_hub", *[f"_{k}" for k in SETS]), large
+
+
 def attach_pair_events(pairs: DataFrame, calls: DataFrame) -> DataFrame:
     """Calls whose ends are a requested pair, with direction 0 (lo to hi) or 1."""
     lo, hi = S.canonical_pair(F.col("caller"), F.col("receiver"))
@@ -125,18 +174,23 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def pair_features(pairs: DataFrame, calls: DataFrame, sessions: DataFrame) -> DataFrame:
-    """K2: lo, hi and the 39 FEATURES of every row of pairs. Events are cut down to the people asked for first; sets stay rows (sets.shared_members)."""
-    people = pairs.select(F.explode(F.array("lo", "hi")).alias("person")).distinct()
+    """K2: lo, hi and the 39 FEATURES of every row of pairs.
+
+    People's numbers and sets meet in one join for each end, sets of up to SMALL members as
+    arrays of 64-bit hashes; pairs with a larger one are counted by rows (sets.shared_members).
+    """
+    pairs = stored(pairs.select("lo", "hi"), "pairs")
+    people = stored(pairs.select(F.explode(F.array("lo", "hi")).alias("person")).distinct(), "people")
     stats = call_pair_stats(attach_pair_events(pairs, calls))
-    ends = both_ends(calls).join(people, "person", "left_semi")
-    own = sessions.join(people.withColumnRenamed("person", "subscriber"), "subscriber", "left_semi")
-    members = stored(person_members(calls, own).join(people, "person", "left_semi"), "members")
-    sizes = columns_of(set_sizes(members), ["person"], SETS, ["size"])
-    shared = columns_of(shared_members(pairs, members), ["lo", "hi"], SETS, ["shared"])
-    near = ends.groupBy("person").agg(F.count(F.lit(1)).alias("events"))
-    use = own.where("subscriber <> ''").groupBy(F.col("subscriber").alias("person")).agg(*session_person_numbers())
-    prof = people.join(near, "person", "left").join(sizes, "person", "left").join(use.select("person", *[F.col(c).alias(f"s_{c}") for c in use.columns if c != "person"]), "person", "left")
-    both = attach_profiles(pairs.join(stats, ["lo", "hi"], "left").join(shared, ["lo", "hi"], "left"), prof)
+    prof, large = person_profiles(people, calls, sessions)
+    both = attach_profiles(pairs.join(stats, ["lo", "hi"], "left"), stored(prof, "profiles"))
+    both = both.withColumns({f"{k}_shared": _size(F.array_intersect(f"a_{k}_set", f"b_{k}_set")) for k in SETS}).drop(*[f"{s}_{k}_set" for s in "ab" for k in SETS])
+    if large is not None:
+        touched = stored(pairs.join(F.broadcast(large.withColumnRenamed("person", "lo")), "lo", "left_semi").unionByName(pairs.join(F.broadcast(large.withColumnRenamed("person", "hi")), "hi", "left_semi")).distinct(), "touched")
+        ends = touched.select(F.explode(F.array("lo", "hi")).alias("person")).distinct()
+        members = stored(person_members(calls, sessions).join(ends, "person", "left_semi"), "members")
+        counted = columns_of(shared_members(touched, members), ["lo", "hi"], SETS, ["shared"]).withColumnsRenamed({f"{k}_shared": f"_{k}" for k in SETS})
+        both = both.join(counted, ["lo", "hi"], "left").withColumns({f"{k}_shared": F.coalesce(f"_{k}", f"{k}_shared") for k in SETS}).drop(*[f"_{k}" for k in SETS])
     n = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     alike_sets = lambda k: jaccard_of(n(f"{k}_shared"), n(f"a_{k}_size"), n(f"b_{k}_size"))
     low, high = lambda c: F.least(n(f"a_{c}"), n(f"b_{c}")), lambda c: F.greatest(n(f"a_{c}"), n(f"b_{c}"))

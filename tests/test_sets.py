@@ -74,3 +74,28 @@ def test_sets_of_any_size_meet(spark, monkeypatch):
     for small in (0, 4, 9):
         monkeypatch.setattr(T, "SMALL", small)
         assert sorted(map(tuple, shared_members(pairs, members).collect())) == one
+
+
+def test_features_by_rows_and_by_arrays_are_alike(spark, monkeypatch):
+    """Small and large people, events cut down to the people asked for or not; a plan without large people looks up no member and groups no pair's kinds."""
+    from ringdata.sources import views as V
+
+    d = "/root/testdata/sf0.001"
+    calls = V.calls(spark, d).withColumn("receiver", F.when(F.col("event_id") % 50 == 0, F.lit(None)).otherwise(F.col("receiver")))
+    sessions = V.sessions(spark, d).withColumn("port", F.when(F.col("event_id") % 9 == 0, " NaN ").otherwise(F.col("port"))).where("subscriber <> '3'")
+    pairs = V.pairs(spark, d).select("lo", "hi").where("lo <> '4'").unionByName(spark.createDataFrame([("1", "nobody"), ("1", "3")], "lo string, hi string"))
+    shown = lambda: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in A.pair_features(pairs, calls, sessions).collect())
+    one = shown()
+    assert "Generate" not in A.pair_features(pairs, calls, sessions)._jdf.queryExecution().optimizedPlan().toString()
+    sets = {}
+    for r in A.person_members(calls, sessions).collect():
+        sets.setdefault((r.person, r.kind), set()).add(r.member)
+    names = {"contacts": "cdr_contact_jaccard", "destinations": "ipdr_destination_jaccard", "ports": "ipdr_port_jaccard", "cells": "ipdr_cell_jaccard", "buckets": "ipdr_time_bucket_jaccard"}
+    for row in one:
+        for kind, name in names.items():
+            a, b = (sets.get((p, kind), set()) for p in row[:2])
+            assert row[2 + A.FEATURES.index(name)] == round(len(a & b) / len(a | b), 9) if a | b else row[2 + A.FEATURES.index(name)] == 0
+    for small, people in ((0, 0), (5, 1_000), (66, 0), (66, 1_000)):
+        monkeypatch.setattr(A, "SMALL", small)
+        monkeypatch.setattr(A, "CUT_PEOPLE", people)
+        assert shown() == one
