@@ -50,17 +50,44 @@ def session_profiles(sessions: DataFrame) -> DataFrame:
     )
 
 
-def call_pair_stats(calls: DataFrame) -> DataFrame:
-    """Per unordered pair; d0 counts lo to hi, d1 hi to lo. A missing or negative duration counts as 0."""
+def _day_bit(ts: Column) -> tuple[Column, Column]:
+    """A day's block of 64 days, and its bit there: days are counted apart by groups of numbers that hash aggregates hold, not by a row or a set of each."""
+    day = F.unix_date(F.to_date(ts))
+    return F.shiftright(day, 6), F.call_function("shiftleft", F.lit(1).cast("long"), day.bitwiseAND(63))
+
+
+def _pair_stats(calls: DataFrame) -> DataFrame:
+    """A8, and of every pair the calls and those whose other end is missing."""
     lo, hi = S.canonical_pair(F.col("caller"), F.col("receiver"))
-    dur, ts, kind = at_least_zero("duration"), F.col("ts"), F.coalesce("event_type", F.lit(""))
-    return calls.withColumns({"lo": lo, "hi": hi}).groupBy("lo", "hi").agg(
-        F.count_if(F.col("caller") == F.col("lo")).alias("d0"), F.count_if(F.col("caller") != F.col("lo")).alias("d1"), F.sum(dur).alias("dur"), F.sum(dur * dur).alias("dur2"),
-        F.max(dur).alias("dur_max"), F.count_distinct(F.to_date(ts)).alias("days"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(ts).alias("timed"),
-        F.count_if(S.is_night(ts)).alias("night"), F.count_if(S.is_weekend(ts)).alias("weekend"), F.count_if(kind != "").alias("typed"), F.count_if(S.is_voice(kind)).alias("voice"),
+    block, bit = _day_bit(F.col("ts"))
+    ts, kind, dur = F.col("ts"), F.coalesce("event_type", F.lit("")), F.col("_dur")
+    rows = calls.withColumns({"lo": lo, "hi": hi, "_dur": at_least_zero("duration"), "_block": block, "_bit": bit})
+    sums = {
+        "d0": F.count_if(F.col("caller") == F.col("lo")), "d1": F.count_if(F.col("caller") != F.col("lo")), "dur": F.sum(dur), "dur2": F.sum(dur * dur), "timed": F.count(ts),
+        "night": F.count_if(S.is_night(ts)), "weekend": F.count_if(S.is_weekend(ts)), "typed": F.count_if(kind != ""), "voice": F.count_if(S.is_voice(kind)),
+        "calls": F.count(F.lit(1)), "lone": F.count_if(F.col("caller").isNull() | F.col("receiver").isNull()),
+    }
+    blocks = rows.groupBy("lo", "hi", "_block").agg(*[c.alias(n) for n, c in sums.items()], F.max(dur).alias("dur_max"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.bit_or("_bit").alias("_days"))
+    added = lambda *names: [F.sum(n).alias(n) for n in names]
+    return blocks.groupBy("lo", "hi").agg(
+        *added("d0", "d1", "dur", "dur2"), F.max("dur_max").alias("dur_max"), F.coalesce(F.sum(F.bit_count("_days")), F.lit(0)).alias("days"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+        *added("timed", "night", "weekend", "typed", "voice", "calls", "lone"),
     )
 
 
+def call_pair_stats(calls: DataFrame) -> DataFrame:
+    """Per unordered pair; d0 counts lo to hi, d1 hi to lo. A missing or negative duration counts as 0."""
+    return _pair_stats(calls).drop("calls", "lone")
+
+
+def _met(stats: DataFrame) -> DataFrame:
+    """person, contact and n, how often both_ends has them, from _pair_stats: a call with oneself counts twice, one without an end has a null contact."""
+    apart, row = F.col("lo") != F.col("hi"), lambda p, c, n: F.struct(p.alias("person"), c.alias("contact"), n.alias("n"))
+    lo, hi, n, lone = F.col("lo"), F.col("hi"), F.col("calls"), F.col("lone")
+    ends = F.array(row(lo, hi, F.when(apart, n)), row(hi, lo, F.when(apart, n)), row(lo, lo, F.when(~apart, 2 * (n - lone))), row(lo, F.lit(None).cast("string"), F.when(~apart, lone)))
+    return stats.select(F.inline(F.filter(ends, lambda r: r["n"] > 0)))
+
+
 def both_ends(calls: DataFrame) -> DataFrame:
     """person, contact: each call once for either end."""
     return calls.select(F.inline(F.array(F.struct(F.col("caller").alias("person"), F.col("receiver").alias("contact")), F.struct(F.col("receiver").alias("person"), F.col("caller").alias("contact")))))
@@ -107,45 +134,68 @@ def _session_members() -> dict[str, Column]:
 
 def person_members(calls: DataFrame, sessions: DataFrame) -> DataFrame:
     """person, kind (one of SETS), member: the sets of A9 and A10 as distinct rows."""
-    own = sessions.where("subscriber <> ''").select(F.col("subscriber").alias("person"), F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), m.alias("member")) for k, m in _session_members().items()])))
     met = both_ends(calls).select("person", F.lit("contacts").alias("kind"), F.col("contact").alias("member"))
-    return met.unionByName(own).where("member IS NOT NULL").distinct()
+    return met.where("member IS NOT NULL").distinct().unionByName(session_members(sessions))
+
+
+def session_members(sessions: DataFrame) -> DataFrame:
+    """person_members without contacts."""
+    own = sessions.where("subscriber <> ''").select(F.col("subscriber").alias("person"), F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), m.alias("member")) for k, m in _session_members().items()])))
+    return own.where("member IS NOT NULL").distinct()
+
+
+def _codes() -> dict[str, Column]:
+    """What the arrays of sets hold of a session's members."""
+    return {k: _hashed(m) for k, m in _session_members().items()} | {"buckets": F.unix_seconds(S.hour_bucket(F.col("ts")))}
 
 
 def _hashed(m: Column) -> Column:
     return F.when(m.isNotNull(), F.xxhash64(m))
 
 
-def _size(hashes: Column) -> Column:
-    """Members of a set of hashes; of none, 0."""
-    return F.size(F.coalesce(hashes, F.array().cast("array<bigint>"))).cast("long")
+def _size(codes: Column) -> Column:
+    """Members of a set; of none, 0."""
+    return F.size(F.coalesce(codes, F.array().cast("array<bigint>"))).cast("long")
+
 
+def _cut(df: DataFrame, people: DataFrame, key: str, few: bool) -> DataFrame:
+    """The rows of people, if these are few."""
+    return df.join(F.broadcast(people.withColumnRenamed("person", key)), key, "left_semi") if few else df
 
-def person_profiles(people: DataFrame, calls: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The numbers and sets of every one of people, and who is large (nobody: None).
+
+def _cut_calls(calls: DataFrame, people: DataFrame, few: bool) -> DataFrame:
+    """The calls with an end among people, if these are few."""
+    if not few:
+        return calls
+    known = lambda key: F.broadcast(people.select(F.col("person").alias(f"_{key}")))
+    ends = calls.join(known("caller"), F.col("caller") == F.col("_caller"), "left").join(known("receiver"), F.col("receiver") == F.col("_receiver"), "left")
+    return ends.where("_caller IS NOT NULL OR _receiver IS NOT NULL").drop("_caller", "_receiver")
+
+
+def person_profiles(people: DataFrame, stats: DataFrame, sessions: DataFrame, few: bool) -> tuple[DataFrame, DataFrame | None]:
+    """The numbers and sets of every one of people, and who is large (nobody: None); stats: _pair_stats of their calls at least.
 
     A row has person, events, s_* (A10's numbers) and, for each of SETS, <kind>_set with
-    64-bit hashes of the members and <kind>_size. A person with more than SMALL contacts or
-    sessions is large: the sets are null and sizes come from their members' rows, so that no
-    row grows beyond SMALL members of a kind.
+    64-bit hashes of the members (buckets: the hours themselves in order, which compress) and
+    <kind>_size. A person with more than SMALL contacts or sessions is large: the sets are
+    null and sizes come from their members' rows, so that no row grows beyond SMALL members
+    of a kind.
     """
-    few = people.limit(CUT_PEOPLE + 1).count() <= CUT_PEOPLE
-    cut = lambda df, key: df.join(F.broadcast(people.withColumnRenamed("person", key)), key, "left_semi") if few else df
-    own = cut(sessions.where("subscriber <> ''"), "subscriber").withColumnRenamed("subscriber", "person")
-    met = stored(cut(both_ends(calls), "person").groupBy("person", "contact").agg(F.count(F.lit(1)).alias("n")), "met")
+    own = _cut(sessions.where("subscriber <> ''"), people, "subscriber", few).withColumnRenamed("subscriber", "person")
+    met = _cut(_met(stats), people, "person", few)
     counts = [met.groupBy("person").agg(F.count("contact").alias("n")), own.groupBy("person").agg(F.count(F.lit(1)).alias("n"))]
     large = stored(counts[0].unionByName(counts[1]).where(F.col("n") > SMALL).select("person").distinct(), "large")
     none = large.isEmpty()
     # at most one of SMALL calls' ends or sessions
     flagged = lambda df: df.withColumn("_large", F.lit(False)) if none else df.join(F.broadcast(large.withColumn("_large", F.lit(True))), "person", "left").withColumn("_large", F.coalesce("_large", F.lit(False)))
-    set_of = lambda m: F.collect_set(F.when(~F.col("_large"), _hashed(m)))
-    near = flagged(met).groupBy("person").agg(F.sum("n").alias("events"), set_of(F.col("contact")).alias("contacts_set"))
-    use = flagged(own).groupBy("person").agg(*[c.alias(f"s_{n}") for c, n in session_person_numbers()], *[set_of(m).alias(f"{k}_set") for k, m in _session_members().items()])
+    set_of = lambda c: F.collect_set(F.when(~F.col("_large"), c))
+    near = flagged(met).groupBy("person").agg(F.sum("n").alias("events"), set_of(_hashed(F.col("contact"))).alias("contacts_set"))
+    use = flagged(own).groupBy("person").agg(*[c.alias(f"s_{n}") for c, n in session_person_numbers()], *[set_of(c).alias(f"{k}_set") for k, c in _codes().items()]).withColumn("buckets_set", F.sort_array("buckets_set"))
     prof = people.join(near, "person", "left").join(use, "person", "left")
     if none:
         return prof.withColumns({f"{k}_size": _size(F.col(f"{k}_set")) for k in SETS}), None
     hubs = lambda df, key: df.join(F.broadcast(large.withColumnRenamed("person", key)), key, "left_semi")
-    rows = hubs(met.where("contact IS NOT NULL").select("person", F.lit("contacts").alias("kind"), F.col("contact").alias("member")), "person").unionByName(hubs(person_members(calls.limit(0), sessions), "person"))
+    rows = hubs(met.where("contact IS NOT NULL").select("person", F.lit("contacts").alias("kind"), F.col("contact").alias("member")), "person").unionByName(hubs(session_members(sessions), "person"))
     sizes = columns_of(set_sizes(rows), ["person"], SETS, ["size"]).withColumn("_hub", F.lit(True))
     prof = prof.join(sizes.withColumnsRenamed({f"{k}_size": f"_{k}" for k in SETS}), "person", "left")
     hub = F.coalesce("_hub", F.lit(False))
@@ -181,8 +231,10 @@ def pair_features(pairs: DataFrame, calls: DataFrame, sessions: DataFrame) -> Da
     """
     pairs = stored(pairs.select("lo", "hi"), "pairs")
     people = stored(pairs.select(F.explode(F.array("lo", "hi")).alias("person")).distinct(), "people")
-    stats = call_pair_stats(attach_pair_events(pairs, calls))
-    prof, large = person_profiles(people, calls, sessions)
+    few = people.limit(CUT_PEOPLE + 1).count() <= CUT_PEOPLE
+    # one pass over the calls gives the pairs' numbers and the people's contacts
+    stats = stored(_pair_stats(_cut_calls(calls, people, few)), "stats")
+    prof, large = person_profiles(people, stats, sessions, few)
     both = attach_profiles(pairs.join(stats, ["lo", "hi"], "left"), stored(prof, "profiles"))
     both = both.withColumns({f"{k}_shared": _size(F.array_intersect(f"a_{k}_set", f"b_{k}_set")) for k in SETS}).drop(*[f"{s}_{k}_set" for s in "ab" for k in SETS])
     if large is not None:

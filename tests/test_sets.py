@@ -99,3 +99,24 @@ def test_features_by_rows_and_by_arrays_are_alike(spark, monkeypatch):
         monkeypatch.setattr(A, "SMALL", small)
         monkeypatch.setattr(A, "CUT_PEOPLE", people)
         assert shown() == one
+
+
+def test_days_need_no_row_of_each_and_contacts_no_pass(spark):
+    """Days of a pair over many blocks, before 1970 and missing; no shuffle by day. Contacts by the pairs' numbers are those of the calls."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", "c", None]), rng.choice(["a", "b", "c", None]), rng.choice([None, 86_400 * rng.randint(-300, 300) + rng.randint(0, 86_399)])) for _ in range(600)]
+    rows += [("d", "e", None), ("e", "d", None)]
+    calls = spark.createDataFrame(rows, "caller string, receiver string, t long").select("caller", "receiver", F.timestamp_seconds("t").alias("ts"), F.lit(2.0).alias("duration"), F.lit("").alias("event_type"))
+    days, ends = {}, {}
+    for a, b, t in rows:
+        key = (min(x for x in (a, b) if x), max(x for x in (a, b) if x)) if a or b else (None, None)
+        days.setdefault(key, set()).update([] if t is None else [t // 86_400])
+        for p, c in ((a, b), (b, a)):
+            if p:
+                ends[p, c] = ends.get((p, c), 0) + 1
+    stats = A.call_pair_stats(calls)
+    assert {(r.lo, r.hi): r.days for r in stats.collect()} == {k: len(v) for k, v in days.items()}
+    plan = A.call_pair_stats(calls)._jdf.queryExecution().executedPlan().toString()
+    assert "distinct" not in plan and plan.count("Exchange") == 2
+    got = {(r.person, r.contact): r.n for r in A._met(A._pair_stats(calls)).collect() if r.person}
+    assert got == ends
