@@ -84,7 +84,7 @@ def _met(stats: DataFrame) -> DataFrame:
     """person, contact and n, how often both_ends has them, from _pair_stats: a call with oneself counts twice, one without an end has a null contact."""
     apart, row = F.col("lo") != F.col("hi"), lambda p, c, n: F.struct(p.alias("person"), c.alias("contact"), n.alias("n"))
     lo, hi, n, lone = F.col("lo"), F.col("hi"), F.col("calls"), F.col("lone")
-    ends = F.array(row(lo, hi, F.when(apart, n)), row(hi, lo, F.when(apart, n)), row(lo, lo, F.when(~apart, 2 * (n - lone))), row(lo, F.lit(None).cast("string"), F.when(~apart, lone)))
+    ends = F.array(row(lo, hi, F.when(apart, n)), row(hi, lo, F.when(apart, n)), row(lo, lo, F.when(~apart, 2 * (n - lone))), row(lo, F.nullif(lo, lo), F.when(~apart, lone)))
     return stats.select(F.inline(F.filter(ends, lambda r: r["n"] > 0)))
 
 
