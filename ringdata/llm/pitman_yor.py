@@ -92,6 +92,16 @@ def joined(parts: list[np.ndarray], kind: str) -> np.ndarray:
     return np.concatenate([*parts, np.zeros(0, dtype=kind)])
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys and the place of each key among them, as np.unique gives them, in half its memory."""
+    order = np.argsort(keys).astype(np.int32)
+    keys = keys[order]
+    new = np.diff(keys, prepend=keys[:1] - 1) != 0
+    at = np.empty(len(keys), dtype=np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], at
+
+
 class Bucket:
     """The tokens of a bucket: words in the order of their shards, pairs likewise, and the pair of each token."""
 
@@ -103,26 +113,33 @@ class Bucket:
         for text in rows["text"]:
             words = text.encode().lower().split()
             words.append(END)
-            ids.append(np.fromiter([seen.setdefault(w, len(seen)) for w in words], dtype=np.int64, count=len(words)))
+            ids.append(np.fromiter([seen.setdefault(w, len(seen)) for w in words], dtype=np.int32, count=len(words)))
             lengths.append(len(words))
         ids = np.concatenate(ids)
         self.starts = np.concatenate([[0], np.cumsum(lengths)])
         hashes = np.fromiter(map(xxh64_intdigest, seen), dtype=np.uint64, count=len(seen))
-        context = np.empty(len(ids), dtype=np.int64)
-        context[1:] = ids[:-1]
-        context[self.starts[:-1]] = 0
+        n, end = len(seen), seen.get(END)
+        del seen, words  # many small objects, gone before the large arrays come
         shard = (hashes % np.uint64(shards)).astype(np.int64)
         order = np.lexsort((hashes, shard))
-        rank = np.empty(len(seen), dtype=np.int64)
-        rank[order] = np.arange(len(seen))
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.arange(n)
         self.words, self.word_cuts = hashes[order], cuts(shard[order], shards)
-        self.start, self.end = int(rank[0]), int(rank[seen[END]]) if END in seen else 0
-        pairs, at = np.unique(rank[context] * len(seen) + rank[ids], return_inverse=True)
-        u, w = pairs // len(seen), pairs % len(seen)
+        self.start, self.end = int(rank[0]), int(rank[end]) if end is not None else 0
+        ids = rank[ids]
+        keys = np.empty(len(ids), dtype=np.int64)
+        keys[1:] = ids[:-1]
+        keys[self.starts[:-1]] = self.start
+        keys *= n
+        keys += ids
+        del ids
+        keys, at = distinct(keys)
+        u, w = (keys // n).astype(np.int32), (keys % n).astype(np.int32)
+        del keys
         shard = pair_shard(self.words[u], self.words[w], shards)
-        order = np.argsort(shard, kind="stable")
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
+        order = np.argsort(shard, kind="stable").astype(np.int32)
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.u, self.w, self.at, self.pair_cuts = u[order], w[order], place[at], cuts(shard[order], shards)
         train = np.repeat(rows["train"].to_numpy(dtype=bool), lengths)
         self.count = np.bincount(self.at[train], minlength=len(order)).astype(np.uint32)
@@ -147,7 +164,12 @@ class Bucket:
 def pair_shard(u: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each pair: that of its context, moved by a part of the word that grows with the number of shards."""
     ways = np.uint64(-(-shards // SPREAD))
-    return ((u // np.uint64(shards) + (w // np.uint64(shards)) % ways * np.uint64(0x9E3779B1)) % np.uint64(shards)).astype(np.int64)
+    place = w // np.uint64(shards)
+    place %= ways
+    place *= np.uint64(0x9E3779B1)
+    place += u // np.uint64(shards)
+    place %= np.uint64(shards)
+    return place.astype(np.int32)
 
 
 def count_pairs(f: pd.DataFrame, shards: int) -> list[tuple]:
@@ -156,27 +178,33 @@ def count_pairs(f: pd.DataFrame, shards: int) -> list[tuple]:
     shard = int(f["dst"].iloc[0])
     if shard >= shards:  # words that buckets ask for wait until the seating is done
         return [("asks", shard - shards, int(b), d, None) for b, d in zip(f["src"], f["data"], strict=True)]
-    got = [unpack(d) for d in f["data"]]
-    sizes = [len(g[3]) for g in got]
-    seen, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-    first = np.repeat(np.cumsum([0, *[len(g[0]) for g in got]])[:-1], [len(g[1]) for g in got])
-    u = np.repeat(at[first + np.concatenate([g[1] for g in got])], np.concatenate([g[2] for g in got]))
-    w = at[np.repeat(np.cumsum([0, *[len(g[0]) for g in got]])[:-1], sizes) + np.concatenate([g[3] for g in got])]
-    pairs, at = np.unique(u * len(seen) + w, return_inverse=True)
-    total = np.bincount(at, np.concatenate([g[4] for g in got]), len(pairs)).astype(np.int64)
-    rows, upto = [], 0
-    for b, n in zip(f["src"].tolist(), sizes, strict=True):
-        rows.append(("counts", b, shard, pack(total[at[upto : upto + n]].astype(np.uint32)), None))
-        upto += n
-    del at, u, w, got
+    seen = np.unique(np.concatenate([unpack(d)[0] for d in f["data"]]))
+    keys, times = [], []
+    for d in f["data"]:
+        own, first, runs, second, count = unpack(d)
+        own = np.searchsorted(seen, own)
+        keys.append(np.repeat(own[first], runs) * len(seen) + own[second])
+        times.append(count)
+    pairs = np.concatenate(keys)
+    pairs.sort()
+    pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+    total = np.zeros(len(pairs), dtype=np.int64)
+    for k, count in enumerate(times):
+        keys[k] = np.searchsorted(pairs, keys[k]).astype(np.int32)
+        np.add.at(total, keys[k], count)
+    rows = [("counts", b, shard, pack(total[at].astype(np.uint32)), None) for b, at in zip(f["src"].tolist(), keys, strict=True)]
+    del keys, times
     pairs, total = pairs[total > 0], total[total > 0]
-    u, w = seen[pairs // len(seen)], seen[pairs % len(seen)]
-    words = np.union1d(u, w)
+    u, w = (pairs // len(seen)).astype(np.int32), (pairs % len(seen)).astype(np.int32)
+    del pairs
+    used = np.zeros(len(seen), dtype=bool)
+    used[u] = used[w] = True
+    words = seen[used]
     place = (words % np.uint64(shards)).astype(np.int64)
     order = np.lexsort((words, place))
-    rank = np.empty(len(words), dtype=np.int64)
-    rank[order] = np.arange(len(words))
-    u, w = rank[np.searchsorted(words, u)], rank[np.searchsorted(words, w)]
+    rank = np.zeros(len(seen), dtype=np.int32)
+    rank[np.flatnonzero(used)[order]] = np.arange(len(words), dtype=np.int32)
+    u, w = rank[u], rank[w]
     words, edges = words[order], cuts(place[order], shards)
     sums = [np.bincount(u, minlength=len(words)), np.bincount(w, minlength=len(words)), np.bincount(w, total, len(words))]
     again = total > 1

@@ -1,10 +1,14 @@
+import gc
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ringdata.llm import pitman_yor as p
@@ -161,3 +165,37 @@ def test_probabilities_sum_to_one(spark):
     # the texts of up to one word: P(end | start) + sum of P(w | start) P(end | w); those of two words add to it, and all stay below one
     chance = dict(zip(asked, [got[1_000 + i] for i in range(len(asked))], strict=True))
     assert 0 < sum(chance.values()) < 1
+
+
+def test_memory_of_a_bucket_and_a_shard():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in (rng.pareto(0.8, 5_000) * 40).astype(np.int64) % 60_000) for _ in range(160)]
+    shards = 4
+
+    def peak(f):
+        gc.collect()
+        tracemalloc.start()
+        out = f()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    sent = []
+    for b in range(4):
+        rows = pd.DataFrame({"text": texts[b::4], "train": True})
+        bucket, most = peak(lambda: p.Bucket(rows, shards))  # noqa: B023
+        assert most < 50 * len(bucket.at)
+        sent += [m for m in bucket.asks(b, shards) if m[1] == 1]
+    asked = p.messages(sent)
+    pairs = sum(len(p.unpack(d)[3]) for d in asked["data"])
+    got, most = peak(lambda: p.count_pairs(asked, shards))
+    assert most < 45 * pairs
+    # the pairs of the shard are counted as by hand
+    words = [[b"", *t.encode().split(), b"\n"] for t in texts]
+    counts = Counter(x for t in words for x in zip(t, t[1:], strict=False))
+    code = lambda w: np.array([xxhash.xxh64_intdigest(w)], dtype=np.uint64)
+    mine = Counter(n for (u, w), n in counts.items() if p.pair_shard(code(u), code(w), shards)[0] == 1)
+    sums = next(m[4] for m in got if m[0] == "sums")
+    assert sums == [mine[1], mine[2]]
+    again = p.unpack(next(m[3] for m in got if m[0] == "pairs"))[3]
+    assert Counter(again.tolist()) == Counter({n: k for n, k in mine.items() if n > 1})
