@@ -128,17 +128,22 @@ def stratified_split(df: DataFrame, key: list[str], label: str = "label", seed:
     """Df with `split`: per class max(1, round(fraction * n)) test and as many validation rows, by hash order, at least 1 train row.
 
     Ranks come from per-block counts (256 blocks of the hash), so a class is never one task.
+    Only the rows of blocks in which a split ends, two of a class, are ranked and shuffled.
     """
     u = F.xxhash64(F.lit(seed), *key)
-    rows = df.withColumns({"_u": u, "_b": F.shiftrightunsigned(u, 56).cast("int")})
+    rows = df.drop("split").withColumns({"_u": u, "_b": F.shiftrightunsigned(u, 56).cast("int")})
     counts = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows a class
-    offsets = counts.select(label, "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_o"), F.sum("n").over(Window.partitionBy(label)).alias("_n"))
-    ranked = rows.join(F.broadcast(offsets), [label, "_b"]).withColumn("_k", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_u", *key)) + F.col("_o"))
+    offsets = counts.select(label, "_b", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_o"), F.sum("n").over(Window.partitionBy(label)).alias("_n"))
     part = F.greatest(F.lit(1), F.bround(F.col("_n") * fraction).cast("int"))
     part = F.when(F.col("_n") - 2 * part >= 1, part).otherwise(F.greatest(F.lit(1), F.floor((F.col("_n") - 1) / 2)))
-    split = F.when(F.col("_k") <= part, "test").when(F.col("_k") <= 2 * part, "validation").otherwise("train")
-    return ranked.withColumn("split", split).drop("_u", "_b", "_o", "_n", "_k")
+    split = lambda k: F.when(k <= F.col("_part"), "test").when(k <= 2 * F.col("_part"), "validation").otherwise("train")
+    first, last = split(F.col("_o") + 1), split(F.col("_o") + F.col("n"))
+    blocks = offsets.withColumn("_part", part).select(label, "_b", "_o", "_part", F.when(first == last, first).alias("split"))
+    placed = rows.join(F.broadcast(blocks), [label, "_b"])
+    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_u", *key)) + F.col("_o")
+    whole, cut_ = placed.where("split IS NOT NULL"), placed.where("split IS NULL").withColumn("split", split(rank))
+    return whole.unionByName(cut_).drop("_u", "_b", "_o", "_part")
 
 
 def group_disjoint_split(df: DataFrame, a: str, b: str, seed: int = 42, shares=(0.6, 0.2, 0.2)) -> DataFrame:

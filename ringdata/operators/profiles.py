@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringdata.functions import scalars as S
@@ -123,13 +123,20 @@ def session_person_stats(sessions: DataFrame) -> DataFrame:
 SETS = ["contacts", "destinations", "ports", "cells", "buckets"]
 
 
+#: Distinct values of a kind up to whose number its members are numbered, so that sets hold numbers of two bytes at most.
+CODES = 65_536
 #: People of asked pairs up to whose number events are cut down to them before they are summed.
 CUT_PEOPLE = 200_000
 
 
+def _session_values() -> dict[str, Column]:
+    """What a session holds of each kind, as text."""
+    return {"destinations": F.col("destination").cast("string"), "ports": F.col("port").cast("string"), "cells": F.col("cell").cast("string"), "buckets": F.unix_seconds(S.hour_bucket(F.col("ts"))).cast("string")}
+
+
 def _session_members() -> dict[str, Column]:
     """The members of each kind that a session has."""
-    return {"destinations": member(F.col("destination")), "ports": member(F.col("port")), "cells": member(F.col("cell")), "buckets": F.unix_seconds(S.hour_bucket(F.col("ts"))).cast("string")}
+    return {k: v if k == "buckets" else member(v) for k, v in _session_values().items()}
 
 
 def person_members(calls: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -144,9 +151,28 @@ def session_members(sessions: DataFrame) -> DataFrame:
     return own.where("member IS NOT NULL").distinct()
 
 
-def _codes() -> dict[str, Column]:
-    """What the arrays of sets hold of a session's members."""
-    return {k: _hashed(m) for k, m in _session_members().items()} | {"buckets": F.unix_seconds(S.hour_bucket(F.col("ts")))}
+def _coded(own: DataFrame) -> DataFrame:
+    """Sessions with <kind>_code for each kind of _session_members: what the arrays of sets hold of a session's member.
+
+    Of a kind with up to CODES distinct values it is the member's number in order, in one
+    byte or two, and members are read once a value; of any other a 64-bit hash (buckets:
+    the hour itself).
+    """
+    kinds = _session_values()
+    named = own.withColumns({f"_{k}": v for k, v in kinds.items()})
+    values = named.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").alias("value")) for k in kinds])))
+    values = stored(values.where("value IS NOT NULL").distinct(), "values")
+    counts = {r["kind"]: r["n"] for r in values.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a kind
+    number = F.dense_rank().over(Window.orderBy("member"))
+    for k in kinds:
+        n, own_member = counts.get(k, 0), lambda c: c if k == "buckets" else member(c)  # noqa: B023, E731
+        if n > CODES:
+            named = named.withColumn(f"{k}_code", F.unix_seconds(S.hour_bucket(F.col("ts"))) if k == "buckets" else _hashed(member(F.col(f"_{k}"))))
+            continue
+        code = (number - 129).cast("byte") if n <= 256 else (number - 32_769).cast("short")
+        known = values.where(F.col("kind") == k).select(F.col("value").alias(f"_{k}"), own_member(F.col("value")).alias("member")).where("member IS NOT NULL").select(f"_{k}", code.alias(f"{k}_code"))  # up to CODES rows
+        named = named.join(F.broadcast(known), f"_{k}", "left")
+    return named.drop(*[f"_{k}" for k in kinds])
 
 
 def _hashed(m: Column) -> Column:
@@ -155,7 +181,7 @@ def _hashed(m: Column) -> Column:
 
 def _size(codes: Column) -> Column:
     """Members of a set; of none, 0."""
-    return F.size(F.coalesce(codes, F.array().cast("array<bigint>"))).cast("long")
+    return F.greatest(F.coalesce(F.size(codes), F.lit(0)), F.lit(0)).cast("long")  # the size of null is null or -1
 
 
 def _cut(df: DataFrame, people: DataFrame, key: str, few: bool) -> DataFrame:
@@ -176,8 +202,7 @@ def person_profiles(people: DataFrame, stats: DataFrame, sessions: DataFrame, fe
     """The numbers and sets of every one of people, and who is large (nobody: None); stats: _pair_stats of their calls at least.
 
     A row has person, events, s_* (A10's numbers) and, for each of SETS, <kind>_set with
-    64-bit hashes of the members (buckets: the hours themselves in order, which compress) and
-    <kind>_size. A person with more than SMALL contacts or sessions is large: the sets are
+    numbers of the members (_coded; contacts: 64-bit hashes) and <kind>_size. A person with more than SMALL contacts or sessions is large: the sets are
     null and sizes come from their members' rows, so that no row grows beyond SMALL members
     of a kind.
     """
@@ -190,7 +215,7 @@ def person_profiles(people: DataFrame, stats: DataFrame, sessions: DataFrame, fe
     flagged = lambda df: df.withColumn("_large", F.lit(False)) if none else df.join(F.broadcast(large.withColumn("_large", F.lit(True))), "person", "left").withColumn("_large", F.coalesce("_large", F.lit(False)))
     set_of = lambda c: F.collect_set(F.when(~F.col("_large"), c))
     near = flagged(met).groupBy("person").agg(F.sum("n").alias("events"), set_of(_hashed(F.col("contact"))).alias("contacts_set"))
-    use = flagged(own).groupBy("person").agg(*[c.alias(f"s_{n}") for c, n in session_person_numbers()], *[set_of(c).alias(f"{k}_set") for k, c in _codes().items()]).withColumn("buckets_set", F.sort_array("buckets_set"))
+    use = flagged(_coded(own)).groupBy("person").agg(*[c.alias(f"s_{n}") for c, n in session_person_numbers()], *[set_of(F.col(f"{k}_code")).alias(f"{k}_set") for k in _session_members()]).withColumn("buckets_set", F.sort_array("buckets_set"))
     prof = people.join(near, "person", "left").join(use, "person", "left")
     if none:
         return prof.withColumns({f"{k}_size": _size(F.col(f"{k}_set")) for k in SETS}), None

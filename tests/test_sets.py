@@ -120,3 +120,37 @@ def test_days_need_no_row_of_each_and_contacts_no_pass(spark):
     assert "distinct" not in plan and plan.count("Exchange") == 2
     got = {(r.person, r.contact): r.n for r in A._met(A._pair_stats(calls)).collect() if r.person}
     assert got == ends
+
+
+def test_sets_hold_numbers_of_one_byte_or_two(spark, monkeypatch):
+    """Numbered kinds and hashed ones give the same features; spellings of one member have one number, missing ones none."""
+    from ringdata.sources import views as V
+
+    d = "/root/testdata/sf0.001"
+    port = F.when(F.col("event_id") % 9 == 0, " NaN ").when(F.col("event_id") % 9 == 1, F.concat(F.lit(" "), "port")).otherwise(F.col("port"))
+    sessions = V.sessions(spark, d).withColumn("port", port).withColumn("cell", F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("C"), F.col("event_id").cast("string"))))
+    calls, pairs = V.calls(spark, d), V.pairs(spark, d).select("lo", "hi")
+    shown = lambda: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in A.pair_features(pairs, calls, sessions).collect())
+    one = shown()
+    coded = A._coded(sessions.withColumnRenamed("subscriber", "person"))
+    types = {k: coded.schema[f"{k}_code"].dataType.simpleString() for k in ("destinations", "ports", "cells", "buckets")}
+    assert types == {"destinations": "tinyint", "ports": "tinyint", "cells": "smallint", "buckets": "smallint"}
+    seen = coded.select(A.member(F.col("port")).alias("m"), F.col("ports_code").alias("c")).distinct().collect()
+    assert len({r.m for r in seen}) == len({r.c for r in seen}) == len(seen) and all((r.m is None) == (r.c is None) for r in seen)
+    for most in (0, 150):
+        monkeypatch.setattr(A, "CODES", most)
+        assert shown() == one
+
+
+def test_split_shuffles_only_the_blocks_where_a_split_ends(spark):
+    from ringdata.operators import learn as M
+
+    df = spark.range(30_000).selectExpr("concat('p', id) AS lo", "cast(id % 3 = 0 AS int) AS label", "id * 1.0 AS x")
+    s = M.stratified_split(df, ["lo"]).withColumn("u", F.xxhash64(F.lit(42), "lo"))
+    rows = s.collect()
+    assert s.columns == ["label", "lo", "x", "split", "u"] and len({r.lo for r in rows}) == 30_000
+    for y, n in ((0, 20_000), (1, 10_000)):
+        own = sorted((r for r in rows if r.label == y), key=lambda r: ((r.u % 2**64) >> 56, r.u))
+        assert [r.split for r in own] == ["test"] * (n // 5) + ["validation"] * (n // 5) + ["train"] * (3 * n // 5)
+    # the rows of whole blocks pass by the window
+    assert s._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
